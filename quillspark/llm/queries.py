@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, html, minhash, mixing, packing, urls, warc
+from . import embeddings, fingerprints, html, minhash, mixing, packing, suffixes, urls, warc
 
 #: The rules of the contract: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -26,6 +27,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -54,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op4_html_extraction, op5_packing, op6_fingerprints, op7_warc, op8_minhash_dedup, op9_embedding_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_html_extraction, op5_packing, op6_fingerprints, op7_warc, op8_minhash_dedup, op9_embedding_dedup, op10_mixing)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
@@ -64,6 +70,17 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJ
 m AS (SELECT p.*, r.rh || r.rp AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rh || r.rp) DESC NULLS LAST, length(r.rh) DESC) AS n
       FROM p LEFT JOIN r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS p, h FROM d WHERE len(h) >= 200),
+s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS n FROM w),
+b AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s WHERE n > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z, lag(max(p) + 100) OVER (PARTITION BY doc_id ORDER BY k) AS since FROM g GROUP BY doc_id, k),
+t AS (SELECT r.doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS z, string_agg(substr(d.h, 2 * coalesce(since, 0) + 1, 2 * (a - coalesce(since, 0))), '' ORDER BY k) AS kept FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(t.kept || substr(d.h, 2 * t.z + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
 """,
     "op8_minhash_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
