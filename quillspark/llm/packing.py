@@ -8,11 +8,14 @@ on either side. No document is shuffled.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,46 +23,81 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, END_ID = 4096, 2
-#: Words whose ids a worker keeps; the memory is emptied when full.
-KEPT_WORDS = 400_000
-#: Texts with one of these are tokenized whole: added tokens could span what white space splits.
-WHOLE = ("<|startoftext|>", "<|endoftext|>")
+#: Words that a worker keeps at least; of twice as many, those that lay unused go.
+KEPT_WORDS = 150_000
+# What the tokenizer's own pre-tokenizer makes its units.
+UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts with one of these are tokenized whole: added tokens may span what white space splits, and the separators are white
+#: space to Python alone.
+WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Words of these characters only have one lower-case and one composed form in all libraries.
+PLAIN = regex.compile("[\x21-\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins across white space: words are tokenized once and kept.
+    """Ids (16 bits each, or 32 for a larger vocabulary) of texts by a byte-level BPE whose units never cross white space.
 
-    special_tokens are left to the tokenizer's own rules: a text that holds one goes through it whole.
+    A word's ids are kept; the units of a new word go to the tokenizer's model by themselves. Words with characters above
+    U+00FF go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.words, self.old_words = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
+        small = max(self.tokenizer.get_vocab().values()) < 1 << 16
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.letters = _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        words, old, tokenize, letters, code = self.words, self.old_words, self.model.tokenize, self.letters, self.code
+        for w in new:
+            if w in old:
+                words[w] = old[w]
+                continue
+            low = w.lower()
+            if low.isascii():
+                units = (low,) if low.isalpha() else UNITS.findall(low)
+            elif PLAIN.fullmatch(w):
+                units = [u if u.isascii() else u.encode().decode("latin-1").translate(letters) for u in UNITS.findall(low)]
+            else:
+                words[w] = self.whole(w)
+                continue
+            words[w] = array(code, [t.id for u in units for t in tokenize(u)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.old_words = {}, self.words
         split = [None if any(x in t for x in WHOLE) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in kept})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            kept.update(zip(part, self.whole(part)))
-        return [self.whole([t])[0] if words is None else b"".join(map(kept.__getitem__, words)) for t, words in zip(texts, split)]
+        new: set[str] = set()
+        for x in split:
+            if x:
+                new.update(x)
+        self.learn(new.difference(self.words))
+        ids = self.words.__getitem__
+        return [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(texts, split)]
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, before, end = WordTokenizer(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        ids_of, part, before = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        end, width = np.array([end_id], ids_of.kind).tobytes(), ids_of.kind.itemsize
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                piece = b.slice(i, 256)
+            for i in range(0, b.num_rows, 128):
+                piece = b.slice(i, 128)
                 ids = [x + end for x in ids_of([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                n = np.array([len(x) // width for x in ids], dtype=np.int64)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "part_start", "doc_tokens", "ids"])
@@ -73,6 +111,7 @@ def _cut(bases: dict[int, int], window: int):
             out: list[list] = [[] for _ in range(8)]
             for doc, part, at, n, ids in zip(*(c.to_pylist() for c in b.columns)):
                 at += bases[part]
+                ids = ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     offset = (at + start) % window
