@@ -23,41 +23,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop
 from .graph import components
+from .words import mix64
+from .words import words as word_arrays
 
 #: Slots of a signature (a power of two); bands and rows of each: at 0.8 they miss one pair in several millions.
 SLOTS, BANDS, ROWS = 256, 40, 5
 #: Bits of 64 in which two sketches may differ; at a similarity of 0.8 they differ in 6.4, with a deviation of 2.4.
 SKETCH_BITS = 22
 #: Bytes of text that one array holds, if no text is longer.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
 
 
 def _sets_at_once(texts: list[bytes], words: int) -> list[np.ndarray]:
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    space = _SPACE[data]
-    text = np.flatnonzero(~space)
+    starts, _, hashes = word_arrays(_LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)])
     none = np.zeros(0, np.uint64)
-    if not len(text):
+    if not len(starts):
         return [none] * len(texts)
-    first = np.concatenate(([True], np.diff(text) > 1))
-    starts = np.flatnonzero(first)
-    lengths = np.diff(np.concatenate((starts, [len(text)])))
-    place = np.arange(len(text)) - np.repeat(starts, lengths)
-    powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))))
-    hashes = mix64(np.add.reduceat((data[text].astype(np.uint64) + _U(1)) * powers[place], starts) + lengths.astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    edges = np.concatenate(([0], np.searchsorted(text[starts], ends)))
+    edges = np.concatenate(([0], np.searchsorted(starts, ends)))
     out = []
     factor = _U(0xD6E8FEB86659FD93)
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)

@@ -21,15 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .words import words as word_arrays
 
 WINDOW, END_ID = 4096, 2
-#: Words that a worker keeps at least; of twice as many, those that lay unused go.
-KEPT_WORDS = 150_000
+#: Words whose ids a worker keeps, and bytes of text that it looks up at once.
+KEPT_WORDS, AT_ONCE = 1_500_000, 1 << 19
 # What the tokenizer's own pre-tokenizer makes its units.
 UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with one of these are tokenized whole: added tokens may span what white space splits, and the separators are white
-#: space to Python alone.
-WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words of these characters only have one lower-case and one composed form in all libraries.
 PLAIN = regex.compile("[\x21-\xff]+")
 
@@ -43,59 +41,115 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Ids (16 bits each, or 32 for a larger vocabulary) of texts by a byte-level BPE whose units never cross white space.
 
-    A word's ids are kept; the units of a new word go to the tokenizer's model by themselves. Words with characters above
-    U+00FF go through the whole tokenizer.
+    Words are looked up by 64-bit hash, all words of many texts at once; the units of a new word go to the tokenizer's model
+    by themselves. Words with characters above U+00FF, control characters or what may be an added token go through the whole
+    tokenizer.
     """
 
+    _open: dict[str, WordTokenizer] = {}
+
+    @classmethod
+    def open(cls, path: str) -> WordTokenizer:
+        """The one of this process, which later tasks find with what it has learnt."""
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.words, self.old_words = Tokenizer.from_file(path), {}, {}
-        self.model = self.tokenizer.model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         small = max(self.tokenizer.get_vocab().values()) < 1 << 16
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
-        self.letters = _byte_letters()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def learn(self, new: set[str]) -> None:
-        words, old, tokenize, letters, code = self.words, self.old_words, self.model.tokenize, self.letters, self.code
-        for w in new:
-            if w in old:
-                words[w] = old[w]
-                continue
-            low = w.lower()
-            if low.isascii():
-                units = (low,) if low.isalpha() else UNITS.findall(low)
-            elif PLAIN.fullmatch(w):
-                units = [u if u.isascii() else u.encode().decode("latin-1").translate(letters) for u in UNITS.findall(low)]
-            else:
-                words[w] = self.whole(w)
-                continue
-            words[w] = array(code, [t.id for u in units for t in tokenize(u)]).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.old_words = {}, self.words
-        split = [None if any(x in t for x in WHOLE) else t.split() for t in texts]
-        new: set[str] = set()
-        for x in split:
-            if x:
-                new.update(x)
-        self.learn(new.difference(self.words))
-        ids = self.words.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(texts, split)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.pool, self.used = np.zeros(1 << 20, self.kind), 0
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.recent = none, none
+
+    def ids(self, word: str) -> list[int]:
+        low, tokenize = word.lower(), self.model.tokenize
+        if low.isalpha() and low.isascii():
+            return [t.id for t in tokenize(low)]
+        if "<|" in word or not PLAIN.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        units = [u if u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in UNITS.findall(low)]
+        return [t.id for u in units for t in tokenize(u)]
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """hashes: sorted, all new."""
+        found, counts = array(self.code), []
+        for w in words:
+            ids = self.ids(w.decode())
+            found.extend(ids)
+            counts.append(len(ids))
+        counts = np.array(counts, np.int64)
+        while self.used + len(found) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(found)] = np.frombuffer(found, self.kind)
+        new = hashes, self.used + np.cumsum(counts) - counts, counts
+        self.used += len(found)
+        self.recent = _merge(self.recent, new)
+        if len(self.recent[0]) > 50_000:
+            self.known = _merge(self.known, self.recent)
+            self.recent = tuple(x[:0] for x in self.recent)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, n = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        for keys, starts, counts in (self.known, self.recent):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[i] == hashes
+                at[hit], n[hit] = starts[i[hit]], counts[i[hit]]
+        return at, n, np.flatnonzero(n < 0)
+
+    def _at_once(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known[0]) > KEPT_WORDS:
+            self.forget()
+        data = b"\n".join(texts) + b"\n"
+        starts, lengths, hashes = word_arrays(np.frombuffer(data, np.uint8))
+        hashes, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, n, new = self._places(hashes)
+        if len(new):
+            s, z = starts[one[new]].tolist(), lengths[one[new]].tolist()
+            self.learn(hashes[new], [data[a : a + b] for a, b in zip(s, z)])
+            at[new], n[new], _ = self._places(hashes[new])
+        at, n = at[which], n[which]
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        words = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], words))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        group, size = [], 0
+        for t in texts:
+            t = t.encode()
+            if group and size + len(t) > AT_ONCE:
+                yield from self._at_once(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t)
+        if group:
+            yield from self._at_once(group)
+
+
+def _merge(x: tuple, y: tuple) -> tuple:
+    """Two (sorted keys, starts, counts) in one."""
+    at = np.searchsorted(x[0], y[0])
+    return tuple(np.insert(a, at, b) for a, b in zip(x, y))
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, before = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        ids_of, part, before = WordTokenizer.open(path), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], ids_of.kind).tobytes(), ids_of.kind.itemsize
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                piece = b.slice(i, 128)
+            for i in range(0, b.num_rows, 512):
+                piece = b.slice(i, 512)
                 ids = [x + end for x in ids_of([t or "" for t in piece.column(1).to_pylist()])]
                 n = np.array([len(x) // width for x in ids], dtype=np.int64)
                 starts = before + np.cumsum(n) - n

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import cut, drop, shuffle_partitions
 
 #: Bytes of a gram; of a chunk (a longer document is a chunk of its own); of the arrays that are hashed at once.
-GRAM, CHUNK, AT_ONCE = 40, 4 << 20, 1 << 20
+GRAM, CHUNK, AT_ONCE = 40, 2 << 20, 1 << 18
 #: Chunks from which a gram counts as frequent; chunks to a range of hashes.
-FREQUENT, CHUNKS_A_RANGE = 1000, 4
+FREQUENT, CHUNKS_A_RANGE = 2000, 8
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -128,6 +128,12 @@ def _chunks(carried: int):
     return run
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch one by one, as each holds a chunk."""
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in b.columns)
+
+
 def _open(data: bytes, lengths: list[int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data, max_output_size=sum(lengths)) if sum(lengths) else b""
 
@@ -139,7 +145,7 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 def _send_grams(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, lengths, data in zip(*(c.to_pylist() for c in b.columns)):
+            for chunk, lengths, data in _rows(b):
                 h = np.unique(runs(_open(data, lengths), np.array(lengths, np.int64), length)[3])  # sorted, so ranges follow one another
                 to = _range_of(h, ranges)
                 at = np.searchsorted(to, np.arange(ranges + 1))
@@ -212,7 +218,7 @@ def _triples(marks: list[tuple[int, int, int]]) -> bytes:
 def _send_runs(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, ids, lengths, data, found in zip(*(c.to_pylist() for c in b.columns)):
+            for chunk, ids, lengths, data, found in _rows(b):
                 data, lengths = _open(data, lengths), np.array(lengths, np.int64)
                 first, last, anchor, h = runs(data, lengths, length)
                 to = _range_of(h, ranges)
@@ -313,26 +319,33 @@ def merged(sources: list[Iterator[tuple]]) -> Iterator[tuple]:
 def _mark_group(group: list[tuple], length: int, marks: dict) -> None:
     """group: (doc, chunk, text number, start, before, suffix) of records with one gram."""
     group.sort(key=lambda r: r[:4])
-    records, windows = set(), set()
+    records, distinct = set(), []
     for _, chunk, text, start, before, suffix in group:
         whole, left = before + suffix, len(before)
-        if (whole, left) in records:
+        if (whole, left) in records:  # an earlier record has all its windows
             marks.setdefault(chunk, []).append((text, start, start + len(whole)))
-            continue
-        records.add((whole, left))
-        since = None
-        for i in range(len(whole) - length + 1):
-            key = left - i, whole[i : i + length]
-            if key in windows:
-                if since is None:
-                    since = i
-                continue
-            windows.add(key)
-            if since is not None:
-                marks.setdefault(chunk, []).append((text, start + since, start + i - 1 + length))
-                since = None
-        if since is not None:
-            marks.setdefault(chunk, []).append((text, start + since, start + len(whole)))
+        else:
+            records.add((whole, left))
+            distinct.append((chunk, text, start, whole, left, []))
+    del records
+    if len(distinct) < 2:
+        return
+    for ahead in range(max(r[4] for r in distinct) + 1):  # windows that begin so many bytes before the anchor
+        seen = set()
+        for _, _, _, whole, left, again in distinct:
+            i = left - ahead
+            if 0 <= i <= len(whole) - length:
+                window = whole[i : i + length]
+                if window in seen:
+                    again.append(i)
+                else:
+                    seen.add(window)
+    for chunk, text, start, _, _, again in distinct:
+        while again:  # neighbours, from the last to the first
+            first = last = again.pop()
+            while again and again[-1] == last + 1:
+                last = again.pop()
+            marks.setdefault(chunk, []).append((text, start + first, start + last + length))
 
 
 def _combine(length: int):
@@ -377,7 +390,7 @@ def _cut_out(carried: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, lengths, data, extra, marks in zip(*(c.to_pylist() for c in b.columns)):
+            for ids, lengths, data, extra, marks in _rows(b):
                 data = _open(data, lengths)
                 m = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in marks]) if marks else np.zeros((0, 3), np.int64)
                 m = m[np.argsort(m[:, 0], kind="stable")]
