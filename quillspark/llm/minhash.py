@@ -6,9 +6,11 @@ are thus spread over the slots, which lowers the variance, and once all slots ho
 skipped. Here an element's order is an affine permutation of the slots, so that visits of all elements are one array.
 
 Bands of the signature give buckets. Documents with equal sets are one class, and only its smallest id goes into buckets.
-Links are looked for in two rounds: first between each bucket's members and its smallest; then, as linked classes are one
-component by now, between members of a bucket that are in different components still. A pair that a sketch of the signature
-leaves possible is confirmed on the full sets.
+Links are looked for in rounds. In the first two each bucket picks a few centres, and its members are compared with these
+alone; linked members are one component from then on. The last round compares all members of a bucket that are still in
+different components, each pair in the first bucket that it shares. So groups of many near copies grow together without all
+their pairs, and no pair that shares a bucket is left out. A pair that sizes and a sketch of the signature leave possible is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .words import words as word_arrays
 SLOTS, BANDS, ROWS = 256, 40, 5
 #: Bits of 64 in which two sketches may differ; at a similarity of 0.8 they differ in 6.4, with a deviation of 2.4.
 SKETCH_BITS = 22
+#: Seeds by which buckets pick centres, by round; 0 picks the smallest id.
+ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))
 #: Bytes of text that one array holds, if no text is longer.
 AT_ONCE = 1 << 18
 _U = np.uint64
@@ -161,6 +165,32 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
+def _named(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """shared with the component of each member so far."""
+    if labels is None:
+        return shared.withColumn("component_id", F.col("doc_id"))
+    return shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def _with_centres(named: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
+    """Possible pairs of the members and the centres of buckets that hold several components."""
+    member = F.struct("doc_id", "n", "sketch", "component_id")
+    centres = F.array_distinct(F.array(*[F.min_by(member, F.xxhash64(F.lit(k), "doc_id") if k else F.col("doc_id")) for k in seeds]))
+    mixed = named.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), centres.alias("centres")).where("lo <> hi").select("bucket", "centres")
+    asked = named.join(mixed, "bucket").select("doc_id", "n", "sketch", "component_id", F.explode("centres").alias("c"))
+    asked = asked.select("doc_id", "n", "sketch", "component_id", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.sketch").alias("cs"), F.col("c.component_id").alias("cc"))
+    return asked.where((F.col("cc") != F.col("component_id")) & _possible("n", "sketch", "cn", "cs", percent)).select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b")).distinct()
+
+
+def _across(named: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
+    """All possible pairs of a bucket's members in different components."""
+    mixed = named.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
+    left = cut(named.join(mixed, "bucket").join(numbers, "doc_id").select("doc_id", "bucket", "n", "sketch", "component_id", "buckets"), "minhash-left")
+    x, y = left.toDF("xd", "bucket", "xn", "xs", "xc", "xb"), left.toDF("yd", "bucket", "yn", "ys", "yc", "yb")
+    first_shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda z: z.isNotNull())[0]
+    return x.join(y, "bucket").where((F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd")) & _possible("xn", "xs", "yn", "ys", percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs. Documents whose sets of word shingles have a Jaccard
     similarity of at least percent / 100 are linked; component_id is the smallest doc_id that links lead to, and kept says
@@ -176,29 +206,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     members = cut(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "class_id"), "minhash-members")
     own = members.where("doc_id = class_id").select("doc_id").distinct()
     entries = signed.where("digest is not null").join(own, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), "sketch", F.explode("buckets").alias("bucket"))
-    bucket = Window.partitionBy("bucket").orderBy("doc_id")
-    shared = entries.withColumn("_first", F.first(F.struct("doc_id", "n", "sketch")).over(bucket)).withColumn("_last", F.last("doc_id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    shared = shared.where("_last <> _first.doc_id").select("bucket", "doc_id", "n", "sketch", F.col("_first.doc_id").alias("first_id"), F.col("_first.n").alias("first_n"), F.col("_first.sketch").alias("first_sketch"))
+    bucket = Window.partitionBy("bucket")
+    shared = entries.withColumn("_lo", F.min("doc_id").over(bucket)).withColumn("_hi", F.max("doc_id").over(bucket)).where("_lo <> _hi").select("bucket", "doc_id", "n", "sketch")
     shared = cut(shared, "minhash-buckets")
+    in_buckets = shared.select("doc_id").distinct()
+    sets = cut(rows.join(in_buckets, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "minhash-sets")
+    numbers = cut(signed.where("digest is not null").select("doc_id", "buckets").join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-numbers")
     drop(signed)
-    sets = cut(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "minhash-sets")
-    pairs = cut(shared.where(F.col("doc_id") != F.col("first_id")).where(_possible("n", "sketch", "first_n", "first_sketch", percent)).select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "minhash-pairs")
-    links = cut(_links(pairs, sets, percent), "minhash-links")
-    labels = components(links)
-
-    named = shared.select("bucket", "doc_id", "n", "sketch").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    named = cut(named, "minhash-named")
-    mixed = named.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
-    left = named.join(mixed, "bucket")
-    sides = ("doc_id", "bucket", "n", "sketch", "component_id")
-    x, y = left.select(*sides).toDF("xd", "bucket", "xn", "xs", "xc"), left.select(*sides).toDF("yd", "bucket", "yn", "ys", "yc")
-    across = x.join(y, "bucket").where((F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd")) & _possible("xn", "xs", "yn", "ys", percent))
-    more = across.select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_links(more, sets, percent), "minhash-links")
-    if not more.isEmpty():
-        drop(labels)
-        labels = components(links.unionByName(more))
-    for old in (shared, sets, named, pairs):
+    labels = links = asked = None
+    for seeds in (*ROUNDS, None):
+        named = cut(_named(shared, labels), "minhash-named")
+        pairs = _across(named, numbers, percent) if seeds is None else _with_centres(named, seeds, percent)
+        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
+        found = cut(_links(pairs, sets, percent), "minhash-links")
+        drop(named)
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        if labels is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    for old in (shared, sets, numbers):
         drop(old)
     out = members.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
