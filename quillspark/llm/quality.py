@@ -25,9 +25,11 @@ from .words import mix64, words
 #: Documents that train the scorer and labelled rows that teach toxic words, about.
 SAMPLE, LABELLED = 6000, 20_000
 #: Features of trigrams, of toxic words; bytes of text in one array.
-TRIGRAMS, TOXIC, AT_ONCE = 1024, 1 << 20, 1 << 18
+TRIGRAMS, TOXIC, AT_ONCE = 1024, 1 << 23, 1 << 18
 #: Toxic words: labelled documents that must have one, and the share of them that must be toxic.
-LEAST, PRECISION = 6, 0.85
+LEAST, PRECISION = 10, 0.98
+#: Probability of being good from which a document is kept: held-out labels lose few good documents there and let few bad pass.
+GOOD = 0.3
 # Insults, known without labels; frequent function words of four languages.
 INSULTS = tuple("idiot moron stupid scum trash loser pathetic worthless disgusting clown".split())
 FUNCTION = frozenset("the of and to in a is that it for was on as with be by this are at or an he from la de le les et des en un une du que qui pour dans est au par sur pas der die und das den von zu mit sich dem ist nicht ein eine auf für im el los las y una del se con por su no es al como".split())
@@ -256,7 +258,7 @@ def _score(model: Model, text_at: int):
                         continue
                     z = model.bias + model.trigrams[_trigram_hashes(np.frombuffer(text.rjust(3), np.uint8))].mean() + model.steps[_step_features(values)].sum()
                     quality.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            new = [votes, posterior, quality, bad, [q >= 0.5 and not t for q, t in zip(quality, bad)]]
+            new = [votes, posterior, quality, bad, [q >= GOOD and not t for q, t in zip(quality, bad)]]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, kind) for x, (_, _, kind) in zip(new, NEW)]], [*b.schema.names, *[n for n, _, _ in NEW]])
 
     return run
@@ -264,7 +266,7 @@ def _score(model: Model, text_at: int):
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with votes, posterior (of the votes; null for votes that fit() has not met), quality (the scorer's probability that
-    the document is good), toxic_words (features found) and kept: quality of a half or more and no toxic word.
+    the document is good), toxic_words (features found) and kept: quality of GOOD or more and no toxic word.
 
     A text that is null or has no words has quality 0 and is not kept. Every row is judged by itself, so repeated rows agree.
     Columns of docs with the names of new ones are replaced, all others stay.

@@ -384,9 +384,9 @@ def spans(marks: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut_out(carried: int):
+def _cut_out(as_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"]
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.string())]
+    kinds = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -402,7 +402,8 @@ def _cut_out(carried: int):
                     for x, y in [*gone, (n, n)]:
                         kept.append(data[begin + last : begin + x])
                         last = y
-                    rows.append((doc, n, sum(y - x for x, y in gone), len(gone), b"".join(kept), [c[i] for c in extra]))
+                    kept = b"".join(kept)
+                    rows.append((doc, n, sum(y - x for x, y in gone), len(gone), kept.decode(errors="ignore") if as_text else kept, [c[i] for c in extra]))
                     begin += n
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
@@ -413,10 +414,11 @@ def _cut_out(carried: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, carry ...) of each row of docs: its text in UTF-8 without the bytes
+def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), text_col: str = "text", as_text: bool = False, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, carry ...) of each row of docs: its text in UTF-8 without the bytes
     of any `length`-byte string that also starts earlier, in a smaller doc_id or before in the same text.
 
+    kept is binary, or with as_text a string without the characters of which only some bytes stay.
     Strings are those of the input, also where parts of them go; no string crosses from one text to the next. Rows with one
     doc_id are one after another in the order they are read, null ids before all others. A null text is empty. Texts shorter
     than `length` stay whole. Columns named in carry come along as strings, all others are left out. length: 72 to 210.
@@ -435,5 +437,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     marks = sorted_runs.groupBy("range_no").applyInArrow(_combine(length), "chunk long, marks binary")
     marks = cut(marks, "suffix-marks")
     per_chunk = marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks"))
-    done = chunks.join(per_chunk, "chunk", "left").select("ids", "lengths", "data", "carried", "marks").mapInArrow(_cut_out(len(carry)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, carried array<string>")
+    done = chunks.join(per_chunk, "chunk", "left").select("ids", "lengths", "data", "carried", "marks").mapInArrow(_cut_out(as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, carried array<string>")
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col("carried")[i].alias(c) for i, c in enumerate(carry)])
