@@ -93,7 +93,7 @@ def runs(data: bytes, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...
         new = np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(start) != 1)))
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(start)])) - 1
-        out.append((start[first] + at, start[last] + at, anchor[first] + at, h[anchor[first]]))
+        out.append((start[first] + at, start[last] + at, anchor[first] + at, _mix(h[anchor[first]] + _U(1))))  # smallest hashes crowd at 0; mixed again they spread
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
