@@ -81,7 +81,7 @@ def is_separator_row(c: Column | str) -> Column:
 
 def markdown_row(values: Column | str) -> Column:
     """An array of cells as a table row; pipes escaped, line ends as <br>."""
-    safe = F.transform(_c(values), lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\\\|"), "\n", "<br>"))
+    safe = F.transform(_c(values), lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), "\n", "<br>"))
     return F.concat(F.lit("| "), F.array_join(safe, " | "), F.lit(" |"))
 
 

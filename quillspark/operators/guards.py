@@ -1,0 +1,131 @@
+"""Checks of answers against evidence, and greedy selections that follow an order (D13, D14, D16-D18, T10, T12, A13). They walk
+small groups, so they are Arrow functions over grouped or single rows."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+CLAUSE = re.compile(r"[^。！？；;!?\n.]+(?:[。！？；;!?\n.]+|$)")
+NEGATION = re.compile(r"不得|不能|不可|禁止|未|无需|不|\b(?:not|never|no|cannot|must not)\b", re.I)
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*%?")
+CONDITION = re.compile(r"如果|若|除非|仅当|当|\b(?:if|unless|only|when)\b", re.I)
+
+
+def clauses(text: str) -> list[tuple[int, int]]:
+    """Spans of clauses, white space off the ends."""
+    out = []
+    for m in CLAUSE.finditer(text):
+        s = m.group()
+        a, b = m.start() + len(s) - len(s.lstrip()), m.start() + len(s.rstrip())
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def guard_issues(statement: str, evidence: str) -> list[str]:
+    """What a statement says differently from its evidence: a number that it lacks, a negation or a condition that only one has."""
+    issues = []
+    if not set(NUMBER.findall(statement)) <= set(NUMBER.findall(evidence)):
+        issues.append("NUMBER_NOT_IN_EVIDENCE")
+    if bool(NEGATION.search(statement)) != bool(NEGATION.search(evidence)):
+        issues.append("NEGATION_DIFFERS")
+    if CONDITION.search(evidence) and not CONDITION.search(statement):
+        issues.append("CONDITION_DROPPED")
+    return issues
+
+
+def guards(rows: DataFrame) -> DataFrame:
+    """An issue row (id, issue) for each finding; rows has (id, statement, evidence)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(i, x) for i, s, e in zip(p["id"], p["statement"], p["evidence"]) for x in guard_issues(s or "", e or "")], columns=["id", "issue"])
+
+    return rows.select("id", "statement", "evidence").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, issue string")
+
+
+def quote_candidates(text: str, most: int = 10, total: int = 600, each: int = 1200) -> list[str]:
+    """Clauses from the start while they fit: so many, so many characters in all and each."""
+    out, used = [], 0
+    for a, b in clauses(text):
+        q = text[a:b]
+        if len(out) < most and len(q) <= each and used + len(q) <= total:
+            out.append(q)
+            used += len(q)
+    return out
+
+
+def restore_quote(text: str, quote: str) -> str | None:
+    """The one place in the text that equals the quote but for line breaks; null for short quotes and several places."""
+    bare = re.sub(r"\s*\n\s*", "", quote)
+    if len(bare) < 8:
+        return None
+    found = list(re.finditer(r"\s*".join(map(re.escape, bare)), text))
+    return found[0].group() if len(found) == 1 else None
+
+
+def table_context(rows: list[str]) -> bool:
+    """A fragment of table rows owns a header: a first row that a row of dashes follows."""
+    return not rows or len(rows) > 1 and bool(re.fullmatch(r"\s*\|?(\s*:?-{3,}:?\s*\|?)+\s*", rows[1]))
+
+
+def select_bundles(candidates: list[int], paths: list[list[int]], limit: int) -> list[int]:
+    """Candidates in order; one that a path needs brings all of the path's chunks if they still fit, else it comes alone.
+    Paths with chunks that are no candidates do not count."""
+    known, chosen = set(candidates), []
+    whole = [p for p in paths if set(p) <= known]
+    for c in candidates:
+        if c in chosen:
+            continue
+        for p in whole:
+            lacking = set(p) - set(chosen)
+            if c in p and len(chosen) + len(lacking) <= limit:
+                chosen += [x for x in candidates if x in lacking]
+        if c not in chosen and len(chosen) < limit:
+            chosen.append(c)
+        if len(chosen) >= limit:
+            break
+    return chosen
+
+
+def bundles(candidates: DataFrame, limit: int) -> DataFrame:
+    """T10 for each query: rows (query_id, rank, chunk_id, paths: arrays of chunk ids) to (query_id, place, chunk_id). A query has
+    at most a few hundred candidates."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rank")
+        paths = [list(x) for row in p["paths"] for x in (row if row is not None else [])]
+        got = select_bundles(p["chunk_id"].tolist(), paths, limit)
+        return pd.DataFrame({"query_id": p["query_id"].iloc[0], "place": range(1, len(got) + 1), "chunk_id": got})
+
+    return candidates.groupBy("query_id").applyInPandas(run, "query_id long, place int, chunk_id long")
+
+
+def preview(elements: list[str], most: int = 300, characters: int = 200_000) -> tuple[list[str], bool]:
+    """The first elements within both budgets, and whether anything was left out or cut."""
+    out, left = [], characters
+    for e in elements[:most]:
+        if left <= 0:
+            break
+        out.append(e[:left])
+        left -= len(e)
+    return out, len(out) < len(elements) or left < 0
+
+
+def match_greedily(gold: list[tuple], predicted: list[tuple]) -> list[tuple[int, int]]:
+    """One-to-one pairs of (subject, object, predicate, condition) by order of closeness: all four equal, then without the
+    condition, then both ends alone; in a level earlier gold first."""
+    pairs, used = [], set()
+    free = set(range(len(gold)))
+    for width in ((0, 1, 2, 3), (0, 1, 2), (0, 1)):
+        for g in sorted(free):
+            hit = next((i for i, p in enumerate(predicted) if i not in used and all(p[k] == gold[g][k] for k in width)), None)
+            if hit is not None:
+                pairs.append((g, hit))
+                used.add(hit)
+                free.discard(g)
+    return sorted(pairs)

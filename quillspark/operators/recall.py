@@ -29,12 +29,16 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
 
 
+def _count(terms: str, word: str) -> Column:
+    return F.size(F.filter(terms, lambda x: x == word))
+
+
 def bm25(rows: DataFrame, query: list[str], text: str, key: str, k: int) -> DataFrame:
     """BM25 with the statistics of the rows in scope. Only the query's terms are counted, in one pass over the text: a
     row carries a count for each term, so nothing is exploded and the only shuffles are one row of totals and the top k."""
     words = sorted(set(query))
     t = rows.select(key, terms(F.col(text)).alias("_t"))
-    t = t.select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"_f{i}") for i, w in enumerate(words)])
+    t = t.select(key, F.size("_t").alias("_n"), *[_count("_t", w).alias(f"_f{i}") for i, w in enumerate(words)])
     totals = t.agg(F.count(F.lit(1)).alias("_rows"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(words))])
     j = t.join(F.broadcast(totals), how="inner")  # one row
     score = sum((F.log(1 + (F.col("_rows") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_n") / F.col("_mean"))) for i in range(len(words))), F.lit(0.0))

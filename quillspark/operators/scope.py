@@ -56,8 +56,8 @@ def effective_level(grants: DataFrame, keys: list[str]) -> DataFrame:
 def members_with(grants: DataFrame, members: DataFrame, permission: str) -> DataFrame:
     """Members that a grant reaches by user or by department, each once; two equi-joins instead of one on a disjunction."""
     g = grants.where(F.col("permission") == permission)
-    by_department = g.where("department_id is not null").join(members, ["tenant_id", "department_id"]).select("tenant_id", "kb_id", "user_id")
-    by_user = g.where("user_id is not null").join(members.select("tenant_id", "user_id"), ["tenant_id", "user_id"]).select("tenant_id", "kb_id", "user_id")
+    by_department = g.where("department_id is not null").drop("user_id").join(members, ["tenant_id", "department_id"]).select("tenant_id", "kb_id", "user_id")
+    by_user = g.where("user_id is not null").drop("department_id").join(members.select("tenant_id", "user_id"), ["tenant_id", "user_id"]).select("tenant_id", "kb_id", "user_id")
     return by_department.unionByName(by_user).distinct()
 
 
