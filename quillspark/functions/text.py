@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def _c(c: Column | str) -> Column:
@@ -101,7 +102,7 @@ def token_count(c: Column | str) -> Column:
     return F.regexp_count(_c(c), F.lit("[㐀-鿿]|[\\p{L}\\p{N}&&[^㐀-鿿]]+|[^\\s\\p{L}\\p{N}]"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_name(names: pd.Series) -> pd.Series:
     """G1: NFKC, case folded, white space as one blank, commas and full stops off the ends. Spark has no NFKC, so Arrow."""
 
@@ -111,7 +112,7 @@ def canonical_name(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; no built-in equals it."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
