@@ -9,8 +9,9 @@ Bands of the signature give buckets. Documents with equal sets are one class, an
 Links are looked for in rounds. In the first two each bucket picks a few centres, and its members are compared with these
 alone; linked members are one component from then on. The last round compares all members of a bucket that are still in
 different components, each pair in the first bucket that it shares. So groups of many near copies grow together without all
-their pairs, and no pair that shares a bucket is left out. A pair that sizes and a sketch of the signature leave possible is
-confirmed on the full sets.
+their pairs, and no pair that shares a bucket is left out. Families of which buckets have very many such pairs are compared
+in blocks of their sets, block against block, and only a forest of the links found leaves a task. A pair that sizes and a
+sketch of the signature leave possible is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SLOTS, BANDS, ROWS = 256, 40, 5
 SKETCH_BITS = 22
 #: Seeds by which buckets pick centres, by round; 0 picks the smallest id.
 ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))
+#: Pairs in different components from which a bucket is hot, and shingles in a block of a family's sets.
+HOT_PAIRS, BLOCK = 500, 1 << 18
 #: Bytes of text that one array holds, if no text is longer.
 AT_ONCE = 1 << 18
 _U = np.uint64
@@ -182,13 +185,74 @@ def _with_centres(named: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
     return asked.where((F.col("cc") != F.col("component_id")) & _possible("n", "sketch", "cn", "cs", percent)).select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b")).distinct()
 
 
-def _across(named: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs of a bucket's members in different components."""
-    mixed = named.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
-    left = cut(named.join(mixed, "bucket").join(numbers, "doc_id").select("doc_id", "bucket", "n", "sketch", "component_id", "buckets"), "minhash-left")
-    x, y = left.toDF("xd", "bucket", "xn", "xs", "xc", "xb"), left.toDF("yd", "bucket", "yn", "ys", "yc", "yb")
+def _across(left: DataFrame, percent: int) -> DataFrame:
+    """All possible pairs of a bucket's members in different components and not in one family; left: (doc_id, bucket, n, sketch,
+    component_id, buckets, family)."""
+    cold = left.where("not hot").select("doc_id", "bucket", "n", "sketch", "component_id", "buckets", "family")
+    x, y = cold.toDF("xd", "bucket", "xn", "xs", "xc", "xb", "xf"), cold.toDF("yd", "bucket", "yn", "ys", "yc", "yb", "yf")
     first_shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda z: z.isNotNull())[0]
-    return x.join(y, "bucket").where((F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd")) & _possible("xn", "xs", "yn", "ys", percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
+    apart = (F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd")) & ~F.coalesce(F.col("xf") == F.col("yf"), F.lit(False))
+    return x.join(y, "bucket").where(apart & _possible("xn", "xs", "yn", "ys", percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
+
+
+def _with_families(named: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, whether the bucket is hot, and the family of those in hot buckets."""
+    each = named.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("low"))
+    mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.min("low").alias("low")).where("parts > 1")
+    left = cut(named.join(mixed.select("bucket", (F.col("pairs") >= HOT_PAIRS).alias("hot"), "low"), "bucket"), "minhash-mixed")
+    families = components(left.where("hot").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
+    families = families.select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
+    return cut(left.drop("low").join(numbers, "doc_id").join(families, "doc_id", "left"), "minhash-left")
+
+
+def _compare_blocks(percent: int):
+    """Links between two blocks of a family, as edges of a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i = table["i"][0].as_py()
+        j = table["j"][0].as_py()
+        table = table.combine_chunks()
+        ids, parts, block, n, sketch = (table[c].to_numpy() for c in ("doc_id", "component_id", "block", "n", "sketch"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        sketch = sketch.view(np.uint64)
+        values, which = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        edge = np.concatenate(([0], np.cumsum(size)))
+        flags, label, found = np.zeros(len(values), bool), parts.copy(), []
+        ask, given = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for x in ask:
+            y = given[given > x] if i == j else given
+            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & (np.bitwise_count(sketch[y] ^ sketch[x]) <= SKETCH_BITS)]
+            if not len(y):
+                continue
+            mine = which[edge[x] : edge[x + 1]]
+            flags[mine] = True
+            both = np.array([np.count_nonzero(flags[which[edge[k] : edge[k + 1]]]) for k in y])
+            flags[mine] = False
+            for k in y[100 * both >= percent * (size[x] + size[y] - both)]:
+                if label[k] != label[x]:
+                    found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                    low, high = sorted((label[x], label[k]))
+                    label[label == high] = low
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _in_families(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a family in different components. Members are ordered by size and cut into blocks; two blocks
+    whose sizes exclude the similarity do not meet."""
+    members = left.where("family is not null").select("family", "doc_id", "n", "sketch", "component_id").dropDuplicates(["doc_id"])
+    before = Window.partitionBy("family").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = cut(members.withColumn("block", F.floor((F.sum("n").over(before) - F.col("n")) / BLOCK).cast("int")), "minhash-family")
+    blocks = members.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    others = blocks.groupBy("family").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("others"))
+    sent = members.join(blocks, ["family", "block"]).join(others, "family")
+    meets = F.filter("others", lambda o: 100 * F.least(o["hi"], F.col("hi")) >= percent * F.greatest(o["lo"], F.col("lo")))
+    sent = sent.withColumn("o", F.explode(F.transform(meets, lambda o: o["block"])))
+    sent = sent.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "n", "sketch", "component_id")
+    return sent.join(sets, "doc_id").groupBy("family", "i", "j").applyInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -214,17 +278,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     numbers = cut(signed.where("digest is not null").select("doc_id", "buckets").join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-numbers")
     drop(signed)
     labels = links = asked = None
-    for seeds in (*ROUNDS, None):
+    for seeds in ROUNDS:
         named = cut(_named(shared, labels), "minhash-named")
-        pairs = _across(named, numbers, percent) if seeds is None else _with_centres(named, seeds, percent)
+        pairs = _with_centres(named, seeds, percent)
         pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
         found = cut(_links(pairs, sets, percent), "minhash-links")
         drop(named)
         asked = pairs if asked is None else asked.unionByName(pairs)
-        if labels is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    left = _with_families(_named(shared, labels), numbers)
+    pairs = cut(_across(left, percent).join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
+    found = cut(_links(pairs, sets, percent).unionByName(_in_families(left, sets, percent)), "minhash-links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
+    drop(left)
     for old in (shared, sets, numbers):
         drop(old)
     out = members.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id", "doc_id"))

@@ -103,7 +103,7 @@ def runs(data: bytes, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...
 # --- 1. chunks and frequent grams
 
 
-def _chunks(carried: int):
+def _chunks(carried: int, most: int = CHUNK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, size, rows, zstd = TaskContext.get().partitionId(), 0, 0, [], zstandard.ZstdCompressor(level=3)
 
@@ -118,7 +118,7 @@ def _chunks(carried: int):
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 text = (row[1] or "").encode()
-                if rows and size + len(text) > CHUNK:
+                if rows and size + len(text) > most:
                     yield done()
                 rows.append((row[0], text, *row[2:]))
                 size += len(text)
@@ -414,7 +414,7 @@ def _cut_out(as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), text_col: str = "text", as_text: bool = False, frequent: int = FREQUENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), text_col: str = "text", as_text: bool = False, frequent: int = FREQUENT, chunk_bytes: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, carry ...) of each row of docs: its text in UTF-8 without the bytes
     of any `length`-byte string that also starts earlier, in a smaller doc_id or before in the same text.
 
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
         raise ValueError("length must lie between 72 and 210")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(carry)])
-    chunks = cut(rows.mapInArrow(_chunks(len(carry)), "chunk long, ids array<long>, lengths array<long>, data binary, carried array<array<string>>"), "suffix-chunks")
+    chunks = cut(rows.mapInArrow(_chunks(len(carry), chunk_bytes), "chunk long, ids array<long>, lengths array<long>, data binary, carried array<array<string>>"), "suffix-chunks")
     ranges = max(shuffle_partitions(spark), chunks.count() // CHUNKS_A_RANGE)
     grams = chunks.select("chunk", "lengths", "data").mapInArrow(_send_grams(length, ranges), "range_no int, chunk long, grams binary")
     again = grams.groupBy("range_no").applyInArrow(_repeated(frequent), "range_no int, chunk long, again binary, hot binary").where(F.octet_length("again") > 0)
