@@ -50,3 +50,25 @@ def next_sequence(rows: DataFrame, key: str, number: str) -> DataFrame:
 def sentence(total: Column) -> Column:
     """The fixed answer to a count question."""
     return F.format_string("当前可读的已发布文档中，符合条件的共有 %d 份。", total)
+
+
+def unique_match(rows: DataFrame, value: str, columns: list[str], key: str) -> DataFrame:
+    """P10: the one row whose name or code is the value; none if there is no such row or several."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | (F.col(c) == value)
+    some = rows.where(hit).select(key).distinct().limit(2)
+    return some.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias(key)).where("n = 1").select(key)
+
+
+def prefixes(statements: DataFrame, key: str, items: str) -> DataFrame:
+    """What a reader has seen after each statement: (key, n, shown)."""
+    return statements.select(key, F.explode(F.sequence(F.lit(1), F.size(items))).alias("n"), items).select(key, "n", F.array_join(F.slice(items, F.lit(1), F.col("n")), " ").alias("shown"))
+
+
+def frozen_issues(rows: DataFrame, group: str, number: str, text: str, digest: str) -> DataFrame:
+    """What keeps a frozen set from being used: (code, n) for hashes that do not fit and numbers with gaps or repeats."""
+    bad = rows.where(F.sha2(text, 256) != F.col(digest)).select(F.lit("HASH").alias("code"))
+    g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(number).alias("d"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+    gaps = g.where("lo <> 0 or hi <> n - 1 or d <> n").select(F.lit("INDEX").alias("code"))
+    return bad.unionByName(gaps).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

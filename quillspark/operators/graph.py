@@ -148,3 +148,33 @@ def relocated(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("target_id"))
     at = F.call_function("instr", F.col("content"), F.col("quote")) - 1
     return j.withColumn("_n", n).where("_n = 1").select("target_id", "chunk_id", at.alias("start"), (at + F.char_length("quote")).alias("end"))
+
+
+def snapshot(assertions: DataFrame, by: str) -> DataFrame:
+    """(by, assertions, subjects, objects): how much each place holds, and its sorted distinct ends' fingerprint."""
+    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("subject", "object")))))
+    return assertions.groupBy(by).agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("subject").alias("subjects"), F.countDistinct("object").alias("objects"), F.md5(F.array_join(ends, ",")).alias("ends"))
+
+
+def salvaged(facts: DataFrame, local_id: str) -> DataFrame:
+    """Facts that are valid by themselves and whose local id occurs once in their extraction."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("extraction_id", local_id))
+    return facts.withColumn("_n", n).where("valid and _n = 1").drop("_n")
+
+
+def within_budget(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The rows if they fit the budget, none if there are more; one row beyond the limit tells."""
+    some = rows.orderBy(*order).limit(limit + 1)
+    return some.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where(F.col("_all") <= limit).drop("_all")
+
+
+def aliases(chunks: DataFrame, content: str) -> DataFrame:
+    """(chunk_id, alias): names that a text gives with "hereinafter", "short for" or their Chinese forms."""
+    found = F.regexp_extract_all(F.col(content), F.lit(r"(?:以下简称|简称|又称|别名为|hereinafter|also called)[\s:：\"“']*([\p{L}\p{N}]{2,30})"), 1)
+    return chunks.select("chunk_id", F.explode(found).alias("alias")).distinct()
+
+
+def table_values(rows: DataFrame, header: str, cells: str) -> DataFrame:
+    """(row_id, column, value) of table rows with the header that applies to them."""
+    pairs = F.arrays_zip(F.col(header).alias("column"), F.col(cells).alias("value"))
+    return rows.select("row_id", F.inline(pairs).alias("column", "value")).where("column is not null and value is not null")

@@ -84,3 +84,16 @@ def changed_sources(before: DataFrame, after: DataFrame, key: str, value: str) -
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def upserted(grants: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """M4: grants after changes (keys, permission or null to revoke, version); the highest version of a key counts."""
+    old = grants.withColumn("version", F.lit(0).cast("long"))
+    best = old.unionByName(changes).groupBy(*keys).agg(F.max_by(F.struct("permission"), "version").alias("p"), F.max("version").alias("acl_version"))
+    return best.select(*keys, F.col("p.permission").alias("permission"), "acl_version").where("permission is not null")
+
+
+def affected(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """Keys whose rows differ as multisets, order and numbering aside."""
+    a, b = old.select(key, *content), new.select(key, *content)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select(key).distinct()

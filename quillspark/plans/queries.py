@@ -667,3 +667,79 @@ def nearest_names(spark, sf):
     """Parts by likeness to a name."""
     names = x.table(spark, sf, "part").select("p_name").distinct()
     return names.withColumn("ratio", F.round(text.similarity_ratio(F.col("p_name"), F.lit("red widgets")), 6)).where("ratio >= 0.72").orderBy(F.col("ratio").desc(), "p_name").limit(3)
+
+
+# --- more of the inventory
+
+
+@query(f"WITH {A}, u AS (SELECT evidence_id % 50 AS place, subject, object FROM a), e AS (SELECT DISTINCT place, subject AS v FROM u UNION SELECT DISTINCT place, object FROM u), s AS (SELECT place, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY v)) AS ends FROM e GROUP BY 1) SELECT place, count(*) AS assertions, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects, ends FROM u JOIN s USING (place) GROUP BY place, ends")
+def graph_snapshot(spark, sf):
+    return graph.snapshot(x.assertions(spark, sf).withColumn("place", F.col("evidence_id") % 50), "place")
+
+
+@query("WITH f AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_orderkey AS extraction_id, l_linenumber FROM f WHERE n = 1 AND l_quantity > 5")
+def salvage_subset(spark, sf):
+    li = x.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("extraction_id"), "l_linenumber", (F.col("l_quantity") > 5).alias("valid"))
+    return graph.salvaged(li, "l_linenumber").select("extraction_id", "l_linenumber")
+
+
+@query("SELECT 'small' AS name, s_suppkey FROM supplier WHERE s_suppkey < 8 UNION ALL SELECT 'large', s_suppkey FROM supplier WHERE false")
+def budget_guard(spark, sf):
+    s = x.table(spark, sf, "supplier").select("s_suppkey")
+    parts = {n: graph.within_budget(d, [F.col("s_suppkey")], 8).select(F.lit(n).alias("name"), "s_suppkey") for n, d in (("small", s.where("s_suppkey < 8")), ("large", s))}
+    return parts["small"].unionByName(parts["large"])
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7'")
+def department_lookup(spark, sf):
+    n = x.table(spark, sf, "nation").withColumn("code", F.concat(F.lit("N"), F.col("n_nationkey")))
+    return catalog.unique_match(n, "NATION_7", ["n_name", "code"], "n_nationkey")
+
+
+@query("WITH s AS (SELECT item_id, string_split(text, '. ') AS p FROM benchmark), n AS (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS n FROM s) SELECT item_id, CAST(n AS INTEGER) AS n, array_to_string(p[1:n], ' ') AS shown FROM n")
+def answer_prefixes(spark, sf):
+    return catalog.prefixes(x.table(spark, sf, "benchmark").select("item_id", F.split("text", r"\. ").alias("p")), "item_id", "p")
+
+
+@query(f"WITH {C} SELECT 'HASH' AS code, count(*) AS n FROM c WHERE chunk_id % 90 = 0 UNION ALL SELECT 'INDEX', count(*) FROM (SELECT document_id FROM c WHERE chunk_index <> 1 GROUP BY 1 HAVING max(chunk_index) > 1) HAVING count(*) > 0")
+def freeze_validate(spark, sf):
+    c = x.chunks(spark, sf).withColumn("digest", F.when(F.col("chunk_id") % 90 == 0, "stale").otherwise(F.sha2("content", 256)))
+    issues = catalog.frozen_issues(c, "document_id", "chunk_index", "content", "digest")
+    gaps = catalog.frozen_issues(c.where("chunk_index <> 1").withColumn("digest", F.sha2("content", 256)), "document_id", "chunk_index", "content", "digest")
+    return issues.unionByName(gaps)
+
+
+@query(f"WITH {G}, e AS (SELECT kb_id, department_id, tenant_id, max(permission) AS permission FROM g GROUP BY ALL), n AS (SELECT *, CASE WHEN kb_id % 5 = 0 THEN NULL WHEN kb_id % 5 = 1 THEN 'ADMIN' ELSE permission END AS now, CASE WHEN kb_id % 5 < 2 THEN 2 ELSE 0 END AS acl_version FROM e) SELECT kb_id, department_id, tenant_id, now AS permission, acl_version FROM n WHERE now IS NOT NULL")
+def grant_upsert(spark, sf):
+    g = x.grants(spark, sf).groupBy("kb_id", "department_id", "tenant_id").agg(F.max("permission").alias("permission"))
+    changed = g.where("kb_id % 5 < 2").withColumn("permission", F.when(F.col("kb_id") % 5 == 1, "ADMIN")).withColumn("version", F.lit(2).cast("long"))
+    earlier = changed.withColumn("permission", F.lit("READ")).withColumn("version", F.lit(1).cast("long"))
+    return scope.upserted(g, changed.unionByName(earlier), ["kb_id", "department_id", "tenant_id"])
+
+
+@query(f"WITH {C} SELECT DISTINCT document_id FROM c WHERE chunk_id % 77 = 0")
+def affected_tables(spark, sf):
+    c = x.chunks(spark, sf).select("document_id", "chunk_id", F.md5("content").alias("h"))
+    new = c.withColumn("h", F.when(F.col("chunk_id") % 77 == 0, "new").otherwise(F.col("h")))
+    return scope.affected(c, new, "document_id", ["h"])
+
+
+@query("SELECT n_nationkey AS row_id, 'name' AS \"column\", n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation")
+def table_alignment(spark, sf):
+    n = x.table(spark, sf, "nation").select(F.col("n_nationkey").alias("row_id"), F.array(F.lit("name"), F.lit("region")).alias("h"), F.array(F.col("n_name"), F.col("n_regionkey").cast("string"), F.lit("extra")).alias("c"))
+    return graph.table_values(n, "h", "c")
+
+
+@query(f"WITH {K} SELECT task_id, CASE WHEN task_id % 2 = 0 AND lease_until >= TIMESTAMP '{NOW}' THEN TIMESTAMP '{NOW}' + INTERVAL 60 SECOND ELSE lease_until END AS lease_until, CASE WHEN task_id % 2 = 0 AND lease_until >= TIMESTAMP '{NOW}' THEN greatest(attempts * 10, 30) ELSE attempts * 10 END AS progress FROM t WHERE status = 'RUNNING'")
+def heartbeat_extend(spark, sf):
+    t = x.tasks(spark, sf).where("status = 'RUNNING'").withColumn("owner", F.lit("w")).withColumn("epoch", F.lit(1)).withColumn("progress", F.col("attempts") * 10)
+    beats = t.select("task_id", F.lit("w").alias("owner"), F.when(F.col("task_id") % 2 == 0, 1).otherwise(9).alias("epoch"), F.lit(30).alias("progress"))
+    return tasks.heartbeat(t, beats, x.now(), 60).select("task_id", "lease_until", "progress")
+
+
+@query("SELECT 'documents' AS source, lang AS kind, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'conversations', role, count(*) FROM conversations GROUP BY 2")
+def union_views(spark, sf):
+    """U1."""
+    d = x.table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("kind"))
+    c = x.table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("role").alias("kind"))
+    return d.unionByName(c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
