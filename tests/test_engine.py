@@ -187,3 +187,17 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_similarity(spark):
     df = spark.createDataFrame([("Ａbc， ", "abc")], "a string, b string")
     assert df.select(text.canonical_name("a"), text.similarity_ratio("a", "b")).first()[0] == "abc"
+
+
+def test_lease_stream(spark, tmp_path):
+    """A worker without beats for its lease is given up; one that still beats at the end is not."""
+    from quillspark.streaming import events
+
+    beats = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:30"), (2, "2024-01-01 00:00:10"), (2, "2024-01-01 01:00:00")]
+    for i, (u, t) in enumerate(beats):
+        row = spark.createDataFrame([(i, u, "beat")], "event_id long, user_id long, event_type string").withColumn("ts", F.lit(t).cast("timestamp_ntz")).withColumn("value", F.lit(0.0)).withColumn("props", F.lit("{}"))
+        row.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = events.leases(events.read_events(spark, str(tmp_path / "in"), 1), 60, "1 second")
+    q = s.writeStream.format("memory").queryName("leases").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert (1, 2, "ABANDONED") in {tuple(r) for r in spark.table("leases").collect()}
