@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the counts of vote
 patterns estimates how often each labeller gives each vote to good and to bad documents, which turns a pattern into a
 posterior. On a bounded sample, posteriors train a hashed linear scorer of byte trigrams and of the measures behind the
-votes; the scorer then judges every document. Toxic words come from labelled rows (a bounded sample of them): hashed words and
-beginnings of words that nearly only toxic documents have.
+votes; the scorer then judges every document. Toxicity is a weighted score too: labelled rows (a bounded sample of them) give
+hashed words and beginnings of words weights, and scores of labelled rows that the weights have not seen give the threshold.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut, drop
 from .words import mix64, words
 
 #: Documents that train the scorer and labelled rows that teach toxic words, about.
 SAMPLE, LABELLED = 6000, 20_000
 #: Features of trigrams, of toxic words; bytes of text in one array.
 TRIGRAMS, TOXIC, AT_ONCE = 1024, 1 << 23, 1 << 18
-#: Toxic words: labelled documents that must have one, and the share of them that must be toxic.
-LEAST, PRECISION = 10, 0.98
+#: Bytes of a word's beginnings, parts of the labelled rows that are held out in turn, standard errors that a weight is lowered by.
+BEGINNINGS, FOLDS, ERRORS = (4, 5, 6, 7, 8), 5, 3.0
+#: Steps of a weight, score that is toxic where no labels tell, words of a text that one toxic word may reject.
+UNIT, THRESHOLD, SHORT = 32, 0.25, 4
 #: Probability of being good from which a document is kept: held-out labels lose few good documents there and let few bad pass.
 GOOD = 0.3
 # Insults, known without labels; frequent function words of four languages.
@@ -101,13 +104,15 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
 
 @dataclass
 class Model:
-    """Weights of trigrams and of measures' steps, and which hashed words are toxic."""
+    """Weights of trigrams and of measures' steps, toxic features with their weights in UNITs, and the score that is toxic."""
 
     trigrams: np.ndarray
     steps: np.ndarray
     bias: float
     posterior: dict[str, float]
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    threshold: float = THRESHOLD
 
 
 def _trigram_hashes(data: np.ndarray) -> np.ndarray:
@@ -126,21 +131,57 @@ _EDGE = np.zeros(256, bool)
 _EDGE[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
 
 
-def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) pairs, each once: hashed words without ASCII punctuation, and their beginnings of 5 bytes."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n\n\n\n\n\n", np.uint8)]
+def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash) of each word without ASCII punctuation, and its features: the word and its beginnings. A word that is
+    too short for a beginning has itself there."""
+    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)]
     data = np.where(_EDGE[data], np.uint8(32), data)
     starts, lengths, hashes = words(data)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    text = np.searchsorted(ends, starts, "right")
-    long = np.flatnonzero(lengths >= 5)
-    begin = np.zeros(len(long), np.uint64)
-    for i in range(5):
-        begin = begin << np.uint64(8) | data[starts[long] + i].astype(np.uint64)
-    which = np.uint64(TOXIC - 1)
-    both = np.concatenate((text * TOXIC + (hashes & which).astype(np.int64), text[long] * TOXIC + (mix64(begin + np.uint64(77)) & which).astype(np.int64)))
-    both = np.unique(both)
-    return both // TOXIC, both % TOXIC
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    which, eight = np.uint64(TOXIC - 1), np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[starts]
+    features = np.empty((1 + len(BEGINNINGS), len(starts)), np.int64)
+    features[0] = hashes & which
+    for row, n in zip(features[1:], BEGINNINGS):
+        begin = mix64((eight & np.uint64((1 << 8 * n) - 1)) + np.uint64(77)) & which
+        row[:] = np.where(lengths >= n, begin.astype(np.int64), features[0])
+    return text, hashes, features
+
+
+def toxicity(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(score, toxic words) of each text: a word weighs as its heaviest feature and counts once, and the sum is divided by the root
+    of the text's words. One word alone is no evidence in a text of more than SHORT words."""
+    text, hashes, features = toxic_features(texts)
+    weight = table[features].max(0) if len(text) else np.zeros(0, np.uint8)
+    hit = np.flatnonzero(weight)
+    hit = hit[np.unique(hashes[hit] ^ mix64(text[hit].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
+    n, found = (np.bincount(t, minlength=len(texts)) for t in (text, text[hit]))
+    score = np.bincount(text[hit], weight[hit] / UNIT, len(texts)) / np.sqrt(n + 10)
+    return np.where((found > 1) | (n <= SHORT), score, 0.0), found
+
+
+def toxic_weights(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
+    """Weights, in UNITs, of features that so many of the toxic and of the clean rows have: the smoothed logarithm of the ratio of
+    their shares less ERRORS standard errors, so that rare or shared features weigh little instead of being cut at a count."""
+    ratio = np.log((toxic + 0.5) / (toxic_rows + 1)) - np.log((clean + 0.5) / (clean_rows + 1))
+    sure = ratio - ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return np.minimum(255, np.ceil(np.maximum(0, sure) * UNIT)).astype(np.uint8)
+
+
+def toxic_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The score with the fewest errors on rows that the weights have not seen; THRESHOLD if rejecting nothing has fewer."""
+    order = np.argsort(-scores, kind="stable")
+    s, gain = scores[order], np.cumsum(2 * toxic[order] - 1)
+    last = np.flatnonzero(np.append(s[1:] < s[:-1], True) & (s > 0)) if len(s) else np.zeros(0, np.int64)  # equal scores go together
+    if not len(last) or gain[last].max() <= 0:
+        return THRESHOLD
+    at = last[gain[last].argmax()]
+    return float(s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2
+
+
+def _table(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    table = np.zeros(TOXIC, np.uint8)
+    np.maximum.at(table, features, weights)
+    return table
 
 
 def _groups(texts: list[str]) -> Iterator[list[bytes]]:
@@ -182,17 +223,64 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, TOXIC), np.int32)
+    keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def merged():
+        every, at = np.unique(np.concatenate((keys, *waiting)), return_inverse=True)
+        return every, np.bincount(at, np.concatenate((counts, np.ones(sum(map(len, waiting)), np.int64))), len(every)).astype(np.int64)
+
     for b in batches:
-        flags, at = np.array(b.column(1).to_pylist(), np.int64), 0
+        slots, at = np.array(b.column(1).to_pylist(), np.int64), 0
         for group in _groups([t or "" for t in b.column(0).to_pylist()]):
-            text, feature = toxic_features(group)
-            np.add.at(counts, (flags[at + text], feature), 1)
+            text, _, features = toxic_features(group)
+            pairs = np.unique(text * TOXIC + features)
+            waiting.append(pairs % TOXIC * (2 * FOLDS) + slots[at + pairs // TOXIC])
             at += len(group)
-    some = np.flatnonzero(counts[1])  # a feature that no toxic row here has adds to no toxic count
-    clean = np.flatnonzero(counts[0] * (counts[1] == 0))
-    for part in (some, clean):
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[1, part].astype(np.int64)), pa.array(counts[0, part].astype(np.int64))], ["feature", "toxic", "clean"])
+            if sum(map(len, waiting)) > 1 << 21:
+                (keys, counts), waiting = merged(), []
+    keys, counts = merged()
+    for i in range(0, len(keys), 1 << 16):
+        k = keys[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array((k // (2 * FOLDS)).astype(np.int32)), pa.array((k % (2 * FOLDS)).astype(np.int32)), pa.array(counts[i : i + (1 << 16)])], ["feature", "slot", "n"])
+
+
+def _held_out(features: np.ndarray, weights: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            texts, slots = [t or "" for t in b.column(0).to_pylist()], np.array(b.column(1).to_pylist(), np.int64)
+            scores = np.zeros(len(texts))
+            for fold in set((slots // 2).tolist()):
+                if fold not in tables:
+                    tables[fold] = _table(features, weights[fold])
+                mine = np.flatnonzero(slots // 2 == fold)
+                scores[mine] = np.concatenate([toxicity(tables[fold], g)[0] for g in _groups([texts[i] for i in mine])])
+            yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(slots % 2)], ["score", "toxic"])
+
+    return run
+
+
+def _fit_toxic(told: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features, weights and threshold from (text, slot), where slot is twice the row's fold, plus one if the row is toxic."""
+    rows = np.zeros(2 * FOLDS, np.int64)
+    for slot, n in told.groupBy("slot").count().collect():
+        rows[slot] = n
+    t, c = int(rows[1::2].sum()), int(rows[::2].sum())
+    if not t or not c:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), THRESHOLD
+    each = [F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2 * FOLDS)]
+    toxic, clean = ("+".join(f"n{i}" for i in range(k, 2 * FOLDS, 2)) for k in (1, 0))
+    # one error fewer than a weight asks for, as a feature may weigh more where a fold is left out
+    sure = f"ln((t + 0.5) / {t + 1}) - ln((c + 0.5) / {c + 1}) > {ERRORS - 1} * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))"
+    counts = told.mapInArrow(_toxic_counts, "feature int, slot int, n long").groupBy("feature").agg(*each)
+    found = counts.withColumns({"t": F.expr(toxic), "c": F.expr(clean)}).where(sure).drop("t", "c").toArrow()
+    features = found.column("feature").to_numpy().astype(np.int64)
+    n = np.stack([found.column(f"n{i}").to_numpy() for i in range(2 * FOLDS)]).astype(np.int64)
+    fit_on = lambda slots: toxic_weights(n[slots][1::2].sum(0), n[slots][::2].sum(0), int(rows[slots][1::2].sum()), int(rows[slots][::2].sum()))
+    every = list(range(2 * FOLDS))
+    folds = [fit_on([s for s in every if s // 2 != f]) for f in range(FOLDS)]
+    judged = told.mapInArrow(_held_out(features, folds), "score double, toxic long").toArrow()
+    return features, fit_on(every), toxic_threshold(judged.column("score").to_numpy(), judged.column("toxic").to_numpy())
 
 
 def _train(rows: list, posterior: dict[str, float], rounds: int = 250) -> tuple[np.ndarray, float]:
@@ -219,36 +307,38 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
     counted = rows.select("text").mapInArrow(_count_patterns, "votes string, n long").groupBy("votes").agg(F.sum("n")).collect()  # 3^9 rows at most
     patterns = {k: n for k, n in counted}
     total = sum(patterns.values())
-    insults = np.array([int((words(_LOWER[np.frombuffer(w.encode() + b"\n", np.uint8)])[2][0]) & np.uint64(TOXIC - 1)) for w in INSULTS], np.int64)
+    toxic = np.array([int((words(_LOWER[np.frombuffer(w.encode() + b"\n", np.uint8)])[2][0]) & np.uint64(TOXIC - 1)) for w in INSULTS], np.int64)
     if not total:
-        return Model(np.zeros(TRIGRAMS), np.zeros(_WIDE), 1.0, {}, insults)
+        return Model(np.zeros(TRIGRAMS), np.zeros(_WIDE), 1.0, {}, toxic, np.full(len(toxic), UNIT, np.uint8))
     posterior = posteriors(patterns)
     picked = lambda share: F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     sample = rows.where(picked(SAMPLE / total)).select("text").mapInArrow(_training_rows, "votes string, x binary").collect()
-    weights, bias = _train(sample, posterior) if sample else (np.zeros(TRIGRAMS + _WIDE, np.float32), 1.0)
-    toxic = insults
+    scorer, bias = _train(sample, posterior) if sample else (np.zeros(TRIGRAMS + _WIDE, np.float32), 1.0)
+    heavy, threshold = np.full(len(toxic), UNIT, np.uint8), THRESHOLD
     if labels is not None:
-        known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["doc_id"])
+        known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
         few = known.where(picked(LABELLED / max(1, known.count())))
-        told = rows.join(F.broadcast(few), "doc_id").select("text", "toxic").mapInArrow(_toxic_counts, "feature int, toxic long, clean long")  # LABELLED bounds what is broadcast
-        found = told.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= LEAST) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c")))).select("feature").collect()
-        toxic = np.unique(np.concatenate((insults, np.array([r.feature for r in found], np.int64))))
-    return Model(weights[:TRIGRAMS], weights[TRIGRAMS:], bias, posterior, toxic)
+        slot = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(FOLDS)).cast("int") * 2 + F.col("toxic")
+        told = cut(rows.join(F.broadcast(few), "doc_id").select("text", slot.alias("slot")), "labelled")  # LABELLED bounds what is broadcast
+        features, weights, threshold = _fit_toxic(told)
+        drop(told)
+        toxic, heavy = np.concatenate((toxic, features)), np.concatenate((heavy, weights))
+    return Model(scorer[:TRIGRAMS], scorer[TRIGRAMS:], bias, posterior, toxic, heavy, threshold)
 
 
 NEW = (("votes", T.StringType(), pa.string()), ("posterior", T.DoubleType(), pa.float64()), ("quality", T.DoubleType(), pa.float64()), ("toxic_words", T.LongType(), pa.int64()), ("kept", T.BooleanType(), pa.bool_()))
 
 
 def _score(model: Model, text_at: int):
-    toxic = np.zeros(TOXIC, bool)
-    toxic[model.toxic] = True
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model.toxic, model.weights)
         for b in batches:
             texts = [t or "" for t in b.column(text_at).to_pylist()]
-            votes, posterior, quality, bad = [], [], [], []
+            votes, posterior, quality, bad, scores = [], [], [], [], []
             for group in _groups(texts):
-                bad += np.bincount((pairs := toxic_features(group))[0][toxic[pairs[1]]], minlength=len(group))[: len(group)].tolist()
+                score, found = toxicity(table, group)
+                scores += score.tolist()
+                bad += found.tolist()
                 for text in group:
                     values, n = measures(text.decode())
                     votes.append(k := vote(values, n))
@@ -258,7 +348,7 @@ def _score(model: Model, text_at: int):
                         continue
                     z = model.bias + model.trigrams[_trigram_hashes(np.frombuffer(text.rjust(3), np.uint8))].mean() + model.steps[_step_features(values)].sum()
                     quality.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            new = [votes, posterior, quality, bad, [q >= GOOD and not t for q, t in zip(quality, bad)]]
+            new = [votes, posterior, quality, bad, [q >= GOOD and t < model.threshold for q, t in zip(quality, scores)]]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, kind) for x, (_, _, kind) in zip(new, NEW)]], [*b.schema.names, *[n for n, _, _ in NEW]])
 
     return run
@@ -266,7 +356,7 @@ def _score(model: Model, text_at: int):
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with votes, posterior (of the votes; null for votes that fit() has not met), quality (the scorer's probability that
-    the document is good), toxic_words (features found) and kept: quality of GOOD or more and no toxic word.
+    the document is good), toxic_words (different ones found) and kept: quality of GOOD or more and toxicity below the threshold.
 
     A text that is null or has no words has quality 0 and is not kept. Every row is judged by itself, so repeated rows agree.
     Columns of docs with the names of new ones are replaced, all others stay.

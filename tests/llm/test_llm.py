@@ -71,6 +71,17 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(not r.kept for r in toxic) > 0.6 * len(toxic)  # English insults need no labels; other words need more of them
 
 
+def test_toxic_words_of_a_small_language(spark):
+    """Spanish toxic words differ in their endings and are in few labelled documents: none reached a fixed count."""
+    folder = "/root/testdata/sf0.1"
+    d = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'es'")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").join(d.select("doc_id"), "doc_id", "left_semi")
+    model = quality.fit(d, labels.where("doc_id % 2 = 0"))
+    rows = quality.classify(d, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("quality", "truth"), "doc_id").collect()
+    toxic, good = [r for r in rows if r.toxic == 1], [r for r in rows if r.truth == 1 and r.toxic == 0]
+    assert sum(not r.kept for r in toxic) > 0.6 * len(toxic) and sum(r.kept for r in good) > 0.9 * len(good)
+
+
 def test_classifier_takes_anything(spark):
     d = docs(spark, [(1, None), (2, ""), (3, " \n "), (None, "you idiot, really"), (5, "A plain sentence of the kind that is kept for use. " * 3), (5, "A plain sentence of the kind that is kept for use. " * 3), (6, "$$$ ### " * 5000)])
     d = d.withColumn("quality", F.lit("x")).withColumn("votes", F.lit(1))
