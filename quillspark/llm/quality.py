@@ -33,7 +33,7 @@ BEGINNINGS, FOLDS, ERRORS = (4, 5, 6, 7, 8), 5, 3.0
 UNIT, THRESHOLD, SHORT = 32, 0.25, 4
 #: Probability of being good from which a document is kept: held-out labels lose few good documents there and let few bad pass.
 GOOD = 0.3
-# Insults, known without labels; frequent function words of four languages.
+# Insults, which vote only where labels give no word a weight; frequent function words of four languages.
 INSULTS = tuple("idiot moron stupid scum trash loser pathetic worthless disgusting clown".split())
 FUNCTION = frozenset("the of and to in a is that it for was on as with be by this are at or an he from la de le les et des en un une du que qui pour dans est au par sur pas der die und das den von zu mit sich dem ist nicht ein eine auf für im el los las y una del se con por su no es al como".split())
 MARKS = "#$%&*@^~|<>{}[]\\=_"
@@ -322,7 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
         told = cut(rows.join(F.broadcast(few), "doc_id").select("text", slot.alias("slot")), "labelled")  # LABELLED bounds what is broadcast
         features, weights, threshold = _fit_toxic(told)
         drop(told)
-        toxic, heavy = np.concatenate((toxic, features)), np.concatenate((heavy, weights))
+        if weights.any():
+            toxic, heavy = features, weights
     return Model(scorer[:TRIGRAMS], scorer[TRIGRAMS:], bias, posterior, toxic, heavy, threshold)
 
 

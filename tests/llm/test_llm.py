@@ -82,6 +82,16 @@ def test_toxic_words_of_a_small_language(spark):
     assert sum(not r.kept for r in toxic) > 0.6 * len(toxic) and sum(r.kept for r in good) > 0.9 * len(good)
 
 
+def test_labels_overrule_the_list_of_insults(spark):
+    """Clean documents here speak of trash and clowns; toxic ones have a word that no list knows."""
+    plain = "A plain sentence number {} of the kind that is kept for use, with {} in the middle of it."
+    rows = [(i, plain.format(i, "a zorgle" if i % 2 else "the trash of a clown")) for i in range(240)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {(r.doc_id % 2, r.toxic_words > 0) for r in quality.classify(d, quality.fit(d, labels)).collect()}
+    assert got == {(0, False), (1, True)}
+
+
 def test_classifier_takes_anything(spark):
     d = docs(spark, [(1, None), (2, ""), (3, " \n "), (None, "you idiot, really"), (5, "A plain sentence of the kind that is kept for use. " * 3), (5, "A plain sentence of the kind that is kept for use. " * 3), (6, "$$$ ### " * 5000)])
     d = d.withColumn("quality", F.lit("x")).withColumn("votes", F.lit(1))
