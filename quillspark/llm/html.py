@@ -1,73 +1,104 @@
 """HTML extraction by line-block distribution.
 
-Markup turns into lines, one for each block, with the length of the text in it; blocks of page furniture (menus, headers,
-footers, adverts, comments ...) have length 0. Lengths are summed over a sliding window of lines: where the sum rises above
-the threshold the text surges, where a window has no text it dives; the text between is kept. In a page that marks its
-article, lines outside have length 0 and any text surges, so short paragraphs stay.
+Markup turns into lines, one for each block, with the length of the text in it. Marks weigh lengths: page furniture (menus,
+footers, adverts, comments ...) has none, and where a marked article holds most of a page's text, neither has what stands
+outside it. Lengths are summed over a sliding window of lines: where the sum rises to the threshold the text surges, where a
+window has no text it dives. What lies between belongs to the article, if its section (the marked article, or the element
+that holds its blocks) has enough text there; the section's other lines, as short first and last paragraphs, come along.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; characters in a window from which text surges in a page that marks no article.
+#: Lines in a window; characters in a window from which text surges (in a page that never has so many, its fullest window).
 LINES, SURGE = 3, 80
-# Names of HTML elements and of page furniture.
+# Names of HTML elements, and words in classes and ids of page furniture.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("head title nav header footer aside form button select textarea option dialog menu fieldset iframe object canvas svg audio video map".split())
-RAW = "script|style|noscript|template|textarea|iframe|noembed|noframes|xmp|svg|math"
+SKIPPED = frozenset("head title nav footer aside form button select textarea option dialog menu fieldset iframe object canvas svg audio video map annotation annotation-xml".split())
+RAW = "script|style|noscript|template|textarea|iframe|noembed|noframes|xmp|svg"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDED_BY_OWN_KIND = frozenset("p li dt dd option tr td th".split())
+NO_BARRIER = frozenset("p li dt dd td th".split())
 ARTICLES = frozenset(("article", "main"))
-FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments reply replies disqus respond share sharing social related recommended recommendations toolbar pagination pager masthead copyright legal disclaimer alert skip".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments reply replies disqus respond share sharing social related recommended recommendations toolbar pagination pager skip".split())
+#: Furniture of the page that an article may have as a part of its text.
+OUTSIDE_ONLY = frozenset("header masthead copyright legal disclaimer alert".split())
+#: What makes furniture of a whole <article>, as comments and teasers may be marked so.
+NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo promotion comment comments reply replies related recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED:
+def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in SKIPPED or tag == "header" and not in_article:
         return True
     if tag in ("html", "body") or not attributes.strip():
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLES and FURNITURE.intersection(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id"):
+            words = set(re.split(r"[^a-z]+", value))
+            if words & (NO_ARTICLE if tag in ARTICLES else FURNITURE) or not in_article and tag not in ARTICLES and words & OUTSIDE_ONLY:
+                return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, in page furniture, number of the article it stands in or 0) of each block with text, in page order."""
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, article
+class Line(NamedTuple):
+    """A block's text, whether it is page furniture, the marked article that it stands in (0 for none), its section, and whether
+    it is a heading."""
+
+    text: str
+    furniture: bool
+    article: int
+    section: int
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks with text, in page order. The section is the outermost marked article, else the innermost open element that
+    holds blocks (paragraphs, list items and cells hold none)."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, furniture, article, whether it is a block
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    barriers: list[tuple[int, int]] = [(-1, 0)]  # open elements that hold blocks: place, section
     buffer: list[str] = []
-    furniture = inside = articles = 0
+    furniture = inside = articles = sections = blocks = headings = 0
 
     def flush():
         text = SPACE.sub(" ", html.unescape("".join(buffer))).strip() if buffer else ""
         buffer.clear()
         if text:
-            out.append((text, furniture > 0, articles if inside else 0))
+            out.append(Line(text, furniture > 0, articles if inside else 0, -articles if inside else barriers[-1][1], headings > 0))
 
     def close(at: int):
-        nonlocal furniture, inside
+        nonlocal furniture, inside, blocks, headings
         while len(stack) > at:
-            _, f, a = stack.pop()
-            furniture, inside = furniture - f, inside - a
+            name, f, a, block = stack.pop()
+            open_at[name].pop()
+            furniture, inside, blocks, headings = furniture - f, inside - a, blocks - block, headings - (name in HEADINGS)
+        while barriers[-1][0] >= at:
+            barriers.pop()
 
     at = 0
+    below: list[int] = []  # blocks that are open below each open element, itself counted
     for m in TOKEN.finditer(page):
         if m.start() > at:
             buffer.append(page[at : m.start()])
@@ -78,55 +109,80 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                 buffer.append(" ")
             continue
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
-        if tag in BLOCKS or tag in SKIPPED:
+        block = tag in BLOCKS or tag in SKIPPED
+        if block:
             flush()
         if closing:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            # an end tag without a start inside the same section, article or furniture closes nothing outside it
-            if found is not None and (tag in BLOCKS or tag in SKIPPED or not any(x[0] in BLOCKS for x in stack[found + 1 :])):
+            found = open_at[tag][-1] if open_at[tag] else None
+            # an end tag of an inline element closes no block that was opened in it
+            if found is not None and (block or blocks == below[found]):
                 close(found)
+                del below[found:]
         elif tag not in VOID and not attributes.endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these end an open one of their kind
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li", "dt", "dd", "td", "th"):
-                        break
-            f, a = _furniture(tag, attributes), tag in ARTICLES
-            furniture, inside = furniture + f, inside + a
+            if tag in ENDED_BY_OWN_KIND and open_at[tag] and open_at[tag][-1] >= barriers[-1][0]:
+                found = open_at[tag][-1]
+                close(found)
+                del below[found:]
+            f, a = _furniture(tag, attributes, inside > 0), tag in ARTICLES
+            furniture, inside, blocks, headings = furniture + f, inside + a, blocks + block, headings + (tag in HEADINGS)
             if a and inside == 1:
                 articles += 1
-            stack.append((tag, f, a))
+            if tag in BLOCKS and tag not in NO_BARRIER:
+                if tag not in HEADINGS and tag not in ("tr", "option"):
+                    sections += 1
+                barriers.append((len(stack), barriers[-1][1] if tag in HEADINGS or tag in ("tr", "option") else sections))
+            open_at[tag].append(len(stack))
+            stack.append((tag, f, a, block))
+            below.append(blocks)
     if at < len(page):
         buffer.append(page[at:])
     flush()
     return out
 
 
+def weights(found: list[Line]) -> list[int]:
+    """The length of each line as the curve sees it."""
+    marked = sum(len(x.text) for x in found if x.article and not x.furniture)
+    rest = sum(len(x.text) for x in found if not x.article and not x.furniture)
+    return [0 if x.furniture or not x.article and marked >= rest else len(x.text) for x in found]
+
+
+def spans(length: list[int], window: int = LINES, surge: int = SURGE) -> tuple[list[bool], int]:
+    """(whether each line lies between a surge and the next dive, the threshold)."""
+    sums, total = [0] * len(length), 0
+    for i in range(len(length) - 1, -1, -1):
+        total += length[i] - (length[i + window] if i + window < len(length) else 0)
+        sums[i] = total
+    least = max(1, min(surge, max(sums, default=0)))
+    out, open_ = [], False
+    for n in sums:
+        open_ = n > 0 if open_ else n >= least
+        out.append(open_)
+    return out, least
+
+
 def main_text(page: str | None, window: int = LINES, surge: int = SURGE) -> str:
     """The text of the article, its blocks joined by blanks; empty if there is none."""
     found = lines(page or "")
-    marked = any(a and not f for _, f, a in found)
-    length = [0 if f or marked and not a else len(t) for t, f, a in found]
-    least = 1 if marked else min(surge, max(length, default=0)) or 1
-    sums = [sum(length[i : i + window]) for i in range(len(length))]
-    kept, open_ = [], False
-    for i, n in enumerate(length):
-        if not open_ and n and sums[i] >= least:
-            open_ = True  # surge
-        elif open_ and not sums[i]:
-            open_ = False  # dive
-        if open_ and n:
-            kept.append(found[i][0])
-    return " ".join(kept)
+    length = weights(found)
+    between, least = spans(length, window, surge)
+    sections, after = [x.section for x in found], 0
+    for i in range(len(found) - 1, -1, -1):  # a heading belongs to the text that follows it
+        if length[i]:
+            sections[i] = after if found[i].heading and not found[i].article and after else sections[i]
+            after = sections[i]
+    full: dict[int, int] = defaultdict(int)
+    for s, n, b in zip(sections, length, between):
+        full[s] += n if b else 0
+    return " ".join(x.text for x, s, n in zip(found, sections, length) if n and full[s] >= least)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages; text is the whole article, n_chars its code points.
 
-    A null or empty page, and one that has no article text, gives an empty text. Tags may be open, cut off or badly nested.
-    Repeated rows and null ids or urls stay; other columns are left out.
+    A null or empty page, and one that has no article text, gives an empty text. Tags may be open, cut off or badly nested, and
+    time grows with a page's length however deep its elements lie. Repeated rows and null ids or urls stay; other columns are
+    left out; no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
