@@ -3,6 +3,9 @@
 Records are grouped into frames that decompress on their own. Two skippable frames follow: an index from record identifiers
 to (frame, offset in the frame, length), and at the very end the seek table with the sizes of all frames. So one record
 is read by decompressing one frame, and any Zstandard tool still reads the whole bundle as a plain WARC file.
+
+A record is named by its page, its payload's digest and a number that tells rows apart that agree in both. So a revisit can
+name the response that holds its payload wherever that was written, and reading follows each revisit to its response.
 """
 
 from __future__ import annotations
@@ -16,14 +19,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Bytes of records in a frame and in a bundle, from which the next one begins.
 FRAME, BUNDLE = 256 << 10, 16 << 20
-SALTS = 16
 # Fixed values of the seekable Zstandard format.
 SEEK_TABLE_MAGIC, SEEK_FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A51
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,8 +111,8 @@ class BundleReader:
         return parse(self.frame(f), offset)[:3]
 
 
-def _name(page_id: int | None) -> str:
-    return f"urn:page:{'null' if page_id is None else page_id}"
+def record_name(page_id: int | None, digest: str, number: int = 0) -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}:{digest}:{number}"
 
 
 def _write(date: str):
@@ -121,11 +123,11 @@ def _write(date: str):
             return pa.RecordBatch.from_arrays([pa.array([f"{part:05d}-{n:05d}"]), pa.array([bundle.close()], pa.binary())], ["bundle_id", "bundle"])
 
         for b in batches:
-            for page, url, payload, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for page, url, payload, number, refers in zip(*(c.to_pylist() for c in b.columns)):
                 payload = (payload or "").encode()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                name = f"{_name(page)}:{len(bundle.index)}"
-                bundle.add(name, record(name, url, digest, payload, None if refers is None else _name(refers), date))
+                name = record_name(page, digest, number)
+                bundle.add(name, record(name, url, digest, payload, None if refers is None else record_name(refers, digest), date))
                 if bundle.total >= BUNDLE:
                     yield done()
                     n, bundle = n + 1, BundleWriter()
@@ -140,40 +142,65 @@ def write_bundles(pages: DataFrame, html_col: str = "html", min_bytes: int = 0,
 
     The payload is the page in UTF-8, empty for a null. Of equal payloads of at least min_bytes, rows with the smallest page_id
     are responses, all others revisits that name it; a null id is never the smallest unless all are null, and then all are
-    responses. Smaller payloads are always responses. Payloads that occur once are found by counting digests; a frequent
-    payload is spread by salt in the join that tells its rows which page has it.
+    responses. Smaller payloads are always responses. Payloads are counted by digest, and both sides of the join that tells
+    rows which page has theirs are plain exchanges, so Spark splits a frequent payload. Rows that agree in page_id and payload
+    are numbered from 0, in the order of their urls, and the first is the one that revisits name.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).alias("html"))
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = rows.withColumn("digest", F.sha1(payload))
-    again = keyed.where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    told = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(again, ["digest", "salt"], "left")
-    told = told.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    return told.mapInArrow(_write(date), "bundle_id string, bundle binary")
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    keyed = rows.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    counted = cut(keyed.select("page_id", "digest", size.alias("size")).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size")), "warc-counted")
+    again = counted.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("k").alias("n"), F.max("size").alias("size"), (F.max("k") > 1).alias("twice")).where("n > 1")
+    again = cut(again.select("digest", F.when(F.col("size") >= min_bytes, F.col("first")).alias("first"), "twice"), "warc-again")
+    told = keyed.join(again, "digest", "left")
+    columns = ["page_id", "url", "html", "number", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")]
+    out = told.where(~F.coalesce("twice", F.lit(False))).withColumn("number", F.lit(0)).select(*columns)
+    if not again.where("twice").isEmpty():
+        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
+        out = out.unionByName(told.where("twice").withColumn("number", number).select(*columns))
+    drop(counted)
+    return out.mapInArrow(_write(date), "bundle_id string, bundle binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "name", "refers_to_name"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
     for b in batches:
         for data in b.column(0):
-            bundle, out = BundleReader(data.as_py()), [[] for _ in range(5)]
+            bundle, out = BundleReader(data.as_py()), [[] for _ in names]
             for name in bundle.index:
                 warc, http, payload = bundle.record(name)
                 digest, kind = warc["WARC-Payload-Digest"].removeprefix("sha1:"), warc["WARC-Type"]
+                if warc["WARC-Record-ID"] != f"<{name}>":
+                    raise ValueError(f"the index leads from {name} to another record")
                 if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(http["Content-Length"])):
                     raise ValueError(f"the payload of {name} does not fit its digest")
                 page = name.split(":")[2]
-                refers = warc.get("WARC-Refers-To")
-                for column, x in zip(out, (None if page == "null" else int(page), int(http["Content-Length"]), digest, kind, int(refers[1:-1].split(":")[2]) if refers else None)):
+                refers = warc["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in warc else None
+                for column, x in zip(out, (None if page == "null" else int(page), int(http["Content-Length"]), digest, kind, refers and int(refers.split(":")[2]), name, refers)):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+
+
+def _checked(digest: str, other: str) -> Column:
+    """digest, or an error where a revisit's response is not there or has another payload."""
+    lost = F.col("refers_to_name").isNotNull() & ~F.coalesce(F.col(digest) == F.col(other), F.lit(False))
+    return F.when(lost, F.raise_error(F.concat(F.lit("no response of that payload: "), F.col("refers_to_name"))).cast("string")).otherwise(F.col(digest))
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """What the archives hold: (page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, read by index
-    and seek table; a response whose payload does not fit its digest is an error."""
-    return bundles.select("bundle").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    and seek table. Each revisit is followed to the response that it names; one that is not there, or whose payload does not
+    fit its digest, is an error."""
+    found = cut(bundles.select("bundle").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, name string, refers_to_name string"), "warc-records")
+    asked = cut(found.select("refers_to_name").where("refers_to_name is not null").distinct(), "warc-asked")
+    responses = found.where("record_type = 'response'").select(F.col("name").alias("refers_to_name"), F.col("payload_digest").alias("there"))
+    responses = cut(responses.join(asked, "refers_to_name", "left_semi"), "warc-responses")
+    out = found.join(responses, "refers_to_name", "left")
+    return out.select("page_id", "payload_bytes", _checked("payload_digest", "there").alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive(pages: DataFrame, html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes the bundles to the shared folder and reads them back."""
+    """Writes the bundles to the shared folder and reads them back. Empty and very long payloads, null ids and repeated rows are
+    records like others; an empty table gives none."""
     return read_bundles(cut(write_bundles(pages, html_col, min_bytes), "warc"))
