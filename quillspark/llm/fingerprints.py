@@ -19,36 +19,39 @@ from .common import shuffle_partitions
 
 #: Code points in a gram (a power of two) and grams in a window (a power of two).
 GRAM, WINDOW = 16, 64
-_BASE = 0x9E3779B97F4A7C15
+#: Multipliers of the hashes, which are sums, products and shifts below 2 ** 32.
+BASE, MIX = 0x2545F491, 0x9E3779B1
+_MASK = 0xFFFFFFFF
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A fixed scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed scrambling of 32-bit numbers."""
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX)
+    return x ^ (x >> np.uint32(13))
 
 
 def gram_hashes(text: str, gram: int = GRAM) -> np.ndarray:
     """32-bit hashes of all grams, in order; a text shorter than a gram is one gram, an empty one has none."""
-    h = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    h = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint32)
     if not len(h):
         return h
-    h = mix64(h + np.uint64(1))
+    h = _mixed(h + np.uint32(1))
     if len(h) < gram:
-        powers = np.cumprod(np.full(len(h), _BASE, np.uint64))
-        return mix64(np.array([(h * powers).sum() + np.uint64(len(h))], np.uint64)) >> np.uint64(32)
-    step, base = 1, _BASE
+        total = np.uint32(len(h))
+        for x in h:
+            total = np.uint32((int(total) * BASE + int(x)) & _MASK)
+        return _mixed(np.array([total], np.uint32))
+    step, base = 1, BASE
     while step < gram:  # the hash of twice as many code points from two halves
-        h = h[:-step] * np.uint64(base) + h[step:]
-        step, base = step * 2, base * base & 0xFFFFFFFFFFFFFFFF
-    return mix64(h) >> np.uint64(32)
+        h = h[:-step] * np.uint32(base) + h[step:]
+        step, base = step * 2, base * base & _MASK
+    return _mixed(h)
 
 
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the chosen grams, by position."""
-    h = gram_hashes(text, gram)
+    h = gram_hashes(text, gram).astype(np.uint64)
     if not len(h):
         return h, h
     low = np.uint64(0xFFFFFFFF)
@@ -145,12 +148,15 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Fingerprints of all documents and of their edited texts (see edited()): RESULT's columns, a row for each row of docs.
 
-    The next document is that with the next larger doc_id (null ids first, of repeated ids the smaller text first); after the
-    last comes the first. A null text is empty; an empty text has an empty fingerprint. Other columns are left out, no rows
-    give none. Texts are range-sorted once; only the documents at the ends of partitions (one row each) meet in one task.
+    The next document is that with the next larger doc_id (null ids first, rows of one id in the order of a hash of their
+    texts); after the
+    last comes the first. A null text is empty; an empty text has an empty fingerprint; of a very long one every gram counts.
+    Other columns are left out, no rows give none. Texts are range-sorted once, by doc_id and, as one doc_id may have very many
+    rows, the text's hash; only the documents at the ends of partitions (one row each) meet in one task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     ends = ranged.mapInArrow(_ends, "part int, first_id long, first_text string, last_id long, last_text string")
     return ranged.mapInArrow(_inside, RESULT).unionByName(ends.repartition(1).sortWithinPartitions("part").mapInArrow(_between, RESULT))
