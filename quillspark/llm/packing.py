@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ KEPT_WORDS, AT_ONCE = 1_500_000, 1 << 19
 UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only have one lower-case and one composed form in all libraries.
 PLAIN = regex.compile("[\x21-\xff]+")
+#: Texts on which words by themselves must give what the whole tokenizer gives.
+PROBES = ("Hello, World! don't we'll", " a  b\tc\n\n d ", "x.y,z;(q) [1]{2}", "1234 56a 7,8.9%", "\u0130stanbul \u03a3\u0391\u03a3 \u01c5 \ufb01", "\xe9 e\u0301 \u212b \xc4RGER", "\u4e2d\u6587 ab\u4e2dc x\xb2\xbd", "'S'T 'RE", "a\x1cb\xa0c\x85", "<|endoftext|>a </s>b [UNK] <s>", "word " * 40)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,7 +45,7 @@ class WordTokenizer:
 
     Words are looked up by 64-bit hash, all words of many texts at once; the units of a new word go to the tokenizer's model
     by themselves. Words with characters above U+00FF, control characters or what may be an added token go through the whole
-    tokenizer.
+    tokenizer. A vocabulary whose units are others, as PROBES tell when it is opened, takes whole texts instead.
     """
 
     _open: dict[str, WordTokenizer] = {}
@@ -64,12 +66,16 @@ class WordTokenizer:
         small = max(self.tokenizer.get_vocab().values()) < 1 << 16
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.forget()
+        self.by_words = self._at_once([x.encode() for x in PROBES]) == self._whole(PROBES)
 
     def forget(self) -> None:
         self.pool, self.used = np.zeros(1 << 20, self.kind), 0
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known, self.recent = none, none
 
+    def _whole(self, texts: Iterable[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+
     def ids(self, word: str) -> list[int]:
         low, tokenize = word.lower(), self.model.tokenize
         if low.isalpha() and low.isascii():
@@ -125,6 +131,10 @@ class WordTokenizer:
         return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_words:
+            for t in texts:
+                yield from self._whole([t])
+            return
         group, size = [], 0
         for t in texts:
             t = t.encode()
@@ -183,8 +193,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     """Where each document's ids go: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids as little-endian
     unsigned 32-bit numbers), a row for each piece. Each document ends with end_id, so a null or empty text has one id.
 
-    All sequences are full but the last. Repeated rows and null ids are documents like others; other columns are left out;
-    an empty table gives no pieces.
+    All sequences are full but the last. A very long text has a piece for each window that it meets. Repeated rows and null ids
+    are documents like others; other columns are left out; an empty table gives no pieces.
     """
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer_path, end_id), "doc_id long, part int, part_start long, doc_tokens long, ids binary")
     tokens = cut(tokens, "packing-tokens")
