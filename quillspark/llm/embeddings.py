@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import components
 
-#: Vectors that centroids and codes are fitted on, at most; rows of a list that one task compares queries with; queries at a time.
-SAMPLE, ROWS_A_BLOCK, AT_ONCE = 8192, 2048, 512
+#: Vectors that centroids and codes are fitted on, at most; rows of a list in one task, queries that it compares them with, and
+#: how many of these at a time.
+SAMPLE, ROWS_A_BLOCK, QUERIES_A_BLOCK, AT_ONCE = 8192, 2048, 8192, 512
 SUBSPACES, CODES, ROWS_A_LIST, MOST_LISTS = 8, 64, 2000, 1024
 
 
@@ -204,15 +205,21 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         models[dim] = fit(_units(_matrix(bytes(x.v) for x in sample if x.dim == dim)), lists)
     placed = classes.select("id", "label", "dim", "v", "n").mapInArrow(_place(models, distance), "id long, label string, dim int, v binary, n long, list int, code binary, error double, asks array<int>")
     placed = cut(placed, "vector-index")
-    cell = ["label", "dim", "list"]
+    # A cell is a list's rows of one label. Its rows and those that ask it are cut into blocks, so however dense a cell is, no
+    # task holds more than a block of either.
+    cell, asked = ["label", "dim", "list"], placed.select("id", "label", "dim", "v", "n", F.col("list").alias("own"), F.explode("asks").alias("list"))
     blocks = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_BLOCK).cast("int").alias("blocks"))
-    index = placed.drop("asks").join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*cell, "block", "id", "v", "n", "code", "error")
-    asking = placed.select("id", "label", "dim", "v", "n", F.col("list").alias("own"), F.explode("asks").alias("list")).join(blocks, cell)
-    asking = asking.select(*cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", "n", "own").withColumnRenamed("list", "cell_list").withColumnRenamed("own", "list")
-    at = ["label", "dim", "list", "block"]
+    parts = asked.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_BLOCK).cast("int").alias("parts"))
+    cells = cut(blocks.join(parts, cell), "vector-cells")
+    one_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = placed.drop("asks").join(cells, cell).withColumn("block", one_of("blocks")).withColumn("part", all_of("parts"))
+    asking = asked.join(cells, cell).withColumn("block", all_of("blocks")).withColumn("part", one_of("parts"))
+    at = ["label", "dim", "list", "block", "part"]
+    index = index.select(*at, "id", "v", "n", "code", "error")
+    asking = asking.select(*[F.col(c).alias(f"asked_{c}") for c in at], "id", "v", "n", F.col("own").alias("list"))
     asking = asking.toDF(*asking.columns)  # columns of their own, not those of index
-    asked = asking.groupBy("label", "dim", F.col("cell_list"), "block")
-    found = index.groupBy(*at).cogroup(asked).applyInPandas(_compare(models, cosine, distance), "id long, n long, to long")
+    found = index.groupBy(*at).cogroup(asking.groupBy(*[f"asked_{c}" for c in at])).applyInPandas(_compare(models, cosine, distance), "id long, n long, to long")
     found = cut(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
