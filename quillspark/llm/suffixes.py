@@ -10,8 +10,9 @@ window plus the bytes before the anchor.
 2. A chunk marks what repeats inside itself as whole records, sorts the rest by suffix and sends a front-coded run to each
    range: of each suffix only what follows the prefix common with the one before.
 3. A range combines its runs with a loser tree. Common prefixes with the last suffix put out decide most matches, and bytes
-   of known prefixes are never compared again. Suffixes with GRAM bytes in common are one group; in it, each window that
-   occurred before (smaller doc_id, or an earlier start) is marked, compared byte by byte.
+   of known prefixes are never compared again. These prefixes then tell what repeats: records whose neighbours in the order
+   have `length` - k bytes in common, and which share the k bytes before the anchor (their common lengths come from sorting
+   them backwards), hold the same window. The first (smallest doc_id, then earliest start) stays, all others are marked.
 4. The marks go back to the chunks, which cut them out.
 
 Grams that occur in very many chunks send a record for each window, dealt by the window's own hash, so one frequent passage
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, shuffle_partitions
+from .words import mix64
 
 #: Bytes of a gram; of a chunk (a longer document is a chunk of its own); of the arrays that are hashed at once.
 GRAM, CHUNK, AT_ONCE = 40, 2 << 20, 1 << 18
-#: Chunks from which a gram counts as frequent; chunks to a range of hashes.
-FREQUENT, CHUNKS_A_RANGE = 2000, 8
+#: Chunks from which a gram counts as frequent; chunks to a range of hashes; records that are judged at once, or one group.
+FREQUENT, CHUNKS_A_RANGE, RECORDS = 200, 8, 1 << 16
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -43,12 +45,6 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
-def _mix(x):
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _rolling(data: np.ndarray) -> np.ndarray:
     """Hashes of all GRAM-byte strings (32 + 8 bytes)."""
     h, step, base, eight = data.astype(np.uint64) + _U(1), 1, _BASE, None
@@ -58,7 +54,7 @@ def _rolling(data: np.ndarray) -> np.ndarray:
         if step == GRAM - 32:
             eight = h
     n = len(data) - GRAM + 1
-    return _mix(h[:n] * _U(pow(_BASE, GRAM - 32, 1 << 64)) + eight[32 : 32 + n])
+    return mix64(h[:n] * _U(pow(_BASE, GRAM - 32, 1 << 64)) + eight[32 : 32 + n])
 
 
 def runs(data: bytes, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -93,7 +89,7 @@ def runs(data: bytes, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...
         new = np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(start) != 1)))
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(start)])) - 1
-        out.append((start[first] + at, start[last] + at, anchor[first] + at, _mix(h[anchor[first]] + _U(1))))  # smallest hashes crowd at 0; mixed again they spread
+        out.append((start[first] + at, start[last] + at, anchor[first] + at, mix64(h[anchor[first]] + _U(1))))  # smallest hashes crowd at 0; mixed again they spread
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
@@ -109,9 +105,10 @@ def _chunks(carried: int, most: int = CHUNK):
 
         def done():
             nonlocal n, size, rows
-            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
-            columns = [[r[2 + c] for r in rows] for c in range(carried)]
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in rows]], pa.list_(pa.int64())), pa.array([zstd.compress(b"".join(r[1] for r in rows))], pa.binary()), pa.array([columns], pa.list_(pa.list_(pa.string())))], ["chunk", "ids", "lengths", "data", "carried"])
+            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            columns = [[r[3 + c] for r in rows] for c in range(carried)]
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in ([r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows])]
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), *lists, pa.array([zstd.compress(b"".join(r[2] for r in rows))], pa.binary()), pa.array([columns], pa.list_(pa.list_(pa.string())))], ["chunk", "ids", "ties", "lengths", "data", "carried"])
             n, size, rows = n + 1, 0, []
             return out
 
@@ -120,7 +117,8 @@ def _chunks(carried: int, most: int = CHUNK):
                 text = (row[1] or "").encode()
                 if rows and size + len(text) > most:
                     yield done()
-                rows.append((row[0], text, *row[2:]))
+                tie = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
+                rows.append((row[0], tie, text, *row[2:]))
                 size += len(text)
         if rows:
             yield done()
@@ -178,8 +176,8 @@ def _repeated(frequent: int):
 
 
 def encode_run(records: list[tuple]) -> bytes:
-    """Records (suffix, before, doc, text number, start) sorted by suffix, front-coded: of a suffix only the bytes behind its common
-    prefix with the one before. All suffixes and the bytes before the anchor are shorter than 256 bytes."""
+    """Records (suffix, before, doc, tie, text number, start) sorted by suffix, front-coded: of a suffix only the bytes behind its
+    common prefix with the one before. All suffixes and the bytes before the anchor are shorter than 256 bytes."""
     n = len(records)
     suffixes, before, *numbers = zip(*records)
     size = np.fromiter(map(len, suffixes), np.int64, n)
@@ -194,31 +192,29 @@ def encode_run(records: list[tuple]) -> bytes:
 
 
 def decode_run(data: bytes) -> Iterator[tuple]:
-    """(suffix, prefix common with the one before, bytes before the anchor, doc, text number, start) of each record."""
+    """(suffix, prefix common with the one before, bytes before the anchor, doc, tie, text number, start) of each record."""
     data = zstandard.ZstdDecompressor().decompress(data)
     n, size_of_tails = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little")
     common, size, left = data[12 : 12 + n], data[12 + n : 12 + 2 * n], data[12 + 2 * n : 12 + 3 * n]
-    at = 12 + 3 * n
-    docs, texts, starts = (np.frombuffer(data, "<i8", n, at + 8 * n * i).tolist() for i in range(3))
-    tail = at + 24 * n
+    numbers = zip(*(np.frombuffer(data, "<i8", n, 12 + 3 * n + 8 * n * i).tolist() for i in range(4)))
+    tail = 12 + 35 * n
     head = tail + size_of_tails
     last = b""
-    for i in range(n):
-        c, z, b = common[i], size[i], left[i]
+    for c, z, b, rest in zip(common, size, left, numbers):
         last = last[:c] + data[tail : tail + z - c]
         tail += z - c
-        yield last, c, data[head : head + b], docs[i], texts[i], starts[i]
+        yield last, c, data[head : head + b], *rest
         head += b
 
 
-def _triples(marks: list[tuple[int, int, int]]) -> bytes:
-    return np.array(marks, "<i8").tobytes()
+def _triples(marks) -> bytes:
+    return np.asarray(marks, "<i8").tobytes()
 
 
 def _send_runs(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, ids, lengths, data, found in _rows(b):
+            for chunk, ids, ties, lengths, data, found in _rows(b):
                 data, lengths = _open(data, lengths), np.array(lengths, np.int64)
                 first, last, anchor, h = runs(data, lengths, length)
                 to = _range_of(h, ranges)
@@ -230,23 +226,27 @@ def _send_runs(length: int, ranges: int):
                 text_no = np.searchsorted(np.cumsum(lengths), first, "right")
                 base = (np.cumsum(lengths) - lengths)[text_no]
                 docs = [NO_ID if i is None else i for i in ids]
-                seen, marks, out = set(), [], {}
+                marks, out = [], {}
                 pick = np.flatnonzero(go)
                 for s, e, a, r, t, o, f in zip(*(x[pick].tolist() for x in (first, last, anchor, to, text_no, base, hot))):
-                    whole = data[s : e + length]
-                    if (whole, a - s) in seen:  # an earlier record of this chunk has all its windows
-                        marks.append((t, s - o, e + length - o))
-                        continue
-                    seen.add((whole, a - s))
                     if f:
                         for i in range(s, e + 1):
                             w = data[i : i + length]
                             r = int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % ranges
-                            out.setdefault(r, []).append((w, b"", docs[t], t, i - o))
+                            out.setdefault(r, []).append((w, b"", docs[t], ties[t], t, i - o))
                     else:
-                        out.setdefault(r, []).append((whole[a - s :], whole[: a - s], docs[t], t, s - o))
-                del seen
-                rows = [(r, chunk, 0, encode_run(sorted(x, key=lambda y: y[:2]))) for r, x in out.items()]
+                        out.setdefault(r, []).append((data[a : e + length], data[s:a], docs[t], ties[t], t, s - o))
+                rows = []
+                for r, records in out.items():
+                    records.sort(key=lambda x: x[:2])  # equal ones stay in the order of the texts
+                    sent, before = [], (None, None)
+                    for x in records:
+                        if x[:2] == before:  # all its windows occur earlier in this chunk
+                            marks.append((x[4], x[5], x[5] + len(x[0]) + len(x[1])))
+                        else:
+                            sent.append(x)
+                            before = x[:2]
+                    rows.append((r, chunk, 0, encode_run(sent)))
                 if marks:
                     rows.append((chunk % ranges, chunk, 1, _triples(marks)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range_no", "chunk", "kind", "run"])
@@ -316,36 +316,35 @@ def merged(sources: list[Iterator[tuple]]) -> Iterator[tuple]:
             n //= 2
 
 
-def _mark_group(group: list[tuple], length: int, marks: dict) -> None:
-    """group: (doc, chunk, text number, start, before, suffix) of records with one gram."""
-    group.sort(key=lambda r: r[:4])
-    records, distinct = set(), []
-    for _, chunk, text, start, before, suffix in group:
-        whole, left = before + suffix, len(before)
-        if (whole, left) in records:  # an earlier record has all its windows
-            marks.setdefault(chunk, []).append((text, start, start + len(whole)))
-        else:
-            records.add((whole, left))
-            distinct.append((chunk, text, start, whole, left, []))
-    del records
-    if len(distinct) < 2:
-        return
-    for ahead in range(max(r[4] for r in distinct) + 1):  # windows that begin so many bytes before the anchor
-        seen = set()
-        for _, _, _, whole, left, again in distinct:
-            i = left - ahead
-            if 0 <= i <= len(whole) - length:
-                window = whole[i : i + length]
-                if window in seen:
-                    again.append(i)
-                else:
-                    seen.add(window)
-    for chunk, text, start, _, _, again in distinct:
-        while again:  # neighbours, from the last to the first
-            first = last = again.pop()
-            while again and again[-1] == last + 1:
-                last = again.pop()
-            marks.setdefault(chunk, []).append((text, start + first, start + last + length))
+def repeated_windows(common: np.ndarray, size: np.ndarray, before: list[bytes], rank: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(record, first window, last window) of the spans of windows that a record of smaller rank holds too. Records are in the
+    order of their suffixes; common: bytes that each suffix shares with the one before, size: of each suffix, before: the bytes
+    in front of it. Windows of a record are numbered from 0 by their place in before + suffix.
+
+    A window with k bytes in front of the suffix is the same in records that follow one another with length - k common bytes
+    and that, in the order of the reversed bytes in front, follow one another with k.
+    """
+    n, left = len(size), np.fromiter(map(len, before), np.int64, len(before))
+    group, wide = np.cumsum(common < GRAM), int(left.max(initial=0))
+    back = [x[::-1] for x in before]
+    order = np.array(sorted(range(n), key=list(zip(group.tolist(), back)).__getitem__), np.int64)
+    back = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in back]), np.uint8).reshape(n, wide)[order]
+    differs = np.concatenate((back[1:] != back[:-1], np.ones((n - 1, 1), bool)), 1).argmax(1)
+    same = np.minimum(differs, np.minimum(left[order[1:]], left[order[:-1]]))
+    shared = np.concatenate(([-1], np.where(group[order[1:]] == group[order[:-1]], same, -1)))
+    by_rank = np.argsort(rank, kind="stable")
+    again = np.zeros((n, wide + 1), np.int8)
+    for k in range(wide + 1):
+        some = by_rank[(left[by_rank] >= k) & (size[by_rank] >= length - k)]
+        if len(some) > 1:
+            behind, ahead = np.cumsum(common < length - k), np.empty(n, np.int64)
+            ahead[order] = np.cumsum(shared < k)
+            first = np.unique(behind[some] * (n + 1) + ahead[some], return_index=True)[1]  # by rank
+            again[np.delete(some, first), k] = 1
+    edge = np.diff(again, prepend=0, append=0, axis=1)
+    record, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    return record, left[record] - high, left[record] - low
 
 
 def _combine(length: int):
@@ -353,18 +352,37 @@ def _combine(length: int):
         rows = table.select(["chunk", "kind", "run"]).to_pylist()
         passed = [(x["chunk"], x["run"]) for x in rows if x["kind"] == 1]
         sent = [x for x in rows if x["kind"] == 0]
-        marks: dict[int, list] = {}
-        chunks = [x["chunk"] for x in sent]
-        group: list[tuple] = []
-        for suffix, common, source, before, doc, text, start in merged([decode_run(x["run"]) for x in sent]):
-            if common < GRAM and group:
-                if len(group) > 1:
-                    _mark_group(group, length, marks)
-                group = []
-            group.append((doc, chunks[source], text, start, before, suffix))
-        if len(group) > 1:
-            _mark_group(group, length, marks)
-        passed += [(c, _triples(m)) for c, m in marks.items()]
+        chunks = np.array([x["chunk"] for x in sent], np.int64)
+        batch: list[tuple] = []
+
+        def judge() -> None:
+            common, size, before, *numbers = zip(*batch)
+            common, size, (source, doc, tie, text, start) = np.array(common), np.array(size), (np.array(x, np.int64) for x in numbers)
+            chunk = chunks[source]
+            order = np.lexsort((start, text, chunk, tie, doc))
+            rank = np.empty(len(batch), np.int64)
+            rank[order] = np.arange(len(batch))
+            common[0] = 0
+            record, first, last = repeated_windows(common, size, before, rank, length)
+            found = np.stack((text[record], start[record] + first, start[record] + last + length), 1)
+            by_chunk = np.argsort(chunk[record], kind="stable")
+            which, at = np.unique(chunk[record][by_chunk], return_index=True)
+            passed.extend((c, _triples(x)) for c, x in zip(which.tolist(), np.split(found[by_chunk], at[1:])))
+
+        alone = True  # a gram of one record has nothing to tell
+        for suffix, common, source, before, *numbers in merged([decode_run(x["run"]) for x in sent]):
+            if common < GRAM and batch:
+                if alone:
+                    batch.pop()
+                if len(batch) >= RECORDS:
+                    judge()
+                    batch.clear()
+            alone = common < GRAM
+            batch.append((common if batch else 0, len(suffix), before, source, *numbers))
+        if alone and batch:
+            batch.pop()
+        if batch:
+            judge()
         return pa.table([pa.array([x for x, _ in passed], pa.int64()), pa.array([x for _, x in passed], pa.binary())], ["chunk", "marks"])
 
     return run
@@ -420,19 +438,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
 
     kept is binary, or with as_text a string without the characters of which only some bytes stay.
     Strings are those of the input, also where parts of them go; no string crosses from one text to the next. Rows with one
-    doc_id are one after another in the order they are read, null ids before all others. A null text is empty. Texts shorter
-    than `length` stay whole. Columns named in carry come along as strings, all others are left out. length: 72 to 210.
+    doc_id come one after another in the order of a hash of their texts, null ids before all others, so reruns agree. A null
+    text is empty; a very long one is a chunk of its own. Texts shorter than `length` stay whole. Columns named in carry come
+    along as strings, all others are left out; an empty table gives no rows. length: 72 to 210.
     """
     if not 72 <= length <= 210:
         raise ValueError("length must lie between 72 and 210")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(carry)])
-    chunks = cut(rows.mapInArrow(_chunks(len(carry), chunk_bytes), "chunk long, ids array<long>, lengths array<long>, data binary, carried array<array<string>>"), "suffix-chunks")
+    chunks = cut(rows.mapInArrow(_chunks(len(carry), chunk_bytes), "chunk long, ids array<long>, ties array<long>, lengths array<long>, data binary, carried array<array<string>>"), "suffix-chunks")
     ranges = max(shuffle_partitions(spark), chunks.count() // CHUNKS_A_RANGE)
     grams = chunks.select("chunk", "lengths", "data").mapInArrow(_send_grams(length, ranges), "range_no int, chunk long, grams binary")
     again = grams.groupBy("range_no").applyInArrow(_repeated(frequent), "range_no int, chunk long, again binary, hot binary").where(F.octet_length("again") > 0)
     found = again.groupBy("chunk").agg(F.collect_list(F.struct("range_no", "again", "hot")).alias("found"))
-    with_found = chunks.select("chunk", "ids", "lengths", "data").join(found, "chunk", "left")
+    with_found = chunks.select("chunk", "ids", "ties", "lengths", "data").join(found, "chunk", "left")
     sorted_runs = with_found.mapInArrow(_send_runs(length, ranges), "range_no int, chunk long, kind int, run binary")
     marks = sorted_runs.groupBy("range_no").applyInArrow(_combine(length), "chunk long, marks binary")
     marks = cut(marks, "suffix-marks")
