@@ -1,143 +1,204 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the counts of vote
-patterns estimates how often each labeller gives each vote to good and to bad documents, which turns a pattern into a
-posterior. On a bounded sample, posteriors train a hashed linear scorer of byte trigrams and of the measures behind the
-votes; the scorer then judges every document. Toxicity is a weighted score too: labelled rows (a bounded sample of them) give
-hashed words and beginnings of words weights, and scores of labelled rows that the weights have not seen give the threshold.
+Overlapping heuristic labellers vote on each document: good, bad or nothing from measures of its form, clean, toxic or nothing
+from its words. Expectation-maximisation over the counts of vote patterns estimates how often each labeller gives each vote to
+good, to bad and to toxic documents, which turns a pattern into posteriors. On a bounded sample, posteriors train a hashed
+linear scorer of byte trigrams and of the measures behind the votes; the scorer alone judges every document.
+
+What the labellers of toxicity look for is learnt from labelled rows (a bounded sample of them): hashed words and beginnings
+of words get weights, and scores of labelled rows that the weights have not seen tell from where a score votes toxic.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, drop
-from .words import mix64, words
+from .words import SPACE, mix64, words
 
-#: Documents that train the scorer and labelled rows that teach toxic words, about.
+#: Documents that train the scorer and labelled rows that teach toxic words, at most.
 SAMPLE, LABELLED = 6000, 20_000
 #: Features of trigrams, of toxic words; bytes of text in one array.
 TRIGRAMS, TOXIC, AT_ONCE = 1024, 1 << 23, 1 << 18
 #: Bytes of a word's beginnings, parts of the labelled rows that are held out in turn, standard errors that a weight is lowered by.
 BEGINNINGS, FOLDS, ERRORS = (4, 5, 6, 7, 8), 5, 3.0
-#: Steps of a weight, score that is toxic where no labels tell, words of a text that one toxic word may reject.
+#: Steps of a weight, score that is toxic where no labels tell, words of a text that one toxic word may make toxic.
 UNIT, THRESHOLD, SHORT = 32, 0.25, 4
 #: Probability of being good from which a document is kept: held-out labels lose few good documents there and let few bad pass.
 GOOD = 0.3
 # Insults, which vote only where labels give no word a weight; frequent function words of four languages.
 INSULTS = tuple("idiot moron stupid scum trash loser pathetic worthless disgusting clown".split())
-FUNCTION = frozenset("the of and to in a is that it for was on as with be by this are at or an he from la de le les et des en un une du que qui pour dans est au par sur pas der die und das den von zu mit sich dem ist nicht ein eine auf für im el los las y una del se con por su no es al como".split())
-MARKS = "#$%&*@^~|<>{}[]\\=_"
-_MARKED, _UPPER = re.compile(r"\w\W?[#$%&*@^~!|]{2,}(?:\s|$)"), re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_TO_MARKS = str.maketrans("", "", MARKS)
-MEASURES = ("marks", "marked", "caps", "shouts", "repeats", "variety", "bars", "function", "lines")
-#: Measure, from where a labeller says good (at most or at least), from where bad, words that it needs.
-LABELLERS = (("marks", 0.003, 0.02, 1), ("marked", 0.03, 0.15, 3), ("caps", 0.2, 0.5, 1), ("shouts", 0.01, 0.1, 1), ("repeats", 0.02, 0.1, 5), ("variety", 0.5, 0.3, 25), ("bars", 0.01, 0.05, 5), ("function", 0.1, 0.02, 25), ("lines", 0.2, 0.5, 5))
-#: Borders between the steps that the scorer sees of a measure.
-STEPS = (0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
-
-
-def measures(text: str) -> tuple[list[float], int]:
-    """Measures of a text in the order of MEASURES, and its words."""
-    w = text.split()
-    n, size = len(w), len(text)
-    if not n:
-        return [0.0] * len(MEASURES), 0
-    letters = sum(map(str.isalpha, text)) if size < 64 else size - text.count(" ")
-    upper = sum(map(len, _UPPER.findall(text)))
-    rows = [x for x in text.split("\n") if x]
-    return [
-        (size - len(text.translate(_TO_MARKS))) / size,
-        len(_MARKED.findall(text)) / n,
-        upper / max(1, letters),
-        text.count("!!") / n,
-        sum(map(eq, w, w[1:])) / max(1, n - 1),
-        len(set(w)) / n,
-        w.count("|") / n,
-        sum(map(FUNCTION.__contains__, map(str.lower, w))) / n,
-        1 - len(set(rows)) / len(rows) if rows else 0.0,
-    ], n
-
-
-def vote(values: list[float], n: int) -> str:
-    """A letter for each labeller: g, b or - for no vote."""
-    out = []
-    for (_, good, bad, least), v in zip(LABELLERS, values):
-        if n < least:
-            out.append("-")
-        elif good < bad:
-            out.append("b" if v >= bad else "g" if v <= good else "-")
-        else:
-            out.append("b" if v <= bad else "g" if v >= good else "-")
-    return "".join(out)
-
-
-def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
-    """The probability that a document with a pattern is good, by expectation-maximisation over the patterns' counts; votes are
-    independent given the class. It starts from: bad if any labeller says so."""
+FUNCTION = tuple("the of and to in a is that it for was on as with be by this are at or an he from la de le les et des en un une du que qui pour dans est au par sur pas der die und das den von zu mit sich dem ist nicht ein eine auf für im el los las y una del se con por su no es al como".split())
+MARKS, MARKED_BY = "#$%&*@^~|<>{}[]\\=_", "#$%&*@^~!|"
+CLASSES = ("good", "bad", "toxic")
+#: Labeller: measure, from where it says good (at most or at least), from where bad or toxic, words that it needs, which class.
+LABELLERS = (
+    ("marks", 0.003, 0.02, 1, "bad"), ("marked", 0.03, 0.15, 3, "bad"), ("caps", 0.2, 0.5, 1, "bad"), ("shouts", 0.01, 0.1, 1, "bad"),
+    ("repeats", 0.02, 0.1, 5, "bad"), ("variety", 0.5, 0.3, 25, "bad"), ("bars", 0.01, 0.05, 5, "bad"), ("function", 0.1, 0.02, 25, "bad"),
+    ("lines", 0.2, 0.5, 5, "bad"), ("toxicity", 0.0, 1.0, 1, "toxic"), ("toxic_words", 0, 2, 1, "toxic"),
+)
+MEASURES = tuple(x[0] for x in LABELLERS)
+#: Borders between the steps that the scorer sees of a measure, and of the last two.
+STEPS, TOXIC_STEPS, COUNT_STEPS = (0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5), (1e-9, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), (1, 2, 3, 4, 6, 8, 12, 16)
+_WIDE = len(STEPS) + 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _bytes_in(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_MARK, _MARKED, _LINE, _EDGE = _bytes_in(MARKS), _bytes_in(MARKED_BY), _bytes_in("\n"), _bytes_in("".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()))
+_UPPER, _LETTER = _bytes_in("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), np.array([chr(c).isalpha() and c < 128 or c >= 192 for c in range(256)])
+
+
+def _word(w: str) -> np.uint64:
+    return words(np.frombuffer(w.encode() + b"\n", np.uint8))[2][0]
+
+
+_BAR, _FUNCTION = _word("|"), np.sort(np.array([_word(w) for w in FUNCTION]))
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts, each with a line feed, and where each ends."""
+    return np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8), np.cumsum([len(t) + 1 for t in texts])
+
+
+def _without_edges(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, ASCII punctuation as blanks."""
+    return np.where(_EDGE[data], np.uint8(32), _LOWER[data])
+
+
+def _one_each(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash occurs first in each text."""
+    return np.unique(hashes + (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), return_index=True)[1]
+
+
+def _kinds(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Different hashes in each of n texts."""
+    return np.bincount(text[_one_each(text, hashes)], minlength=n)
+
+
+def form(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, measures but the last two) and the words of each text, split at ASCII white space."""
+    data, ends = _joined(texts)
+    count = len(texts)
+    per = lambda at: np.bincount(np.searchsorted(ends, at, "right"), minlength=count + 1)[:count]
+    starts, lengths, hashes = words(data)
+    of = np.searchsorted(ends, starts, "right")
+    n = np.bincount(of, minlength=count)
+    size = np.maximum(1, np.array([len(t) for t in texts]))
+    last = starts + lengths - 1
+    upper = _UPPER[data] | (np.concatenate(([0], data[:-1])) == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)  # À to Þ
+    shout = data == 33
+    shout = shout & np.append(shout[1:], False) & ~np.concatenate(([False], shout[:-1]))
+    cleaned_at, _, cleaned = words(_without_edges(data))
+    same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])) if len(of) else np.zeros(0, np.int64)
+    lines, _, line_hashes = words(data, _LINE)
+    line_of = np.searchsorted(ends, lines, "right")
+    n_lines = np.bincount(line_of, minlength=count)
+    some, places = np.maximum(1, n), np.searchsorted(_FUNCTION, cleaned).clip(max=len(_FUNCTION) - 1)
+    out = [
+        per(np.flatnonzero(_MARK[data])) / size,
+        per(starts[(lengths > 2) & _MARKED[data[last]] & _MARKED[data[last - 1]]]) / some,
+        per(np.flatnonzero(upper)) / np.maximum(1, per(np.flatnonzero(_LETTER[data]))),
+        per(np.flatnonzero(shout)) / some,
+        per(starts[same]) / np.maximum(1, n - 1),
+        _kinds(of, hashes, count) / some,
+        per(starts[hashes == _BAR]) / some,
+        per(cleaned_at[_FUNCTION[places] == cleaned]) / some,
+        np.where(n_lines > 0, 1 - _kinds(line_of, line_hashes, count) / np.maximum(1, n_lines), 0.0),
+    ]
+    return np.stack(out, 1), n
+
+
+def votes(values: np.ndarray, n: np.ndarray) -> list[str]:
+    """A letter of each labeller for each row of measures: g, the class it is against (b or t), or - for no vote."""
+    out = np.full(values.shape, "-", "U1")
+    for j, (_, good, against, least, kind) in enumerate(LABELLERS):
+        v, sign = values[:, j], 1 if good < against else -1
+        out[(n >= least) & (sign * v <= sign * good), j] = "g"
+        out[(n >= least) & (sign * v >= sign * against), j] = kind[0]
+    return ["".join(x) for x in out]
+
+
+def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, np.ndarray]:
+    """The probabilities of CLASSES for a document with a pattern, by expectation-maximisation over the patterns' counts; votes
+    are independent given the class. It starts from: toxic if a labeller says so, else bad if one says so. A class that no
+    labeller ever votes for has no part."""
     if not patterns:
         return {}
     keys = sorted(patterns)
-    votes = np.array([["gb-".index(c) for c in k] for k in keys])
     count = np.array([patterns[k] for k in keys], float)
-    good = np.where((votes == 1).any(1), 0.1, 0.9)
+    letters = np.array([list(k) for k in keys])
+    against = {c: (letters == c[0]).any(1) for c in CLASSES[1:]}
+    seen = [0, *[i for i, c in enumerate(CLASSES) if i and against[c].any()]]
+    first = np.where(against["toxic"], 2, np.where(against["bad"], 1, 0))
+    cast = np.where(letters == "-", 2, np.where(letters == "g", 0, 1))
+    share = np.where(first[:, None] == np.array(seen)[None], 0.9, 0.1 / max(1, len(seen) - 1))
     for _ in range(rounds):
-        log = np.zeros((len(keys), 2))
-        for c, p in enumerate((1 - good, good)):
-            weight = count * p
-            log[:, c] = np.log((weight.sum() + 1) / (count.sum() + 2))
-            for j in range(votes.shape[1]):
-                each = np.bincount(votes[:, j], weight, 3) + (0.5, 0.5, 0.5)
-                log[:, c] += np.log(each / each.sum())[votes[:, j]]
-        good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-    return dict(zip(keys, good.tolist()))
+        log = np.zeros((len(keys), len(seen)))
+        for c in range(len(seen)):
+            weight = count * share[:, c]
+            log[:, c] = np.log((weight.sum() + 1) / (count.sum() + len(seen)))
+            for j in range(cast.shape[1]):
+                each = np.bincount(cast[:, j], weight, 3) + (0.5, 0.5, 0.5)
+                log[:, c] += np.log(each / each.sum())[cast[:, j]]
+        share = np.exp(log - log.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    out = np.zeros((len(keys), len(CLASSES)))
+    out[:, seen] = share
+    return dict(zip(keys, out))
 
 
 @dataclass
 class Model:
-    """Weights of trigrams and of measures' steps, toxic features with their weights in UNITs, and the score that is toxic."""
+    """The scorer's weights of trigrams and of measures' steps for each class, toxic features with their weights in UNITs, and
+    the score from which a labeller says toxic."""
 
     trigrams: np.ndarray
     steps: np.ndarray
-    bias: float
-    posterior: dict[str, float]
+    bias: np.ndarray
+    posterior: dict[str, np.ndarray]
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     threshold: float = THRESHOLD
 
 
-def _trigram_hashes(data: np.ndarray) -> np.ndarray:
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each trigram of bytes; a text of fewer than three has none."""
+    data, ends = _joined(texts)
     x = data.astype(np.uint32)
-    return ((x[:-2] * np.uint32(2654435761) + x[1:-1] * np.uint32(2246822519) + x[2:] * np.uint32(3266489917)) >> np.uint32(22)).astype(np.int64)
-
-
-def _step_features(values: list[float]) -> np.ndarray:
-    return np.array([j * (len(STEPS) + 1) + int(np.searchsorted(STEPS, v, "right")) for j, v in enumerate(values)])
+    h = ((x[:-2] * np.uint32(2654435761) + x[1:-1] * np.uint32(2246822519) + x[2:] * np.uint32(3266489917)) >> np.uint32(22)).astype(np.int64)
+    at = np.arange(len(h))
+    of = np.searchsorted(ends, at, "right")
+    inside = at + 3 < np.append(ends, 0)[of]
+    return of[inside], h[inside]
 
 
-_WIDE = len(MEASURES) * (len(STEPS) + 1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_EDGE = np.zeros(256, bool)
-_EDGE[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
+def _steps(values: np.ndarray) -> np.ndarray:
+    """(texts, measures) features of the measures' steps."""
+    borders = [*[STEPS] * (len(MEASURES) - 2), TOXIC_STEPS, COUNT_STEPS]
+    return np.stack([j * _WIDE + np.searchsorted(x, values[:, j], "right") for j, x in enumerate(borders)], 1)
 
 
 def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash) of each word without ASCII punctuation, and its features: the word and its beginnings. A word that is
     too short for a beginning has itself there."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)]
-    data = np.where(_EDGE[data], np.uint8(32), data)
+    data, ends = _joined(texts)
+    data = _without_edges(data)
     starts, lengths, hashes = words(data)
-    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    text = np.searchsorted(ends, starts, "right")
     which, eight = np.uint64(TOXIC - 1), np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[starts]
     features = np.empty((1 + len(BEGINNINGS), len(starts)), np.int64)
     features[0] = hashes & which
@@ -153,7 +214,7 @@ def toxicity(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     text, hashes, features = toxic_features(texts)
     weight = table[features].max(0) if len(text) else np.zeros(0, np.uint8)
     hit = np.flatnonzero(weight)
-    hit = hit[np.unique(hashes[hit] ^ mix64(text[hit].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
+    hit = hit[_one_each(text[hit], hashes[hit])]
     n, found = (np.bincount(t, minlength=len(texts)) for t in (text, text[hit]))
     score = np.bincount(text[hit], weight[hit] / UNIT, len(texts)) / np.sqrt(n + 10)
     return np.where((found > 1) | (n <= SHORT), score, 0.0), found
@@ -197,29 +258,39 @@ def _groups(texts: list[str]) -> Iterator[list[bytes]]:
         yield group
 
 
-def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            if text:
-                k = vote(*measures(text))
-                counts[k] = counts.get(k, 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())] if counts else [pa.array([], pa.string()), pa.array([], pa.int64())], ["votes", "n"])
+def _measured(model: Model, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, measures, words, toxic words) of groups of texts."""
+    table = _table(model.toxic, model.weights)
+    for group in _groups([t or "" for t in texts]):
+        values, n = form(group)
+        score, found = toxicity(table, group)
+        yield group, np.concatenate((values, score[:, None] / model.threshold, found[:, None]), 1), n, found
 
 
-def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, rows = [], []
-        for text in b.column(0).to_pylist():
-            if text:
-                values, n = measures(text)
-                data = np.frombuffer(text.encode().rjust(3), np.uint8)
-                x = np.zeros(TRIGRAMS + _WIDE, np.float32)
-                x[:TRIGRAMS] = np.bincount(_trigram_hashes(data), minlength=TRIGRAMS) / (len(data) - 2)
-                x[TRIGRAMS + _step_features(values)] = 1
-                keys.append(vote(values, n))
-                rows.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, pa.binary())], ["votes", "x"])
+def _count_patterns(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for b in batches:
+            for _, values, n, _ in _measured(model, b.column(0).to_pylist()):
+                for k in votes(values[n > 0], n[n > 0]):
+                    counts[k] = counts.get(k, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
+
+    return run
+
+
+def _training_rows(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, values, n, _ in _measured(model, b.column(0).to_pylist()):
+                x = np.zeros((len(group), TRIGRAMS + len(MEASURES) * _WIDE), np.float32)
+                of, h = _trigrams(group)
+                x[:, :TRIGRAMS] = np.bincount(of * TRIGRAMS + h, minlength=len(group) * TRIGRAMS).reshape(-1, TRIGRAMS) / np.maximum(1, np.bincount(of, minlength=len(group)))[:, None]
+                np.put_along_axis(x, TRIGRAMS + _steps(values), 1, 1)
+                x, some = x[n > 0], n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(votes(values[some], n[some]), pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], ["votes", "x"])
+
+    return run
 
 
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,84 +354,101 @@ def _fit_toxic(told: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return features, fit_on(every), toxic_threshold(judged.column("score").to_numpy(), judged.column("toxic").to_numpy())
 
 
-def _train(rows: list, posterior: dict[str, float], rounds: int = 250) -> tuple[np.ndarray, float]:
+def _train(rows: list, posterior: dict[str, np.ndarray], rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features, classes) and biases of a scorer that gives rows their posteriors."""
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
-    y = np.array([posterior.get(r.votes, 0.5) for r in rows], np.float32)
+    y = np.stack([posterior.get(r.votes, np.full(len(CLASSES), 1 / len(CLASSES))) for r in rows]).astype(np.float32)
     x[:, :TRIGRAMS] *= 30
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
+    w, b = np.zeros((x.shape[1], len(CLASSES)), np.float32), np.log(y.mean(0) + 1e-3).astype(np.float32)
+    m, v = np.zeros((len(w) + 1, len(CLASSES)), np.float32), np.zeros((len(w) + 1, len(CLASSES)), np.float32)
     for i in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = np.append(x.T @ (p - y) / len(y) + 1e-4 * w, (p - y).mean())
+        p = _softmax(x @ w + b)
+        g = np.concatenate((x.T @ (p - y) / len(y) + 1e-4 * w, (p - y).mean(0, keepdims=True)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     w[:TRIGRAMS] *= 30
-    return w, float(b)
+    return w, b
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _picked(seed: int, share: float, *columns: str) -> tuple[Column, Column]:
+    """(condition, order): about a share of the rows by hash, and their order by it."""
+    h = F.xxhash64(F.lit(seed), *columns)
+    return F.pmod(h, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)), F.pmod(h, F.lit(1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text") -> Model:
-    """Learns from docs (doc_id, text_col) and, if there are any, labels (doc_id, toxic 0 or 1; nulls teach nothing). Pattern
-    counts cover all documents; the scorer sees about SAMPLE of them and toxic words come from about LABELLED labelled rows,
-    both picked by hash of doc_id. No documents give a model that keeps all that has words."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", sample: int = SAMPLE, labelled: int = LABELLED) -> Model:
+    """Learns from docs (doc_id, text_col) and, if there are any, labels (doc_id, toxic 0 or 1; nulls teach nothing, and a
+    doc_id with both is toxic). Pattern counts cover all documents; the scorer sees at most `sample` of them, picked by a hash
+    of doc_id and text, and toxic words come from at most `labelled` labelled ids, picked by a hash (of an id's texts the
+    first in order counts). Null ids, repeated rows and other columns do no harm. No documents give a model that keeps all
+    that has words; empty labels are like none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = rows.select("text").mapInArrow(_count_patterns, "votes string, n long").groupBy("votes").agg(F.sum("n")).collect()  # 3^9 rows at most
-    patterns = {k: n for k, n in counted}
-    total = sum(patterns.values())
-    toxic = np.array([int((words(_LOWER[np.frombuffer(w.encode() + b"\n", np.uint8)])[2][0]) & np.uint64(TOXIC - 1)) for w in INSULTS], np.int64)
-    if not total:
-        return Model(np.zeros(TRIGRAMS), np.zeros(_WIDE), 1.0, {}, toxic, np.full(len(toxic), UNIT, np.uint8))
-    posterior = posteriors(patterns)
-    picked = lambda share: F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-    sample = rows.where(picked(SAMPLE / total)).select("text").mapInArrow(_training_rows, "votes string, x binary").collect()
-    scorer, bias = _train(sample, posterior) if sample else (np.zeros(TRIGRAMS + _WIDE, np.float32), 1.0)
-    heavy, threshold = np.full(len(toxic), UNIT, np.uint8), THRESHOLD
+    insults = np.array([int(_word(w) & np.uint64(TOXIC - 1)) for w in INSULTS], np.int64)
+    flat = np.zeros((TRIGRAMS + len(MEASURES) * _WIDE, len(CLASSES)), np.float32)
+    model = Model(flat[:TRIGRAMS], flat[TRIGRAMS:], np.array([1.0, 0, 0], np.float32), {}, insults, np.full(len(insults), UNIT, np.uint8))
     if labels is not None:
-        known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-        few = known.where(picked(LABELLED / max(1, known.count())))
+        known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+        known = cut(known, "labels")
+        some, order = _picked(11, 1.2 * labelled / max(1, known.count()), "doc_id")
+        few = known.where(some).orderBy(order, "doc_id").limit(labelled)
         slot = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(FOLDS)).cast("int") * 2 + F.col("toxic")
-        told = cut(rows.join(F.broadcast(few), "doc_id").select("text", slot.alias("slot")), "labelled")  # LABELLED bounds what is broadcast
+        told = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # `labelled` bounds what is broadcast
+        told = cut(told.select("text", slot.alias("slot")), "labelled")
         features, weights, threshold = _fit_toxic(told)
         drop(told)
+        drop(known)
         if weights.any():
-            toxic, heavy = features, weights
-    return Model(scorer[:TRIGRAMS], scorer[TRIGRAMS:], bias, posterior, toxic, heavy, threshold)
+            model.toxic, model.weights, model.threshold = features, weights, threshold
+    counted = rows.select("text").mapInArrow(_count_patterns(model), "votes string, n long").groupBy("votes").agg(F.sum("n")).collect()  # 3^11 rows at most
+    patterns = {k: n for k, n in counted}
+    total = sum(patterns.values())
+    if not total:
+        return model
+    model.posterior = posteriors(patterns)
+    some, order = _picked(13, 1.2 * sample / total, "doc_id", "text")
+    taught = rows.where(some).orderBy(order).limit(sample).select("text").mapInArrow(_training_rows(model), "votes string, x binary").collect()
+    if taught:
+        w, model.bias = _train(taught, model.posterior)
+        model.trigrams, model.steps = w[:TRIGRAMS], w[TRIGRAMS:]
+    return model
 
 
-NEW = (("votes", T.StringType(), pa.string()), ("posterior", T.DoubleType(), pa.float64()), ("quality", T.DoubleType(), pa.float64()), ("toxic_words", T.LongType(), pa.int64()), ("kept", T.BooleanType(), pa.bool_()))
+NEW = (("votes", T.StringType(), pa.string()), ("posterior", T.DoubleType(), pa.float64()), ("quality", T.DoubleType(), pa.float64()), ("toxicity", T.DoubleType(), pa.float64()), ("toxic_words", T.LongType(), pa.int64()), ("kept", T.BooleanType(), pa.bool_()))
 
 
 def _score(model: Model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model.toxic, model.weights)
         for b in batches:
-            texts = [t or "" for t in b.column(text_at).to_pylist()]
-            votes, posterior, quality, bad, scores = [], [], [], [], []
-            for group in _groups(texts):
-                score, found = toxicity(table, group)
-                scores += score.tolist()
-                bad += found.tolist()
-                for text in group:
-                    values, n = measures(text.decode())
-                    votes.append(k := vote(values, n))
-                    posterior.append(model.posterior.get(k))
-                    if not n:
-                        quality.append(0.0)
-                        continue
-                    z = model.bias + model.trigrams[_trigram_hashes(np.frombuffer(text.rjust(3), np.uint8))].mean() + model.steps[_step_features(values)].sum()
-                    quality.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            new = [votes, posterior, quality, bad, [q >= GOOD and t < model.threshold for q, t in zip(quality, scores)]]
+            new: list[list] = [[] for _ in NEW]
+            for group, values, n, found in _measured(model, b.column(text_at).to_pylist()):
+                of, h = _trigrams(group)
+                each = np.maximum(1, np.bincount(of, minlength=len(group)))
+                z = np.stack([np.bincount(of, model.trigrams[h, c], len(group)) / each for c in range(len(CLASSES))], 1)
+                p = _softmax(z + model.steps[_steps(values)].sum(1) + model.bias)
+                p[n == 0] = 0
+                letters = votes(values, n)
+                posterior = [model.posterior[k][0] if k in model.posterior else None for k in letters]
+                for column, x in zip(new, (letters, posterior, p[:, 0].tolist(), p[:, 2].tolist(), found.tolist(), (p[:, 0] >= GOOD).tolist())):
+                    column.extend(x)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, kind) for x, (_, _, kind) in zip(new, NEW)]], [*b.schema.names, *[n for n, _, _ in NEW]])
 
     return run
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with votes, posterior (of the votes; null for votes that fit() has not met), quality (the scorer's probability that
-    the document is good), toxic_words (different ones found) and kept: quality of GOOD or more and toxicity below the threshold.
+    """docs with votes, posterior (of being good by the votes; null for votes that fit() has not met), quality and toxicity (the
+    scorer's probabilities that the document is good or toxic), toxic_words (different ones found) and kept: quality of GOOD
+    or more.
 
-    A text that is null or has no words has quality 0 and is not kept. Every row is judged by itself, so repeated rows agree.
-    Columns of docs with the names of new ones are replaced, all others stay.
+    A text that is null or has no words has quality 0 and is not kept; a very long one is judged as a whole. Every row is
+    judged by itself, so repeated rows agree, and an empty table gives no rows. Columns of docs with the names of new ones
+    are replaced, all others stay.
     """
     rows = docs.drop(*[n for n, _, _ in NEW])
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, kind) for n, kind, _ in NEW]])

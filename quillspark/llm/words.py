@@ -16,9 +16,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, lengths, 64-bit hashes) of the runs of bytes that are not ASCII white space."""
-    text = np.flatnonzero(~SPACE[data])
+def words(data: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, 64-bit hashes) of the runs of bytes that are not ASCII white space, or not what between[byte] says."""
+    text = np.flatnonzero(~between[data])
     if not len(text):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
