@@ -28,9 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         x, y = least.select(F.col("v").alias("a"), F.col("m").alias("ma")), least.select(F.col("v").alias("b"), F.col("m").alias("mb"))
         left = e.join(x, "a").join(y, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         left = cut(left, "edges")
-        for old in (e, labels, least):
-            if old is not None:
-                drop(old)
+        drop(e, labels, least)
         e, labels = left, named
         if e.isEmpty():
             drop(e)

@@ -6,22 +6,27 @@ are thus spread over the slots, which lowers the variance, and once all slots ho
 skipped. Here an element's order is an affine permutation of the slots, so that visits of all elements are one array.
 
 Bands of the signature give buckets. Documents with equal sets are one class, and only its smallest id goes into buckets.
+Texts are never shuffled: ids in buckets of several classes go into a bitmap of fixed size, by which a second pass over the
+texts picks those whose sets it writes; ids that share a bit only cost a set that nothing asks for.
+
 Links are looked for in rounds. In the first two each bucket picks a few centres, and its members are compared with these
-alone; linked members are one component from then on. The last round compares all members of a bucket that are still in
+alone; linked members are one component from then on. The last round compares members of a bucket that are still in
 different components, each pair in the first bucket that it shares. So groups of many near copies grow together without all
-their pairs, and no pair that shares a bucket is left out. Families of which buckets have very many such pairs are compared
-in blocks of their sets, block against block, and only a forest of the links found leaves a task. A pair that sizes and a
-sketch of the signature leave possible is confirmed on the full sets.
+their pairs, and no pair that shares a bucket is left out. Members of buckets with very many such pairs are compared by a
+prefix filter instead: of two sets that are similar enough, the shingles that are rare among these members and come first
+share one, at places that leave the similarity possible. A pair that sizes and, for larger sets, a sketch of the signature
+leave possible is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
@@ -31,12 +36,15 @@ from .words import words as word_arrays
 
 #: Slots of a signature (a power of two); bands and rows of each: at 0.8 they miss one pair in several millions.
 SLOTS, BANDS, ROWS = 256, 40, 5
-#: Bits of 64 in which two sketches may differ; at a similarity of 0.8 they differ in 6.4, with a deviation of 2.4.
-SKETCH_BITS = 22
+#: Bits of 64 in which two sketches may differ (at a similarity of 0.8 they differ in 6.4, with a deviation of 2.4), and
+#: shingles that both sets need for that: slots of smaller ones depend on one another, and comparing those costs little.
+SKETCH_BITS, SKETCH_LEAST = 22, 64
 #: Seeds by which buckets pick centres, by round; 0 picks the smallest id.
 ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))
-#: Pairs in different components from which a bucket is hot, and shingles in a block of a family's sets.
-HOT_PAIRS, BLOCK = 500, 1 << 18
+#: Pairs in different components from which a bucket is hot.
+HOT_PAIRS = 500
+#: Bits of the map of ids in shared buckets (8 MB, however many ids), in rows of Spark's bitmaps of 32768 bits.
+ID_BITS, ROW_BITS = 1 << 26, 1 << 15
 #: Bytes of text that one array holds, if no text is longer.
 AT_ONCE = 1 << 18
 _U = np.uint64
@@ -129,9 +137,31 @@ def _sign(words: int):
     return run
 
 
-def _sets(words: int):
+def _bit_of(doc_id: np.ndarray) -> np.ndarray:
+    return (mix64(doc_id.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15)) & _U(ID_BITS - 1)).astype(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_bit_of(b.column(0).to_numpy(zero_copy_only=False)))], ["bit"])
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """ID_BITS bits as bytes; ids: (doc_id) without nulls. ID_BITS bounds what is collected and sent to the tasks."""
+    row, at = F.floor(F.col("bit") / ROW_BITS).cast("int").alias("row"), F.col("bit") % ROW_BITS
+    rows = ids.mapInArrow(_bits, "bit long").groupBy(row).agg(F.call_function("bitmap_construct_agg", at).alias("bits")).toArrow()
+    out = np.zeros((ID_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for i, bits in zip(rows["row"].to_pylist(), rows["bits"]):
+        out[i] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.ravel()
+
+
+def _sets(words: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            bit = _bit_of(b.column(0).to_numpy())
+            b = b.filter(pa.array(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)], pa.binary())], ["doc_id", "shingles"])
@@ -139,6 +169,25 @@ def _sets(words: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, of, n, shingle) of each element of sets that are bytes, about a million at a time; of tells the sets of one id
+    apart, n is the set's size."""
+    for b in batches:
+        sets = [x.as_buffer() for x in b.column(1)]
+        at = 0
+        while at < len(sets):
+            end, size = at, 0
+            while end < len(sets) and (end == at or size + sets[end].size <= 8 << 20):
+                size += sets[end].size
+                end += 1
+            n = np.array([x.size // 8 for x in sets[at:end]], np.int64)
+            of = np.array([zlib.crc32(x) for x in sets[at:end]], np.int64)
+            ids = b.column(0).slice(at, end - at).to_numpy()
+            values = np.frombuffer(b"".join(sets[at:end]), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)) for x in (ids, of, n)] + [pa.array(values)], ["doc_id", "of", "n", "shingle"])
+            at = end
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +206,10 @@ def _confirm(percent: int):
     return run
 
 
-def _possible(n: str, sketch: str, m: str, other: str, percent: int):
+def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
     """Whether sizes and sketches leave the similarity possible."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.bit_count(F.col(sketch).bitwiseXOR(F.col(other))) <= SKETCH_BITS)
+    near = (F.least(n, m) < SKETCH_LEAST) | (F.bit_count(F.col(sketch).bitwiseXOR(F.col(other))) <= SKETCH_BITS)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,73 +236,63 @@ def _with_centres(named: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
 
 
 def _across(left: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs of a bucket's members in different components and not in one family; left: (doc_id, bucket, n, sketch,
-    component_id, buckets, family)."""
-    cold = left.where("not hot").select("doc_id", "bucket", "n", "sketch", "component_id", "buckets", "family")
-    x, y = cold.toDF("xd", "bucket", "xn", "xs", "xc", "xb", "xf"), cold.toDF("yd", "bucket", "yn", "ys", "yc", "yb", "yf")
+    """All possible pairs of a bucket's members in different components; left: (doc_id, bucket, n, sketch, component_id,
+    buckets)."""
+    x, y = left.toDF("xd", "bucket", "xn", "xs", "xc", "xb"), left.toDF("yd", "bucket", "yn", "ys", "yc", "yb")
     first_shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda z: z.isNotNull())[0]
-    apart = (F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd")) & ~F.coalesce(F.col("xf") == F.col("yf"), F.lit(False))
+    apart = (F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd"))
     return x.join(y, "bucket").where(apart & _possible("xn", "xs", "yn", "ys", percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
 
 
-def _with_families(named: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, whether the bucket is hot, and the family of those in hot buckets."""
-    each = named.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("low"))
-    mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.min("low").alias("low")).where("parts > 1")
-    left = cut(named.join(mixed.select("bucket", (F.col("pairs") >= HOT_PAIRS).alias("hot"), "low"), "bucket"), "minhash-mixed")
-    families = components(left.where("hot").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
-    families = families.select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
-    return cut(left.drop("low").join(numbers, "doc_id").join(families, "doc_id", "left"), "minhash-left")
-
-
-def _compare_blocks(percent: int):
-    """Links between two blocks of a family, as edges of a forest."""
-
-    def run(table: pa.Table) -> pa.Table:
-        i = table["i"][0].as_py()
-        j = table["j"][0].as_py()
-        table = table.combine_chunks()
-        ids, parts, block, n, sketch = (table[c].to_numpy() for c in ("doc_id", "component_id", "block", "n", "sketch"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-        sketch = sketch.view(np.uint64)
-        values, which = np.unique(np.concatenate(sets), return_inverse=True)
-        size = np.array([len(x) for x in sets])
-        edge = np.concatenate(([0], np.cumsum(size)))
-        flags, label, found = np.zeros(len(values), bool), parts.copy(), []
-        ask, given = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for x in ask:
-            y = given[given > x] if i == j else given
-            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & (np.bitwise_count(sketch[y] ^ sketch[x]) <= SKETCH_BITS)]
-            if not len(y):
-                continue
-            mine = which[edge[x] : edge[x + 1]]
-            flags[mine] = True
-            both = np.array([np.count_nonzero(flags[which[edge[k] : edge[k + 1]]]) for k in y])
-            flags[mine] = False
-            for k in y[100 * both >= percent * (size[x] + size[y] - both)]:
-                if label[k] != label[x]:
-                    found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
-                    low, high = sorted((label[x], label[k]))
-                    label[label == high] = low
-        a, b = zip(*found) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _unfinished(named: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, and whether the bucket is hot."""
+    each = named.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("k"))
+    pairs = (F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))) / 2
+    mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), pairs.alias("pairs")).where("parts > 1")
+    mixed = cut(mixed.select("bucket", (F.col("pairs") >= HOT_PAIRS).alias("hot")), "minhash-mixed")  # else a hot bucket's join cannot be split
+    out = cut(named.join(mixed, "bucket"), "minhash-left")
+    drop(mixed)
+    return out
+
 
-    return run
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (a, b) of members (doc_id, component_id) in different components, by the shingles that they share among
+    those of each that come first.
+
+    Shingles are ordered by the number of members that have them, then by hash. Of two sets that are similar enough, the
+    larger has its first shared shingle among the first n - t n + 1, the smaller among the first n - 2t / (1 + t) n + 1, and
+    behind it each has at least what both must share. The members of a shingle's most frequent component are not compared
+    with one another, so a shingle of one large component makes as many pairs as it has other members.
+    """
+    t = percent / 100
+    at_least = lambda share, n: F.ceil(F.lit(share) * n - 1e-6)
+    elements = cut(sets.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(_elements, "doc_id long, of long, n long, shingle long"), "minhash-elements")
+    found = cut(elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("had")), "minhash-had")
+    place = F.row_number().over(Window.partitionBy("doc_id", "of").orderBy("had", "shingle"))
+    first = elements.join(found, "shingle").withColumn("place", place)
+    first = first.where((F.col("had") > 1) & (F.col("place") <= F.col("n") - at_least(t, F.col("n")) + 1)).select("shingle", "place", "doc_id", "n")
+    first = cut(first.join(members, "doc_id"), "minhash-first")
+    each = first.groupBy("shingle", "component_id").agg(F.count(F.lit(1)).alias("k"))
+    mixed = cut(each.groupBy("shingle").agg(F.max_by("component_id", F.struct("k", "component_id")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "minhash-mixed")
+    sent = cut(first.join(mixed, "shingle"), "minhash-sent")
+    drop(elements, found, first, mixed)
+    side = lambda s: ["shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("place", "doc_id", "n", "component_id")]]
+    x, y = sent.where("component_id <> most").select(*side("x")), sent.select(*side("y"))
+    early = lambda s: F.col(f"{s}_place") <= F.col(f"{s}_n") - at_least(2 * t / (1 + t), F.col(f"{s}_n")) + 1
+    smaller = F.when(F.col("x_n") < F.col("y_n"), early("x")).when(F.col("x_n") > F.col("y_n"), early("y")).otherwise(early("x") & early("y"))
+    room = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= at_least(t / (1 + t), F.col("x_n") + F.col("y_n"))
+    sizes = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    pairs = x.join(y, "shingle").where((F.col("x_component_id") != F.col("y_component_id")) & sizes & smaller & room)
+    out = cut(pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct(), "minhash-pairs")
+    drop(sent)
+    return out
 
 
-def _in_families(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a family in different components. Members are ordered by size and cut into blocks; two blocks
-    whose sizes exclude the similarity do not meet."""
-    members = left.where("family is not null").select("family", "doc_id", "n", "sketch", "component_id").dropDuplicates(["doc_id"])
-    before = Window.partitionBy("family").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = cut(members.withColumn("block", F.floor((F.sum("n").over(before) - F.col("n")) / BLOCK).cast("int")), "minhash-family")
-    blocks = members.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    others = blocks.groupBy("family").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("others"))
-    sent = members.join(blocks, ["family", "block"]).join(others, "family")
-    meets = F.filter("others", lambda o: 100 * F.least(o["hi"], F.col("hi")) >= percent * F.greatest(o["lo"], F.col("lo")))
-    sent = sent.withColumn("o", F.explode(F.transform(meets, lambda o: o["block"])))
-    sent = sent.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "n", "sketch", "component_id")
-    return sent.join(sets, "doc_id").groupBy("family", "i", "j").applyInArrow(_compare_blocks(percent), "a long, b long")
+def _same_ids(told: DataFrame) -> DataFrame | None:
+    """Edges between the classes of an id that stands for several texts, if there is any."""
+    several = told.where("class_id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
+    several = cut(several.select("doc_id", "a"), "minhash-same")
+    return None if several.isEmpty() else cut(told.join(several, "doc_id").select("a", F.col("class_id").alias("b")).where("a <> b").distinct(), "minhash-same")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -260,41 +300,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     similarity of at least percent / 100 are linked; component_id is the smallest doc_id that links lead to, and kept says
     whether it is the document's own.
 
-    A text of fewer words than a shingle is one shingle; without words, or null, it is empty, linked with nothing and kept. Rows
-    with equal sets are linked. A row whose id is null is nobody's smallest: it is kept only if its class has no id. Other
-    columns are left out; no rows give none. Sets are compared by 64-bit hashes of their shingles.
+    A text of fewer words than a shingle is one shingle; without words, or null, it is empty, linked with nothing and kept.
+    However long a text is, all its shingles count. Rows with equal sets are linked. Rows of one doc_id with different texts
+    are one document that any of its texts links. A row whose id is null is nobody's smallest: it is kept only if its class
+    has no id, and it is linked with exact copies alone. Other columns are left out; no rows give none. Sets are compared by
+    64-bit hashes of their shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(rows.mapInArrow(_sign(words), "doc_id long, n_shingles long, digest binary, buckets array<long>, sketch long"), "minhash-signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    members = cut(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "class_id"), "minhash-members")
-    own = members.where("doc_id = class_id").select("doc_id").distinct()
-    entries = signed.where("digest is not null").join(own, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), "sketch", F.explode("buckets").alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    shared = entries.withColumn("_lo", F.min("doc_id").over(bucket)).withColumn("_hi", F.max("doc_id").over(bucket)).where("_lo <> _hi").select("bucket", "doc_id", "n", "sketch")
-    shared = cut(shared, "minhash-buckets")
-    in_buckets = shared.select("doc_id").distinct()
-    sets = cut(rows.join(in_buckets, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "minhash-sets")
-    numbers = cut(signed.where("digest is not null").select("doc_id", "buckets").join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-numbers")
-    drop(signed)
-    labels = links = asked = None
+    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
+    own = F.col("doc_id") == F.col("class_id")
+    told = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", "class_id", F.when(own, F.col("sketch")).alias("sketch"), F.when(own, F.col("buckets")).alias("buckets"))
+    told = cut(told, "minhash-told")
+    drop(signed, classes)
+    one = told.where("buckets is not null").select("doc_id", F.col("n_shingles").alias("n"), "sketch", "buckets")
+    entries = one.select("doc_id", "n", "sketch", F.explode("buckets").alias("bucket"))
+    several = cut(entries.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket"), "minhash-several")
+    shared = cut(entries.join(several, "bucket").select("bucket", "doc_id", "n", "sketch"), "minhash-buckets")
+    drop(several)
+    in_buckets = cut(shared.select("doc_id").distinct(), "minhash-ids")
+    sets = cut(rows.mapInArrow(_sets(words, _bitmap(in_buckets)), "doc_id long, shingles binary"), "minhash-sets")
+    labels = asked = None
+    links = _same_ids(told)
+    done = [sets, shared, in_buckets]
     for seeds in ROUNDS:
         named = cut(_named(shared, labels), "minhash-named")
         pairs = _with_centres(named, seeds, percent)
         pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
         found = cut(_links(pairs, sets, percent), "minhash-links")
         drop(named)
+        done += [pairs, found]
         asked = pairs if asked is None else asked.unionByName(pairs)
         if labels is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
+            done.append(labels)
             labels = components(links)
-    left = _with_families(_named(shared, labels), numbers)
-    pairs = cut(_across(left, percent).join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
-    found = cut(_links(pairs, sets, percent).unionByName(_in_families(left, sets, percent)), "minhash-links")
+    left = _unfinished(_named(shared, labels))
+    numbers = one.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "sketch"])
+    cold = cut(left.where("not hot").select("doc_id", "bucket", "n", "sketch", "component_id").join(numbers, ["doc_id", "n", "sketch"]).select("doc_id", "bucket", "n", "sketch", "component_id", "buckets"), "minhash-cold")
+    hot = cut(left.where("hot").select("doc_id", "component_id").distinct(), "minhash-hot")
+    pairs = _across(cold, percent)
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_by_prefix(hot, sets, percent)).distinct()
+    pairs = cut(pairs.join(asked, ["a", "b"], "left_anti"), "minhash-pairs")
+    found = cut(_links(pairs, sets, percent), "minhash-links")
     if not found.isEmpty():
+        done.append(labels)
         labels = components(links.unionByName(found))
-    drop(left)
-    for old in (shared, sets, numbers):
-        drop(old)
-    out = members.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id", "doc_id"))
+    drop(left, cold, hot, pairs, found, *done)
+    out = told.select("doc_id", "n_shingles", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
