@@ -68,6 +68,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_packing, op6_fingerprints, op7_warc, op8_minhash_dedup, op9_embedding_dedup, op10_mixing)}
 
+_HALVES, _MULTIPLIER = [], fingerprints.BASE
+for _step in (1, 2, 4, 8):
+    _HALVES.append(f"h{2 * _step} AS (SELECT r, kind, z, p, (h * {_MULTIPLIER}::UBIGINT + lead(h, {_step}) OVER (PARTITION BY r, kind ORDER BY p)) % 4294967296 AS h FROM h{_step})")
+    _MULTIPLIER = _MULTIPLIER * _MULTIPLIER % (1 << 32)
+_MIXED = f"(xor({{0}}, ({{0}}) >> 15) * {fingerprints.MIX}::UBIGINT % 4294967296)"
+_MIXED = f"xor({_MIXED}, {_MIXED} >> 13)"
+_FINGERPRINTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS following FROM d),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 4) || substr(following, 1, length(t) // 4) AS e FROM n),
+x AS (SELECT r, 0 AS kind, regexp_extract_all(t, '.', 0, 's') AS c FROM e UNION ALL SELECT r, 1, regexp_extract_all(e, '.', 0, 's') FROM e),
+u AS (SELECT r, kind, len(c) AS z, unnest(c) AS c, unnest(range(len(c))) AS p FROM x),
+m AS (SELECT r, kind, z, p, CAST(unicode(c) + 1 AS UBIGINT) AS v FROM u),
+h1 AS (SELECT r, kind, z, p, {_MIXED.format("v")} AS h FROM m),
+{", ".join(_HALVES)},
+short AS (SELECT r, kind, z, list(h ORDER BY p) AS hs FROM h1 WHERE z < 16 GROUP BY ALL),
+f AS (SELECT r, kind, z, p, h FROM h16 WHERE p + 16 <= z UNION ALL SELECT r, kind, z, 0, list_reduce(list_prepend(CAST(z AS UBIGINT), hs), lambda a, b: (a * {fingerprints.BASE}::UBIGINT + b) % 4294967296) FROM short),
+g AS (SELECT r, kind, greatest(1, z - 15) AS grams, p, ({_MIXED.format("h")} << 32) + 4294967295 - p AS key FROM f),
+v AS (SELECT r, kind, grams, p, min(key) OVER (PARTITION BY r, kind ORDER BY p ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS key FROM g),
+k AS (SELECT DISTINCT r, kind, key >> 32 AS h, 4294967295 - key % 4294967296 AS p FROM v WHERE p + 1 >= least(64, grams)),
+a AS (SELECT r, kind, string_agg(printf('%08x:%d', CAST(h AS BIGINT), CAST(p AS BIGINT)), ' ' ORDER BY p) AS f, list(DISTINCT h) AS hs FROM k GROUP BY ALL),
+b AS (SELECT e.*, coalesce(a.f, '') AS f, coalesce(a.hs, []) AS hs, coalesce(ae.f, '') AS ef, coalesce(ae.hs, []) AS ehs FROM e LEFT JOIN a ON a.r = e.r AND a.kind = 0 LEFT JOIN a AS ae ON ae.r = e.r AND ae.kind = 1),
+w AS (SELECT *, coalesce(lead(hs) OVER (ORDER BY r), first_value(hs) OVER (ORDER BY r)) AS nhs FROM b),
+j AS (SELECT *, len(list_intersect(hs, ehs)) AS ie, len(list_intersect(hs, nhs)) AS i2 FROM w)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, f AS fingerprint, ef AS edited_fingerprint,
+  CASE WHEN len(hs) + len(ehs) = 0 THEN 1.0 ELSE CAST(ie AS DOUBLE) / (len(hs) + len(ehs) - ie) END AS near_edited,
+  CASE WHEN len(hs) + len(nhs) = 0 THEN 1.0 ELSE CAST(i2 AS DOUBLE) / (len(hs) + len(nhs) - i2) END AS near_next FROM j
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
 WITH r(rh, rp, verdict) AS (VALUES ('org','/','allow'), ('example.org','/es/','block'), ('example.org','/en/1','block'), ('com','/fr/','allow'), ('com','/de/','block')),
@@ -87,6 +116,37 @@ r AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z, lag(max(p) + 100) OVER (
 t AS (SELECT r.doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS z, string_agg(substr(d.h, 2 * coalesce(since, 0) + 1, 2 * (a - coalesce(since, 0))), '' ORDER BY k) AS kept FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
 SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(t.kept || substr(d.h, 2 * t.z + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+""",
+    # Right for the given pages, whose markup is plain; the operator takes any.
+    "op4_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+t AS (SELECT page_id, url, replace(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"') AS t FROM a),
+r AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM r
+""",
+    "op6_fingerprints": _FINGERPRINTS_SQL,
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS low FROM p),
+f AS (SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(s, 5 * g + 1, 5) AS BIGINT)) AS fives FROM d),
+b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)) AS letters FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+  CASE WHEN low IS NULL OR page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN low IS NULL OR page_id = low THEN NULL ELSE low END AS refers_to FROM b
+""",
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, row_number() OVER () AS i FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][no % 3 + 1] AS DOUBLE) AS w, CAST(3 * z AS DOUBLE) AS cap, CAST(sum(z) OVER () AS DOUBLE) AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, coalesce(least(cap, w * (SELECT level FROM l WHERE cap > level * w ORDER BY cap / w, no LIMIT 1)), cap) AS target FROM l),
+k AS (SELECT *, greatest(1, CAST(floor(target / 1024) AS BIGINT)) AS packet FROM t),
+q AS (SELECT d.*, z, no, target, packet, coalesce(sum(size) OVER (PARTITION BY no ORDER BY md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+c AS (SELECT i, no, target, packet, size, z * copy + start AS start FROM q, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0 AND z * copy + start <= 2 * target),
+e AS (SELECT i, no, target, packet, size, start, unnest(range(0, size, packet)) AS before FROM c),
+p AS (SELECT i, no, target, start + before AS b, least(packet, size - before) AS n FROM e),
+o AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY CAST(b + n AS DOUBLE) / target, no, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM p),
+g AS (SELECT i, CAST(sum(least(n, total - gone)) AS BIGINT) AS taken FROM o, (SELECT CAST(round(sum(target)) AS BIGINT) AS total FROM t) WHERE gone < total GROUP BY i)
+SELECT doc_id, size, z AS source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN g USING (i)
 """,
     "op8_minhash_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
