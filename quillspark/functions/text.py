@@ -53,6 +53,11 @@ def fingerprint(c: Column | str) -> Column:
     return F.sha2(_c(c), 256)
 
 
+def set_fingerprint(order: str, c: str) -> Column:
+    """An aggregate: one hash of the texts of a group in their order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, fingerprint(c).alias("h")))), lambda r: r["h"]), ""), 256)
+
+
 def position(text: Column | str, quote: Column | str) -> Column:
     """0-based place of the first occurrence, -1 if there is none."""
     return F.call_function("instr", _c(text), _c(quote)) - 1

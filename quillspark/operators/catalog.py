@@ -13,6 +13,36 @@ def count_documents(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count(F.lit(1)).alias("total")).withColumn("over_limit", F.col("total") > MOST_ROWS)
 
 
+def exact_count(documents: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """A1: the total alone; more than `most` is an error, as the answer to a question must be exact."""
+    n = F.count(F.lit(1))
+    return documents.agg(F.when(n <= most, n).otherwise(F.raise_error(F.concat(F.lit("STRUCTURED_SCOPE_LIMIT "), n.cast("string"))).cast("long")).alias("total"))
+
+
+def ordered_json(order: str, value: str) -> Column:
+    """An aggregate: the values of a group as a JSON array in an order."""
+    return F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value]))
+
+
+def revocations(rows: DataFrame, key: str, revoked: Column, at: str) -> DataFrame:
+    """(key, revoked_at, revocations): the last time and the number of rows that revoke."""
+    return rows.groupBy(key).agg(F.max(F.when(revoked, F.col(at))).alias("revoked_at"), F.count_if(revoked).alias("revocations"))
+
+
+def union_all(*views: DataFrame) -> DataFrame:
+    """All rows of views with the same columns, by name."""
+    out = views[0]
+    for v in views[1:]:
+        out = out.unionByName(v)
+    return out
+
+
+def with_overall(rows: DataFrame, wanted: Column, size: str) -> DataFrame:
+    """A2: (total, total_size, overall_total, overall_size): of the rows that are wanted next to all, in one pass."""
+    some = F.when(wanted, F.col(size))
+    return rows.agg(F.count_if(wanted).alias("total"), F.coalesce(F.sum(some), F.lit(0)).alias("total_size"), F.count(F.lit(1)).alias("overall_total"), F.coalesce(F.sum(size), F.lit(0)).alias("overall_size"))
+
+
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page in a total order; it plans as one top-k."""
     if not 0 <= offset <= 100_000 or not 1 <= limit <= 100:

@@ -61,3 +61,9 @@ def merge_rerank(fused: DataFrame, scores: DataFrame) -> DataFrame:
 def revalidate(candidates: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose revision, content and hash are still the current ones."""
     return candidates.join(current.select(*keys).distinct(), keys, "left_semi")
+
+
+def sources(rows: DataFrame, readable: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """U8: current and past sources by key, the last version of each, and whether it may still be read."""
+    ok = readable.select(*keys).distinct().withColumn("_ok", F.lit(True))
+    return rows.groupBy(*keys).agg(F.max(version).alias(version)).join(ok, keys, "left").select(*keys, version, F.coalesce("_ok", F.lit(False)).alias("authorised"))

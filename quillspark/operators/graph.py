@@ -131,23 +131,51 @@ def exclusion_problems(facts: DataFrame, excluded: DataFrame, key: str) -> DataF
     return kept.join(F.broadcast(unknown), how="inner")  # one row each
 
 
-def approved(review: DataFrame, snapshot: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(samples, approved): each sample of the snapshot is reviewed with equal fields, supported and with a reason."""
+def approved(review: DataFrame, snapshot: DataFrame, keys: list[str], fields: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by ..., samples, approved): each sample of the snapshot is reviewed with equal fields, supported and with a reason."""
     r = review.select(*keys, "verdict", "reason", *[F.col(f).alias(f"_{f}") for f in fields])
     j = snapshot.join(r, keys, "left")
     same = F.lit(True)
     for f in fields:
         same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
-    ok = same & (F.col("verdict") == "SUPPORT") & (F.length(F.trim("reason")) > 0)
-    return j.agg(F.count(F.lit(1)).alias("samples"), F.coalesce(F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("approved"))
+    ok = F.coalesce(same & (F.col("verdict") == "SUPPORT") & (F.length(F.trim("reason")) > 0), F.lit(False))
+    return j.groupBy(*by or []).agg(F.count(F.lit(1)).alias("samples"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("approved"))
 
 
 def relocated(targets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Targets whose quote stands in exactly one chunk of their document, with the new offsets."""
+    """Targets whose quote stands in exactly one chunk of their document, with the new offsets. With columns type and name,
+    targets that agree in both in a chunk are one, the smallest id."""
     j = targets.join(chunks, "document_id").where(F.contains("content", "quote"))
     n = F.count(F.lit(1)).over(Window.partitionBy("target_id"))
     at = F.call_function("instr", F.col("content"), F.col("quote")) - 1
-    return j.withColumn("_n", n).where("_n = 1").select("target_id", "chunk_id", at.alias("start"), (at + F.char_length("quote")).alias("end"))
+    found = j.withColumn("_n", n).where("_n = 1").withColumns({"start": at, "end": at + F.char_length("quote")})
+    if {"type", "name"} <= set(targets.columns):
+        name = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
+        first = F.row_number().over(Window.partitionBy("chunk_id", "type", name).orderBy("target_id"))
+        found = found.withColumn("_n", first).where("_n = 1")
+    return found.select("target_id", "chunk_id", "start", "end")
+
+
+def shared(rows: DataFrame, object_key: str, key: str) -> DataFrame:
+    """(key) of those whose object another key uses too; objects are counted, so one of very many rows makes no pairs."""
+    k = rows.select(object_key, key).distinct()
+    used = k.groupBy(object_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return k.join(used, object_key, "left_semi").select(key).distinct()
+
+
+def wrong_types(entities: DataFrame, cells: DataFrame, column: str, wanted: str) -> DataFrame:
+    """Entities (row_id, entity_id, name, type) that are named as a cell of the column in their row and do not have the type
+    that the column stands for. cells: (row_id, column, value), as table_values() gives them."""
+    name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    values = cells.where(F.col("column") == column).select("row_id", name("value").alias("_name")).distinct()
+    return entities.where(F.col("type") != wanted).withColumn("_name", name("name")).join(values, ["row_id", "_name"], "left_semi").select("row_id", "entity_id").distinct()
+
+
+def flagged_relations(relations: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Relations (row_id, subject, object, ...) that a flagged entity is an end of."""
+    f = flagged.select("row_id", F.col("entity_id").alias("_e")).distinct()
+    hit = lambda end: relations.join(f.withColumnRenamed("_e", end), ["row_id", end], "left_semi")
+    return hit("subject").unionByName(hit("object")).distinct()
 
 
 def snapshot(assertions: DataFrame, by: str) -> DataFrame:

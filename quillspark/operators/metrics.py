@@ -25,6 +25,39 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(y, keys).where("start < _e and end > _s").drop("_s", "_e")
 
 
+#: Words of a quote that look it up.
+ANCHOR = 8
+
+
+def _grams(words: str, n: int) -> Column:
+    """Distinct hashes of all runs of n words."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
+
+
+def containing(quotes: DataFrame, documents: DataFrame, key: str | None = None) -> DataFrame:
+    """(quote_id, document_id) of the documents that a quote stands in, word for word. quotes: (quote_id, quote, ...),
+    documents: (document_id, text); with a key, a quote is only looked for in documents of its own key.
+
+    Without one, words look quotes up: between blanks, whatever stands in a quote behind its first and before its last word
+    are words of each text that contains it. ANCHOR of them, or the first if there are fewer, join texts and quotes by hash.
+    Quotes of one or two words have none and are compared with all texts.
+    """
+    holds = F.contains("text", "quote") & (F.length("quote") > 0)
+    if key:
+        return quotes.select("quote_id", "quote", key).join(documents, key).where(holds).select("quote_id", "document_id")
+    words = lambda c: F.split(c, " ")
+    q = quotes.select("quote_id", "quote").withColumn("_w", words("quote")).withColumn("_n", F.size("_w") - 2)
+    d = documents.select("document_id", "text").withColumn("_w", words("text"))
+    out = q.where("_n < 1").select("quote_id", "quote").join(documents, how="cross").where(holds).select("quote_id", "document_id")
+    for n, some in ((ANCHOR, q.where(F.col("_n") >= ANCHOR)), (1, q.where((F.col("_n") >= 1) & (F.col("_n") < ANCHOR)))):
+        looked = some.select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("_w", 2, n), " ")).alias("_h"))
+        pairs = d.select("document_id", F.explode(_grams("_w", n)).alias("_h")).join(looked.select("quote_id", "_h"), "_h").select("quote_id", "document_id").distinct()
+        found = pairs.join(documents.select("document_id", "text"), "document_id").join(quotes.select("quote_id", "quote"), "quote_id")
+        out = out.unionByName(found.where(holds).select("quote_id", "document_id"))
+    return out.distinct()
+
+
 def covered(questions: DataFrame) -> DataFrame:
     """A question passes if all of its references are hit; rows (question_id, hit)."""
     return questions.groupBy("question_id").agg(F.bool_and("hit").alias("passed"), F.count(F.lit(1)).alias("quotes"))

@@ -13,10 +13,13 @@ LEVELS = {"READ": 1, "WRITE": 2, "ADMIN": 3}
 
 @dataclass(frozen=True)
 class Identity:
+    """Who asks. member_id is the membership that documents name as their creator; the user's own id where it is left out."""
+
     tenant_id: int
     user_id: int
     department_id: int | None
     clearance: int
+    member_id: int | None = None
 
 
 def granting(request: str, highest: str = "ADMIN") -> list[str]:
@@ -29,22 +32,41 @@ def level(permission: Column) -> Column:
     return F.when(permission == "ADMIN", 3).when(permission == "WRITE", 2).when(permission == "READ", 1).otherwise(0)
 
 
-def accessible(rows: DataFrame, grants: DataFrame, who: Identity, request: str, key: str) -> DataFrame:
-    """Rows of the tenant that a grant to the user's department opens at the level."""
-    mine = grants.where((F.col("tenant_id") == who.tenant_id) & F.col("department_id").eqNullSafe(F.lit(who.department_id)) & F.col("department_id").isNotNull() & F.col("permission").isin(granting(request)))
-    return rows.where(F.col("tenant_id") == who.tenant_id).join(mine.select(key).distinct(), key, "left_semi")
+def reaching(grants: DataFrame, who: Identity, levels: list[str]) -> DataFrame:
+    """Grants of the tenant, at one of the levels, to the user or to the user's department."""
+    mine = F.col("user_id") == who.user_id
+    if who.department_id is not None:
+        mine = F.coalesce(mine, F.lit(False)) | (F.col("department_id") == who.department_id)
+    return grants.where((F.col("tenant_id") == who.tenant_id) & F.col("permission").isin(levels) & mine)
+
+
+def accessible(bases: DataFrame, grants: DataFrame, who: Identity, request: str = "READ") -> DataFrame:
+    """Knowledge bases (tenant_id, kb_id, status, deleted_at) of the tenant that are active, not deleted and that a grant to
+    the user or the user's department opens at the level."""
+    rows = bases.where((F.col("tenant_id") == who.tenant_id) & (F.col("status") == "ACTIVE") & F.col("deleted_at").isNull())
+    return rows.join(reaching(grants, who, granting(request)).select("kb_id").distinct(), "kb_id", "left_semi")
 
 
-def readable_documents(documents: DataFrame, grants: DataFrame, shares: DataFrame, who: Identity, state: str = "published") -> DataFrame:
-    """Documents in an accessible base, within the clearance, that are public, of the own department, own and of no
-    department, or shared with the department. state: published, all, or default (not deleted)."""
-    rows = accessible(documents, grants, who, "READ", "kb_id").where(F.col("confidentiality") <= who.clearance)
+def in_state(state: str) -> Column:
+    """Published (and searchable), all (deleted ones too) or default (neither deleted nor gone)."""
+    status, there = F.col("status"), F.col("deleted_at").isNull()
     if state == "published":
-        rows = rows.where("status = 'PUBLISHED'")
-    elif state == "default":
-        rows = rows.where("status <> 'DELETED'")
-    shared = shares.where(F.col("department_id") == who.department_id).select("document_id").distinct().withColumn("_shared", F.lit(True))
-    open_ = (F.col("confidentiality") == 0) | (F.col("department_id") == who.department_id) | (F.col("department_id").isNull() & (F.col("creator_id") == who.user_id)) | F.col("_shared")
+        return (status == "PUBLISHED") & there & F.col("active_generation_id").isNotNull()
+    if state == "all":
+        return status.isin("DRAFT", "PUBLISHED", "DELETED")
+    if state == "default":
+        return status.isin("DRAFT", "PUBLISHED") & there
+    raise ValueError(f"unknown state {state!r}")
+
+
+def readable_documents(documents: DataFrame, bases: DataFrame, grants: DataFrame, shares: DataFrame, who: Identity, state: str = "published", request: str = "READ") -> DataFrame:
+    """Documents of the tenant in an accessible base, within the clearance and in the state, that are public, of the own
+    department, own and of no department, or shared by their tenant with the user or the user's department at the level."""
+    rows = documents.where((F.col("tenant_id") == who.tenant_id) & (F.col("confidentiality") <= who.clearance) & in_state(state))
+    rows = rows.join(accessible(bases, grants, who, request).select("kb_id").distinct(), "kb_id", "left_semi")
+    shared = reaching(shares, who, granting(request, "WRITE")).select("document_id").distinct().withColumn("_shared", F.lit(True))
+    own = F.col("department_id").isNull() & (F.col("creator_id") == (who.user_id if who.member_id is None else who.member_id))
+    open_ = (F.col("confidentiality") == 0) | (F.col("department_id") == who.department_id if who.department_id is not None else F.lit(False)) | own | F.col("_shared")
     return rows.join(shared, "document_id", "left").where(open_).drop("_shared")
 
 

@@ -51,6 +51,11 @@ def contiguous(rows: DataFrame, key: str, number: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), ((F.min(number) == 0) & (F.max(number) == F.count(F.lit(1)) - 1) & (F.countDistinct(number) == F.count(F.lit(1)))).alias("contiguous"))
 
 
+def at_most_one(rows: DataFrame, key: str, active: Column, name: str) -> DataFrame:
+    """Q17: whether each key has one active row at most."""
+    return rows.groupBy(key).agg((F.count_if(active) <= 1).alias(name))
+
+
 def superseded(revisions: DataFrame) -> DataFrame:
     """Q10: all but the newest revision of a document give way."""
     newest = F.max("revision_no").over(Window.partitionBy("document_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import periods, text, vectors
 from ..operators import catalog, filters, fusion, graph, metrics, recall, scope, tasks
 from . import adapters as x
-from .adapters import A, C, D, G, H, K, M, NOW, R, S
+from .adapters import RA, RW, A, C, D, G, H, K, M, NOW, R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,24 @@ def catalog_page(spark, sf):
     return catalog.page(x.readable(spark, sf), [F.col("uploaded_on").desc(), F.col("document_id").desc()], 5, 20).select("document_id", "kb_id", "uploaded_on", "size")
 
 
+@query(f"WITH {RW} SELECT document_id, kb_id, status FROM r")
+def writable_documents(spark, sf):
+    """A request to write asks for other grants and shares than one to read."""
+    return x.readable(spark, sf, state="default", request="WRITE").select("document_id", "kb_id", "status")
+
+
+@query(f"WITH {RA} SELECT document_id, kb_id, status FROM r")
+def administered_documents(spark, sf):
+    """Deleted ones too."""
+    return x.readable(spark, sf, state="all", request="ADMIN").select("document_id", "kb_id", "status")
+
+
+@query(f"WITH {D}, {x.B}, {G} SELECT kb_id FROM b WHERE tenant_id = 1 AND status = 'ACTIVE' AND deleted_at IS NULL AND EXISTS (SELECT 1 FROM g WHERE g.kb_id = b.kb_id AND g.tenant_id = 1 AND (g.user_id = 42 OR g.department_id = 3) AND g.permission IN ('WRITE', 'ADMIN'))")
+def accessible_bases(spark, sf):
+    """P11."""
+    return scope.accessible(x.bases(spark, sf), x.grants(spark, sf), x.WHO, "WRITE").select("kb_id")
+
+
 LANG = filters.Field("enum", frozenset(("en", "de", "fr", "es")))
 TEXT, DAY, SIZE = filters.Field("text"), filters.Field("date"), filters.Field("number")
 
@@ -96,10 +114,9 @@ def grant_effective_level(spark, sf):
     return scope.effective_level(x.grants(spark, sf), ["tenant_id", "kb_id", "department_id"])
 
 
-@query(f"WITH {G}, {M}, u AS (SELECT *, CASE WHEN kb_id % 4 = 0 THEN CAST(kb_id * 3 AS BIGINT) END AS user_id FROM g WHERE permission = 'ADMIN'), j AS (SELECT DISTINCT u.tenant_id, u.kb_id, mem.user_id FROM u JOIN mem ON mem.tenant_id = u.tenant_id AND (mem.department_id = u.department_id OR mem.user_id = u.user_id)) SELECT tenant_id, kb_id, count(*) AS admins FROM j GROUP BY ALL")
+@query(f"WITH {G}, {M}, u AS (SELECT * FROM g WHERE permission = 'ADMIN'), j AS (SELECT DISTINCT u.tenant_id, u.kb_id, mem.user_id FROM u JOIN mem ON mem.tenant_id = u.tenant_id AND (mem.department_id = u.department_id OR mem.user_id = u.user_id)) SELECT tenant_id, kb_id, count(*) AS admins FROM j GROUP BY ALL")
 def last_admin_check(spark, sf):
-    g = x.grants(spark, sf).withColumn("user_id", F.when(F.col("kb_id") % 4 == 0, (F.col("kb_id") * 3).cast("long")))
-    return scope.members_with(g, x.members(spark, sf), "ADMIN").groupBy("tenant_id", "kb_id").agg(F.count(F.lit(1)).alias("admins"))
+    return scope.members_with(x.grants(spark, sf), x.members(spark, sf), "ADMIN").groupBy("tenant_id", "kb_id").agg(F.count(F.lit(1)).alias("admins"))
 
 
 @query(f"WITH {M}, dep AS (SELECT n_nationkey AS department_id, CASE WHEN n_nationkey % 6 = 0 THEN 'CLOSED' ELSE 'ACTIVE' END AS s FROM nation) SELECT user_id, tenant_id, mem.department_id FROM mem LEFT JOIN dep USING (department_id) WHERE status = 'ACTIVE' AND (mem.department_id IS NULL OR s = 'ACTIVE')")
@@ -131,7 +148,7 @@ def sequence_alloc(spark, sf):
 
 @query("SELECT user_id, max(ts) FILTER (WHERE event_type = 'error') AS revoked_at, count(*) FILTER (WHERE event_type = 'error') AS revocations FROM events GROUP BY 1")
 def revocation_stamp(spark, sf):
-    return x.table(spark, sf, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("revoked_at"), F.count_if(F.col("event_type") == "error").alias("revocations"))
+    return catalog.revocations(x.table(spark, sf, "events"), "user_id", F.col("event_type") == "error", "ts")
 
 
 @query(f"WITH {R} SELECT format('当前可读的已发布文档中，符合条件的共有 {{}} 份。', count(*)) AS answer FROM r")
@@ -147,16 +164,14 @@ def document_fingerprints(spark, sf):
 @query("SELECT conv_id AS id, count(*) AS n, to_json(list(role ORDER BY turn)) AS roles FROM conversations GROUP BY 1")
 def ordered_json_page(spark, sf):
     """A7."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda r: r["role"])
-    return x.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.to_json(ordered).alias("roles"))
+    return x.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), catalog.ordered_json("turn", "role").alias("roles"))
 
 
-@query(f"WITH {D}, k AS (SELECT DISTINCT substr(coalesce(text, ''), 1, 40) AS object_key, document_id FROM d) SELECT DISTINCT a.document_id FROM k a JOIN k b ON a.object_key = b.object_key AND a.document_id <> b.document_id")
+@query(f"WITH {D}, k AS (SELECT DISTINCT coalesce(text, '') AS object_key, document_id FROM d) SELECT DISTINCT a.document_id FROM k a JOIN k b ON a.object_key = b.object_key AND a.document_id <> b.document_id")
 def shared_objects(spark, sf):
-    """Documents whose object another document uses too; counted by key, so a key of very many rows makes no pairs."""
-    k = x.documents(spark, sf, "text").select("document_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("object_key")).distinct()
-    used = k.groupBy("object_key").agg(F.countDistinct("document_id").alias("n")).where("n > 1")
-    return k.join(used, "object_key", "left_semi").select("document_id").distinct()
+    """Documents whose object, keyed by the hash of its whole text, another document uses too."""
+    k = x.documents(spark, sf, "text").select("document_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("object_key"))
+    return graph.shared(k, "object_key", "document_id").select("document_id")
 
 
 # --- text
@@ -191,18 +206,21 @@ def content_sha256(spark, sf):
 @query(f"WITH {C} SELECT document_id, sha256(string_agg(sha256(content), '' ORDER BY chunk_index)) AS fingerprint FROM c GROUP BY 1")
 def chunk_set_fingerprint(spark, sf):
     """Order matters."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", text.fingerprint("content").alias("h")))), lambda r: r["h"])
-    return x.chunks(spark, sf).groupBy("document_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("fingerprint"))
+    return x.chunks(spark, sf).groupBy("document_id").agg(text.set_fingerprint("chunk_index", "content").alias("fingerprint"))
 
 
-@query("SELECT doc_id, CASE WHEN 0 >= 3 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'zh' WHEN true THEN 'en' END AS class FROM documents")
+@query("WITH t AS (SELECT doc_id, text || repeat('中', CAST([0, 1, 5][doc_id % 3 + 1] * length(text) AS INTEGER)) AS t FROM documents), c AS (SELECT doc_id, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS en, length(regexp_replace(t, '[^中]', '', 'g')) AS zh FROM t) SELECT doc_id, CASE WHEN zh >= 3 * en THEN 'zh' WHEN en >= 4 * zh THEN 'en' ELSE 'mixed' END AS class FROM c")
 def separator_class(spark, sf):
-    return x.table(spark, sf, "documents").select("doc_id", text.separator_class("text").alias("class"))
+    """D3 over texts with no, as many and five times as many Chinese characters."""
+    n = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(5)), (F.col("doc_id") % 3 + 1).cast("int")) * F.char_length("text")
+    t = x.table(spark, sf, "documents").withColumn("t", F.concat("text", F.call_function("repeat", F.lit("中"), n.cast("int"))))
+    return t.select("doc_id", text.separator_class("t").alias("class"))
 
 
-@query(f"WITH {C} SELECT document_id, count(*) AS n, true AS contiguous FROM c GROUP BY 1")
+@query(f"WITH {C}, k AS (SELECT * FROM c WHERE NOT (document_id % 4 = 1 AND chunk_index = 1)), o AS (SELECT document_id, chunk_index, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS n FROM k) SELECT document_id, count(*) AS n, count(*) FILTER (WHERE chunk_index <> n) = 0 AS contiguous FROM o GROUP BY 1")
 def chunk_contiguity(spark, sf):
-    return tasks.contiguous(x.chunks(spark, sf), "document_id", "chunk_index")
+    """W9; every fourth document lacks its second chunk, which shows where there is a third."""
+    return tasks.contiguous(x.chunks(spark, sf).where("not (document_id % 4 = 1 and chunk_index = 1)"), "document_id", "chunk_index")
 
 
 @query(f"WITH {C}, k AS (SELECT sha256(content) AS key, min(document_id) AS d, count(*) AS n FROM c GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS texts, count(*) AS distinct_texts, count(*) FILTER (WHERE key IN (SELECT sha256(content) FROM c WHERE document_id % 4 = 0)) AS hits, count(*) FILTER (WHERE key NOT IN (SELECT sha256(content) FROM c WHERE document_id % 4 = 0)) AS misses, CAST(ceil(count(*) FILTER (WHERE key NOT IN (SELECT sha256(content) FROM c WHERE document_id % 4 = 0)) / 10) AS BIGINT) AS batches FROM k")
@@ -223,11 +241,11 @@ def quote_match(spark, sf):
     return b.select("item_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.coalesce(text.quote_holds("text", "q", F.col("s.start"), F.col("s.end")), F.lit(False)).alias("holds"))
 
 
-@query(r"SELECT doc_id, len(string_split(regexp_replace(regexp_replace(trim(t), '^\|', ''), '\|$', ''), '|')) AS n_cells, trim(string_split(regexp_replace(regexp_replace(trim(t), '^\|', ''), '\|$', ''), '|')[1]) AS first_cell FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents) WHERE contains(t, '|')")
+@query(r"SELECT doc_id, line, len(string_split(regexp_replace(regexp_replace(trim(t), '^\|', ''), '\|$', ''), '|')) AS n_cells, trim(string_split(regexp_replace(regexp_replace(trim(t), '^\|', ''), '\|$', ''), '|')[1]) AS first_cell FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) WHERE contains(t, '|')")
 def table_cells(spark, sf):
     """D23."""
-    rows = x.table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("t")).where(F.contains("t", F.lit("|")))
-    return rows.select("doc_id", F.size(text.cells("t")).cast("long").alias("n_cells"), text.cells("t")[0].alias("first_cell"))
+    rows = x.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.contains("t", F.lit("|")))
+    return rows.select("doc_id", "line", F.size(text.cells("t")).cast("long").alias("n_cells"), text.cells("t")[0].alias("first_cell"))
 
 
 @query("SELECT n_nationkey, '| ' || n_name || ' | a\\|b | ' || n_regionkey || '<br>x |' AS line FROM nation")
@@ -257,10 +275,10 @@ def dense_topk(spark, sf):
 
 BM25_SQL = f"""{R}, w AS (SELECT document_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda z: z <> '') AS w FROM r), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
 q AS (SELECT unnest(['of', 'thing', 'the', 'with']) AS term), f AS (SELECT document_id, term, len(w) AS n_words, len(list_filter(w, lambda z: z = term)) AS f FROM w, q), df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS df FROM f GROUP BY 1),
-b AS (SELECT document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_words / mean))), 6) AS score FROM f JOIN df USING (term), st GROUP BY 1)"""
+scored AS (SELECT document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_words / mean))), 6) AS score FROM f JOIN df USING (term), st GROUP BY 1)"""
 
 
-@query(f"WITH {BM25_SQL} SELECT * FROM b WHERE score > 0 ORDER BY score DESC, document_id LIMIT 10")
+@query(f"WITH {BM25_SQL} SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, document_id LIMIT 10")
 def bm25_topk(spark, sf):
     return recall.bm25(x.readable(spark, sf, "text"), QUESTION.split(), "text", "document_id", 10)
 
@@ -271,15 +289,15 @@ def bigram_topk(spark, sf):
 
 
 def _lists(spark, sf):
-    """Two channels over part keys with repeated places."""
-    li = x.table(spark, sf, "lineitem").where("l_orderkey < 400")
-    q = (F.col("l_orderkey") % 7).alias("query_id")
+    """Two channels over part keys with repeated places, for each run of 64 order keys."""
+    li = x.table(spark, sf, "lineitem")
+    q = F.floor(F.col("l_orderkey") / 64).alias("query_id")
     a = li.select(q, F.lit("dense").alias("channel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 60).alias("chunk_id"))
-    b = li.select(q, F.lit("lexical").alias("channel"), (100_000 - F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 60).alias("chunk_id"))
+    b = li.select(q, F.lit("lexical").alias("channel"), (-F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 60).alias("chunk_id"))
     return a.unionByName(b)
 
 
-L = """hits AS (SELECT l_orderkey % 7 AS query_id, 'dense' AS channel, l_orderkey * 10 + l_linenumber AS pos, l_partkey % 60 AS chunk_id FROM lineitem WHERE l_orderkey < 400 UNION ALL SELECT l_orderkey % 7, 'lexical', 100000 - l_orderkey * 10 - l_linenumber, l_partkey % 60 FROM lineitem WHERE l_orderkey < 400),
+L = """hits AS (SELECT l_orderkey // 64 AS query_id, 'dense' AS channel, l_orderkey * 10 + l_linenumber AS pos, l_partkey % 60 AS chunk_id FROM lineitem UNION ALL SELECT l_orderkey // 64, 'lexical', -l_orderkey * 10 - l_linenumber, l_partkey % 60 FROM lineitem),
 once AS (SELECT query_id, channel, chunk_id, min(pos) AS pos FROM hits GROUP BY ALL), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, channel ORDER BY pos, chunk_id) AS INTEGER) AS rank FROM once),
 fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM rk GROUP BY ALL), fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS fused_rank FROM fu)"""
 
@@ -326,10 +344,10 @@ def facet_cover(spark, sf):
     return fusion.cover(f.withColumnRenamed("fused_rank", "rank"), facets, 8)
 
 
-@query(f"WITH {L}, s AS (SELECT query_id, chunk_id, fused_rank, chunk_id * 13 % 29 AS sc, query_id <> 3 OR fused_rank > 2 AS has FROM fused), w AS (SELECT *, bool_and(has) OVER (PARTITION BY query_id) AS whole FROM s), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN whole THEN sc END DESC NULLS LAST, fused_rank) AS INTEGER) AS final_rank FROM w) SELECT query_id, chunk_id, final_rank, CASE WHEN whole THEN 'ok' ELSE 'degraded' END AS status, 'E' || final_rank AS evidence_id FROM k")
+@query(f"WITH {L}, s AS (SELECT query_id, chunk_id, fused_rank, chunk_id * 13 % 29 AS sc, query_id % 7 <> 3 OR fused_rank > 2 AS has FROM fused), w AS (SELECT *, bool_and(has) OVER (PARTITION BY query_id) AS whole FROM s), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN whole THEN sc END DESC NULLS LAST, fused_rank) AS INTEGER) AS final_rank FROM w) SELECT query_id, chunk_id, final_rank, CASE WHEN whole THEN 'ok' ELSE 'degraded' END AS status, 'E' || final_rank AS evidence_id FROM k")
 def rerank_merge(spark, sf):
     f = _fused(spark, sf)
-    scores = f.where("query_id <> 3 or fused_rank > 2").select("query_id", "chunk_id", (F.col("chunk_id") * 13 % 29).alias("rerank_score"))
+    scores = f.where("query_id % 7 <> 3 or fused_rank > 2").select("query_id", "chunk_id", (F.col("chunk_id") * 13 % 29).alias("rerank_score"))
     return fusion.merge_rerank(f.select("query_id", "chunk_id", "fused_rank"), scores)
 
 
@@ -416,9 +434,9 @@ def merge_candidates(spark, sf):
     return graph.merge_candidates(x.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("uid")), "name").select("name", "first_uid", "members", "pairs")
 
 
-@query(f"WITH {K} SELECT task_id FROM t WHERE generation_id NOT IN (SELECT DISTINCT o_custkey % 97 FROM orders WHERE o_custkey % 10 = 0 AND o_custkey < 300)")
+@query(f"WITH {K} SELECT task_id FROM t WHERE generation_id NOT IN (SELECT DISTINCT o_custkey % 97 FROM orders WHERE o_custkey % 97 % 10 = 0)")
 def fence_reject(spark, sf):
-    retired = x.table(spark, sf, "orders").where("o_custkey % 10 = 0 and o_custkey < 300").select((F.col("o_custkey") % 97).alias("generation_id")).distinct()
+    retired = x.table(spark, sf, "orders").where("o_custkey % 97 % 10 = 0").select((F.col("o_custkey") % 97).alias("generation_id")).distinct()
     return graph.rejected_by_fence(x.tasks(spark, sf), retired, "generation_id").select("task_id")
 
 
@@ -447,32 +465,33 @@ def fact_exclusion(spark, sf):
     return graph.exclusion_problems(f, f.where("p_partkey < 900").select((F.col("p_partkey") * 3).alias("p_partkey")), "p_partkey")
 
 
-@query("SELECT count(*) AS samples, false AS approved FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_size, count(*) AS samples, bool_and(p_partkey % 70 <> 0 AND p_partkey % 41 <> 0 AND p_partkey % 43 <> 0) AS approved FROM part GROUP BY 1")
 def review_approval(spark, sf):
-    s = x.table(spark, sf, "part").where("p_partkey % 10 = 0").select("p_partkey", "p_name", "p_brand")
-    review = s.withColumn("verdict", F.when(F.col("p_partkey") % 70 == 0, "REJECT").otherwise("SUPPORT")).withColumn("reason", F.lit("read"))
-    return graph.approved(review, s, ["p_partkey"], ["p_name", "p_brand"])
+    """G32 for each size: some samples are rejected, some have no reason, some were reviewed with another name."""
+    s = x.table(spark, sf, "part").select("p_size", "p_partkey", "p_name", "p_brand")
+    k = F.col("p_partkey")
+    review = s.select("p_partkey", F.when(k % 43 == 0, "other").otherwise(F.col("p_name")).alias("p_name"), "p_brand", F.when(k % 70 == 0, "REJECT").otherwise("SUPPORT").alias("verdict"), F.when(k % 41 == 0, " ").otherwise("read").alias("reason"))
+    return graph.approved(review, s, ["p_partkey"], ["p_name", "p_brand"], ["p_size"])
 
 
-@query(f"WITH {C}, q AS (SELECT chunk_id AS target_id, document_id, substr(content, 5, 25) AS quote FROM c WHERE chunk_index = 1), j AS (SELECT target_id, chunk_id, instr(content, quote) - 1 AS s, length(quote) AS z, count(*) OVER (PARTITION BY target_id) AS n FROM q JOIN c USING (document_id) WHERE contains(content, quote)) SELECT target_id, chunk_id, CAST(s AS INTEGER) AS start, CAST(s + z AS INTEGER) AS \"end\" FROM j WHERE n = 1")
+@query(f"WITH {C}, q AS (SELECT chunk_id AS target_id, document_id, substr(content, 5) AS quote FROM c WHERE length(content) > 4), j AS (SELECT target_id, chunk_id, instr(content, quote) - 1 AS s, length(quote) AS z, count(*) OVER (PARTITION BY target_id) AS n FROM q JOIN c USING (document_id) WHERE contains(content, quote)) SELECT target_id, chunk_id, CAST(s AS INTEGER) AS start, CAST(s + z AS INTEGER) AS \"end\" FROM j WHERE n = 1")
 def gold_relocate(spark, sf):
     c = x.chunks(spark, sf)
-    t = c.where("chunk_index = 1").select(F.col("chunk_id").alias("target_id"), "document_id", F.substring("content", 5, 25).alias("quote"))
+    t = c.where(F.char_length("content") > 4).select(F.col("chunk_id").alias("target_id"), "document_id", F.expr("substring(content, 5)").alias("quote"))
     return graph.relocated(t, c)
 
 
 # --- evaluation
 
 
-@query("WITH q AS (SELECT b.item_id, substr(b.text, 1, 60) AS q FROM benchmark b), h AS (SELECT item_id, exists(SELECT 1 FROM documents WHERE contains(text, q)) AS hit FROM q) SELECT item_id AS question_id, hit AS passed, CAST(1 AS BIGINT) AS quotes FROM h")
+@query("WITH h AS (SELECT item_id, exists(SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS hit, exists(SELECT 1 FROM documents d WHERE contains(d.text, substr(b.text, 1, length(b.text) // 2))) AS half FROM benchmark b) SELECT item_id // 4 AS question_id, bool_and(hit) AND bool_and(half) AS passed, 2 * count(*) AS quotes FROM h GROUP BY 1")
 def gold_containment_hits(spark, sf):
-    """Gold quotes are few, so they go to every document: their number is checked first."""
-    b = x.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("q"))
-    quotes = {r.question_id: r.q for r in b.limit(10_001).collect()}
-    if len(quotes) > 10_000:
-        raise ValueError("more than 10000 gold quotes; split them")
-    found = x.table(spark, sf, "documents").select(F.filter(F.array(*[F.when(F.contains("text", F.lit(q)), F.lit(i)) for i, q in sorted(quotes.items())]), lambda v: v.isNotNull()).alias("ids")).select(F.explode("ids").alias("question_id")).distinct().withColumn("h", F.lit(True))
-    return metrics.covered(b.join(found, "question_id", "left").select("question_id", F.coalesce("h", F.lit(False)).alias("hit")))
+    """Each question has four items, whose whole texts and first halves must stand in some document."""
+    b = x.table(spark, sf, "benchmark")
+    half = F.expr("substring(text, 1, cast(char_length(text) div 2 as int))")
+    quotes = b.select((F.col("item_id") * 2).alias("quote_id"), F.floor(F.col("item_id") / 4).alias("question_id"), F.col("text").alias("quote")).unionByName(b.select((F.col("item_id") * 2 + 1).alias("quote_id"), F.floor(F.col("item_id") / 4).alias("question_id"), half.alias("quote")))
+    found = metrics.containing(quotes, x.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")).select("quote_id").distinct().withColumn("h", F.lit(True))
+    return metrics.covered(quotes.join(found, "quote_id", "left").select("question_id", F.coalesce("h", F.lit(False)).alias("hit")))
 
 
 def _gold(spark, sf):
@@ -493,9 +512,9 @@ def loss_partition(spark, sf):
     return metrics.outcomes(d, [(F.col("quality").isNull(), "unlabelled"), (long & good, "hit"), (long, "false_positive"), (good, "missed")], "correct_reject")
 
 
-@query("WITH s AS (SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) + 5 AS z, l_partkey FROM lineitem WHERE l_orderkey < 2000) SELECT x.k, x.id AS span_id, y.id AS other_id, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.a < y.z AND x.z > y.a WHERE x.l_partkey % 2 = 0 AND y.l_partkey % 2 = 1 GROUP BY ALL")
+@query("WITH s AS (SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) + 5 AS z, l_partkey FROM lineitem) SELECT x.k, x.id AS span_id, y.id AS other_id, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.a < y.z AND x.z > y.a WHERE x.l_partkey % 2 = 0 AND y.l_partkey % 2 = 1 GROUP BY ALL")
 def span_overlap(spark, sf):
-    s = x.table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("span_id"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + 5).alias("end"), "l_partkey")
+    s = x.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("span_id"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + 5).alias("end"), "l_partkey")
     return metrics.overlaps(s.where("l_partkey % 2 = 0"), s.where("l_partkey % 2 = 1"), ["k"]).groupBy("k", "span_id", "other_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -504,11 +523,13 @@ def median_latency(spark, sf):
     return metrics.medians(x.table(spark, sf, "events"), "value", ["event_type"])
 
 
-@query("WITH c AS (SELECT b.item_id AS answer_id, d.doc_id AS evidence_id, substr(b.text, 1, 40) AS quote FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 400) SELECT c.answer_id, bool_and(contains(d.text, c.quote)) AS valid, count(*) AS citations FROM c JOIN documents d ON d.doc_id = c.evidence_id GROUP BY 1")
+@query("WITH c AS (SELECT doc_id % 997 AS answer_id, CASE WHEN doc_id % 61 = 0 THEN -1 - doc_id ELSE doc_id END AS evidence_id, CASE WHEN doc_id % 53 = 0 THEN text || 'x' WHEN doc_id % 59 = 0 THEN '' ELSE substr(text, 3) END AS quote FROM documents) SELECT c.answer_id, bool_and(coalesce(contains(d.text, c.quote) AND c.quote <> '', false)) AS valid, count(*) AS citations FROM c LEFT JOIN documents d ON d.doc_id = c.evidence_id GROUP BY 1")
 def citation_verify(spark, sf):
-    d = x.table(spark, sf, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"))
-    b = x.table(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.substring("text", 1, 40).alias("quote"), (F.col("item_id") % 40).alias("m"))
-    c = b.join(d.where("evidence_id < 400").select("evidence_id", (F.col("evidence_id") % 40).alias("m")), "m").select("answer_id", "quote", "evidence_id")
+    """A citation of each document, some to evidence that is not there, some empty, some not word for word."""
+    i = F.col("doc_id")
+    d = x.table(spark, sf, "documents").select(i.alias("evidence_id"), F.col("text").alias("content"))
+    quote = F.when(i % 53 == 0, F.concat("text", F.lit("x"))).when(i % 59 == 0, "").otherwise(F.expr("substring(text, 3)"))
+    c = x.table(spark, sf, "documents").select((i % 997).alias("answer_id"), F.when(i % 61 == 0, -1 - i).otherwise(i).alias("evidence_id"), quote.alias("quote"))
     return metrics.citation_issues(c, d)
 
 
@@ -519,11 +540,13 @@ def verdict_rollup(spark, sf):
     return metrics.outcomes(d, [(F.col("quality").isNull(), "pending"), (F.col("toxic") == 1, "reject")], "support").withColumnRenamed("outcome", "verdict")
 
 
-@query("WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40 AND l_returnflag = 'R') SELECT l_orderkey, count(*) AS flagged FROM f GROUP BY 1")
+@query("WITH t AS (SELECT l_orderkey AS row_id, l_returnflag AS value FROM lineitem), e AS (SELECT l_orderkey AS row_id, l_linenumber AS entity_id, CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_linestatus END AS name, CASE WHEN l_linenumber % 3 = 0 THEN 'Actor' ELSE 'Material' END AS type FROM lineitem), f AS (SELECT DISTINCT e.row_id, e.entity_id FROM e JOIN t ON t.row_id = e.row_id AND lower(t.value) = lower(e.name) WHERE type <> 'Actor') SELECT row_id, count(*) AS flagged FROM f GROUP BY 1")
 def policy_flags(spark, sf):
-    """Entities of the wrong type flag the relations that name them."""
-    flagged = x.table(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    return x.table(spark, sf, "lineitem").where("l_returnflag = 'R'").join(flagged, "l_partkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("flagged"))
+    """Entities that are named as a cell of the column of actors and have another type."""
+    li = x.table(spark, sf, "lineitem")
+    cells = li.select(F.col("l_orderkey").alias("row_id"), F.lit("mode").alias("column"), F.col("l_returnflag").alias("value"))
+    entities = li.select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("entity_id"), F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_linestatus")).alias("name"), F.when(F.col("l_linenumber") % 3 == 0, "Actor").otherwise("Material").alias("type"))
+    return graph.wrong_types(entities, cells, "mode", "Actor").groupBy("row_id").agg(F.count(F.lit(1)).alias("flagged"))
 
 
 # --- tasks, chat
@@ -550,7 +573,10 @@ def idempotent_first(spark, sf):
     return tasks.first_by_key(x.table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t FROM events),
+s AS (SELECT key, min(t) AS start FROM e GROUP BY key UNION ALL SELECT e.key, min(e.t) FROM s JOIN e ON e.key = s.key AND e.t >= s.start + 7200 GROUP BY e.key, s.start),
+w AS (SELECT e.key, e.event_id, e.t, max(s.start) AS start FROM e JOIN s ON s.key = e.key AND s.start <= e.t GROUP BY ALL)
+SELECT key, event_id, row_number() OVER (PARTITION BY key, start ORDER BY t, event_id) <= 3 AS allowed FROM w""")
 def rate_limit_first_event(spark, sf):
     e = x.table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
     return tasks.rate_limited(e.select("key", "event_id", (F.col("us") / 1e6).alias("at")), 3, 7200)
@@ -588,14 +614,13 @@ def source_union_authorised(spark, sf):
     """U8: current and past sources by key, the newer one counts, each marked whether it may still be read."""
     d = x.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"))
     both = d.where("document_id % 3 = 0").withColumn("v", F.lit(1)).unionByName(d.where("document_id % 5 = 0").withColumn("v", F.lit(2)))
-    ok = x.readable(spark, sf).select("document_id", F.lit(True).alias("ok"))
-    return both.groupBy("document_id").agg(F.max("v").alias("version")).join(ok, "document_id", "left").select("document_id", "version", F.coalesce("ok", F.lit(False)).alias("authorised"))
+    return fusion.sources(both, x.readable(spark, sf), ["document_id"], "v").withColumnRenamed("v", "version")
 
 
 @query("SELECT conv_id AS session_id, count(*) FILTER (WHERE role = 'user') <= 1 AS single FROM conversations GROUP BY 1")
 def one_active_run(spark, sf):
     """Q17."""
-    return x.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg((F.count_if(F.col("role") == "user") <= 1).alias("single"))
+    return tasks.at_most_one(x.table(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id"), "session_id", F.col("role") == "user", "single")
 
 
 @query("SELECT s_suppkey, 'n' AS \"column\", CAST(s_nationkey AS VARCHAR) AS before, CAST(s_nationkey + 1 AS VARCHAR) AS after FROM supplier WHERE s_suppkey % 4 = 0")
@@ -639,24 +664,33 @@ def chunk_tokens(spark, sf):
     return chunk(x.table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "token_count", "content_sha256")
 
 
-@query()
+_NUMBERS = r"regexp_extract_all({}, '\d+(?:[.,]\d+)*%?')"
+_NEGATED = r"regexp_matches({}, '不得|不能|不可|禁止|未|无需|不|\b(not|never|no|cannot|must not)\b', 'i')"
+_BOUND = r"regexp_matches({}, '如果|若|除非|仅当|当|\b(if|unless|only|when)\b', 'i')"
+
+
+@query(rf"""WITH t AS (SELECT conv_id * 1000 + turn AS id, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations), p AS (SELECT id, coalesce(text, '') AS s, coalesce(e, '') AS e FROM t WHERE role = 'assistant')
+SELECT id, 'NUMBER_NOT_IN_EVIDENCE' AS issue FROM p WHERE len(list_filter({_NUMBERS.format("s")}, lambda n: NOT list_contains({_NUMBERS.format("e")}, n))) > 0
+UNION ALL SELECT id, 'NEGATION_DIFFERS' FROM p WHERE {_NEGATED.format("s")} <> {_NEGATED.format("e")} UNION ALL SELECT id, 'CONDITION_DROPPED' FROM p WHERE {_BOUND.format("e")} AND NOT {_BOUND.format("s")}""")
 def answer_guards(spark, sf):
+    """What an assistant says against the turn before it."""
     from ..operators.guards import guards
 
-    c = x.table(spark, sf, "conversations").where("role = 'assistant'")
-    return guards(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("text", 1, 200).alias("statement"), F.col("text").alias("evidence")))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = x.table(spark, sf, "conversations").withColumn("evidence", before).where("role = 'assistant'")
+    return guards(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("statement"), "evidence"))
 
 
 @query()
 def path_bundles(spark, sf):
     from ..operators.guards import bundles
 
-    f = _fused(spark, sf).where("fused_rank <= 30")
+    f = _fused(spark, sf)
     paths = F.when(F.col("chunk_id") % 3 == 0, F.array(F.array("chunk_id", F.col("chunk_id") + 1))).otherwise(F.array().cast("array<array<bigint>>"))
     return bundles(f.select("query_id", F.col("fused_rank").alias("rank"), "chunk_id", paths.alias("paths")), 5)
 
 
-@query()
+@query(r"SELECT p_partkey, trim(trim(trim(regexp_replace(lower(' ' || upper(p_name) || ' .'), '\s+', ' ', 'g')), ',.')) AS name FROM part")
 def canonical_names(spark, sf):
     """G1."""
     return x.table(spark, sf, "part").select("p_partkey", text.canonical_name(F.concat(F.lit(" "), F.upper("p_name"), F.lit(" ."))).alias("name"))
@@ -742,4 +776,4 @@ def union_views(spark, sf):
     """U1."""
     d = x.table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("kind"))
     c = x.table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("role").alias("kind"))
-    return d.unionByName(c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.union_all(d, c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))

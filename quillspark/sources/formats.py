@@ -143,23 +143,46 @@ def parse_docx(content: bytes) -> list[dict]:
     return out
 
 
+def _column(reference: str) -> int | None:
+    """0 for A, 26 for AA; null if a cell's reference names no column."""
+    letters = re.match("[A-Z]+", reference)
+    return sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0]))) - 1 if letters else None
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of the sheets in the workbook's order; by number where the workbook does not tell."""
+    names = z.namelist()
+    parts = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    if "xl/workbook.xml" not in names or "xl/_rels/workbook.xml.rels" not in names:
+        return [(n.rsplit("/", 1)[-1].removesuffix(".xml"), n) for n in parts]
+    of = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    ids = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    found = [(s.get("name", ""), of.get(s.get(ids), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{X}sheet")]
+    found = [(name, p.removeprefix("/") if p.startswith("/") else f"xl/{p}") for name, p in found]
+    return [(name, p) for name, p in found if p in names]
+
+
 def parse_xlsx(content: bytes) -> list[dict]:
-    """Rows of all sheets that are not blank; line_start is the row's number."""
+    """Rows of all sheets that are not blank, each cell in its column; line_start is the row's number. A formula without a
+    cached value gives a row of kind warning."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
         shared = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{X}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         out = []
-        for sheet in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-            for row in ElementTree.fromstring(z.read(sheet)).iter(f"{X}row"):
-                cells = []
+        for name, sheet in _sheets(z):
+            for number, row in enumerate(ElementTree.fromstring(z.read(sheet)).iter(f"{X}row"), 1):
+                cells: list[str] = []
+                n = int(row.get("r", number))
                 for c in row.iter(f"{X}c"):
+                    at = _column(c.get("r", ""))
                     v, inline = c.find(f"{X}v"), c.find(f"{X}is")
                     text = "".join(t.text or "" for t in inline.iter(f"{X}t")) if inline is not None else (v.text or "") if v is not None else ""
+                    if c.find(f"{X}f") is not None and not text:
+                        out.append(_element("warning", f"FORMULA_WITHOUT_VALUE {name}!{c.get('r', '')}", lines=(n, n)))
+                    cells += [""] * ((len(cells) if at is None else at) - len(cells))
                     cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
                 if any(c.strip() for c in cells):
-                    n = int(row.get("r", 0))
                     out.append(_element("table_row", " | ".join(cells), lines=(n, n), cells=cells))
         return out
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import periods, text
-from quillspark.operators import chunking, filters, fusion, guards, recall, scope, tasks
+from quillspark.operators import catalog, chunking, filters, fusion, graph, guards, metrics, recall, scope, tasks
 from quillspark.plans import router
 from quillspark.sources import formats
 
@@ -57,6 +57,77 @@ def test_permissions():
     assert scope.granting("ADMIN", "WRITE") == ["WRITE"]
 
 
+WHO = scope.Identity(tenant_id=1, user_id=42, department_id=3, clearance=1, member_id=77)
+
+
+def _scope(spark, doc=None, base=None, grant=None, share=None):
+    """One document in one base with one grant and no share, each changed as told."""
+    doc = {"document_id": 1, "kb_id": 5, "tenant_id": 1, "confidentiality": 1, "department_id": 3, "creator_id": 9, "status": "PUBLISHED", "deleted_at": None, "active_generation_id": 8} | (doc or {})
+    base = {"kb_id": 5, "tenant_id": 1, "status": "ACTIVE", "deleted_at": None} | (base or {})
+    grant = {"kb_id": 5, "tenant_id": 1, "user_id": None, "department_id": 3, "permission": "READ"} | (grant or {})
+    share = {"document_id": 1, "tenant_id": 1, "user_id": None, "department_id": 3, "permission": "READ"} | share if share is not None else None
+    of = lambda row, schema: spark.createDataFrame([tuple(row[c.split()[0]] for c in schema.split(", "))] if row else [], schema)
+    return (
+        of(doc, "document_id long, kb_id int, tenant_id int, confidentiality int, department_id int, creator_id long, status string, deleted_at string, active_generation_id long"),
+        of(base, "kb_id int, tenant_id int, status string, deleted_at string"),
+        of(grant, "kb_id int, tenant_id int, user_id long, department_id int, permission string"),
+        of(share, "document_id long, tenant_id int, user_id long, department_id int, permission string"),
+    )
+
+
+HIDDEN = {"department_id": 4}  # of another department, so that only a share opens it
+
+
+@pytest.mark.parametrize(
+    "opens,parts,how",
+    [
+        (True, {}, {}),
+        (False, {"grant": {"department_id": 4}}, {}),
+        (True, {"grant": {"department_id": None, "user_id": 42}}, {}),
+        (False, {"grant": {"department_id": None, "user_id": 43}}, {}),
+        (False, {"grant": {"tenant_id": 2}}, {}),
+        (False, {"base": {"status": "ARCHIVED"}}, {}),
+        (False, {"base": {"deleted_at": "2024"}}, {}),
+        (False, {"base": {"tenant_id": 2}}, {}),
+        (False, {"doc": {"tenant_id": 2}}, {}),
+        (False, {"doc": {"confidentiality": 2}}, {}),
+        (False, {"doc": HIDDEN}, {}),
+        (True, {"doc": HIDDEN | {"confidentiality": 0}}, {}),
+        (True, {"doc": {"department_id": None, "creator_id": 77}}, {}),
+        (False, {"doc": {"department_id": None, "creator_id": 42}}, {}),
+        (True, {"doc": HIDDEN, "share": {}}, {}),
+        (True, {"doc": HIDDEN, "share": {"department_id": None, "user_id": 42}}, {}),
+        (False, {"doc": HIDDEN, "share": {"department_id": 5}}, {}),
+        (False, {"doc": HIDDEN, "share": {"tenant_id": 2}}, {}),
+        (False, {"doc": HIDDEN, "share": {"document_id": 2}}, {}),
+        (False, {"doc": HIDDEN, "grant": {"permission": "ADMIN"}, "share": {}}, {"request": "WRITE"}),
+        (True, {"doc": HIDDEN, "grant": {"permission": "ADMIN"}, "share": {"permission": "WRITE"}}, {"request": "ADMIN"}),
+        (False, {}, {"request": "WRITE"}),
+        (True, {"grant": {"permission": "WRITE"}}, {"request": "WRITE"}),
+        (False, {"doc": {"active_generation_id": None}}, {}),
+        (False, {"doc": {"deleted_at": "2024"}}, {}),
+        (True, {"doc": {"status": "DRAFT", "active_generation_id": None}}, {"state": "default"}),
+        (False, {"doc": {"status": "DELETED", "deleted_at": "2024"}}, {"state": "default"}),
+        (True, {"doc": {"status": "DELETED", "deleted_at": "2024"}}, {"state": "all"}),
+    ],
+)
+def test_each_rule_of_access_alone(spark, opens, parts, how):
+    assert scope.readable_documents(*_scope(spark, **parts), WHO, **how).count() == opens
+
+
+def test_nobody_without_a_department(spark):
+    who = scope.Identity(1, 42, None, 1)
+    rows = _scope(spark, grant={"department_id": None, "user_id": 42})
+    assert scope.readable_documents(*rows, who).count() == 0
+    assert scope.readable_documents(*_scope(spark, doc={"department_id": None, "creator_id": 42}, grant={"department_id": None, "user_id": 42}), who).count() == 1
+
+
+def test_exact_count_has_a_limit(spark):
+    assert catalog.exact_count(spark.range(5)).first().total == 5
+    with pytest.raises(Exception, match="STRUCTURED_SCOPE_LIMIT"):
+        catalog.exact_count(spark.range(6), 5).collect()
+
+
 def test_clean_text(spark):
     df = spark.createDataFrame([(" a \t b\r\n\r\n\r\n\r\nc​ \n",)], "t string")
     assert df.select(text.clean_text("t")).first()[0] == "a b\n\nc"
@@ -74,16 +145,62 @@ def test_split_keeps_all_text():
     assert chunking.header_row([["说明: x", ""], ["", ""], ["a", "b"], ["1", "2"]]) == 2
 
 
-def test_guards():
-    assert guards.guard_issues("You may not enter.", "You may enter.") == ["NEGATION_DIFFERS"]
-    assert guards.guard_issues("Pay 30%.", "If late, pay 20%.") == ["NUMBER_NOT_IN_EVIDENCE", "CONDITION_DROPPED"]
+def test_guards(spark):
+    rows = spark.createDataFrame([(1, "You may not enter.", "You may enter."), (2, "Pay 30%.", "If late, pay 20%."), (3, None, None), (4, "It is 3.5 km.", "It is 3.5 km.")], "id long, statement string, evidence string")
+    assert sorted(map(tuple, guards.guards(rows).collect())) == [(1, "NEGATION_DIFFERS"), (2, "CONDITION_DROPPED"), (2, "NUMBER_NOT_IN_EVIDENCE")]
     assert guards.select_bundles([1, 2, 3, 4, 5], [[2, 5], [3, 9]], 3) == [1, 2, 5]
     assert guards.select_bundles([1, 2, 3], [[1, 2, 3]], 2) == [1, 2]
     assert guards.restore_quote("a line\nbreak in here, once", "line break in") is None
     assert guards.restore_quote("some line\nbroken text", "line\nbroken") == "line\nbroken"
+    assert guards.restore_quote("the c at sat here", "the cat sat") is None
+    assert guards.restore_quote("the c\r\nat sat here", "the cat\n sat") == "the c\r\nat sat"
+    assert guards.restore_quote("twice over, twice over", "twice over") is None
     assert guards.preview(["abc", "def"], 5, 4) == (["abc", "d"], True)
     assert guards.match_greedily([("a", "b", "r", "c"), ("a", "b", "r", None)], [("a", "b", "r", None), ("a", "b", "q", "c")]) == [(0, 1), (1, 0)]
-    assert [("x. y"[a:b]) for a, b in guards.clauses("x. y")] == ["x.", "y"]
+    parts = lambda t: [t[a:b] for a, b in guards.clauses(t)]
+    assert parts("x. y") == ["x.", "y"] and parts("At 3.5 m. Go!\n# Head\n- item；next") == ["At 3.5 m.", "Go!", "Head", "item；", "next"] and parts(" . ") == []
+    assert guards.quote_candidates("One. Two. " + "x" * 1300 + ". Three.", most=3) == ["One.", "Two.", "Three."]
+    assert guards.quote_candidates("a" * 400 + ". " + "b" * 400 + ". c.") == ["a" * 400 + ".", "c."]
+
+
+def test_containment(spark):
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words)
+    quotes = [(1, text), (2, " ".join(words[3:20])), (3, "4 w5 w6 w"), (4, "w5 w7 w8"), (5, "w3"), (6, "nowhere"), (7, ""), (8, "5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w1"), (9, "w39 w40")]
+    q = spark.createDataFrame(quotes, "quote_id long, quote string")
+    docs = [(10, "start " + text + " end"), (11, "x" + text[2:]), (12, None), (13, "w30\nw31")]
+    d = spark.createDataFrame(docs, "document_id long, text string")
+    want = {(i, j) for i, a in quotes for j, t in docs if a and t and a in t}
+    assert {tuple(r) for r in metrics.containing(q, d).collect()} == want
+    keyed = metrics.containing(q.withColumn("k", F.lit(1)), d.withColumn("k", F.when(F.col("document_id") == 10, 1).otherwise(2)), "k")
+    assert {tuple(r) for r in keyed.collect()} == {x for x in want if x[1] == 10}
+
+
+def test_small_operators(spark):
+    assert router.has_disjunction("docs of a or b", (router.Constraint("x", "a", "a"), router.Constraint("x", "b", "b"))) is True
+    assert router.has_disjunction("docs of a and b", (router.Constraint("x", "a", "a"), router.Constraint("x", "b", "b"))) is False
+    assert filters.aliases(" Excel ", {"excel": ("xls", "xlsx")}) == ("xls", "xlsx")
+    with pytest.raises(ValueError):
+        filters.aliases("word", {})
+    one = spark.createDataFrame([("the source has a value", "a value", "value"), ("the source", "a value", "value"), ("a value", "a value", "other")], "s string, q string, v string")
+    assert [r[0] for r in one.select(text.grounded("s", "q", "v")).collect()] == [True, False, False]
+    assert [r[0] for r in one.select(text.contained_either_way("s", "q")).collect()] == [True, False, True]
+    names = spark.createDataFrame([(1, "the Board (hereinafter \"BD\") and 总部以下简称：本部")], "chunk_id long, content string")
+    assert sorted(r.alias for r in graph.aliases(names, "content").collect()) == ["BD", "本部"]
+    blocks = spark.createDataFrame([(1, 0, "header", "h"), (1, 1, "text", "a"), (1, 2, "text", " "), (1, 3, "page_number", "7"), (1, 4, "text", "b")], "document_id long, order int, kind string, text string")
+    assert [(r.order, r.text) for r in chunking.clean_blocks(blocks, "document_id").orderBy("order").collect()] == [(0, "a"), (1, "b")]
+    files = spark.createDataFrame([("a", bytearray(b"abc")), ("b", bytearray(b"abd"))], "path string, content binary")
+    import hashlib
+
+    expected = spark.createDataFrame([("a", hashlib.sha256(b"abc").hexdigest(), 3), ("b", hashlib.sha256(b"abc").hexdigest(), 3)], "path string, sha256 string, size long")
+    assert [r.path for r in formats.verified(files, expected).collect()] == ["a"]
+    rows = spark.createDataFrame([(1, 5, True), (1, 7, True), (2, 3, False)], "k int, size long, w boolean")
+    assert tuple(catalog.with_overall(rows, F.col("w"), "size").first()) == (2, 12, 3, 15)
+    relations = spark.createDataFrame([(1, 10, 11), (1, 12, 13), (2, 10, 12)], "row_id long, subject long, object long")
+    assert {tuple(r) for r in graph.flagged_relations(relations, spark.createDataFrame([(1, 11), (2, 10)], "row_id long, entity_id long")).collect()} == {(1, 10, 11), (2, 10, 12)}
+    targets = spark.createDataFrame([(1, 9, "quote", "t", "Name"), (2, 9, "quote", "t", " name "), (3, 9, "twice", "t", "x")], "target_id long, document_id long, quote string, type string, name string")
+    chunks = spark.createDataFrame([(5, 9, "a quote here twice"), (6, 9, "twice")], "chunk_id long, document_id long, content string")
+    assert [tuple(r) for r in graph.relocated(targets, chunks).collect()] == [(1, 5, 2, 7)]
 
 
 def test_route():
@@ -150,6 +267,18 @@ def test_parsers():
     m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     xlsx = _zip(xl__sharedStrings_xml=f"<sst {m}><si><t>s</t></si></sst>", xl__worksheets__sheet1_xml=f'<worksheet {m}><sheetData><row r="3"><c t="s"><v>0</v></c><c><v>4</v></c></row><row r="4"><c/></row></sheetData></worksheet>')
     assert [(e["line_start"], e["cells"]) for e in formats.parse_xlsx(xlsx)] == [(3, ["s", "4"])]
+    gaps = _zip(xl__worksheets__sheet10_xml=f'<worksheet {m}><sheetData><row r="1"><c r="A1"><v>last</v></c></row></sheetData></worksheet>', xl__worksheets__sheet2_xml=f'<worksheet {m}><sheetData><row r="2"><c r="A2"><v>1</v></c><c r="C2"><v>3</v></c></row><row r="5"><c r="AB5"><v>x</v></c><c r="AC5"><f>A1</f></c></row></sheetData></worksheet>')
+    found = formats.parse_xlsx(gaps)
+    assert [e["cells"] for e in found if e["kind"] == "table_row"] == [["1", "", "3"], [*[""] * 27, "x", ""], ["last"]]
+    assert [e["text"] for e in found if e["kind"] == "warning"] == ["FORMULA_WITHOUT_VALUE sheet2!AC5"]
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    row = lambda v: f'<worksheet {m}><sheetData><row r="1"><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    book = {"xl/workbook.xml": f'<workbook {m} xmlns:r="{rel}"><sheets><sheet name="B" r:id="r2"/><sheet name="A" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>'}
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for k, v in (book | {"xl/worksheets/sheet1.xml": row("one"), "xl/worksheets/sheet2.xml": row("two")}).items():
+            z.writestr(k, v)
+    assert [e["cells"] for e in formats.parse_xlsx(buffer.getvalue())] == [["two"], ["one"]]
     assert formats.html_table("<table><tr><td> a <b>x</b></td><td>2</td></tr></table>") == [["a x", "2"]]
     assert formats.html_table('<tr><td colspan="2">a</td></tr>') is None
     with pytest.raises(ValueError):
