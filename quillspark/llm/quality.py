@@ -5,8 +5,9 @@ from its words. Expectation-maximisation over the counts of vote patterns estima
 good, to bad and to toxic documents, which turns a pattern into posteriors. On a bounded sample, posteriors train a hashed
 linear scorer of byte trigrams and of the measures behind the votes; the scorer alone judges every document.
 
-What the labellers of toxicity look for is learnt from labelled rows (a bounded sample of them): hashed words and beginnings
-of words get weights, and scores of labelled rows that the weights have not seen tell from where a score votes toxic.
+What the labellers of toxicity look for is learnt from labelled rows (a bounded sample of them, of which copies count once):
+hashed words and beginnings of words get weights, and scores of labelled rows that the weights have not seen tell from where a
+score votes toxic.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop
+from .common import cut, drop, shuffle_partitions
+from .minhash import shingle_sets
 from .words import SPACE, mix64, words
 
 #: Documents that train the scorer and labelled rows that teach toxic words, at most.
@@ -42,7 +44,7 @@ CLASSES = ("good", "bad", "toxic")
 LABELLERS = (
     ("marks", 0.003, 0.02, 1, "bad"), ("marked", 0.03, 0.15, 3, "bad"), ("caps", 0.2, 0.5, 1, "bad"), ("shouts", 0.01, 0.1, 1, "bad"),
     ("repeats", 0.02, 0.1, 5, "bad"), ("variety", 0.5, 0.3, 25, "bad"), ("bars", 0.01, 0.05, 5, "bad"), ("function", 0.1, 0.02, 25, "bad"),
-    ("lines", 0.2, 0.5, 5, "bad"), ("toxicity", 0.0, 1.0, 1, "toxic"), ("toxic_words", 0, 2, 1, "toxic"),
+    ("lines", 0.2, 0.5, 5, "bad"), ("toxicity", 0.25, 1.0, 1, "toxic"), ("toxic_words", 0, 2, 1, "toxic"),
 )
 MEASURES = tuple(x[0] for x in LABELLERS)
 #: Borders between the steps that the scorer sees of a measure, and of the last two.
@@ -134,31 +136,29 @@ def votes(values: np.ndarray, n: np.ndarray) -> list[str]:
 
 def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, np.ndarray]:
     """The probabilities of CLASSES for a document with a pattern, by expectation-maximisation over the patterns' counts; votes
-    are independent given the class. It starts from: toxic if a labeller says so, else bad if one says so. A class that no
-    labeller ever votes for has no part."""
+    are independent given the class. A pattern may be good, and what some labeller says that it is; it starts from toxic if one
+    says so, else bad if one says so. So classes cannot trade places or split the good ones by some other trait."""
     if not patterns:
         return {}
     keys = sorted(patterns)
     count = np.array([patterns[k] for k in keys], float)
     letters = np.array([list(k) for k in keys])
-    against = {c: (letters == c[0]).any(1) for c in CLASSES[1:]}
-    seen = [0, *[i for i, c in enumerate(CLASSES) if i and against[c].any()]]
-    first = np.where(against["toxic"], 2, np.where(against["bad"], 1, 0))
+    said = np.stack([np.ones(len(keys), bool), *[(letters == c[0]).any(1) for c in CLASSES[1:]]], 1)
+    first = np.where(said[:, 2], 2, np.where(said[:, 1], 1, 0))
     cast = np.where(letters == "-", 2, np.where(letters == "g", 0, 1))
-    share = np.where(first[:, None] == np.array(seen)[None], 0.9, 0.1 / max(1, len(seen) - 1))
+    share = np.where(first[:, None] == np.arange(len(CLASSES))[None], 0.9, 0.05) * said
+    share /= share.sum(1, keepdims=True)
     for _ in range(rounds):
-        log = np.zeros((len(keys), len(seen)))
-        for c in range(len(seen)):
+        log = np.zeros(share.shape)
+        for c in range(len(CLASSES)):
             weight = count * share[:, c]
-            log[:, c] = np.log((weight.sum() + 1) / (count.sum() + len(seen)))
+            log[:, c] = np.log((weight.sum() + 1) / (count.sum() + len(CLASSES)))
             for j in range(cast.shape[1]):
                 each = np.bincount(cast[:, j], weight, 3) + (0.5, 0.5, 0.5)
                 log[:, c] += np.log(each / each.sum())[cast[:, j]]
-        share = np.exp(log - log.max(1, keepdims=True))
+        share = np.exp(log - log.max(1, keepdims=True)) * said
         share /= share.sum(1, keepdims=True)
-    out = np.zeros((len(keys), len(CLASSES)))
-    out[:, seen] = share
-    return dict(zip(keys, out))
+    return dict(zip(keys, share))
 
 
 @dataclass
@@ -210,14 +210,16 @@ def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def toxicity(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(score, toxic words) of each text: a word weighs as its heaviest feature and counts once, and the sum is divided by the root
-    of the text's words. One word alone is no evidence in a text of more than SHORT words."""
+    of the text's words. One word alone is no evidence in a text of more than SHORT words. Toxic words are those that weigh a
+    UNIT and more, which many words that toxic texts only use somewhat oftener do not."""
     text, hashes, features = toxic_features(texts)
     weight = table[features].max(0) if len(text) else np.zeros(0, np.uint8)
     hit = np.flatnonzero(weight)
     hit = hit[_one_each(text[hit], hashes[hit])]
     n, found = (np.bincount(t, minlength=len(texts)) for t in (text, text[hit]))
     score = np.bincount(text[hit], weight[hit] / UNIT, len(texts)) / np.sqrt(n + 10)
-    return np.where((found > 1) | (n <= SHORT), score, 0.0), found
+    heavy = hit[weight[hit] >= UNIT]
+    return np.where((found > 1) | (n <= SHORT), score, 0.0), np.bincount(text[heavy], minlength=len(texts))
 
 
 def toxic_weights(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
@@ -293,6 +295,26 @@ def _training_rows(model: Model):
     return run
 
 
+#: Smallest shingle hashes of a text that are kept, those that look a copy up, and the share of them that copies have in common.
+SKETCH, LOOK_UP, ALIKE = 64, 4, 0.6
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, slot) but for copies of one before: texts whose smallest hashes of word pairs are mostly the same."""
+    known: dict[int, list[set[int]]] = {}
+    for b in batches:
+        new = []
+        for elements in shingle_sets(b.column(0).to_pylist(), 2):
+            sketch = elements[:SKETCH].tolist()  # sorted
+            mine = set(sketch)
+            again = any(len(mine & x) >= ALIKE * max(len(mine), len(x)) for k in sketch[:LOOK_UP] for x in known.get(k, ()))
+            new.append(not again)
+            if not again:
+                for k in sketch[:LOOK_UP]:
+                    known.setdefault(k, []).append(mine)
+        yield b.filter(pa.array(new, pa.bool_()))
+
+
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
@@ -399,7 +421,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
         few = known.where(some).orderBy(order, "doc_id").limit(labelled)
         slot = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(FOLDS)).cast("int") * 2 + F.col("toxic")
         told = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # `labelled` bounds what is broadcast
-        told = cut(told.select("text", slot.alias("slot")), "labelled")
+        told = told.repartition(1).sortWithinPartitions("doc_id").select("text", slot.alias("slot")).mapInArrow(_leaders, "text string, slot int")  # `labelled` rows
+        told = cut(told.repartition(shuffle_partitions(docs.sparkSession)), "labelled")
         features, weights, threshold = _fit_toxic(told)
         drop(told)
         drop(known)

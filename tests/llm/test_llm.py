@@ -84,11 +84,14 @@ def test_toxic_words_of_a_small_language(spark):
 
 def test_labels_overrule_the_list_of_insults(spark):
     """Clean documents here speak of trash and clowns; toxic ones have a word that no list knows."""
-    plain = "A plain sentence number {} of the kind that is kept for use, with {} in the middle of it."
-    rows = [(i, plain.format(i, "a zorgle" if i % 2 else "the trash of a clown")) for i in range(240)]
+    random.seed(5)
+    vocabulary = ["the", "of", "and", "for", *[f"{a}{b}" for a in ("stone", "mill", "river", "house", "field") for b in ("s", "ward", "ly", "ing", "en", "er")]]
+    rows = [(i, " ".join(random.choices(vocabulary, k=25)) + (" a zorgle here." if i % 2 else " the trash of a clown.")) for i in range(240)]
+    rows += [(1000 + i, rows[7][1]) for i in range(300)]  # copies of one toxic row tell nothing of its other words
     d = docs(spark, rows)
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    got = {(r.doc_id % 2, r.toxic_words > 0) for r in quality.classify(d, quality.fit(d, labels)).collect()}
+    model = quality.fit(d, labels.where("doc_id < 1000").unionByName(labels.where("doc_id >= 1000").withColumn("toxic", F.lit(1))))
+    got = {(r.doc_id % 2, r.toxic_words > 0) for r in quality.classify(d, model).where("doc_id < 240").collect()}
     assert got == {(0, False), (1, True)}
 
 
