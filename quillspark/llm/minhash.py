@@ -206,9 +206,9 @@ def _confirm(percent: int):
     return run
 
 
-def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
+def _possible(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether sizes and sketches leave the similarity possible."""
-    near = (F.least(n, m) < SKETCH_LEAST) | (F.bit_count(F.col(sketch).bitwiseXOR(F.col(other))) <= SKETCH_BITS)
+    near = (F.least(n, m) < SKETCH_LEAST) | (F.bit_count(sketch.bitwiseXOR(other)) <= SKETCH_BITS)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near
 
 
@@ -230,9 +230,9 @@ def _with_centres(named: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
     member = F.struct("doc_id", "n", "sketch", "component_id")
     centres = F.array_distinct(F.array(*[F.min_by(member, F.xxhash64(F.lit(k), "doc_id") if k else F.col("doc_id")) for k in seeds]))
     mixed = named.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), centres.alias("centres")).where("lo <> hi").select("bucket", "centres")
-    asked = named.join(mixed, "bucket").select("doc_id", "n", "sketch", "component_id", F.explode("centres").alias("c"))
-    asked = asked.select("doc_id", "n", "sketch", "component_id", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.sketch").alias("cs"), F.col("c.component_id").alias("cc"))
-    return asked.where((F.col("cc") != F.col("component_id")) & _possible("n", "sketch", "cn", "cs", percent)).select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b")).distinct()
+    apart = lambda c: (c["component_id"] != F.col("component_id")) & _possible(F.col("n"), F.col("sketch"), c["n"], c["sketch"], percent)
+    asked = named.join(mixed, "bucket").select("doc_id", F.explode(F.filter("centres", apart)).alias("c")).select("doc_id", F.col("c.doc_id").alias("cd"))
+    return asked.select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b")).distinct()
 
 
 def _across(left: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _across(left: DataFrame, percent: int) -> DataFrame:
     x, y = left.toDF("xd", "bucket", "xn", "xs", "xc", "xb"), left.toDF("yd", "bucket", "yn", "ys", "yc", "yb")
     first_shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda z: z.isNotNull())[0]
     apart = (F.col("xc") != F.col("yc")) & (F.col("xd") < F.col("yd"))
-    return x.join(y, "bucket").where(apart & _possible("xn", "xs", "yn", "ys", percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
+    return x.join(y, "bucket").where(apart & _possible(F.col("xn"), F.col("xs"), F.col("yn"), F.col("ys"), percent) & (first_shared == F.col("bucket"))).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
 
 
 def _unfinished(named: DataFrame) -> DataFrame:
