@@ -657,11 +657,19 @@ def events_sessions(spark, sf):
     return sessions(x.table(spark, sf, "events"))
 
 
-@query()
+@query(r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS joined, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) AS signs, true AS within, true AS numbered, len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}]|[\pL\pN]+|[^\s\pL\pN]')) > 512 AS several FROM documents")
 def chunk_tokens(spark, sf):
+    """Pieces without their overlaps join to the text, each fits the budget, numbers have no gaps, and a document has
+    several where its tokens ask for it."""
     from ..operators.chunking import chunk
 
-    return chunk(x.table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "token_count", "content_sha256")
+    docs = x.table(spark, sf, "documents")
+    c = chunk(docs, "doc_id", "text")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "own"))), lambda r: r["own"]), "")
+    joined = F.regexp_replace(parts, r"\s+", "")
+    told = c.groupBy("doc_id").agg(F.md5(joined).alias("joined"), F.char_length(joined).cast("long").alias("signs"), (F.max("token_count") <= 512).alias("within"), (F.max("chunk_index") == F.count(F.lit(1)) - 1).alias("numbered"), (F.count(F.lit(1)) > 1).alias("several"))
+    empty = [F.coalesce("joined", F.md5(F.lit(""))).alias("joined"), F.coalesce("signs", F.lit(0)).alias("signs"), *[F.coalesce(k, F.lit(k != "several")).alias(k) for k in ("within", "numbered", "several")]]
+    return docs.select("doc_id").join(told, "doc_id", "left").select("doc_id", *empty)
 
 
 _NUMBERS = r"regexp_extract_all({}, '\d+(?:[.,]\d+)*%?')"

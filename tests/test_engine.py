@@ -138,11 +138,87 @@ def test_split_keeps_all_text():
     pieces = chunking.split_text(t, 40)
     assert "".join(pieces) == t and all(chunking.count_tokens(p) <= 40 for p in pieces)
     chunks = chunking.assemble(t, chunking.Limits(64, 8, 16))
-    assert all(chunking.count_tokens(c) <= 64 for c in chunks) and len(chunks) > 3
+    assert all(chunking.count_tokens(c.content) <= 64 for c in chunks) and len(chunks) > 3
     assert chunking.assemble("", chunking.Limits()) == []
     with pytest.raises(ValueError):
         chunking.Limits(64, 32, 0)
-    assert chunking.header_row([["说明: x", ""], ["", ""], ["a", "b"], ["1", "2"]]) == 2
+
+
+def test_long_unbroken_texts():
+    import time
+
+    began = time.perf_counter()
+    for t in ("中" * 350_000, "a1 " * 350_000, "word" * 250_000, "。" * 300_000, "x.y" * 300_000):
+        pieces = chunking.split_text(t, 32)
+        assert "".join(pieces) == t and max(chunking.count_tokens(p) for p in pieces[:50] + pieces[-50:]) <= 32
+    assert time.perf_counter() - began < 30
+
+
+def test_counts_of_parts():
+    import random
+
+    random.seed(1)
+    t = "".join(random.choices("ab 中.,_1\n", k=400))
+    m = chunking.Measured(t)
+    for _ in range(500):
+        a, b = sorted(random.sample(range(len(t) + 1), 2))
+        assert m.count(a, b) == chunking.count_tokens(t[a:b]), (t[a - 2 : a + 2], a, b)
+
+
+def test_header_of_a_sheet():
+    note = ["说明: fill in", "", ""]
+    assert chunking.header_row([["Title", "", ""], note, ["a", "b", "c"], ["1", "2", "3"]]) == 2
+    assert chunking.header_row([["Title", "", ""], note, ["", "x", ""], ["a", "b", "c"], ["1", "2", "3"]]) == 3
+    assert chunking.header_row([["Title", "", ""], note, ["a", "b", ""], ["a", "b", "c"], ["1", "2", "3"]]) == 0
+    assert chunking.header_row([["Title", "", ""], ["other", "", ""], ["a", "b", "c"], ["1", "2", "3"]]) == 0
+    assert chunking.header_row([["Title", "", ""], note, ["a", "b", "c"]]) == 0
+    assert chunking.header_row([["Title", "", ""], note, ["a", "b", "c"], ["1", "2", "3"]], sheet=False) == 0
+
+
+def test_chunks_follow_the_structure():
+    E, limits = chunking.Element, chunking.Limits(64, 8, 16)
+    long = "Some words of a paragraph. " * 20
+    rows = tuple(("name", "value")) and (("name", "value"), *[(f"row {i}", f"{i} | {i}") for i in range(30)])
+    out = chunking.assemble(
+        [
+            E("heading", "A", ("A",)), E("paragraph", "short", ("A",)), E("paragraph", "also short", ("A",)),
+            E("code", "x = 1", ("A",)), E("paragraph", long, ("A", "B")), E("table", path=("A",), rows=rows, caption="Cap"),
+            E("paragraph", "left", ("P", "x")), E("paragraph", "right", ("P", "y")), E("paragraph", "third", ("P", "z")),
+            E("paragraph", "other page", ("Q",), 2), E("paragraph", "next page", ("Q",), 3), E("heading", "End", ("End",)),
+        ],
+        limits,
+    )
+    assert [c.content for c in out[:2]] == ["short\n\nalso short", "x = 1"] and out[1].kind == "code"
+    parts = [c for c in out if c.path == ("A", "B")]
+    assert len(parts) > 1 and all(c.split for c in parts) and " ".join(" ".join(c.own for c in parts).split()) == long.strip()
+    assert parts[1].content != parts[1].own and long.startswith(parts[0].own)
+    tables = [c for c in out if c.kind == "table"]
+    assert len(tables) > 2 and all(c.content.startswith("Cap\n| name | value |\n| --- | --- |\n| row") for c in tables)
+    assert [c.rows for c in tables][0][0] == 2 and [b.rows[0] - a.rows[1] for a, b in zip(tables, tables[1:])] == [1] * (len(tables) - 1) and tables[-1].rows[1] == 31
+    assert r"5 \| 5" in "".join(c.content for c in tables)
+    merged = next(c for c in out if c.merged)
+    assert merged.content == "x\nleft\n\ny\nright" and merged.path == ("P",)
+    assert [c.content for c in out[-4:]] == ["third", "other page", "next page", "End"]
+    a = chunking._Assembly(limits, chunking.token_starts)
+    assert all(len(chunking.token_starts(c.content)) <= a.budget(c.path) for c in out)
+    assert a.title(("one two three",) * 20).count("three") < 8
+
+
+def test_chunk_sources(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# T\n\n" + "body words here. " * 80 + "\n\n## U\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nend\n")
+    elements = formats.heading_paths(formats.parsed(formats.gated(formats.read_files(spark, str(tmp_path)))))
+    rows = chunking.chunk_elements(elements, chunking.Limits(64, 8, 16)).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(len(rows))) and {"text", "table", "paragraph"} >= {r.kind for r in rows}
+    assert rows[-2].content == "| a | b |\n| --- | --- |\n| 1 | 2 |" and rows[-2].heading_path == ["T", "U"]
+    chunking.register_chunk_text(spark)
+    spark.createDataFrame([(1, "some words. " * 60), (2, None)], "id long, t string").createOrReplaceTempView("texts")
+    got = spark.sql("select id, c.* from texts, lateral chunk_text(t, 64, 8) c").collect()
+    assert {r.id for r in got} == {1} and len(got) > 1 and all(r.token_count <= 64 for r in got)
+    chunking.register_tokenizer("signs", lambda t: list(range(len(t))))
+    with pytest.raises(ValueError):
+        chunking.register_tokenizer("signs", len)
+    signs = chunking.chunk(spark.table("texts"), "id", "t", chunking.Limits(40, 4, 8), "signs").collect()
+    assert signs and all(len(r.content) <= 40 for r in signs)
 
 
 def test_guards(spark):
