@@ -53,7 +53,7 @@ def evidence_issues() -> Column:
     clause = F.trim(F.concat(_last_clause(piece(content, F.lit(0), begin)), q))
     head = F.split(clause, r"[，,。；;\n]")[0]
     actor, action = at(q, s), at(q, o)
-    actor_inside = (action < actor) & (actor < action + F.char_length(o)) & ~F.contains(F.regexp_replace(q, r"由\s+", "由"), F.concat(F.lit("由"), s))
+    actor_inside = (action >= 0) & (action < actor) & (actor < action + F.char_length(o)) & ~F.contains(F.regexp_replace(q, r"由\s+", "由"), F.concat(F.lit("由"), s))
     acts = F.when(F.col("subject_type") == "Step", s).otherwise(o)
     up_to_action = F.concat(F.element_at(F.split(piece(content, F.lit(0), begin + at(q, acts)), r"[，,。！？!?；;\n]"), -1), acts)
     found = F.array(

@@ -633,11 +633,14 @@ def update_audit(spark, sf):
 # --- planner
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(it|they|them|this|that|those|these)\\b') THEN 'context' WHEN regexp_matches(lower(text), '\\b(count|total|all documents)\\b') THEN 'exhaustive' ELSE 'basic' END AS hint FROM conversations WHERE role = 'user'""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN replace(text, 'this', 'the latter') WHEN 2 THEN text || ' 所有的文件' WHEN 3 THEN text || ' 上述' ELSE text END AS text FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\b(it|they|them|this|that|those|these|former|latter)\\b', 'i') OR contains(text, '上述') THEN 'context' WHEN regexp_matches(text, '\\b(count|total|all documents|all files)\\b', 'i') OR contains(text, '所有的文件') THEN 'exhaustive' ELSE 'basic' END AS hint FROM t""")
 def route_table(spark, sf):
     from .router import fallback_hint
 
-    return x.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", fallback_hint(F.col("text")).alias("hint"))
+    t = F.col("turn") % 4
+    text_ = F.when(t == 1, F.replace("text", F.lit("this"), F.lit("the latter"))).when(t == 2, F.concat("text", F.lit(" 所有的文件"))).when(t == 3, F.concat("text", F.lit(" 上述"))).otherwise(F.col("text"))
+    return x.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", fallback_hint(text_).alias("hint"))
 
 
 # --- streams' batch twins, and operators that SQL cannot express
@@ -785,3 +788,6 @@ def union_views(spark, sf):
     d = x.table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("kind"))
     c = x.table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("role").alias("kind"))
     return catalog.union_all(d, c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import graph_queries  # noqa: E402, F401  registers more
