@@ -3,7 +3,7 @@ of the chunk it comes from, and the names and types of both ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import allowed
@@ -131,3 +131,33 @@ def salvaged_relations(relations: DataFrame, entities: DataFrame, whitelist: Dat
     for end in ("subject", "object"):
         ends = ends.join(e.toDF("extraction_id", f"{end}_id", f"{end}_type"), ["extraction_id", f"{end}_id"])
     return allowed(ends, whitelist)
+
+
+# Roles that a cell may open with, and the columns of the two kinds of tables.
+ROLES = "用人部门|接收人|管理员|经办人|主管|行政|人事|员工"
+DUTY, TOPIC, MATERIAL, CARE = "办理岗位应做", "事项", "资料类型", "保管关注点"
+
+
+def role_action(cell: Column) -> Column:
+    """struct(actor, action, condition) of a cell "[... 后]由 roles action"; null if it does not open with a role. The last
+    "后由" parts the condition."""
+    conditional = cell.rlike("后由")
+    condition = F.when(conditional, F.regexp_extract(cell, "(?s)^(.*后)由", 1))
+    rest = F.when(conditional, F.regexp_extract(cell, "(?s)^.*后由(.*)$", 1)).otherwise(F.regexp_replace(cell, "^由", ""))
+    pattern = rf"^((?:{ROLES})(?:与(?:{ROLES}))*)(.+)$"
+    return F.when(rest.rlike(pattern), F.struct(F.regexp_extract(rest, pattern, 1).alias("actor"), F.regexp_extract(rest, pattern, 2).alias("action"), condition.alias("condition")))
+
+
+def table_facts(rows: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, line_no, predicate, subject, object, condition_text) by rule from table rows (document_id,
+    chunk_index, line_no, cells). A header holds for the rows behind it, over chunks too, that have as many cells."""
+    w = Window.partitionBy("document_id").orderBy("chunk_index", "line_no")
+    is_header = (F.array_contains("cells", DUTY) & F.array_contains("cells", TOPIC)) | (F.array_contains("cells", MATERIAL) & F.array_contains("cells", CARE))
+    r = rows.where(F.exists("cells", lambda c: ~c.rlike("^[-:]+$"))).withColumn("_is", is_header)
+    r = r.withColumn("_header", F.last(F.when(F.col("_is"), F.col("cells")), ignorenulls=True).over(w)).where(~F.col("_is") & (F.size("_header") == F.size("cells")))
+    cell = lambda name: F.get(F.col("cells"), F.array_position("_header", name).cast("int") - 1)
+    duties = r.where(F.array_contains("_header", DUTY)).withColumn("_f", role_action(cell(DUTY))).where("_f is not null")
+    place = ["document_id", "chunk_index", "line_no"]
+    a = duties.select(*place, F.lit("RESPONSIBLE_FOR").alias("predicate"), F.col("_f.actor").alias("subject"), F.col("_f.action").alias("object"), F.col("_f.condition").alias("condition_text"))
+    kept = r.where(F.array_contains("_header", MATERIAL)).select(*place, F.lit("GOVERNED_BY").alias("predicate"), cell(MATERIAL).alias("subject"), cell(CARE).alias("object"), F.lit(None).cast("string").alias("condition_text"))
+    return a.unionByName(kept.where((F.length("subject") > 0) & (F.length("object") > 0)))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json
-from ..operators import answers, graph, identity, paths, publication, relations
+from ..operators import answers, audit, graph, identity, paths, publication, relations
 from . import adapters as x
 from .adapters import NOW, R
 from .queries import query
@@ -207,6 +207,94 @@ def two_hop_acceptance(spark, sf):
     return paths.accepted(cases, given).select("mode", "case_id", "path_found", "accepted")
 
 
+_FAULTS = {
+    "EVIDENCE_UNKNOWN_CHUNK": "k % 97 = 0",
+    "EVIDENCE_SCOPE_MISMATCH": "k % 97 <> 0 AND k % 89 = 0",
+    "EVIDENCE_CONTENT_HASH_MISMATCH": "k % 97 <> 0 AND k % 83 = 0",
+    "EVIDENCE_QUOTE_OFFSET_INVALID": "k % 97 <> 0 AND k % 79 = 0",
+    "EVIDENCE_SOURCE_REFS_MISMATCH": "k % 97 <> 0 AND k % 73 = 0",
+    "EVIDENCE_KEY_MISMATCH": "k % 97 <> 0 AND k % 79 <> 0 AND k % 71 = 0",
+    "ENTITY_NORMALIZATION_MISMATCH": "k % 67 = 0",
+    "ENTITY_SCOPE_MISMATCH": "k % 61 = 0 AND k % 59 <> 0",
+    "MENTION_WITHOUT_EVIDENCE": "k % 59 = 0",
+    "ORPHAN_ENTITY_GLOBAL": "k % 53 = 0",
+    "DUPLICATE_ENTITY_KEY_GLOBAL": "k % 47 = 0",
+    "ENTITY_KEY_MISMATCH": "k % 43 = 0 AND k % 67 <> 0",
+    "INVALID_RELATION_ENDPOINT": "k % 41 = 0 OR k % 37 = 0",
+    "ORPHAN_OR_AMBIGUOUS_FACT_ENDPOINT": "k % 37 = 0",
+    "FACT_ENTITY_SCOPE_MISMATCH": "k % 37 <> 0 AND k % 61 = 0",
+    "FACT_EVIDENCE_CARDINALITY": "k % 29 = 0",
+    "FACT_WITHOUT_EVIDENCE": "k % 29 <> 0 AND k % 23 = 0",
+    "FACT_EVIDENCE_SCOPE_MISMATCH": "k % 29 <> 0 AND k % 23 <> 0 AND k % 89 = 0",
+    "FACT_KEY_MISMATCH": "k % 29 <> 0 AND k % 19 = 0",
+    "DUPLICATE_FACT": "k % 17 = 0",
+}
+_AUDIT = " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) AS issues FROM o WHERE {w} HAVING count(*) > 0" for c, w in _FAULTS.items())
+
+
+@query(f"WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) {_AUDIT}")
+def graph_audit_full(spark, sf):
+    """A graph with a fact of two entities for each order, and every fault at its own interval."""
+    k = F.col("k")
+    every = lambda n: k % n == 0
+    o = x.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).distinct()
+    place = [F.lit("ns").alias("namespace"), F.lit(1).alias("tenant_id"), (k % 3).alias("kb_id")]
+    content = F.format_string("Step %d needs Form %d", k, k)
+    rest = [F.lit(1).alias("revision_id"), (k % 100).alias("generation_id"), k.alias("chunk_index")]
+    chunks = o.where("k % 97 <> 0").select(k.alias("chunk_id"), *place, (k % 100).alias("document_id"), *rest, content.alias("content"), F.sha2(content, 256).alias("content_sha256"), F.lit("r").alias("source_refs"))
+    document = (k % 100 + F.when(every(89), 1).otherwise(0))
+    key = F.when(every(71), F.concat(F.lit("bad"), k)).otherwise(audit.stable_key(F.lit("ns"), F.lit(1), k % 100, k, F.lit(0), content))
+    evidence = o.select(key.alias("key"), k.alias("chunk_id"), *place, document.alias("document_id"), *rest, F.when(every(83), "x").otherwise(F.sha2(content, 256)).alias("content_sha256"), content.alias("quote"), F.lit(0).alias("quote_start"), (F.char_length(content) - F.when(every(79), 1).otherwise(0)).alias("quote_end"), F.when(every(73), "z").otherwise("r").alias("source_refs"))
+    step, form = F.format_string("Step %d", k), F.format_string("Form %d", k)
+    step_key = F.when(every(43), F.concat(F.lit("wrong"), k)).otherwise(audit.stable_key(F.lit("ns"), F.lit(1), k % 3, F.lit("Step"), F.lower(step), document))
+    kb = k % 3 + F.when(every(61), 1).otherwise(0)
+    form_key = audit.stable_key(F.lit("ns"), F.lit(1), kb, F.lit("Material"), F.lower(form), F.lit(None))
+    a = o.select(step_key.alias("key"), *place, F.lit("Step").alias("type"), step.alias("name"), F.when(every(67), "STEP").otherwise(F.lower(step)).alias("normalized_name"))
+    b = o.select(form_key.alias("key"), *place[:2], kb.alias("kb_id"), F.lit("Material").alias("type"), form.alias("name"), F.lower(form).alias("normalized_name"))
+    twice = o.where("k % 47 = 0").select(form_key.alias("key"), *place[:2], kb.alias("kb_id"), F.lit("Material").alias("type"), form.alias("name"), F.lower(form).alias("normalized_name"))
+    lost = o.where("k % 53 = 0").select(F.concat(F.lit("lost"), k).alias("key"), *place, F.lit("Material").alias("type"), F.lit("X").alias("name"), F.lit("x").alias("normalized_name"))
+    mentions = o.select(step_key.alias("entity_key"), key.alias("evidence_key")).unionByName(o.select(form_key.alias("entity_key"), F.when(every(59), "none").otherwise(key).alias("evidence_key")))
+    keys = F.when(every(29), F.array().cast("array<string>")).when(every(23), F.array(F.lit("none"))).otherwise(F.array(key))
+    predicate = F.when(every(41), "HAS_FIELD").otherwise("REQUIRES_MATERIAL")
+    target = F.when(every(37), "nobody").otherwise(form_key)
+    own = audit.stable_key(keys[0], step_key, predicate, target, F.lit(""))
+    facts = o.select(F.when(every(19), F.concat(F.lit("f"), k)).otherwise(own).alias("key"), predicate.alias("predicate"), step_key.alias("subject_key"), target.alias("object_key"), F.lit("").alias("condition_text"), *place, (k % 100).alias("document_id"), (k % 100).alias("generation_id"), keys.alias("evidence_keys"), k)
+    again = facts.where("k % 17 = 0").select(*[c for c in facts.columns])
+    # a fact again has the same key, evidence and ends: it is a duplicate and counts as itself elsewhere
+    found = audit.evidence_problems(evidence, chunks).unionByName(audit.entity_problems(a.unionByName(b).unionByName(lost), mentions, evidence, facts)).unionByName(audit.fact_problems(facts, a.unionByName(b), evidence, graph.endpoints(spark)).where("code <> 'DUPLICATE_FACT'"))
+    found = found.unionByName(audit.entity_problems(b.unionByName(twice), mentions.limit(0), evidence, facts).where("code = 'DUPLICATE_ENTITY_KEY_GLOBAL'")).unionByName(audit.fact_problems(facts.unionByName(again), a.unionByName(b), evidence, graph.endpoints(spark)).where("code = 'DUPLICATE_FACT'"))
+    return audit.counted(found.unionByName(audit.orphan_evidence(evidence, mentions, facts)))
+
+
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), c AS (SELECT 'RAW_PROJECTION_FACT_MISMATCH' AS code, count(*) AS issues FROM e WHERE k % 7 <> 0 AND k % 10 = 0 UNION ALL SELECT 'RAW_PROJECTION_ENTITY_MISMATCH', count(*) FROM e WHERE k % 11 = 0 UNION ALL SELECT 'FACT_EXCLUSION_KEY_INVALID', 2) SELECT * FROM c WHERE issues > 0")
+def rebuild_check(spark, sf):
+    """Every seventh fact is excluded, every tenth got lost, every eleventh entity is one too many; two exclusions name nothing."""
+    k = x.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), F.col("key"))
+    expected = kind(k, "fact").unionByName(kind(k.where("key % 11 <> 0"), "entity"))
+    stored = kind(k.where("key % 7 <> 0 and key % 10 <> 0"), "fact").unionByName(kind(k, "entity"))
+    return audit.counted(audit.rebuilt(expected, stored, k.where("key % 7 = 0").unionByName(spark.createDataFrame([(-1,), (-2,)], "key long"))))
+
+
+# Cells of the column of duties, and actor, action and condition that they give.
+DUTIES = (("由经办人登记", "经办人", "登记", None), ("主管与人事复核", "主管与人事", "复核", None), ("签收后由管理员归档", "管理员", "归档", "签收后"), ("财务付款", None, None, None), ("到货后盘点后由员工上架", "员工", "上架", "到货后盘点后"))
+_DUTIES = ", ".join(f"({i}, '{a}', '{b}', {'NULL' if c is None else repr(c)})" for i, (_, a, b, c) in enumerate(DUTIES) if a)
+
+
+@query(f"SELECT l_orderkey AS document_id, l_linenumber AS line_no, 'RESPONSIBLE_FOR' AS predicate, a AS subject, b AS object, c AS condition_text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey % 5 AS n FROM lineitem WHERE l_orderkey % 3 = 0) JOIN (VALUES {_DUTIES}) v(n, a, b, c) USING (n) UNION ALL SELECT DISTINCT l_orderkey, l_linenumber, 'GOVERNED_BY', 'M' || l_linenumber, 'keep', CAST(NULL AS VARCHAR) FROM lineitem WHERE l_orderkey % 3 = 1 AND l_linenumber <> 2")
+def table_row_facts(spark, sf):
+    """Tables of duties and of materials, some without a header, the header a chunk earlier; a row of another width does not count."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = x.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    duty = F.element_at(F.array(*[F.lit(d[0]) for d in DUTIES]), (k % len(DUTIES) + 1).cast("int"))
+    material = F.when(n == 2, F.array(F.lit("a"))).otherwise(F.array(F.concat(F.lit("M"), n), F.lit("keep")))
+    cells = F.when(k % 3 == 0, F.array(F.lit("x"), duty)).otherwise(material)
+    body = rows.select(k.alias("document_id"), F.lit(1).alias("chunk_index"), n.alias("line_no"), cells.alias("cells"))
+    head = rows.select(k.alias("document_id")).distinct().where("document_id % 3 <> 2").select("document_id", F.lit(0).alias("chunk_index"), F.lit(0).cast("long").alias("line_no"), F.when(F.col("document_id") % 3 == 0, F.array(F.lit(relations.TOPIC), F.lit(relations.DUTY))).otherwise(F.array(F.lit(relations.MATERIAL), F.lit(relations.CARE))).alias("cells"))
+    rule = head.withColumn("line_no", F.lit(-1).cast("long")).withColumn("cells", F.array(F.lit("---"), F.lit(":-:")))
+    return relations.table_facts(body.unionByName(head).unionByName(rule)).drop("chunk_index")
+
+
 # --- publication
 
 
