@@ -14,6 +14,16 @@ def ranks(hits: DataFrame) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("pos", "chunk_id")))
 
 
+def checked(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, text, score) as they are; one chunk with different texts, or a score that is not finite, is an
+    error."""
+    texts = hits.groupBy("chunk_id").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi"))
+    odd = F.isnan("score") | (F.abs("score") == float("inf")) | F.col("score").isNull()
+    j = hits.join(texts, "chunk_id")
+    wrong = F.when(F.col("_lo") != F.col("_hi"), F.concat(F.lit("CONFLICTING_TEXT "), F.col("chunk_id"))).when(odd, F.concat(F.lit("SCORE_NOT_FINITE "), F.col("chunk_id")))
+    return j.withColumn("score", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("double")).otherwise(F.col("score"))).drop("_lo", "_hi")
+
+
 def rrf(ranked: DataFrame) -> DataFrame:
     """Reciprocal ranks summed over channels, with the channels that found it; order by score, then chunk."""
     f = ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.lit(1.0).cast("double") / (K + F.col("rank"))), 12).alias("score"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
@@ -59,8 +69,9 @@ def merge_rerank(fused: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def revalidate(candidates: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates whose revision, content and hash are still the current ones."""
-    return candidates.join(current.select(*keys).distinct(), keys, "left_semi")
+    """Candidates whose revision, content and hash are still the current ones; with a column pos, in its order."""
+    left = candidates.join(current.select(*keys).distinct(), keys, "left_semi")
+    return left.orderBy("pos") if "pos" in candidates.columns else left
 
 
 def sources(rows: DataFrame, readable: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -52,9 +52,9 @@ def one_hop(assertions: DataFrame, entities: DataFrame, evidence: DataFrame, see
     return in_scope.join(evidence, "evidence_id")
 
 
-def graph_scores(hops: DataFrame, key: str) -> DataFrame:
-    """Distinct assertions for each place of evidence."""
-    return hops.groupBy(key).agg(F.countDistinct("assertion_id").alias("score"))
+def graph_scores(hops: DataFrame, *key: str) -> DataFrame:
+    """Distinct assertions for each place of evidence, whose key may have several columns."""
+    return hops.groupBy(*key).agg(F.countDistinct("assertion_id").alias("score"))
 
 
 def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -114,6 +114,16 @@ def stable_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame
     return r.orderBy(F.col("_n") > 1, "_h").limit(size).drop("_h", "_n")
 
 
+def rolled_back(projections: DataFrame, current: str = "fingerprint") -> DataFrame:
+    """Q15: a STALE projection (with its base's fingerprint) is READY again and the one that took its place STALE, only where what is
+    READY is still what took its place (replaced_by)."""
+    now = projections.where("status = 'READY'").select("document_id", F.col(current).alias("_now"))
+    j = projections.join(now, "document_id", "left")
+    ok = (F.col("status") == "STALE") & F.col("_now").eqNullSafe(F.col("replaced_by")) & F.col("replaced_by").isNotNull()
+    back = F.max(ok).over(Window.partitionBy("document_id"))
+    return j.withColumn("new_status", F.when(ok, "READY").when(back & (F.col("status") == "READY"), "STALE").otherwise(F.col("status"))).drop("_now")
+
+
 def switched(projections: DataFrame, base_fingerprint: str = "base_fingerprint") -> DataFrame:
     """Q15: candidates become READY and their base STALE only where the base is as the candidate saw it."""
     base = projections.where("status = 'READY'").select("document_id", F.col("fingerprint").alias("_now"))

@@ -102,6 +102,13 @@ def bundles(candidates: DataFrame, limit: int) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(run, "query_id long, place int, chunk_id long")
 
 
+def table_preview(rows: list[list[str]], most: int = 200, columns: int = 50, characters: int = 4000) -> tuple[list[list[str]], bool]:
+    """The first rows, columns and characters of a cell, and whether anything was left out or cut."""
+    out = [[c[:characters] for c in r[:columns]] for r in rows[:most]]
+    cut = len(rows) > most or any(len(r) > columns or any(len(c) > characters for c in r[:columns]) for r in rows[:most])
+    return out, cut
+
+
 def preview(elements: list[str], most: int = 300, characters: int = 200_000) -> tuple[list[str], bool]:
     """The first elements within both budgets, and whether anything was left out or cut."""
     out, left = [], characters

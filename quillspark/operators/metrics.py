@@ -58,6 +58,24 @@ def containing(quotes: DataFrame, documents: DataFrame, key: str | None = None)
     return out.distinct()
 
 
+def support(relations: DataFrame, gold: DataFrame, negative: DataFrame, key: list[str]) -> DataFrame:
+    """Relations (key ..., chunk_id, start, end) with support: exact where gold has the whole key, other_condition where it only
+    differs in the last part, else none; and negative: whether the quote overlaps a span (chunk_id, start, end) that supports
+    nothing. Spans of a chunk are looked up by blocks of 64 places."""
+    exact = gold.select(*key).distinct().withColumn("_exact", F.lit(True))
+    near = gold.select(*key[:-1]).distinct().withColumn("_near", F.lit(True))
+    same = F.lit(True)
+    e = exact.select(*[F.col(k).alias(f"_{k}") for k in key], "_exact")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    r = relations.withColumn("_id", F.monotonically_increasing_id()).join(e, same, "left").join(near, key[:-1], "left")
+    blocks = lambda s, z: F.explode(F.sequence(F.floor(F.col(s) / 64), F.floor((F.greatest(F.col(z), F.col(s) + 1) - 1) / 64)))
+    n = negative.select("chunk_id", F.col("start").alias("_s"), F.col("end").alias("_z")).withColumn("_b", blocks("_s", "_z"))
+    hit = r.select("_id", "chunk_id", "start", "end").withColumn("_b", blocks("start", "end")).join(n, ["chunk_id", "_b"]).where("start < _z and end > _s").select("_id").distinct().withColumn("negative", F.lit(True))
+    kind = F.when(F.col("_exact"), "exact").when(F.col("_near"), "other_condition").otherwise("none")
+    return r.join(hit, "_id", "left").select(*relations.columns, kind.alias("support"), F.coalesce("negative", F.lit(False)).alias("negative"))
+
+
 def covered(questions: DataFrame) -> DataFrame:
     """A question passes if all of its references are hit; rows (question_id, hit)."""
     return questions.groupBy("question_id").agg(F.bool_and("hit").alias("passed"), F.count(F.lit(1)).alias("quotes"))

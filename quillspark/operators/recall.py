@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -34,8 +34,9 @@ def _count(terms: str, word: str) -> Column:
 
 
 def bm25(rows: DataFrame, query: list[str], text: str, key: str, k: int) -> DataFrame:
-    """BM25 with the statistics of the rows in scope. Only the query's terms are counted, in one pass over the text: a
-    row carries a count for each term, so nothing is exploded and the only shuffles are one row of totals and the top k."""
+    """BM25 with the statistics of the rows in scope. Only the query's terms are counted, and a row carries a count for each,
+    so nothing is exploded and the only shuffles are one row of totals and the top k. The text is read twice: for the totals,
+    and for the scores that need them."""
     words = sorted(set(query))
     t = rows.select(key, terms(F.col(text)).alias("_t"))
     t = t.select(key, F.size("_t").alias("_n"), *[_count("_t", w).alias(f"_f{i}") for i, w in enumerate(words)])
@@ -51,6 +52,28 @@ def bigram(rows: DataFrame, query: str, text: str, key: str, k: int) -> DataFram
     return top_k(rows.select(key, score.alias("score")).where("score > 0"), "score", key, k)
 
 
+def cached(chunks: DataFrame, cache: DataFrame, text: str, spec: str, dimension: int) -> DataFrame:
+    """Rows of chunks with key (of the specification and the text), the vector that the cache (key, vector) has for it, and hit; a
+    vector that is not valid is a miss."""
+    good = cache.where(vectors.vector_issue(F.col("vector"), dimension).isNull()).groupBy("key").agg(F.first("vector").alias("vector"))
+    keyed = chunks.withColumn("key", F.sha2(F.concat(F.lit(f"{spec}\n"), F.col(text)), 256))
+    return keyed.join(good, "key", "left").withColumn("hit", F.col("vector").isNotNull())
+
+
+def stored(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache (key, vector) after vectors were made: a fresh one takes the place of what was there."""
+    return cache.join(fresh.select("key"), "key", "left_anti").select("key", "vector").unionByName(fresh.select("key", "vector").dropDuplicates(["key"]))
+
+
+def numbered_batches(misses: DataFrame, size: int = 10) -> DataFrame:
+    """(key, batch): distinct keys in order, `size` to a batch. Keys are dealt by range first, so only a row for each range
+    meets in one task."""
+    ranged = misses.select("key").distinct().repartitionByRange("key").withColumn("_range", F.spark_partition_id())
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = F.row_number().over(Window.partitionBy("_range").orderBy("key")) - 1
+    return ranged.withColumn("_at", n).join(before.drop("_n"), "_range").select("key", F.floor((F.col("_base") + F.col("_at")) / size).cast("long").alias("batch"))
+
+
 def embedding_batches(chunks: DataFrame, cache: DataFrame, text: str, size: int = 10) -> DataFrame:
     """(texts, distinct_texts, hits, misses, batches): each distinct text is embedded once, unless the cache has it."""
     keys = chunks.select(F.sha2(text, 256).alias("key"))

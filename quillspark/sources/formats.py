@@ -1,5 +1,5 @@
 """File sources (S1-S6, S8, S10, S11, D24): the format gate and parsers of text, Markdown, HTML tables, DOCX and XLSX, all with
-the standard library, applied to binary files in Arrow batches. PDF needs OCR and is left to a registered parser."""
+the standard library, applied to binary files in Arrow batches. PDF is in pdf.py."""
 
 from __future__ import annotations
 
@@ -31,12 +31,19 @@ X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 ELEMENT = "kind string, text string, level int, line_start int, line_end int, cells array<string>"
 
 
-def gate(name: str, content: bytes, most: int = 50 << 20) -> tuple[str, str | None, str | None, str | None]:
-    """(code, format, sha256, encoding); code is OK or the first thing wrong with the file."""
+# Types that a sender may declare besides a format's own.
+ALSO = {"txt": ("application/octet-stream",), "md": ("text/plain", "text/x-markdown", "application/octet-stream")}
+
+
+def gate(name: str, content: bytes, most: int = 50 << 20, declared: str | None = None) -> tuple[str, str | None, str | None, str | None]:
+    """(code, format, sha256, encoding); code is OK or the first thing wrong with the file. declared: the type that its sender
+    gives, which must be the format's."""
     kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     digest = hashlib.sha256(content).hexdigest()
     if kind not in MIME:
         return "UNSUPPORTED_FORMAT", None, digest, None
+    if declared and declared.split(";")[0].strip().lower() not in (MIME[kind], *ALSO.get(kind, ("application/octet-stream",))):
+        return "MIME_MISMATCH", kind, digest, None
     if not content:
         return "EMPTY", kind, digest, None
     if len(content) > most:
@@ -234,8 +241,10 @@ class Registry:
 
 
 def standard_registry() -> Registry:
+    from .pdf import parse_pdf
+
     r = Registry()
-    for kind, parser in (("txt", parse_text), ("md", parse_markdown), ("docx", parse_docx), ("xlsx", parse_xlsx)):
+    for kind, parser in (("txt", parse_text), ("md", parse_markdown), ("docx", parse_docx), ("xlsx", parse_xlsx), ("pdf", parse_pdf)):
         r.register(kind, parser)
     return r
 
@@ -290,6 +299,18 @@ def heading_paths(elements: DataFrame) -> DataFrame:
     return e.withColumn("heading_path", out).drop(*[f"_h{k}" for k in range(1, 7)])
 
 
+# Warnings that ask for text recognition, and that leave a file incomplete.
+OCR_WARNINGS, LOSSES = ("OCR_REQUIRED",), ("OCR_REQUIRED", "FORMULA_WITHOUT_VALUE", "PAGE_UNREADABLE")
+
+
+def completeness(elements: DataFrame) -> DataFrame:
+    """(path, requires_ocr, is_complete) of parsed files, from the codes that their warnings begin with; an error leaves nothing
+    complete."""
+    code = F.split("text", " ")[0]
+    warning = F.col("kind") == "warning"
+    return elements.groupBy("path").agg(F.bool_or(warning & code.isin(*OCR_WARNINGS)).alias("requires_ocr"), (~F.bool_or((F.col("kind") == "error") | (warning & code.isin(*LOSSES)))).alias("is_complete"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Never inferred; a broken line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

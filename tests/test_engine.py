@@ -406,3 +406,104 @@ def test_lease_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("leases").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert (1, 2, "ABANDONED") in {tuple(r) for r in spark.table("leases").collect()}
+
+
+def _pdf(*pages, packed=True):
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))), len(pages))]
+    for i, p in enumerate(pages):
+        data = zlib.compress(p) if packed else p
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i), b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode" if packed else b"", data)]
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i + 1, o) for i, o in enumerate(objects))
+
+
+def test_pdf(spark):
+    from quillspark.sources.pdf import parse_pdf
+
+    first = rb"BT /F1 12 Tf 72 700 Td (Hello \(world\)) Tj 0 -14 Td [(Sec) -20 (ond) -300 (line)] TJ ET"
+    for packed in (True, False):
+        found = parse_pdf(_pdf(first, b"q 1 0 0 1 0 0 cm Q", b"BT <486578> Tj T* (caf\\351) Tj ET", packed=packed))
+        assert [(e["kind"], e["text"]) for e in found] == [("paragraph", "Hello (world)\nSecond line"), ("warning", "OCR_REQUIRED page 2"), ("paragraph", "Hex\ncafé")]
+    assert parse_pdf(b"%PDF-1.4 nothing") == []
+    rows = spark.createDataFrame([("a.pdf", bytearray(_pdf(first))), ("b.pdf", bytearray(_pdf(b"")))], "path string, content binary")
+    done = formats.completeness(formats.parsed(formats.gated(rows))).collect()
+    assert {(r.path, r.requires_ocr, r.is_complete) for r in done} == {("a.pdf", False, True), ("b.pdf", True, False)}
+    assert formats.gate("a.pdf", _pdf(first), declared="text/plain")[0] == "MIME_MISMATCH" and formats.gate("a.pdf", _pdf(first), declared="application/pdf")[0] == "OK"
+
+
+def test_cache_and_batches(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "id long, t string")
+    import hashlib
+
+    key = lambda t: hashlib.sha256(f"m1\n{t}".encode()).hexdigest()
+    cache = spark.createDataFrame([(key("a"), [1.0, 0.0]), (key("b"), [0.0, 0.0]), (key("z"), [1.0, 1.0])], "key string, vector array<double>")
+    got = {r.id: r.hit for r in recall.cached(chunks, cache, "t", "m1", 2).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+    after = recall.stored(cache, spark.createDataFrame([(key("b"), [2.0, 2.0]), (key("b"), [2.0, 2.0])], "key string, vector array<double>"))
+    assert after.count() == 3 and after.where(F.col("key") == key("b")).first().vector == [2.0, 2.0]
+    keys = spark.range(57).select(F.format_string("%03d", "id").alias("key"))
+    assert {r.key: r.batch for r in recall.numbered_batches(keys.unionByName(keys.limit(5))).collect()} == {f"{i:03d}": i // 10 for i in range(57)}
+
+
+def test_fusion_refuses_conflicts(spark):
+    good = [(1, 5, "x", 1.0), (2, 5, "x", 0.5)]
+    frame = lambda rows: spark.createDataFrame(rows, "query_id long, chunk_id long, text string, score double")
+    assert fusion.checked(frame(good)).count() == 2
+    for bad, message in (((1, 5, "y", 1.0), "CONFLICTING_TEXT"), ((1, 6, "x", float("nan")), "SCORE_NOT_FINITE"), ((1, 6, "x", None), "SCORE_NOT_FINITE")):
+        with pytest.raises(Exception, match=message):
+            fusion.checked(frame([*good, bad])).collect()
+
+
+def test_models_are_registered(spark):
+    from quillspark.operators import answers
+
+    answers.register_embedder("length", lambda texts: [[float(len(t)), 1.0] for t in texts])
+    with pytest.raises(ValueError):
+        answers.register_embedder("length", len)
+    rows = spark.createDataFrame([(1, "q", "abc"), (2, "q", None)], "id long, q string, t string")
+    assert [r.embedding for r in answers.embedded(rows, "length", "t").orderBy("id").collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    answers.register_reranker("overlap", lambda qs, ts: [float(len(t)) for t in ts])
+    assert [r.rerank_score for r in answers.reranked(rows, "overlap", "q", "t").orderBy("id").collect()] == [3.0, 0.0]
+
+    def broken(qs, ts):
+        raise OSError
+
+    answers.register_reranker("broken", broken)
+    assert [r.rerank_score for r in answers.reranked(rows, "broken", "q", "t").collect()] == [None, None]
+    assert answers.refers("what about it") and not answers.refers("这个月的预算") and answers.refers("详细点")
+
+
+def test_write_side(spark):
+    from quillspark.operators import paths, publication
+
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    runs = spark.sql("select * from values (1, 'RUNNING', timestamp_ntz'2024-01-01 23:59:59', timestamp_ntz'2024-01-01'), (2, 'RUNNING', timestamp_ntz'2024-01-02 00:00:01', timestamp_ntz'2024-01-01'), (3, 'PENDING', null, timestamp_ntz'2024-01-01'), (4, 'PENDING', null, timestamp_ntz'2024-01-01 23:59:30') as t(id, status, lease_until, created_at)")
+    assert [r.status for r in publication.abandoned(runs, now, 60).orderBy("id").collect()] == ["ABANDONED", "RUNNING", "ABANDONED", "PENDING"]
+    tasks_ = runs.withColumnRenamed("id", "task_id")
+    attempts = spark.createDataFrame([(1, "RUNNING"), (1, "FAILED"), (2, "RUNNING")], "task_id int, status string")
+    assert sorted(map(tuple, publication.attempts_lost(attempts, tasks_, now).collect())) == [(1, "FAILED"), (1, "LOST"), (2, "RUNNING")]
+    assert spark.range(1).select(publication.progress(F.lit(1), F.lit(3)), publication.progress(F.lit(3), F.lit(3)), publication.progress(F.lit(0), F.lit(0))).first()[:] == (33, 99, 0)
+    rows = spark.createDataFrame([(1, 7, "a"), (2, 7, "b")], "id long, v int, x string")
+    changes = spark.createDataFrame([(1, 7, "z"), (1, 7, "y"), (2, 6, "q"), (9, 7, "n")], "id long, v int, x string")
+    after, refused = publication.updated(rows, changes, "id", "v", ["x"])
+    assert sorted(map(tuple, after.collect())) == [(1, 8, "y"), (2, 7, "b")] and sorted(map(tuple, refused.collect())) == [(2, 6), (9, 7)]
+    documents = spark.createDataFrame([(1, "PUBLISHED", None, 5), (2, "DELETED", "2023", None)], "document_id long, status string, deleted_at string, active_generation_id long")
+    gone = publication.soft_deleted(documents, documents.select("document_id"), F.lit("2024"))
+    assert sorted(map(tuple, gone.collect())) == [(1, "DELETED", "2024", None), (2, "DELETED", "2023", None)]
+    assert publication.hard_purged({"d": documents}, documents.where("document_id = 1"))["d"].count() == 1
+    once = spark.createDataFrame([("ns", 1, 3, 3, "k1", "new")], "namespace string, tenant_id int, generation_id long, chunk_id long, key string, v string")
+    old = once.withColumn("v", F.lit("old")).unionByName(once.withColumn("key", F.lit("k2")).withColumn("v", F.lit("old")))
+    none = once.limit(0)
+    first = publication.upserted_chunks(old, once, once, none, "key")
+    assert [tuple(r)[-2:] for r in first.collect()] == [("k1", "new")] and publication.upserted_chunks(first, once, once, none, "key").collect() == first.collect()
+    p = spark.createDataFrame([(1, "a", "1", "1", [1, 2]), (1, "b", "2", "1", [3, 4, 5]), (1, "c", "3", "1", [2, 3]), (2, "d", "1", "1", [9])], "query_id long, path_id string, first_id string, second_id string, sources array<long>")
+    assert {r.path_id for r in paths.within_sources(p, 3).collect()} == {"a", "c", "d"} and {r.path_id for r in paths.within_sources(p, 9, 1).collect()} == {"a", "d"}
+    shown, cut = guards.table_preview([["x" * 5000, "y"]] * 3, most=2)
+    assert cut and len(shown) == 2 and len(shown[0][0]) == 4000
+    projections = spark.createDataFrame([(1, "READY", 9, None), (1, "STALE", 5, 9), (2, "READY", 8, None), (2, "STALE", 5, 7)], "document_id long, status string, fingerprint int, replaced_by int")
+    assert sorted(r.new_status for r in graph.rolled_back(projections).collect()) == ["READY", "READY", "STALE", "STALE"]
+    assert {(r.document_id, r.status, r.new_status) for r in graph.rolled_back(projections).collect()} >= {(1, "STALE", "READY"), (1, "READY", "STALE"), (2, "READY", "READY")}
+    relations_ = spark.createDataFrame([("a", "c1", 1, 100, 110), ("a", "c2", 1, 200, 210), ("b", "c1", 2, 0, 5)], "s string, c string, chunk_id long, start int, end int")
+    got = metrics.support(relations_, spark.createDataFrame([("a", "c1")], "s string, c string"), spark.createDataFrame([(1, 105, 300)], "chunk_id long, start int, end int"), ["s", "c"])
+    assert sorted((r.s, r.c, r.support, r.negative) for r in got.collect()) == [("a", "c1", "exact", True), ("a", "c2", "other_condition", True), ("b", "c1", "none", False)]
