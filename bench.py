@@ -7,6 +7,7 @@ least. What counts is the median of the warm runs; the cold ones are given besid
 import importlib
 import json
 import os
+import re
 import statistics
 import sys
 import tempfile
@@ -28,7 +29,7 @@ def main() -> None:
     queries = importlib.import_module("__spark_entry__").queries()
     cold: dict[str, float] = {}
     warm: dict[str, float] = {}
-    for name in [n for n in [*HEADLINE, *[n for n in queries if n.startswith("op")], "pipeline"] if n in queries]:
+    for name in [n for n in [*HEADLINE, *[n for n in queries if re.match(r"op\d+_", n)], "pipeline"] if n in queries]:
         each: list[float] = []
         while len(each) < 2 or len(each) <= runs and sum(each[1:]) < seconds:
             began = time.perf_counter()
