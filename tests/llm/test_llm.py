@@ -640,6 +640,20 @@ def test_bitmap(spark):
     assert len(bits) == minhash.ID_BITS // 8 and all(bits[x >> 3] >> (x & 7) & 1 for x in at.tolist()) and np.unpackbits(bits).sum() == len(ids)
 
 
+def test_pairs_at_the_border_become_candidates():
+    """Sets whose similarity lies between 0.8 and 0.82 share a bucket, and sketches keep them."""
+    rng = np.random.default_rng(11)
+    for n, shared in ((5, 4), (10, 8), (20, 16), (48, 39), (96, 77), (240, 192)):
+        for _ in range(300):
+            pool = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+            at = shared + rng.integers(0, n - shared + 1)
+            a, b = pool[:at], np.concatenate((pool[:shared], pool[at:]))
+            s = np.stack((minhash.signature(a), minhash.signature(b)))
+            x, y = minhash.buckets(s)
+            p, q = minhash.sketches(s)
+            assert (x == y).any() and (min(len(a), len(b)) < minhash.SKETCH_LEAST or int(np.bitwise_count(p ^ q)) <= minhash.SKETCH_BITS)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(3)
     for n, shared in ((40, 32), (400, 300), (3000, 1000)):
@@ -813,5 +827,41 @@ def test_pipeline(spark, tmp_path):
             if i == 2:
                 cut_ = {eval(x)[0]: eval(x)[4] for x in slow_cut({r.doc_id: r.text for r in before}.items())}
                 assert len(rows) == len(before) and set(cut_) == {r.doc_id for r in rows}
+            if i == 3:
+                sizes: Counter = Counter()
+                for r in before:
+                    sizes[r.source] += len(r.text.encode().split())
+                want = {x["doc_id"]: x["taken"] for x in slow_mix([(r.doc_id, r.text, r.source) for r in before], slow_targets(sizes)) if x["taken"]}
+                got: Counter = Counter()
+                texts = {r.doc_id: r.text for r in before}
+                for r in rows:
+                    got[r.doc_id] += len(r.text.encode().split())
+                    assert texts[r.doc_id].startswith(r.text)
+                assert dict(got) == want
             before = rows
-    assert docs_.count() and p.run(spark, FOLDER).count()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want_ids = Counter(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in before)
+    pieces = docs_.collect()
+    assert Counter(r.doc_tokens for r in pieces if not r.start) == want_ids and sum(r.length for r in pieces) == sum(n * k for n, k in want_ids.items())
+
+
+def test_pipeline_takes_anything(spark, tmp_path):
+    """Each stage on no rows, and all on rows without ids, texts and sources, very long and repeated ones, and further columns."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, copy int, size string"
+    words = lambda k, n: " ".join(f"{k}{i % 900}" for i in range(n))
+    rows = [(1, words("a", 40), "en", "s", 1, 9, 9, "x"), (1, words("a", 40), "de", "s", 1, 9, 9, "x"), (None, words("a", 40), None, None, None, 9, 9, "x"), (None, None, None, None, None, 9, 9, "x"), (2, "", "en", "s", 0, 9, 9, "x"), (3, words("b", 60_000), "en", "t", 1, 9, 9, "x"), (4, "one two", "en", None, 7, 9, 9, "x")]
+    some, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    near = p.minhash_near_dedup(spark, some, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.lang or "") for r in near) == sorted([(False, 1, "de"), (True, 0, ""), (False, 2, "en"), (False, 3, "en"), (False, 4, "en")])
+    assert p.suffix_dedup(spark, some, str(tmp_path)).count() == len(rows)
+    mixed = p.source_mixing(spark, some, str(tmp_path))
+    assert tuple(mixed.columns) == p.COLUMNS and {r.doc_id for r in mixed.collect()} <= {1, 3, 4, None}
+    assert p.pack(spark, some, str(tmp_path)).where("start = 0").count() == len(rows)
+    assert all(r.text and r.text.strip() for r in p.quality_classifier(spark, some, str(tmp_path)).collect())
