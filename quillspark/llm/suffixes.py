@@ -37,7 +37,7 @@ from .words import mix64
 #: Bytes of a gram; of a chunk (a longer document is a chunk of its own); of the arrays that are hashed at once.
 GRAM, CHUNK, AT_ONCE = 40, 2 << 20, 1 << 18
 #: Chunks from which a gram counts as frequent; chunks to a range of hashes; records that are judged at once, or one group.
-FREQUENT, CHUNKS_A_RANGE, RECORDS = 200, 8, 1 << 16
+FREQUENT, CHUNKS_A_RANGE, RECORDS = 2000, 8, 1 << 16
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _U = np.uint64
