@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, html, minhash, mixing, packing, quality, suffixes, urls, warc
+from . import conversations, decontamination, divergence, embeddings, fingerprints, html, minhash, mixing, packing, quality, suffixes, urls, warc
 
 #: The rules of the contract: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -66,7 +66,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_packing, op6_fingerprints, op7_warc, op8_minhash_dedup, op9_embedding_dedup, op10_mixing)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_packing, op6_fingerprints, op7_warc, op8_minhash_dedup, op9_embedding_dedup, op10_mixing, op11_source_divergence, op12_decontamination, op13_conversation_repair)}
 
 _HALVES, _MULTIPLIER = [], fingerprints.BASE
 for _step in (1, 2, 4, 8):
@@ -97,7 +109,64 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256,
   CASE WHEN len(hs) + len(nhs) = 0 THEN 1.0 ELSE CAST(i2 AS DOUBLE) / (len(hs) + len(nhs) - i2) END AS near_next FROM j
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MORE = lambda way, cost, edit: f"lpad(CAST(CAST({way}[:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {way}[13:] || '{edit}'"
+_STEPS = f"""
+  SELECT conv_id, pos, s0, s1, least(s2, {_MORE("s0", 3, "I")}, {_MORE("s1", 3, "I")}, {_MORE("s3", 3, "I")}) AS s2, least(s3, {_MORE("s2", 3, "I")}, {_MORE("s0", 6, "II")}, {_MORE("s1", 6, "II")}) AS s3
+  FROM (SELECT conv_id, pos, {_MORE("s0", 4, "D")} AS s0,
+    least({_MORE("s1", 4, "D")}, CASE WHEN free AND i = 's' THEN {_MORE("s0", "extra", "K")} END) AS s1,
+    least({_MORE("s2", 4, "D")}, CASE WHEN free THEN CASE WHEN i = 'u' THEN least({_MORE("s0", "extra", "K")}, {_MORE("s1", "extra", "K")}, {_MORE("s3", "extra", "K")}) ELSE least({_MORE("s0", "(3 + extra)", "R")}, {_MORE("s1", "(3 + extra)", "R")}, {_MORE("s3", "(3 + extra)", "R")}) END END) AS s2,
+    least({_MORE("s3", 4, "D")}, CASE WHEN free THEN CASE WHEN i = 'a' THEN {_MORE("s2", "extra", "K")} ELSE {_MORE("s2", "(3 + extra)", "R")} END END) AS s3
+  FROM (SELECT v.* EXCLUDE (pos), f.pos, f.i, f.fault IN (0, 3) AS free, CASE WHEN f.fault = 3 THEN 3 ELSE 0 END AS extra FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos + 1))
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n + 5 * v.v) AS p, 1 + 1000000000::HUGEINT * (k.total + 5) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_decontamination": rf"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda k: w[k:k + 9])), ' ') AS x FROM b WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS pl FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+m AS (SELECT DISTINCT r, pl, n, item FROM (SELECT r, pl, n, array_to_string(w[pl:pl + n - 1], ' ') AS x FROM s) JOIN i USING (n, x)),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(pl, pl + n)) AS place FROM m) GROUP BY r),
+l AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)
+""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, t),
+a AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE r END AS r, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, md5(x), copy) AS pos FROM a),
+f AS (SELECT *, r[1] AS i, lag(r[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before, CASE WHEN NOT regexp_matches(x, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY pos) > 1 THEN 2 WHEN NOT regexp_matches(x, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+z AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+v(conv_id, pos, s0, s1, s2, s3) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000000', CAST(NULL AS VARCHAR), '000000000003I', '000000000006II' FROM conversations UNION ALL {_STEPS}),
+w AS (SELECT q.conv_id, least(s0, s3) AS way, n, gaps, blank, duplicate, truncated, illegal FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id JOIN v ON v.conv_id IS NOT DISTINCT FROM q.conv_id AND v.pos = coalesce(n, 0)),
+e AS (SELECT conv_id, unnest(range(1, length(way) - 11)) AS pl, way[13:] AS audit FROM w),
+y AS (SELECT conv_id, pl, audit[pl] AS edit, length(replace(audit[:pl], 'I', '')) AS pos FROM e),
+j AS (SELECT y.conv_id, pl, edit, f.r, f.x, f.i, row_number() OVER (PARTITION BY y.conv_id ORDER BY pl) AS nth FROM y LEFT JOIN f ON edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.pos = y.pos WHERE edit <> 'D'),
+h AS (SELECT *, nth - max(CASE WHEN nth = 1 AND edit = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS place FROM j),
+x AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN r WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(x, ''), chr(10) ORDER BY pl)) AS repaired FROM h GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(way[:12] AS BIGINT) AS cost, way[13:] AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+FROM w LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM w.conv_id
+""",
     "op1_url_filters": r"""
 WITH r(rh, rp, verdict) AS (VALUES ('org','/','allow'), ('example.org','/es/','block'), ('example.org','/en/1','block'), ('com','/fr/','allow'), ('com','/de/','block')),
 u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
