@@ -5,14 +5,16 @@ from its words. Expectation-maximisation over the counts of vote patterns estima
 good, to bad and to toxic documents, which turns a pattern into posteriors. On a bounded sample, posteriors train a hashed
 linear scorer of byte trigrams and of the measures behind the votes; the scorer alone judges every document.
 
-What the labellers of toxicity look for is learnt from labelled rows (a bounded sample of them, of which copies count once):
-hashed words and beginnings of words get weights, and scores of labelled rows that the weights have not seen tell from where a
-score votes toxic.
+Two labellers tell toxic documents. What one of them looks for is learnt from labelled rows (a bounded sample of them, of which
+copies count once): hashed words and beginnings of words get weights, and scores of labelled rows that the weights have not
+seen tell from where a score votes toxic. The other has a list of words, which is a parameter; where labelled rows say that a
+word of it is none, it is left out. Both take part at any number of labels. One that has nothing to look for abstains,
+finding no word is no vote for good, and one whose vote is the same for all documents tells nothing and is left out of EM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,24 +33,27 @@ SAMPLE, LABELLED = 6000, 20_000
 TRIGRAMS, TOXIC, AT_ONCE = 1024, 1 << 23, 1 << 18
 #: Bytes of a word's beginnings, parts of the labelled rows that are held out in turn, standard errors that a weight is lowered by.
 BEGINNINGS, FOLDS, ERRORS = (4, 5, 6, 7, 8), 5, 3.0
-#: Steps of a weight, score that is toxic where no labels tell, words of a text that one toxic word may make toxic.
-UNIT, THRESHOLD, SHORT = 32, 0.25, 4
-#: Probability of being good from which a document is kept: held-out labels lose few good documents there and let few bad pass.
-GOOD = 0.3
-# Insults, which vote only where labels give no word a weight; frequent function words of four languages.
+#: Steps of a weight, score that is toxic where no labels tell, score by the list that is, words of a text that one toxic word
+#: may make toxic.
+UNIT, THRESHOLD, LISTED, SHORT = 32, 0.25, 0.15, 4
+#: Probability of being good from which a document is kept.
+GOOD = 0.5
+# Words that the list's labeller starts from, unless fit() is given others; frequent function words of four languages.
 INSULTS = tuple("idiot moron stupid scum trash loser pathetic worthless disgusting clown".split())
 FUNCTION = tuple("the of and to in a is that it for was on as with be by this are at or an he from la de le les et des en un une du que qui pour dans est au par sur pas der die und das den von zu mit sich dem ist nicht ein eine auf für im el los las y una del se con por su no es al como".split())
 MARKS, MARKED_BY = "#$%&*@^~|<>{}[]\\=_", "#$%&*@^~!|"
 CLASSES = ("good", "bad", "toxic")
-#: Labeller: measure, from where it says good (at most or at least), from where bad or toxic, words that it needs, which class.
+#: Labeller: measure, from where it says good (at most or at least; never if None), from where bad or toxic, words that it needs,
+#: which class. A measure that is no number is no vote.
 LABELLERS = (
     ("marks", 0.003, 0.02, 1, "bad"), ("marked", 0.03, 0.15, 3, "bad"), ("caps", 0.2, 0.5, 1, "bad"), ("shouts", 0.01, 0.1, 1, "bad"),
     ("repeats", 0.02, 0.1, 5, "bad"), ("variety", 0.5, 0.3, 25, "bad"), ("bars", 0.01, 0.05, 5, "bad"), ("function", 0.1, 0.02, 25, "bad"),
-    ("lines", 0.2, 0.5, 5, "bad"), ("toxicity", 0.25, 1.0, 1, "toxic"), ("toxic_words", 0, 2, 1, "toxic"),
+    ("lines", 0.2, 0.5, 5, "bad"), ("toxicity", 0.25, 1.0, 1, "toxic"), ("listed", None, 1.0, 1, "toxic"),
 )
 MEASURES = tuple(x[0] for x in LABELLERS)
-#: Borders between the steps that the scorer sees of a measure, and of the last two.
-STEPS, TOXIC_STEPS, COUNT_STEPS = (0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5), (1e-9, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), (1, 2, 3, 4, 6, 8, 12, 16)
+#: Measures of toxicity, which are the last ones. Borders between the steps that the scorer sees of a measure, and of these.
+OF_WORDS = 2
+STEPS, TOXIC_STEPS = (0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5), (1e-9, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 _WIDE = len(STEPS) + 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,7 +97,7 @@ def _kinds(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def form(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, measures but the last two) and the words of each text, split at ASCII white space."""
+    """(texts, measures but the last OF_WORDS) and the words of each text, split at ASCII white space."""
     data, ends = _joined(texts)
     count = len(texts)
     per = lambda at: np.bincount(np.searchsorted(ends, at, "right"), minlength=count + 1)[:count]
@@ -128,16 +133,25 @@ def votes(values: np.ndarray, n: np.ndarray) -> list[str]:
     """A letter of each labeller for each row of measures: g, the class it is against (b or t), or - for no vote."""
     out = np.full(values.shape, "-", "U1")
     for j, (_, good, against, least, kind) in enumerate(LABELLERS):
-        v, sign = values[:, j], 1 if good < against else -1
-        out[(n >= least) & (sign * v <= sign * good), j] = "g"
+        v, sign = values[:, j], 1 if good is None or good < against else -1
+        if good is not None:
+            out[(n >= least) & (sign * v <= sign * good), j] = "g"
         out[(n >= least) & (sign * v >= sign * against), j] = kind[0]
     return ["".join(x) for x in out]
 
 
+#: What is added to counts of votes and of classes: so little that a class of few documents stays what their votes say.
+FEW = 0.01
+#: Share of good documents that a labeller votes against, as far as is known before, and how much that weighs beside all votes.
+#: Without it, the votes of a labeller that no other one overlaps with could as well all be wrong.
+FALSE, KNOWN = 0.002, 0.1
+
+
 def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, np.ndarray]:
     """The probabilities of CLASSES for a document with a pattern, by expectation-maximisation over the patterns' counts; votes
-    are independent given the class. A pattern may be good, and what some labeller says that it is; it starts from toxic if one
-    says so, else bad if one says so. So classes cannot trade places or split the good ones by some other trait."""
+    are independent given the class, and what form says of toxic documents is what it says of good ones. A pattern may be good, and what some labeller says that it is; it starts from toxic if one
+    says so, else bad if one says so. So classes cannot trade places or split the good ones by some other trait. A labeller that
+    says the same of all documents, or nothing, is no evidence."""
     if not patterns:
         return {}
     keys = sorted(patterns)
@@ -146,15 +160,22 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, np.ndarr
     said = np.stack([np.ones(len(keys), bool), *[(letters == c[0]).any(1) for c in CLASSES[1:]]], 1)
     first = np.where(said[:, 2], 2, np.where(said[:, 1], 1, 0))
     cast = np.where(letters == "-", 2, np.where(letters == "g", 0, 1))
+    against = np.where((letters == "t").any(0), 2, 1)
+    telling = (cast != cast[:1]).any(0)
+    cast, against = cast[:, telling], against[telling]
     share = np.where(first[:, None] == np.arange(len(CLASSES))[None], 0.9, 0.05) * said
     share /= share.sum(1, keepdims=True)
     for _ in range(rounds):
         log = np.zeros(share.shape)
         for c in range(len(CLASSES)):
             weight = count * share[:, c]
-            log[:, c] = np.log((weight.sum() + 1) / (count.sum() + len(CLASSES)))
+            log[:, c] = np.log((weight.sum() + FEW) / (count.sum() + len(CLASSES) * FEW))
             for j in range(cast.shape[1]):
-                each = np.bincount(cast[:, j], weight, 3) + (0.5, 0.5, 0.5)
+                pooled = c != 1 and against[j] == 1  # good and toxic documents
+                each = np.bincount(cast[:, j], count * (1 - share[:, 1]) if pooled else weight, 3) + FEW
+                if c != against[j] and c != 1:  # known before: the votes of all, but few against
+                    usual = (np.bincount(cast[:, j], count, 3) + FEW) * (1, 0, 1)
+                    each += KNOWN * count.sum() * ((1 - FALSE) * usual / usual.sum() + (0, FALSE, 0))
                 log[:, c] += np.log(each / each.sum())[cast[:, j]]
         share = np.exp(log - log.max(1, keepdims=True)) * said
         share /= share.sum(1, keepdims=True)
@@ -163,8 +184,8 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, np.ndarr
 
 @dataclass
 class Model:
-    """The scorer's weights of trigrams and of measures' steps for each class, toxic features with their weights in UNITs, and
-    the score from which a labeller says toxic."""
+    """The scorer's weights of trigrams and of measures' steps for each class, toxic features with their weights in UNITs, the
+    score from which a labeller says toxic, and the hashes of the list's words."""
 
     trigrams: np.ndarray
     steps: np.ndarray
@@ -173,6 +194,7 @@ class Model:
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     threshold: float = THRESHOLD
+    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +210,8 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _steps(values: np.ndarray) -> np.ndarray:
     """(texts, measures) features of the measures' steps."""
-    borders = [*[STEPS] * (len(MEASURES) - 2), TOXIC_STEPS, COUNT_STEPS]
-    return np.stack([j * _WIDE + np.searchsorted(x, values[:, j], "right") for j, x in enumerate(borders)], 1)
+    borders = [*[STEPS] * (len(MEASURES) - OF_WORDS), *[TOXIC_STEPS] * OF_WORDS]
+    return np.stack([j * _WIDE + np.searchsorted(x, np.nan_to_num(values[:, j]), "right") for j, x in enumerate(borders)], 1)
 
 
 def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,18 +230,28 @@ def toxic_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return text, hashes, features
 
 
-def toxicity(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(score, toxic words) of each text: a word weighs as its heaviest feature and counts once, and the sum is divided by the root
-    of the text's words. One word alone is no evidence in a text of more than SHORT words. Toxic words are those that weigh a
-    UNIT and more, which many words that toxic texts only use somewhat oftener do not."""
-    text, hashes, features = toxic_features(texts)
-    weight = table[features].max(0) if len(text) else np.zeros(0, np.uint8)
-    hit = np.flatnonzero(weight)
+def _score_of(hit: np.ndarray, weight: np.ndarray, text: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score, which hits count) of texts of n words in which the words at hit have weights: a word counts once, and the sum is
+    divided by the root of the text's words. One word alone is no evidence in a text of more than SHORT words."""
     hit = hit[_one_each(text[hit], hashes[hit])]
-    n, found = (np.bincount(t, minlength=len(texts)) for t in (text, text[hit]))
-    score = np.bincount(text[hit], weight[hit] / UNIT, len(texts)) / np.sqrt(n + 10)
-    heavy = hit[weight[hit] >= UNIT]
-    return np.where((found > 1) | (n <= SHORT), score, 0.0), np.bincount(text[heavy], minlength=len(texts))
+    found = np.bincount(text[hit], minlength=len(n))
+    score = np.bincount(text[hit], weight[hit], len(n)) / np.sqrt(n + 10)
+    return np.where((found > 1) | (n <= SHORT), score, 0.0), hit
+
+
+def toxicity(table: np.ndarray, texts: list[bytes], listed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, toxic words, score by the list) of each text. A word weighs as its heaviest feature; toxic words are those that
+    weigh a UNIT and more, which many words that toxic texts only use somewhat oftener do not. Each word of the list weighs 1."""
+    text, hashes, features = toxic_features(texts)
+    n = np.bincount(text, minlength=len(texts))
+    weight = table[features].max(0) / UNIT if len(text) else np.zeros(0)
+    score, hit = _score_of(np.flatnonzero(weight), weight, text, hashes, n)
+    heavy = np.bincount(text[hit[weight[hit] >= 1]], minlength=len(texts))
+    by_list = np.zeros(len(texts))
+    if listed is not None and len(listed):
+        at = np.flatnonzero(listed[np.searchsorted(listed, hashes).clip(max=len(listed) - 1)] == hashes)
+        by_list, _ = _score_of(at, np.ones(len(text)), text, hashes, n)
+    return score, heavy, by_list
 
 
 def toxic_weights(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
@@ -260,20 +292,29 @@ def _groups(texts: list[str]) -> Iterator[list[bytes]]:
         yield group
 
 
-def _measured(model: Model, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts, measures, words, toxic words) of groups of texts."""
-    table = _table(model.toxic, model.weights)
-    for group in _groups([t or "" for t in texts]):
-        values, n = form(group)
-        score, found = toxicity(table, group)
-        yield group, np.concatenate((values, score[:, None] / model.threshold, found[:, None]), 1), n, found
+class _Measures:
+    """The measures of texts under a model, whose table is built once in a task."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.table = model, _table(model.toxic, model.weights)
+        self.learnt = bool(model.weights.any())
+
+    def groups(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, measures, words, toxic words) of groups of texts; what the model has nothing for is no number."""
+        for group in _groups([t or "" for t in texts]):
+            values, n = form(group)
+            score, found, listed = toxicity(self.table, group, self.model.listed)
+            none = np.full(len(group), np.nan)
+            more = score / self.model.threshold if self.learnt else none, listed / LISTED if len(self.model.listed) else none
+            yield group, np.concatenate((values, np.stack(more, 1)), 1), n, found
 
 
 def _count_patterns(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
+        measures = _Measures(model)
         for b in batches:
-            for _, values, n, _ in _measured(model, b.column(0).to_pylist()):
+            for _, values, n, _ in measures.groups(b.column(0).to_pylist()):
                 for k in votes(values[n > 0], n[n > 0]):
                     counts[k] = counts.get(k, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
@@ -283,8 +324,9 @@ def _count_patterns(model: Model):
 
 def _training_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measures = _Measures(model)
         for b in batches:
-            for group, values, n, _ in _measured(model, b.column(0).to_pylist()):
+            for group, values, n, _ in measures.groups(b.column(0).to_pylist()):
                 x = np.zeros((len(group), TRIGRAMS + len(MEASURES) * _WIDE), np.float32)
                 of, h = _trigrams(group)
                 x[:, :TRIGRAMS] = np.bincount(of * TRIGRAMS + h, minlength=len(group) * TRIGRAMS).reshape(-1, TRIGRAMS) / np.maximum(1, np.bincount(of, minlength=len(group)))[:, None]
@@ -299,20 +341,26 @@ def _training_rows(model: Model):
 SKETCH, LOOK_UP, ALIKE = 64, 4, 0.6
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (doc_id, sketch)."""
+    for b in batches:
+        sketches = [s[:SKETCH].view(np.int64) for s in shingle_sets(b.column(1).to_pylist(), 2)]  # sorted
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "sketch"])
+
+
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, slot) but for copies of one before: texts whose smallest hashes of word pairs are mostly the same."""
+    """Rows (doc_id, sketch) but for copies of one before: texts whose smallest hashes of word pairs are mostly the same."""
     known: dict[int, list[set[int]]] = {}
     for b in batches:
         new = []
-        for elements in shingle_sets(b.column(0).to_pylist(), 2):
-            sketch = elements[:SKETCH].tolist()  # sorted
+        for sketch in b.column(1).to_pylist():
             mine = set(sketch)
             again = any(len(mine & x) >= ALIKE * max(len(mine), len(x)) for k in sketch[:LOOK_UP] for x in known.get(k, ()))
-            new.append(not again)
+            new.append(b.column(0)[len(new)].as_py() if not again else None)
             if not again:
                 for k in sketch[:LOOK_UP]:
                     known.setdefault(k, []).append(mine)
-        yield b.filter(pa.array(new, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in new if x is not None], pa.int64())], ["doc_id"])
 
 
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,27 +401,31 @@ def _held_out(features: np.ndarray, weights: list[np.ndarray]):
     return run
 
 
-def _fit_toxic(told: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features, weights and threshold from (text, slot), where slot is twice the row's fold, plus one if the row is toxic."""
+def _fit_toxic(told: DataFrame, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Features, weights, threshold and which of the listed features stay, from (text, slot), where slot is twice the row's fold,
+    plus one if the row is toxic. A listed feature goes if clean rows have it more often, by a standard error at least."""
     rows = np.zeros(2 * FOLDS, np.int64)
     for slot, n in told.groupBy("slot").count().collect():
         rows[slot] = n
     t, c = int(rows[1::2].sum()), int(rows[::2].sum())
     if not t or not c:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8), THRESHOLD
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), THRESHOLD, np.ones(len(listed), bool)
     each = [F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2 * FOLDS)]
     toxic, clean = ("+".join(f"n{i}" for i in range(k, 2 * FOLDS, 2)) for k in (1, 0))
     # one error fewer than a weight asks for, as a feature may weigh more where a fold is left out
     sure = f"ln((t + 0.5) / {t + 1}) - ln((c + 0.5) / {c + 1}) > {ERRORS - 1} * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))"
     counts = told.mapInArrow(_toxic_counts, "feature int, slot int, n long").groupBy("feature").agg(*each)
-    found = counts.withColumns({"t": F.expr(toxic), "c": F.expr(clean)}).where(sure).drop("t", "c").toArrow()
+    found = counts.withColumns({"t": F.expr(toxic), "c": F.expr(clean)}).where(F.expr(sure) | F.col("feature").isin(listed.tolist())).drop("t", "c").toArrow()
     features = found.column("feature").to_numpy().astype(np.int64)
     n = np.stack([found.column(f"n{i}").to_numpy() for i in range(2 * FOLDS)]).astype(np.int64)
     fit_on = lambda slots: toxic_weights(n[slots][1::2].sum(0), n[slots][::2].sum(0), int(rows[slots][1::2].sum()), int(rows[slots][::2].sum()))
     every = list(range(2 * FOLDS))
     folds = [fit_on([s for s in every if s // 2 != f]) for f in range(FOLDS)]
     judged = told.mapInArrow(_held_out(features, folds), "score double, toxic long").toArrow()
-    return features, fit_on(every), toxic_threshold(judged.column("score").to_numpy(), judged.column("toxic").to_numpy())
+    mine = np.where(features[None] == listed[:, None], 1, 0) @ n.T
+    with_t, with_c = mine[:, 1::2].sum(1) + 0.5, mine[:, ::2].sum(1) + 0.5
+    stay = np.log(with_t / (t + 1)) - np.log(with_c / (c + 1)) + np.sqrt(1 / with_t + 1 / with_c) >= 0
+    return features, fit_on(every), toxic_threshold(judged.column("score").to_numpy(), judged.column("toxic").to_numpy()), stay
 
 
 def _train(rows: list, posterior: dict[str, np.ndarray], rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
@@ -404,16 +456,17 @@ def _picked(seed: int, share: float, *columns: str) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)), F.pmod(h, F.lit(1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", sample: int = SAMPLE, labelled: int = LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", sample: int = SAMPLE, labelled: int = LABELLED, insults: Sequence[str] = INSULTS) -> Model:
     """Learns from docs (doc_id, text_col) and, if there are any, labels (doc_id, toxic 0 or 1; nulls teach nothing, and a
     doc_id with both is toxic). Pattern counts cover all documents; the scorer sees at most `sample` of them, picked by a hash
     of doc_id and text, and toxic words come from at most `labelled` labelled ids, picked by a hash (of an id's texts the
-    first in order counts). Null ids, repeated rows and other columns do no harm. No documents give a model that keeps all
-    that has words; empty labels are like none."""
+    first in order counts). insults are words that one labeller of toxicity looks for, without those that labels show in clean
+    documents. Null ids, repeated rows and other columns do no harm; texts of any length count as a whole. No documents give a
+    model that keeps all that has words; empty labels are like none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    insults = np.array([int(_word(w) & np.uint64(TOXIC - 1)) for w in INSULTS], np.int64)
+    listed = np.unique(np.array([_word(w) for w in insults], np.uint64))
     flat = np.zeros((TRIGRAMS + len(MEASURES) * _WIDE, len(CLASSES)), np.float32)
-    model = Model(flat[:TRIGRAMS], flat[TRIGRAMS:], np.array([1.0, 0, 0], np.float32), {}, insults, np.full(len(insults), UNIT, np.uint8))
+    model = Model(flat[:TRIGRAMS], flat[TRIGRAMS:], np.array([1.0, 0, 0], np.float32), {}, listed=listed)
     if labels is not None:
         known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         known = cut(known, "labels")
@@ -421,13 +474,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
         few = known.where(some).orderBy(order, "doc_id").limit(labelled)
         slot = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(FOLDS)).cast("int") * 2 + F.col("toxic")
         told = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # `labelled` bounds what is broadcast
-        told = told.repartition(1).sortWithinPartitions("doc_id").select("text", slot.alias("slot")).mapInArrow(_leaders, "text string, slot int")  # `labelled` rows
-        told = cut(told.repartition(shuffle_partitions(docs.sparkSession)), "labelled")
-        features, weights, threshold = _fit_toxic(told)
-        drop(told)
-        drop(known)
-        if weights.any():
-            model.toxic, model.weights, model.threshold = features, weights, threshold
+        told = cut(told, "labelled")
+        sketches = told.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch array<long>")
+        leaders = sketches.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_leaders, "doc_id long")  # `labelled` rows of SKETCH numbers
+        first = cut(told.join(leaders, "doc_id", "left_semi").select("text", slot.alias("slot")).repartition(shuffle_partitions(docs.sparkSession)), "labelled-first")
+        model.toxic, model.weights, model.threshold, stay = _fit_toxic(first, (listed & np.uint64(TOXIC - 1)).astype(np.int64))
+        model.listed = listed[stay]
+        drop(told, first, known)
     counted = rows.select("text").mapInArrow(_count_patterns(model), "votes string, n long").groupBy("votes").agg(F.sum("n")).collect()  # 3^11 rows at most
     patterns = {k: n for k, n in counted}
     total = sum(patterns.values())
@@ -447,9 +500,10 @@ NEW = (("votes", T.StringType(), pa.string()), ("posterior", T.DoubleType(), pa.
 
 def _score(model: Model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measures = _Measures(model)
         for b in batches:
             new: list[list] = [[] for _ in NEW]
-            for group, values, n, found in _measured(model, b.column(text_at).to_pylist()):
+            for group, values, n, found in measures.groups(b.column(text_at).to_pylist()):
                 of, h = _trigrams(group)
                 each = np.maximum(1, np.bincount(of, minlength=len(group)))
                 z = np.stack([np.bincount(of, model.trigrams[h, c], len(group)) / each for c in range(len(CLASSES))], 1)
