@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -154,22 +154,31 @@ def _merge(x: tuple, y: tuple) -> tuple:
 
 
 def _tokenize(path: str, end_id: int):
+    """Rows (doc_id, text, block, row) to documents with their runs and places there. A run is what a task reads of one block in
+    one go; runs sort as their blocks and first rows do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, before = WordTokenizer.open(path), TaskContext.get().partitionId(), 0
+        ids_of, part, now, before = WordTokenizer.open(path), f"{TaskContext.get().partitionId():012d}", None, 0
         end, width = np.array([end_id], ids_of.kind).tobytes(), ids_of.kind.itemsize
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                piece = b.slice(i, 512)
-                ids = [x + end for x in ids_of([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.array([len(x) // width for x in ids], dtype=np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "part_start", "doc_tokens", "ids"])
+                whole = b.slice(i, 512)
+                blocks = whole.column(2).to_pylist()
+                edges = [0, *[k for k in range(1, len(blocks)) if blocks[k] != blocks[k - 1]], len(blocks)]
+                for a, z in zip(edges, edges[1:]):
+                    piece = whole.slice(a, z - a)
+                    if now is None or blocks[a] != now[0]:
+                        now, before = (blocks[a], part if blocks[a] is None else f"{blocks[a]}:{piece.column(3)[0].as_py():020d}"), 0
+                    ids = [x + end for x in ids_of([t or "" for t in piece.column(1).to_pylist()])]
+                    n = np.array([len(x) // width for x in ids], dtype=np.int64)
+                    starts = before + np.cumsum(n) - n
+                    before += int(n.sum())
+                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([now[1]] * len(n), pa.string()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "part_start", "doc_tokens", "ids"])
 
     return run
 
 
-def _cut(bases: dict[int, int], window: int):
+def _cut(bases: dict[str, int], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -189,14 +198,20 @@ def _cut(bases: dict[int, int], window: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text_col: str = "text", place: tuple[Column, Column] | None = None) -> DataFrame:
     """Where each document's ids go: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids as little-endian
     unsigned 32-bit numbers), a row for each piece. Each document ends with end_id, so a null or empty text has one id.
 
     All sequences are full but the last. A very long text has a piece for each window that it meets. Repeated rows and null ids
     are documents like others; other columns are left out; an empty table gives no pieces.
+
+    Documents go in the order of docs' partitions, or of place: the block (a string) of a document and its row there, where
+    every task has its rows of a block in their order and without gaps, as it reads a file. One total for each task and block
+    comes to the driver.
     """
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer_path, end_id), "doc_id long, part int, part_start long, doc_tokens long, ids binary")
+    block, row = place or (F.lit(None).cast("string"), F.lit(None).cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), block.alias("block"), row.alias("row"))
+    tokens = rows.mapInArrow(_tokenize(tokenizer_path, end_id), "doc_id long, part string, part_start long, doc_tokens long, ids binary")
     tokens = cut(tokens, "packing-tokens")
     bases, total = {}, 0
     for part, n in sorted(tuple(x) for x in tokens.groupBy("part").agg(F.sum("doc_tokens")).collect()):

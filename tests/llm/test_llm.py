@@ -870,3 +870,32 @@ def test_pipeline_takes_anything(spark, tmp_path):
     assert tuple(mixed.columns) == p.COLUMNS and {r.doc_id for r in mixed.collect()} <= {1, 3, 4, None}
     assert p.pack(spark, some, str(tmp_path)).where("start = 0").count() == len(rows)
     assert all(r.text and r.text.strip() for r in p.quality_classifier(spark, some, str(tmp_path)).collect())
+
+
+def test_sequences_follow_the_order_of_the_mix(spark, tmp_path):
+    """The mix is range-sorted into files of different sizes, which a reader deals out by size: sequences keep its order."""
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.01"
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("150k", "1k", "false", "12")):
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        p.source_mixing(spark, docs, folder).write.parquet(str(tmp_path / "mix"))
+        mixed = spark.read.parquet(str(tmp_path / "mix"))
+        assert len(mixed.inputFiles()) > 3 and mixed.rdd.getNumPartitions() > 3
+        got = [r.doc_id for r in p.pack(spark, mixed, folder).where("start = 0").orderBy("sequence_id", "offset").collect()]
+        rows = mixing.sized(docs.withColumn("row_id", F.col("doc_id"))).select("doc_id", "source", "size", "row_id")
+        copies = mixing.stream(mixing.queue(rows)).groupBy("row_id", "copy").agg(F.min("finish").alias("f"), F.min("source_no").alias("s"))
+        want = [(r.f, r.s) for r in copies.orderBy("f", "s", "copy").collect()]
+        of = {(r.row_id, r.copy): (r.f, r.s) for r in copies.collect()}
+        seen: Counter = Counter()
+        order = []
+        for d in got:  # a document's copies come in their order
+            order.append(of[d, sorted(c for i, c in of if i == d)[seen[d]]])
+            seen[d] += 1
+        assert order == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
