@@ -8,7 +8,8 @@ what becomes of very long texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import minhash, mixing, packing, quality, suffixes
@@ -62,9 +63,21 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def file_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """(file, row) of documents read from files that Spark wrote: files sort by the number of the partition that they hold, which
+    a reader that deals out files by size does not keep. None for documents that are not read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    return F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), F.lit("/"), name), F.col("_metadata.row_index")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens go in sequences of 4096; null and empty texts, null ids and repeated rows are documents too."""
-    return packing.pieces(docs, tokenizer_path()).drop("ids")
+    """Where each document's tokens go in sequences of 4096, which follow the order that the documents were written in; null and
+    empty texts, null ids and repeated rows are documents too."""
+    return packing.pieces(docs, tokenizer_path(), place=file_order(docs)).drop("ids")
 
 
 STAGES = [
