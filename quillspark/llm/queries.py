@@ -177,11 +177,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """,
     "op3_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS p, h FROM d WHERE len(h) >= 200),
-s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS n FROM w),
+g AS (SELECT doc_id, 256 * i AS base, substr(h, 512 * i + 1, 710) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 - 100) // 256 + 1)) AS i FROM d WHERE len(h) >= 200)),
+w AS MATERIALIZED (SELECT doc_id, base + o AS p, hash(substr(part, 2 * o + 1, 200)) AS k, substr(part, 2 * o + 1, 200) AS x FROM (SELECT *, unnest(range(0, least(256, len(part) // 2 - 99))) AS o FROM g)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k, x ORDER BY doc_id, p) AS n FROM w SEMI JOIN twice USING (k)),
 b AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s WHERE n > 1),
-g AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
-r AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z, lag(max(p) + 100) OVER (PARTITION BY doc_id ORDER BY k) AS since FROM g GROUP BY doc_id, k),
+i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z, lag(max(p) + 100) OVER (PARTITION BY doc_id ORDER BY k) AS since FROM i GROUP BY doc_id, k),
 t AS (SELECT r.doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS z, string_agg(substr(d.h, 2 * coalesce(since, 0) + 1, 2 * (a - coalesce(since, 0))), '' ORDER BY k) AS kept FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
 SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(t.kept || substr(d.h, 2 * t.z + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
