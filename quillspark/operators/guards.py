@@ -1,12 +1,10 @@
-"""Checks of answers against evidence, and greedy selections that follow an order (D13, D14, D16-D18, T10, T12, A13). They walk
-small groups, so they are Arrow functions over grouped or single rows."""
+"""Checks of answers against evidence, and selections that follow an order."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that negate, and that open a condition.
@@ -90,16 +88,25 @@ def select_bundles(candidates: list[int], paths: list[list[int]], limit: int) ->
 
 
 def bundles(candidates: DataFrame, limit: int) -> DataFrame:
-    """T10 for each query: rows (query_id, rank, chunk_id, paths: arrays of chunk ids) to (query_id, place, chunk_id). A query has
-    at most a few hundred candidates."""
+    """T10 for each query: rows (query_id, rank, chunk_id, paths: arrays of chunk ids) to (query_id, place, chunk_id), as
+    select_bundles() chooses. The candidates of a query (a few hundred at most) are folded in order over the array of those
+    chosen so far, which is never longer than limit."""
+    kind = candidates.schema["chunk_id"].dataType.simpleString()
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "paths")))
+    each = candidates.groupBy("query_id").agg(ordered.alias("rows")).select("query_id", F.col("rows.chunk_id").alias("known"), F.flatten(F.filter("rows.paths", lambda p: p.isNotNull())).alias("paths"))
+    whole = each.withColumn("paths", F.filter("paths", lambda p: F.size(F.array_except(p, F.col("known"))) == 0))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rank")
-        paths = [list(x) for row in p["paths"] for x in (row if row is not None else [])]
-        got = select_bundles(p["chunk_id"].tolist(), paths, limit)
-        return pd.DataFrame({"query_id": p["query_id"].iloc[0], "place": range(1, len(got) + 1), "chunk_id": got})
+    def together(chosen: Column, path: Column) -> Column:
+        lacking = F.array_except(path, chosen)
+        return F.when(F.size(chosen) + F.size(lacking) <= limit, F.concat(chosen, F.filter("known", lambda k: F.array_contains(lacking, k)))).otherwise(chosen)
 
-    return candidates.groupBy("query_id").applyInPandas(run, "query_id long, place int, chunk_id long")
+    def add(chosen: Column, c: Column) -> Column:
+        more = F.aggregate(F.filter("paths", lambda p: F.array_contains(p, c)), chosen, together)
+        alone = F.transform(F.array(more), lambda m: F.when(F.array_contains(m, c) | (F.size(m) >= limit), m).otherwise(F.array_append(m, c)))[0]
+        return F.when(F.array_contains(chosen, c) | (F.size(chosen) >= limit), chosen).otherwise(alone)
+
+    got = F.aggregate("known", F.array().cast(f"array<{kind}>"), add)
+    return whole.select("query_id", F.posexplode(got).alias("place", "chunk_id")).select("query_id", (F.col("place") + 1).alias("place"), "chunk_id")
 
 
 def table_preview(rows: list[list[str]], most: int = 200, columns: int = 50, characters: int = 4000) -> tuple[list[list[str]], bool]:
@@ -118,18 +125,3 @@ def preview(elements: list[str], most: int = 300, characters: int = 200_000) ->
         out.append(e[:left])
         left -= len(e)
     return out, len(out) < len(elements) or left < 0
-
-
-def match_greedily(gold: list[tuple], predicted: list[tuple]) -> list[tuple[int, int]]:
-    """One-to-one pairs of (subject, object, predicate, condition) by order of closeness: all four equal, then without the
-    condition, then both ends alone; in a level earlier gold first."""
-    pairs, used = [], set()
-    free = set(range(len(gold)))
-    for width in ((0, 1, 2, 3), (0, 1, 2), (0, 1)):
-        for g in sorted(free):
-            hit = next((i for i, p in enumerate(predicted) if i not in used and all(p[k] == gold[g][k] for k in width)), None)
-            if hit is not None:
-                pairs.append((g, hit))
-                used.add(hit)
-                free.discard(g)
-    return sorted(pairs)

@@ -1,8 +1,8 @@
-"""Evaluation."""
+"""Evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,46 @@ def citation_issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     j = answers.join(evidence, "evidence_id", "left")
     ok = F.coalesce(F.contains("content", "quote") & (F.length("quote") > 0), F.lit(False))
     return j.groupBy("answer_id").agg(F.bool_and(ok).alias("valid"), F.count(F.lit(1)).alias("citations"))
+
+
+#: Levels at which a predicted relation matches, closest first: what must agree besides both ends and the predicate.
+LEVELS = ("condition_and_quote", "condition", "triple")
+
+
+def conditional_matches(gold: DataFrame, predicted: DataFrame, found: DataFrame) -> DataFrame:
+    """Gold relations with endpoints_found, matched (the predicted relation's place or null), condition_status and quote_match.
+
+    gold: (chunk_id, place, subject, object, same: whether both ends are one entity, predicate, condition, quote), predicted the
+    same but for `same`; subject and object are signatures; found: (chunk_id, signature) of the different entities that were
+    predicted. A gold relation counts if both of its ends were found, each as often as it needs. Relations of a chunk are
+    matched one to one, gold and predicted in the order of their places, level by level: those that agree in all of a level's
+    columns make pairs of equal numbers, which is what taking the first free one in turn comes to. An empty condition is none.
+    """
+    n = found.groupBy("chunk_id", "signature").agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda end: n.select("chunk_id", F.col("signature").alias(end), F.col("_n").alias(f"_{end}"))
+    need = F.when((F.col("subject") == F.col("object")) & ~F.col("same"), 2).otherwise(1)
+    g = gold.join(side("subject"), ["chunk_id", "subject"], "left").join(side("object"), ["chunk_id", "object"], "left")
+    g = g.withColumn("endpoints_found", F.coalesce((F.col("_subject") >= need) & (F.col("_object") >= need), F.lit(False))).drop("_subject", "_object")
+    bare = lambda d: d.withColumn("condition", F.when(F.col("condition") != "", F.col("condition")))
+    left, free = bare(g).where("endpoints_found"), bare(predicted)
+    out = None
+    for level in LEVELS:
+        keys = ["chunk_id", "subject", "object", "predicate"] + ([] if level == "triple" else ["condition"]) + (["quote"] if level == "condition_and_quote" else [])
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        a, b = left.withColumn("_nth", nth), free.withColumn("_nth", nth).toDF(*[f"p_{c}" for c in [*free.columns, "_nth"]])
+        same = F.col("_nth") == F.col("p__nth")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+        pairs = a.join(b, same).select("chunk_id", "place", F.col("p_place").alias("matched"), F.col("condition").eqNullSafe(F.col("p_condition")).alias("_same"), F.col("quote").eqNullSafe(F.col("p_quote")).alias("quote_match"))
+        out = pairs if out is None else out.unionByName(pairs)
+        left = left.join(pairs.select("chunk_id", "place"), ["chunk_id", "place"], "left_anti")
+        free = free.join(pairs.select("chunk_id", F.col("matched").alias("place")), ["chunk_id", "place"], "left_anti")
+    status = F.when(F.col("_same"), "MATCH").when(F.col("matched").isNotNull(), "MISMATCH")
+    return g.join(out, ["chunk_id", "place"], "left").select(*gold.columns, "endpoints_found", "matched", status.alias("condition_status"), "quote_match")
+
+
+def conditional_recall(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and rates of conditional_matches(): relations by those whose ends were found, conditions by matched relations."""
+    count = lambda c: F.count_if(c)
+    t = matches.groupBy(*by).agg(F.count(F.lit(1)).alias("gold"), count(F.col("endpoints_found")).alias("eligible"), F.count("matched").alias("matched"), count(F.col("condition_status") == "MATCH").alias("same_condition"), count(F.col("quote_match")).alias("same_quote"))
+    return t.select("*", ratio(F.col("matched"), F.col("eligible")).alias("recall"), ratio(F.col("same_condition"), F.col("matched")).alias("condition_accuracy"))

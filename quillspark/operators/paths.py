@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +59,20 @@ def two_hop_paths(first: DataFrame, second: DataFrame, bridged: DataFrame) -> Da
 
 
 def within_sources(paths: DataFrame, limit: int, most: int = MOST_PATHS) -> DataFrame:
-    """Of each query's paths (query_id, path_id, first_id, second_id, sources) in order those that keep the union of sources
-    within the limit, `most` at most. Each choice depends on the ones before; a query has few paths, as relations have a budget."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p, have, keep = p.sort_values(["first_id", "second_id", "path_id"]), set(), []
-        for s in p["sources"]:
-            fits = len(have | set(s)) <= limit and sum(keep) < most
-            have |= set(s) if fits else set()
-            keep.append(fits)
-        return p[keep]
-
-    return paths.groupBy("query_id").applyInPandas(run, paths.schema)
+    """Of each query's paths (query_id, path_id, first_id, second_id, sources, ...) in order those that keep the union of
+    sources within the limit, `most` at most. Each choice depends on the ones before, so a query's paths (few, as relations have
+    a budget) are folded in order over the sources and paths so far."""
+    row = F.struct(*paths.columns)
+    ordered = F.array_sort(F.collect_list(F.struct("first_id", "second_id", "path_id", row.alias("row"))))
+    each = paths.groupBy(F.col("query_id").alias("_query")).agg(F.transform(ordered, lambda p: p["row"]).alias("rows"))
+    sources, rows = paths.schema["sources"].dataType.simpleString(), each.schema["rows"].dataType.simpleString()
+    none = F.struct(F.array().cast(sources).alias("have"), F.array().cast(rows).alias("kept"))
+
+    def add(so_far: Column, p: Column) -> Column:
+        fits = (F.size(F.array_union(so_far["have"], p["sources"])) <= limit) & (F.size(so_far["kept"]) < most)
+        return F.when(fits, F.struct(F.array_union(so_far["have"], p["sources"]).alias("have"), F.array_append(so_far["kept"], p).alias("kept"))).otherwise(so_far)
+
+    return each.select(F.explode(F.aggregate("rows", none, add)["kept"]).alias("p")).select("p.*")
 
 
 def complete_paths(paths: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -692,15 +692,6 @@ def answer_guards(spark, sf):
     return guards(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("statement"), "evidence"))
 
 
-@query()
-def path_bundles(spark, sf):
-    from ..operators.guards import bundles
-
-    f = _fused(spark, sf)
-    paths = F.when(F.col("chunk_id") % 3 == 0, F.array(F.array("chunk_id", F.col("chunk_id") + 1))).otherwise(F.array().cast("array<array<bigint>>"))
-    return bundles(f.select("query_id", F.col("fused_rank").alias("rank"), "chunk_id", paths.alias("paths")), 5)
-
-
 @query(r"SELECT p_partkey, trim(trim(trim(regexp_replace(lower(' ' || upper(p_name) || ' .'), '\s+', ' ', 'g')), ',.')) AS name FROM part")
 def canonical_names(spark, sf):
     """G1."""
@@ -790,4 +781,4 @@ def union_views(spark, sf):
     return catalog.union_all(d, c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import graph_queries  # noqa: E402, F401  registers more
+from . import graph_queries, relation_queries  # noqa: E402, F401  register more

@@ -232,7 +232,6 @@ def test_guards(spark):
     assert guards.restore_quote("the c\r\nat sat here", "the cat\n sat") == "the c\r\nat sat"
     assert guards.restore_quote("twice over, twice over", "twice over") is None
     assert guards.preview(["abc", "def"], 5, 4) == (["abc", "d"], True)
-    assert guards.match_greedily([("a", "b", "r", "c"), ("a", "b", "r", None)], [("a", "b", "r", None), ("a", "b", "q", "c")]) == [(0, 1), (1, 0)]
     parts = lambda t: [t[a:b] for a, b in guards.clauses(t)]
     assert parts("x. y") == ["x.", "y"] and parts("At 3.5 m. Go!\n# Head\n- item；next") == ["At 3.5 m.", "Go!", "Head", "item；", "next"] and parts(" . ") == []
     assert guards.quote_candidates("One. Two. " + "x" * 1300 + ". Three.", most=3) == ["One.", "Two.", "Three."]
