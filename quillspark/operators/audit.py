@@ -1,5 +1,5 @@
-"""Audits of a stored graph against the chunks it was made from (G22, G23, S13). Each check is a join or a filter that gives (code,
-key) rows; nothing meets but by key."""
+"""Audits of a stored graph against the chunks it was made from (G22, G23, S13). Each join runs once and
+gives every code that it can tell as (code, key) rows; nothing meets but by key."""
 
 from __future__ import annotations
 
@@ -22,62 +22,89 @@ def _rows(df: DataFrame, code: str, bad: Column, key: str = "key") -> DataFrame:
     return df.where(F.coalesce(bad, F.lit(True))).select(F.lit(code).alias("code"), F.col(key).cast("string").alias("key"))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _coded(df: DataFrame, codes: dict[str, Column], key: str = "key") -> DataFrame:
+    """(code, key) for each code whose condition holds, so many times if it is a number: one pass over df, however many codes
+    there are. A condition that is null holds."""
 
+    def times(code: str, c: Column) -> Column:
+        n = c if dict(df.select(c.alias("n")).dtypes)["n"] != "boolean" else F.coalesce(c, F.lit(True)).cast("int")
+        return F.array_repeat(F.lit(code), n.cast("int"))
 
-def evidence_problems(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    found = F.concat(*[times(code, c) for code, c in codes.items()])
+    return df.select(F.explode(found).alias("code"), F.col(key).cast("string").alias("key"))
+
+
+def _apart(columns, prefix: str) -> Column:
+    other = F.lit(False)
+    for n in columns:
+        other = other | ~F.col(n).eqNullSafe(F.col(f"{prefix}{n}"))
+    return other
+
+
+def evidence_problems(evidence: DataFrame, chunks: DataFrame, mentions: DataFrame | None = None, facts: DataFrame | None = None, projections: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Evidence (key, chunk_id, SCOPE, namespace, content_sha256, quote, quote_start, quote_end, source_refs) against chunks (chunk_id,
-    SCOPE, content, content_sha256, source_refs)."""
+    SCOPE, content, content_sha256, source_refs); with mentions and facts, whether any of these uses it; with projections and
+    documents, whether it is of an audited document but of none of the audited generations."""
     c = chunks.select("chunk_id", *[F.col(n).alias(f"c_{n}") for n in (*SCOPE, "content", "content_sha256", "source_refs")], F.lit(True).alias("_c"))
     j = evidence.join(c, "chunk_id", "left")
-    known = j.where("_c")
-    other = F.lit(False)
-    for n in SCOPE:
-        other = other | ~F.col(n).eqNullSafe(F.col(f"c_{n}"))
+    known = F.coalesce("_c", F.lit(False))
     there = F.coalesce(piece(F.col("c_content"), F.col("quote_start"), F.col("quote_end")) == F.col("quote"), F.lit(False)) & (F.char_length("quote") > 0)
     own = stable_key(*[F.col(n) for n in ("namespace", "tenant_id", "generation_id", "chunk_id", "quote_start", "quote")])
-    return _all([
-        _rows(j, "EVIDENCE_UNKNOWN_CHUNK", F.col("_c").isNull()),
-        _rows(known, "EVIDENCE_SCOPE_MISMATCH", other),
-        _rows(known, "EVIDENCE_CONTENT_HASH_MISMATCH", F.col("content_sha256") != F.col("c_content_sha256")),
-        _rows(known, "EVIDENCE_QUOTE_OFFSET_INVALID", ~there),
-        _rows(known.where(there), "EVIDENCE_KEY_MISMATCH", F.col("key") != own),
-        _rows(known, "EVIDENCE_SOURCE_REFS_MISMATCH", ~F.col("source_refs").eqNullSafe(F.col("c_source_refs"))),
-    ])
+    codes = {
+        "EVIDENCE_UNKNOWN_CHUNK": ~known,
+        "EVIDENCE_SCOPE_MISMATCH": known & _apart(SCOPE, "c_"),
+        "EVIDENCE_CONTENT_HASH_MISMATCH": known & F.coalesce(F.col("content_sha256") != F.col("c_content_sha256"), F.lit(True)),
+        "EVIDENCE_QUOTE_OFFSET_INVALID": known & ~there,
+        "EVIDENCE_KEY_MISMATCH": known & there & F.coalesce(F.col("key") != own, F.lit(True)),
+        "EVIDENCE_SOURCE_REFS_MISMATCH": known & ~F.col("source_refs").eqNullSafe(F.col("c_source_refs")),
+    }
+    if mentions is not None and facts is not None:
+        used = mentions.select(F.col("evidence_key").alias("key")).unionByName(facts.select(F.explode("evidence_keys").alias("key"))).distinct().withColumn("_used", F.lit(True))
+        j, codes["ORPHAN_EVIDENCE"] = j.join(used, "key", "left"), F.col("_used").isNull()
+    if projections is not None and documents is not None:
+        gens = projections.select("generation_id").distinct().withColumn("_gen", F.lit(True))
+        docs = documents.select("document_id").distinct().withColumn("_doc", F.lit(True))
+        j = j.join(gens, "generation_id", "left").join(docs, "document_id", "left")
+        codes["OTHER_GENERATION_EVIDENCE"] = F.col("_doc").isNotNull() & F.col("_gen").isNull()
+    return _coded(j, codes)
 
 
 def entity_problems(entities: DataFrame, mentions: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
-    """Entities (key, namespace, tenant_id, kb_id, type, name, normalized_name) and mentions (entity_key, evidence_key)."""
+    """Entities (key, namespace, tenant_id, kb_id, type, name, normalized_name) and mentions (entity_key, evidence_key): a pass over
+    the mentions, and one over the entities' keys and their uses together."""
     e = evidence.select(F.col("key").alias("evidence_key"), *[F.col(n).alias(f"e_{n}") for n in ("namespace", "tenant_id", "kb_id", "document_id")], F.lit(True).alias("_e"))
     j = mentions.join(entities.withColumnRenamed("key", "entity_key"), "entity_key").join(e, "evidence_key", "left")
-    apart = F.lit(False)
-    for n in ("namespace", "tenant_id", "kb_id"):
-        apart = apart | ~F.col(n).eqNullSafe(F.col(f"e_{n}"))
+    known = F.coalesce("_e", F.lit(False))
     name = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
     place = F.when(F.col("type").isin(*CONTEXT_TYPES), F.col("e_document_id"))
     own = stable_key(*[F.col(n) for n in ("namespace", "tenant_id", "kb_id", "type")], name, place)
-    used = mentions.select(F.col("entity_key").alias("key")).unionByName(facts.select(F.col("subject_key").alias("key"))).unionByName(facts.select(F.col("object_key").alias("key"))).distinct()
-    return _all([
-        _rows(j, "MENTION_WITHOUT_EVIDENCE", F.col("_e").isNull(), "entity_key"),
-        _rows(j.where("_e"), "ENTITY_SCOPE_MISMATCH", apart, "entity_key"),
-        _rows(entities, "ENTITY_NORMALIZATION_MISMATCH", (name == "") | (F.col("normalized_name") != name)),
-        _rows(j.where("_e").where(F.col("normalized_name") == name), "ENTITY_KEY_MISMATCH", F.col("entity_key") != own, "entity_key"),
-        _rows(entities.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "DUPLICATE_ENTITY_KEY_GLOBAL", F.col("_n") > 1),
-        _rows(entities.join(used, "key", "left_anti"), "ORPHAN_ENTITY_GLOBAL", F.lit(True)),
-    ])
+    mentioned = _coded(j, {
+        "MENTION_WITHOUT_EVIDENCE": ~known,
+        "ENTITY_SCOPE_MISMATCH": known & _apart(("namespace", "tenant_id", "kb_id"), "e_"),
+        "ENTITY_KEY_MISMATCH": known & F.coalesce(F.col("normalized_name") == name, F.lit(False)) & F.coalesce(F.col("entity_key") != own, F.lit(True)),
+    }, "entity_key")
+    bad = F.coalesce((name == "") | (F.col("normalized_name") != name), F.lit(True))
+    use = lambda df, c: df.select(F.col(c).alias("key"), F.lit(0).alias("_n"), F.lit(0).alias("_bad"), F.lit(1).alias("_used"))
+    uses = use(mentions, "entity_key").unionByName(use(facts, "subject_key")).unionByName(use(facts, "object_key"))
+    both = entities.select("key", F.lit(1).alias("_n"), bad.cast("int").alias("_bad"), F.lit(0).alias("_used")).unionByName(uses)
+    keys = both.groupBy("key").agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"), F.max("_used").alias("_used"))
+    return mentioned.unionByName(_coded(keys.where("_n > 0"), {
+        "ENTITY_NORMALIZATION_MISMATCH": F.col("_bad"),
+        "DUPLICATE_ENTITY_KEY_GLOBAL": F.col("_n") > 1,
+        "ORPHAN_ENTITY_GLOBAL": F.when(F.col("_used") == 0, F.col("_n")).otherwise(0),
+    }))
 
 
 def fact_problems(facts: DataFrame, entities: DataFrame, evidence: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Facts (key, predicate, subject_key, object_key, condition_text, namespace, tenant_id, kb_id, document_id, generation_id,
-    evidence_keys), each with one piece of evidence, two ends of allowed types in its scope, and the key that follows from them."""
+    evidence_keys), each with one piece of evidence, two ends of allowed types in its scope, and the key that follows from them:
+    a pass with their ends, one with their evidence, one by what they say."""
     ends = facts
+    known = entities.select("key", "type", "namespace", "tenant_id", "kb_id").dropDuplicates(["key"])
     for end in ("subject", "object"):
-        ends = ends.join(entities.select(F.col("key").alias(f"{end}_key"), F.col("type").alias(f"{end}_type"), *[F.col(n).alias(f"{end}_{n}") for n in ("namespace", "tenant_id", "kb_id")]).dropDuplicates([f"{end}_key"]), f"{end}_key", "left")
+        ends = ends.join(known.toDF(f"{end}_key", *[f"{end}_{n}" for n in ("type", "namespace", "tenant_id", "kb_id")]), f"{end}_key", "left")
     typed = ends.join(whitelist.withColumn("_w", F.lit(True)), ["predicate", "subject_type", "object_type"], "left")
+    two = F.col("subject_type").isNotNull() & F.col("object_type").isNotNull()
     apart = F.lit(False)
     for end in ("subject", "object"):
         for n in ("namespace", "tenant_id", "kb_id"):
@@ -86,36 +113,32 @@ def fact_problems(facts: DataFrame, entities: DataFrame, evidence: DataFrame, wh
     e = evidence.select(F.col("key").alias("evidence_key"), *[F.col(n).alias(f"e_{n}") for n in ("namespace", "document_id", "generation_id")], F.lit(True).alias("_e"))
     held = each.join(e, "evidence_key", "left")
     other = (F.col("namespace") != F.col("e_namespace")) | (F.col("document_id") != F.col("e_document_id")) | (F.col("generation_id") != F.col("e_generation_id"))
-    own = stable_key(F.col("evidence_keys")[0], *[F.col(n) for n in ("subject_key", "predicate", "object_key", "condition_text")])
-    return _all([
-        _rows(typed, "INVALID_RELATION_ENDPOINT", F.col("_w").isNull()),
-        _rows(typed.where("subject_type is not null and object_type is not null"), "FACT_ENTITY_SCOPE_MISMATCH", apart),
-        _rows(typed, "ORPHAN_OR_AMBIGUOUS_FACT_ENDPOINT", F.col("subject_type").isNull() | F.col("object_type").isNull()),
-        _rows(facts.groupBy("generation_id", "subject_key", "predicate", "object_key", "condition_text").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("_n")), "DUPLICATE_FACT", F.col("_n") > 1),
-        _rows(facts, "FACT_EVIDENCE_CARDINALITY", F.size("evidence_keys") != 1),
-        _rows(held, "FACT_WITHOUT_EVIDENCE", F.col("_e").isNull()),
-        _rows(held.where("_e"), "FACT_EVIDENCE_SCOPE_MISMATCH", other),
-        _rows(facts.where(F.size("evidence_keys") == 1), "FACT_KEY_MISMATCH", F.col("key") != own),
-    ])
-
-
-def orphan_evidence(evidence: DataFrame, mentions: DataFrame, facts: DataFrame) -> DataFrame:
-    used = mentions.select(F.col("evidence_key").alias("key")).unionByName(facts.select(F.explode("evidence_keys").alias("key"))).distinct()
-    return _rows(evidence.join(used, "key", "left_anti"), "ORPHAN_EVIDENCE", F.lit(True))
+    own = stable_key(F.get("evidence_keys", 0), *[F.col(n) for n in ("subject_key", "predicate", "object_key", "condition_text")])
+    alike = facts.groupBy("generation_id", "subject_key", "predicate", "object_key", "condition_text").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("_n"))
+    of_ends = _coded(typed, {
+        "INVALID_RELATION_ENDPOINT": F.col("_w").isNull(),
+        "FACT_ENTITY_SCOPE_MISMATCH": two & F.coalesce(apart, F.lit(True)),
+        "ORPHAN_OR_AMBIGUOUS_FACT_ENDPOINT": ~two,
+        "FACT_EVIDENCE_CARDINALITY": F.size("evidence_keys") != 1,
+        "FACT_KEY_MISMATCH": (F.size("evidence_keys") == 1) & F.coalesce(F.col("key") != own, F.lit(True)),
+    })
+    of_evidence = _coded(held, {"FACT_WITHOUT_EVIDENCE": F.col("_e").isNull(), "FACT_EVIDENCE_SCOPE_MISMATCH": F.col("_e").isNotNull() & F.coalesce(other, F.lit(True))})
+    return of_ends.unionByName(of_evidence).unionByName(_coded(alike, {"DUPLICATE_FACT": F.col("_n") > 1}))
 
 
 def projection_problems(projections: DataFrame, documents: DataFrame, namespace: str, entities_of: DataFrame, facts: DataFrame) -> DataFrame:
     """Projections (projection_id, document_id, revision_id, generation_id, namespace, status, entity_count, relation_count) against
     documents (document_id, active_revision_id) and what is stored: entities_of (generation_id, entity_key), facts."""
-    n = entities_of.groupBy("generation_id").agg(F.countDistinct("entity_key").alias("_e")).join(facts.groupBy("generation_id").agg(F.countDistinct("key").alias("_f")), "generation_id", "full_outer")
-    j = projections.join(documents.select("document_id", "active_revision_id"), "document_id", "left").join(n, "generation_id", "left")
-    return _all([
-        _rows(j, "PROJECTION_NOT_READY", F.col("status") != "READY", "projection_id"),
-        _rows(j, "ACTIVE_REVISION_MISMATCH", ~F.col("revision_id").eqNullSafe(F.col("active_revision_id")), "projection_id"),
-        _rows(j, "NAMESPACE_MISMATCH", F.col("namespace") != namespace, "projection_id"),
-        _rows(j, "ENTITY_COUNT_MISMATCH", F.col("entity_count") != F.coalesce("_e", F.lit(0)), "projection_id"),
-        _rows(j, "FACT_COUNT_MISMATCH", F.col("relation_count") != F.coalesce("_f", F.lit(0)), "projection_id"),
-    ])
+    of = lambda df, c, n: df.groupBy("generation_id").agg(F.countDistinct(c).alias(n))
+    j = projections.join(documents.select("document_id", "active_revision_id"), "document_id", "left")
+    j = j.join(of(entities_of, "entity_key", "_e"), "generation_id", "left").join(of(facts, "key", "_f"), "generation_id", "left")
+    return _coded(j, {
+        "PROJECTION_NOT_READY": F.col("status") != "READY",
+        "ACTIVE_REVISION_MISMATCH": ~F.col("revision_id").eqNullSafe(F.col("active_revision_id")),
+        "NAMESPACE_MISMATCH": F.col("namespace") != namespace,
+        "ENTITY_COUNT_MISMATCH": F.col("entity_count") != F.coalesce("_e", F.lit(0)),
+        "FACT_COUNT_MISMATCH": F.col("relation_count") != F.coalesce("_f", F.lit(0)),
+    }, "projection_id")
 
 
 def rebuilt(expected: DataFrame, stored: DataFrame, exclusions: DataFrame) -> DataFrame:

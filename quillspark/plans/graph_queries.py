@@ -228,25 +228,32 @@ _FAULTS = {
     "FACT_EVIDENCE_SCOPE_MISMATCH": "k % 29 <> 0 AND k % 23 <> 0 AND k % 89 = 0",
     "FACT_KEY_MISMATCH": "k % 29 <> 0 AND k % 19 = 0",
     "DUPLICATE_FACT": "k % 17 = 0",
+    "ORPHAN_EVIDENCE": "k % 103 = 0 AND k % 97 <> 0 AND k % 101 <> 0",
+    "OTHER_GENERATION_EVIDENCE": "k % 101 = 0 AND NOT (k % 89 = 0 AND k % 100 = 99)",
 }
+#: The same of projections, one for each hundredth of the orders.
+_OF_PROJECTIONS = {"PROJECTION_NOT_READY": 13, "ACTIVE_REVISION_MISMATCH": 17, "NAMESPACE_MISMATCH": 19, "ENTITY_COUNT_MISMATCH": 23, "FACT_COUNT_MISMATCH": 29}
 #: Rows for each order, where some are twice: entities of every 47th, facts of every 17th.
 _TWICE = dict.fromkeys(("ENTITY_SCOPE_MISMATCH", "MENTION_WITHOUT_EVIDENCE"), "1 + CAST(k % 47 = 0 AS INTEGER)") | dict.fromkeys(("INVALID_RELATION_ENDPOINT", "ORPHAN_OR_AMBIGUOUS_FACT_ENDPOINT", "FACT_ENTITY_SCOPE_MISMATCH", "FACT_EVIDENCE_CARDINALITY", "FACT_WITHOUT_EVIDENCE", "FACT_EVIDENCE_SCOPE_MISMATCH", "FACT_KEY_MISMATCH"), "1 + CAST(k % 17 = 0 AS INTEGER)")
 _AUDIT = " UNION ALL ".join(f"SELECT '{c}' AS code, CAST(sum({_TWICE.get(c, '1')}) AS BIGINT) AS issues FROM o WHERE {w} HAVING count(*) > 0" for c, w in _FAULTS.items())
+_AUDIT += "".join(f" UNION ALL SELECT '{c}', count(*) FROM (SELECT DISTINCT k % 100 AS g FROM o) WHERE g % {n} = 0 HAVING count(*) > 0" for c, n in _OF_PROJECTIONS.items())
 
 
 @query(f"WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) {_AUDIT}")
 def graph_audit_full(spark, sf):
-    """A graph with a fact of two entities for each order, and every fault at its own interval."""
+    """A graph with a fact of two entities for each order, and each of the 27 faults at its own interval."""
     k = F.col("k")
     every = lambda n: k % n == 0
     o = x.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).distinct()
     place = [F.lit("ns").alias("namespace"), F.lit(1).alias("tenant_id"), (k % 3).alias("kb_id")]
     content = F.format_string("Step %d needs Form %d", k, k)
-    rest = [F.lit(1).alias("revision_id"), (k % 100).alias("generation_id"), k.alias("chunk_index")]
+    generation = F.when(every(101), 1000).otherwise(k % 100)
+    rest = [F.lit(1).alias("revision_id"), generation.alias("generation_id"), k.alias("chunk_index")]
     chunks = o.where("k % 97 <> 0").select(k.alias("chunk_id"), *place, (k % 100).alias("document_id"), *rest, content.alias("content"), F.sha2(content, 256).alias("content_sha256"), F.lit("r").alias("source_refs"))
     document = (k % 100 + F.when(every(89), 1).otherwise(0))
-    key = F.when(every(71), F.concat(F.lit("bad"), k)).otherwise(audit.stable_key(F.lit("ns"), F.lit(1), k % 100, k, F.lit(0), content))
+    key = F.when(every(71), F.concat(F.lit("bad"), k)).otherwise(audit.stable_key(F.lit("ns"), F.lit(1), generation, k, F.lit(0), content))
     evidence = o.select(key.alias("key"), k.alias("chunk_id"), *place, document.alias("document_id"), *rest, F.when(every(83), "x").otherwise(F.sha2(content, 256)).alias("content_sha256"), content.alias("quote"), F.lit(0).alias("quote_start"), (F.char_length(content) - F.when(every(79), 1).otherwise(0)).alias("quote_end"), F.when(every(73), "z").otherwise("r").alias("source_refs"))
+    unused = o.where("k % 103 = 0 and k % 97 <> 0 and k % 101 <> 0").select(audit.stable_key(F.lit("ns"), F.lit(1), generation, k, F.lit(0), F.lit("Step")).alias("key"), k.alias("chunk_id"), *place, (k % 100).alias("document_id"), *rest, F.sha2(content, 256).alias("content_sha256"), F.lit("Step").alias("quote"), F.lit(0).alias("quote_start"), F.lit(4).alias("quote_end"), F.lit("r").alias("source_refs"))
     step, form = F.format_string("Step %d", k), F.format_string("Form %d", k)
     step_key = F.when(every(43), F.concat(F.lit("wrong"), k)).otherwise(audit.stable_key(F.lit("ns"), F.lit(1), k % 3, F.lit("Step"), F.lower(step), document))
     kb = k % 3 + F.when(every(61), 1).otherwise(0)
@@ -259,11 +266,17 @@ def graph_audit_full(spark, sf):
     keys = F.when(every(29), F.array().cast("array<string>")).when(every(23), F.array(F.lit("none"))).otherwise(F.array(key))
     predicate = F.when(every(41), "HAS_FIELD").otherwise("REQUIRES_MATERIAL")
     target = F.when(every(37), "nobody").otherwise(form_key)
-    own = audit.stable_key(keys[0], step_key, predicate, target, F.lit(""))
-    facts = o.select(F.when(every(19), F.concat(F.lit("f"), k)).otherwise(own).alias("key"), predicate.alias("predicate"), step_key.alias("subject_key"), target.alias("object_key"), F.lit("").alias("condition_text"), *place, (k % 100).alias("document_id"), (k % 100).alias("generation_id"), keys.alias("evidence_keys"), k)
+    own = audit.stable_key(F.get(keys, 0), step_key, predicate, target, F.lit(""))
+    facts = o.select(F.when(every(19), F.concat(F.lit("f"), k)).otherwise(own).alias("key"), predicate.alias("predicate"), step_key.alias("subject_key"), target.alias("object_key"), F.lit("").alias("condition_text"), *place, (k % 100).alias("document_id"), generation.alias("generation_id"), keys.alias("evidence_keys"), k)
     facts, entities = facts.unionByName(facts.where("k % 17 = 0")), a.unionByName(b).unionByName(lost).unionByName(twice)
-    found = audit.evidence_problems(evidence, chunks).unionByName(audit.entity_problems(entities, mentions, evidence, facts)).unionByName(audit.fact_problems(facts, entities, evidence, graph.endpoints(spark)))
-    return audit.counted(found.unionByName(audit.orphan_evidence(evidence, mentions, facts)))
+    evidence = evidence.unionByName(unused)
+    g, plus = F.col("document_id"), lambda n: F.when(F.col("document_id") % n == 0, 1).otherwise(0)
+    told = o.groupBy((k % 100).alias("document_id")).agg(F.count_if(~every(101)).alias("n"))
+    projections = told.select(g.alias("projection_id"), g, (1 + plus(17)).alias("revision_id"), g.alias("generation_id"), F.when(g % 19 == 0, "other").otherwise("ns").alias("namespace"), F.when(g % 13 == 0, "STALE").otherwise("READY").alias("status"), (2 * F.col("n") + plus(23)).alias("entity_count"), (F.col("n") + plus(29)).alias("relation_count"))
+    documents = told.select("document_id", F.lit(1).alias("active_revision_id"))
+    entities_of = o.select(generation.alias("generation_id"), F.explode(F.array(step_key, form_key)).alias("entity_key"))
+    found = [audit.evidence_problems(evidence, chunks, mentions, facts, projections, documents), audit.entity_problems(entities, mentions, evidence, facts), audit.fact_problems(facts, entities, evidence, graph.endpoints(spark)), audit.projection_problems(projections, documents, "ns", entities_of, facts)]
+    return audit.counted(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]))
 
 
 @query("WITH e AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), c AS (SELECT 'RAW_PROJECTION_FACT_MISMATCH' AS code, count(*) AS issues FROM e WHERE k % 7 <> 0 AND k % 10 = 0 UNION ALL SELECT 'RAW_PROJECTION_ENTITY_MISMATCH', count(*) FROM e WHERE k % 11 = 0 UNION ALL SELECT 'FACT_EXCLUSION_KEY_INVALID', 2) SELECT * FROM c WHERE issues > 0")
