@@ -109,3 +109,49 @@ def _grant_tables(spark, sf):
     changes = x.table(spark, sf, "customer").select((1 + k % 2).cast("int").alias("tenant_id"), (k * 7 % 20).cast("int").alias("kb_id"), k.alias("seq"), who.alias("subject"), permission.alias("permission"))
     bases = changes.select("tenant_id", "kb_id").distinct().withColumn("acl_version", F.lit(1).cast("long"))
     return bases, grants, changes, users.unionByName(departments)
+
+
+@query("WITH b AS (SELECT user_id, ts, coalesce(epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 >= 1800000, true) AS first FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(first::INT) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM b) SELECT user_id, epoch_us(min(ts)) // 1000 AS started, epoch_us(max(ts)) // 1000 AS ended, count(*) AS beats FROM g GROUP BY user_id, run")
+def lease_runs(spark, sf):
+    """Q7: users' events as beats of leases of half an hour; the stream of streaming/events.py gives the same rows."""
+    from ..streaming.events import lease_runs
+
+    ms = lambda c: F.unix_millis(c).alias(c)
+    return lease_runs(x.table(spark, sf, "events").select("user_id", "ts"), 1800).select("user_id", ms("started"), ms("ended"), "beats")
+
+
+_CHUNKS_ASKED = r"""w AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents),
+s AS (SELECT chunk_id, t, w[1] AS a, w[2] AS b, len(w) AS n, chunk_id % 7 AS k, chunk_id % 11 AS f FROM w),
+r AS (SELECT *, unnest([1, 2, 3]) AS attempt FROM s),
+o AS (SELECT *, CASE WHEN k = 1 AND attempt = 1 THEN 'OUTPUT_TRUNCATED' WHEN k = 2 AND attempt < 3 OR n < 2 THEN 'OUTPUT_EMPTY' WHEN k = 3 AND attempt = 1 OR k = 4 THEN 'EVIDENCE_INVALID' WHEN k = 5 AND attempt = 1 THEN 'OUTPUT_EMPTY' WHEN k = 6 AND attempt = 1 THEN 'EVIDENCE_INVALID' WHEN k = 6 THEN 'OUTPUT_EMPTY_AFTER_INVALID' END AS code FROM r),
+g AS (SELECT chunk_id, a, b, k, f, n, coalesce(min(attempt) FILTER (code IS NULL), 3) AS attempts, count(*) FILTER (code IS NULL) > 0 AS done, max_by(code, attempt) AS last FROM o GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CHUNKS_ASKED} SELECT chunk_id, CASE WHEN f = 0 THEN 'FENCED' WHEN done THEN 'DONE' WHEN k = 4 AND n >= 2 THEN 'SALVAGED' ELSE 'FAILED' END AS outcome, CAST(attempts AS INTEGER) AS attempts, CASE WHEN NOT done THEN last END AS code,
+CASE WHEN f <> 0 AND done AND k <> 5 THEN a || '>' || b WHEN f <> 0 AND done THEN '' WHEN f <> 0 AND k = 4 AND n >= 2 THEN a || '>' || b END AS facts FROM g""")
+def extraction_rounds(spark, sf):
+    """An extractor that links a text's first two words and errs by doc_id: it is cut off, silent, makes a name up once or
+    always, finds nothing after silence or after an error; leases of every eleventh chunk went to another worker."""
+    from ..operators import extraction
+
+    name = "first_two_words"
+    if name not in extraction._EXTRACTORS:
+        extraction.register_extractor(name, _first_two_words)
+    d = x.table(spark, sf, "documents")
+    work = d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(1).alias("epoch"))
+    leases = d.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1).alias("epoch"))
+    holds = lambda p: F.contains(F.col("content"), p["a"]) & F.contains(F.col("content"), p["b"])
+    issue = F.when(F.exists("facts", lambda p: ~holds(p)), "EVIDENCE_INVALID")
+    out = extraction.extract(work, name, issue, F.filter("facts", holds), leases)
+    return out.select("chunk_id", "outcome", "attempts", "code", F.array_join(F.transform("facts", lambda p: F.concat(p["a"], F.lit(">"), p["b"])), ",").alias("facts"))
+
+
+def _first_two_words(asked):
+    k, attempt = F.col("chunk_id") % 7, F.col("attempt")
+    w = F.regexp_extract_all("content", F.lit("[A-Za-z]+"), 0)
+    fact = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    true, made_up = fact(F.get(w, 0), F.get(w, 1)), fact(F.get(w, 0), F.lit("@none@"))
+    none = F.array().cast("array<struct<a: string, b: string>>")
+    facts = F.when((k == 3) & (attempt == 1) | (k == 6) & (attempt == 1), F.array(made_up)).when(k == 4, F.array(made_up, true)).when((k == 5) | (k == 6), none).otherwise(F.array(true))
+    silent = (F.size(w) < 2) | (k == 2) & (attempt < 3) | (k == 5) & (attempt == 1)
+    return asked.select("chunk_id", F.when(silent, "").otherwise("{}").alias("output"), (~((k == 1) & (attempt == 1))).alias("finished"), facts.alias("facts"))
