@@ -25,7 +25,7 @@ from .words import words as word_arrays
 
 WINDOW, END_ID = 4096, 2
 #: Words whose ids a worker keeps, and bytes of text that it looks up at once.
-KEPT_WORDS, AT_ONCE = 1_500_000, 1 << 19
+KEPT_WORDS, AT_ONCE = 500_000, 1 << 19
 # What the tokenizer's own pre-tokenizer makes its units.
 UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only have one lower-case and one composed form in all libraries.

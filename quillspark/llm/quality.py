@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import cut, drop, shuffle_partitions
 from .minhash import shingle_sets
-from .words import SPACE, mix64, words
+from .words import SPACE, groups_of, mix64, words
 
 #: Documents that train the scorer and labelled rows that teach toxic words, at most.
 SAMPLE, LABELLED = 6000, 20_000
@@ -299,9 +299,9 @@ class _Measures:
         self.model, self.table = model, _table(model.toxic, model.weights)
         self.learnt = bool(model.weights.any())
 
-    def groups(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    def groups(self, texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """(texts, measures, words, toxic words) of groups of texts; what the model has nothing for is no number."""
-        for group in _groups([t or "" for t in texts]):
+        for group in groups_of(texts, AT_ONCE):
             values, n = form(group)
             score, found, listed = toxicity(self.table, group, self.model.listed)
             none = np.full(len(group), np.nan)
@@ -314,7 +314,7 @@ def _count_patterns(model: Model):
         counts: dict[str, int] = {}
         measures = _Measures(model)
         for b in batches:
-            for _, values, n, _ in measures.groups(b.column(0).to_pylist()):
+            for _, values, n, _ in measures.groups(b.column(0)):
                 for k in votes(values[n > 0], n[n > 0]):
                     counts[k] = counts.get(k, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
@@ -326,7 +326,7 @@ def _training_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = _Measures(model)
         for b in batches:
-            for group, values, n, _ in measures.groups(b.column(0).to_pylist()):
+            for group, values, n, _ in measures.groups(b.column(0)):
                 x = np.zeros((len(group), TRIGRAMS + len(MEASURES) * _WIDE), np.float32)
                 of, h = _trigrams(group)
                 x[:, :TRIGRAMS] = np.bincount(of * TRIGRAMS + h, minlength=len(group) * TRIGRAMS).reshape(-1, TRIGRAMS) / np.maximum(1, np.bincount(of, minlength=len(group)))[:, None]
@@ -503,7 +503,7 @@ def _score(model: Model, text_at: int):
         measures = _Measures(model)
         for b in batches:
             new: list[list] = [[] for _ in NEW]
-            for group, values, n, found in measures.groups(b.column(text_at).to_pylist()):
+            for group, values, n, found in measures.groups(b.column(text_at)):
                 of, h = _trigrams(group)
                 each = np.maximum(1, np.bincount(of, minlength=len(group)))
                 z = np.stack([np.bincount(of, model.trigrams[h, c], len(group)) / each for c in range(len(CLASSES))], 1)
