@@ -1,5 +1,4 @@
-"""Queries of graph retrieval, publication, answers and JSON, registered beside those of queries.py. Where a rule reads language,
-rows take their sentence from a list with the verdict that the rule must come to, and the oracle knows the verdicts alone."""
+"""Queries of graph retrieval, publication, answers and JSON, registered beside those of queries.py."""
 
 from __future__ import annotations
 
@@ -11,59 +10,6 @@ from . import adapters as x
 from .adapters import NOW, R
 from .queries import query
 
-# Text of the chunk, quote, subject, object, their types, predicate, condition, issues.
-EVIDENCE = (
-    ("采购员负责审核预算。", "采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "", ()),
-    ("别的内容。", "采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "", ("QUOTE_NOT_IN_CHUNK",)),
-    ("采购员负责审核预算。", "采购员负责审核预算", "采购员", "付款", "Actor", "Step", "RESPONSIBLE_FOR", "", ("NAME_NOT_IN_QUOTE",)),
-    ("采购员负责审核预算。", "采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "若超额", ("CONDITION_NOT_IN_QUOTE",)),
-    ("开头。如果超额，采购员负责审核预算。", "采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "", ("CONDITION_LEFT_OUT",)),
-    ("开头。如果超额，采购员负责审核预算。", "如果超额，采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "如果超额", ()),
-    ("预算表金额", "预算表金额", "预算表", "金额", "Material", "Field", "HAS_FIELD", "", ("FIELD_WITHOUT_EVIDENCE",)),
-    ("预算表包含金额", "预算表包含金额", "预算表", "金额", "Material", "Field", "HAS_FIELD", "", ()),
-    ("通知采购员领料", "通知采购员领料", "采购员", "通知采购员领料", "Actor", "Step", "CONFIRMS", "", ("ACTOR_IS_OBJECT",)),
-    ("通知由采购员领料", "通知由采购员领料", "采购员", "通知由采购员领料", "Actor", "Step", "CONFIRMS", "", ()),
-    ("前句，采购员不得审核预算", "采购员不得审核预算", "采购员", "审核预算", "Actor", "Step", "REVIEWS", "", ("NEGATED_ACTION",)),
-    ("预算不得超支", "预算不得超支", "预算", "超支", "Material", "Rule", "GOVERNED_BY", "", ()),
-)
-#: The same columns, and whether the relation may be a hop.
-STRICT = (
-    ("采购员负责审核预算。", "采购员负责审核预算", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "", True),
-    ("审核预算由采购员负责", "审核预算由采购员负责", "采购员", "审核预算", "Actor", "Step", "RESPONSIBLE_FOR", "", False),
-    ("领料不需要提交申请表", "领料不需要提交申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "", False),
-    ("前句。领料需要提交申请表", "领料需要提交申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "", True),
-    ("如果超额，领料需要提交申请表。", "如果超额，领料需要提交申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "如果超额", True),
-    ("如果超额，领料需要提交申请表。", "如果超额，领料需要提交申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "超额", False),
-    ("除非停工，月末，盘点后，领料需要提交申请表。", "除非停工，月末，盘点后，领料需要提交申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "除非停工，月末，盘点后", True),
-    ("领料和申请表", "领料和申请表", "领料", "申请表", "Step", "Material", "REQUIRES_MATERIAL", "", False),
-    ("经理审核预算", "经理审核预算", "经理", "审核预算", "Actor", "Step", "REVIEWS", "", True),
-)
-_COLUMNS = "content string, quote string, subject_name string, object_name string, subject_type string, object_type string, predicate string, condition_text string"
-
-
-def _sentences(spark, sf, rows):
-    told = spark.createDataFrame([(i, *r[:8]) for i, r in enumerate(rows)], f"n int, {_COLUMNS}")
-    return x.table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).cast("int").alias("n")).join(told, "n")
-
-
-_ISSUES = ", ".join(f"({i}, '{c}')" for i, r in enumerate(EVIDENCE) for c in r[8])
-
-
-@query(f"SELECT p_partkey, issue FROM part JOIN (VALUES {_ISSUES}) v(n, issue) ON p_partkey % {len(EVIDENCE)} = n")
-def evidence_validator(spark, sf):
-    """G5."""
-    return _sentences(spark, sf, EVIDENCE).select("p_partkey", F.explode(relations.evidence_issues()).alias("issue"))
-
-
-_FITS = ", ".join(f"({i}, {str(r[8]).lower()})" for i, r in enumerate(STRICT))
-
-
-@query(f"SELECT p_partkey, fits FROM part JOIN (VALUES {_FITS}) v(n, fits) ON p_partkey % {len(STRICT)} = n")
-def strict_path_relations(spark, sf):
-    """G16."""
-    rows = _sentences(spark, sf, STRICT).withColumn("quote_start", relations.at(F.col("content"), F.col("quote")))
-    return rows.select("p_partkey", relations.strict_path_relation().alias("fits"))
-
 
 @query("SELECT doc_id, doc_id % 3 <> 1 AND doc_id % 5 <> 2 AND length(text) >= 8 AS holds FROM documents")
 def quote_hash(spark, sf):
@@ -97,23 +43,14 @@ def valid_relations(spark, sf):
     return relations.valid_relations(rows, scope, seeds, graph.endpoints(spark)).groupBy("order", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '付款流程,采购流程' WHEN 1 THEN '' WHEN 2 THEN '预算' ELSE '盘点流程' END AS contexts FROM part")
-def context_extraction(spark, sf):
-    """G19."""
-    quotes = F.array(*[F.lit(q) for q in ("采购流程中的申请表。预算内的其他；申请表仅用于付款流程。", "采购流程。预算的其他；用于付款流程", "预算的申请表\n采购流程中没有", "旧申请表，申请表用于盘点流程")])
-    names = F.array(F.lit("采购流程"), F.lit("预算"))
-    q = F.element_at(quotes, (F.col("p_partkey") % 4 + 1).cast("int"))
-    return x.table(spark, sf, "part").select("p_partkey", F.array_join(identity.explicit_contexts(names, F.lit("申请表"), q), ",").alias("contexts"))
-
-
-_MENTIONS = """men AS (SELECT p_partkey AS k, p_partkey % 5 AS kb, lower(p_name) AS n, CASE WHEN p_size % 4 <> 0 THEN 'c' || (p_size % 3) END AS c, p_partkey % 7 = 0 AS titled, p_partkey % 11 = 0 AS denied FROM part WHERE p_partkey % 3 = 0)"""
+_MENTIONS = """men AS (SELECT p_partkey AS k, p_partkey % 5 AS kb, lower(p_name) AS n, CASE WHEN p_size % 4 <> 0 THEN 'c' || (p_size % 3) END AS c, p_partkey % 7 = 0 AS titled, p_partkey % 11 = 0 AS denied FROM part)"""
 
 
 @query(f"WITH {_MENTIONS} SELECT a.k AS source_uid, b.k AS target_uid, CASE WHEN a.c = b.c THEN 'shared_context' ELSE 'explicit_document' END AS basis, a.n AS canonical_name FROM men a JOIN men b ON a.kb = b.kb AND a.n = b.n AND a.k <> b.k WHERE NOT a.denied AND NOT b.denied AND (a.c = b.c OR ((a.c IS NULL OR b.c IS NULL) AND (a.titled OR b.titled)))")
 def identity_bridges(spark, sf):
-    """Materials with one name; a third of the parts is a mention."""
+    """Materials with one name."""
     k, name = F.col("p_partkey"), F.lower("p_name")
-    rows = x.table(spark, sf, "part").where("p_partkey % 3 = 0").select(
+    rows = x.table(spark, sf, "part").select(
         F.lit(1).alias("tenant_id"), (k % 5).alias("kb_id"), k.alias("uid"), F.lit("Material").alias("type"), F.col("p_name").alias("name"), F.array(name).alias("names"),
         F.when(F.col("p_size") % 4 != 0, F.array(F.concat(F.lit("c"), F.col("p_size") % 3))).otherwise(F.array().cast("array<string>")).alias("contexts"), k.alias("document_id"),
         F.when(k % 11 == 0, F.concat(F.lit("first; "), name, F.lit("不是同一材料"))).otherwise(F.concat(name, F.lit(" 一般"))).alias("content"), F.when(k % 7 == 0, name).otherwise(F.concat(F.lit("doc "), k)).alias("document_title"), F.lit("file.pdf").alias("document_name"),
@@ -412,57 +349,6 @@ def failure_class(spark, sf):
 
 # --- answers
 
-# Questions and how many they are with their facets.
-QUESTIONS = (("预算和决算分别由谁审核", 3), ("预算、决算以及结算各自的期限", 4), ("预算由谁审核", 1), ("如果超额和延期分别怎么办", 1), ("甲和乙、丙与丁分别是谁", 1), ("预算和预算分别由谁审核", 2))
-#: Questions, and whether they refer to an earlier turn.
-TURNS = (("它由谁审核", True), ("这个月的预算", False), ("这个预算", True), ("预算由谁审核", False), ("详细点。", True), ("请详细点说明预算", False), ("what about those", True), ("Tell me more!", True), ("the italic style", False))
-
-
-def _picked(rows, key):
-    return F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col(key) % len(rows) + 1).cast("int"))
-
-
-_FACETS = ", ".join(f"({i}, '{q}', {n})" for i, (q, n) in enumerate(QUESTIONS))
-
-
-@query(f"SELECT p_partkey, q || '？' AS question, n AS facets FROM part JOIN (VALUES {_FACETS}) v(i, q, n) ON p_partkey % {len(QUESTIONS)} = i")
-def facet_split(spark, sf):
-    """R2."""
-    q = _picked(QUESTIONS, "p_partkey")
-    return x.table(spark, sf, "part").select("p_partkey", F.concat(q, F.lit("？")).alias("question"), F.size(answers.facets(q)).alias("facets"))
-
-
-_TURNS = ", ".join(f"({i}, {str(b).lower()})" for i, (_, b) in enumerate(TURNS))
-
-
-@query(f"SELECT p_partkey, refers FROM part JOIN (VALUES {_TURNS}) v(i, refers) ON p_partkey % {len(TURNS)} = i")
-def history_references(spark, sf):
-    """D27."""
-    return x.table(spark, sf, "part").select("p_partkey", answers.depends_on_history(_picked(TURNS, "p_partkey")).alias("refers"))
-
-
-# Query, question, history, terms, replacements, issues.
-REWRITES = (
-    ("它由谁审核", "预算由谁审核", ("预算是多少",), (("预算", "预算是", 0),), ((0, 1, 0),), ()),
-    ("它由谁审核", "预算由谁审核", ("旧", "预算是多少"), (("预算", "预算是", 0),), ((0, 1, 0),), ("TERM_WITHOUT_QUOTE", "OLDER_TURN")),
-    ("它由谁审核", "决算由谁审核", ("预算是多少",), (("决算", "预算是", 0),), ((0, 1, 0),), ("TERM_WITHOUT_QUOTE",)),
-    ("它由谁审核", "预算由经理审核", ("预算是多少",), (("预算", "预算是", 0),), ((0, 1, 0),), ("NOT_THE_REPLACEMENT",)),
-    ("甲由谁审核", "预算由谁审核", ("预算是多少",), (("预算", "预算是", 0),), ((0, 1, 0),), ("NOT_A_REFERENCE",)),
-    ("它和它由谁审核", "预算和它由谁审核", ("预算是多少",), (("预算", "预算是", 0),), ((0, 1, 0),), ("STILL_REFERS",)),
-    ("它由谁审核", "它由谁审核", ("预算是多少",), (), (), ("NOTHING_REPLACED", "NOT_THE_REPLACEMENT", "STILL_REFERS")),
-    ("那个月由谁审核", "预算月由谁审核", ("预算是多少",), (("预算", "预算是", 0),), ((0, 2, 0),), ("A_DATE",)),
-)
-_REWRITES = ", ".join(f"({i}, '{c}')" for i, r in enumerate(REWRITES) for c in r[5])
-
-
-@query(f"SELECT p_partkey AS id, issue FROM part JOIN (VALUES {_REWRITES}) v(i, issue) ON p_partkey % {len(REWRITES)} = i")
-def rewrite_check(spark, sf):
-    """D27."""
-    told = spark.createDataFrame([(i, q, n, list(h), list(t), list(r)) for i, (q, n, h, t, r, _) in enumerate(REWRITES)], "i int, query string, question string, history array<string>, terms array<struct<text:string,quote:string,history_index:int>>, replacements array<struct<start:int,end:int,term_index:int>>")
-    rows = x.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(REWRITES)).cast("int").alias("i")).join(told, "i")
-    return answers.rewrite_issues(rows)
-
-
 @query("SELECT item_id, sha256('文档标题：T' || item_id || chr(10) || '文件名：f.pdf' || chr(10) || '章节：' || CASE WHEN item_id % 2 = 0 THEN 'S' ELSE '' END || chr(10) || '原文：' || chr(10) || text) AS digest FROM benchmark")
 def rerank_texts(spark, sf):
     """R5."""

@@ -781,4 +781,4 @@ def union_views(spark, sf):
     return catalog.union_all(d, c).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import graph_queries, relation_queries  # noqa: E402, F401  register more
+from . import graph_queries, language_queries, relation_queries  # noqa: E402, F401  register more
