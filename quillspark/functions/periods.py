@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZONE = timezone(timedelta(hours=8))
@@ -51,6 +51,65 @@ def date_bounds(operator: str, text: str, now: datetime) -> tuple[datetime | Non
     return bounds[operator]
 
 
+# What stands between the ends of a range, and an instant with its zone.
+BETWEEN_DATES = r"\s*(?:至|到|~|～|\s+-\s+)\s*"
+INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
+_CALENDAR = r"^(\d{4})(?:年|[-/])?(?:(\d{1,2})(?:月|[-/])?)?(?:(\d{1,2})日?)?$"
+
+
+def _with_period(rows: DataFrame, name: str, text: Column, now: str) -> DataFrame:
+    """P6 as a column `name`: struct of start and end (UTC, half-open), nulls for what is no period. now: a column of UTC times."""
+    number = lambda i: F.try_to_number(F.nullif(F.regexp_extract("_t", _CALENDAR, i), F.lit("")), F.lit("9999")).cast("int")
+    r = rows.withColumn("_t", F.trim(text)).withColumns({"_y": number(1), "_m": number(2), "_d": number(3), "_unit": F.try_element_at(F.create_map(*[F.lit(x) for w, v in WORDS.items() for x in (w, v[0])]), F.col("_t")), "_n": F.try_element_at(F.create_map(*[F.lit(x) for w, v in WORDS.items() for x in (w, F.lit(v[1]))]), F.col("_t"))})
+    unit = F.coalesce("_unit", F.when(F.col("_d").isNotNull(), "day").when(F.col("_m").isNotNull(), "month").otherwise("year"))
+    dated = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", "_y", F.coalesce("_m", F.lit(1)), F.coalesce("_d", F.lit(1)))).cast("date")
+    today = F.call_function("date_trunc", F.col("_unit"), F.col(now) + F.expr("INTERVAL 8 HOURS")).cast("date")
+    r = r.withColumns({"_unit": unit, "_n": F.coalesce("_n", F.lit(0)), "_day": F.when(F.col("_unit").isNotNull(), today).when(F.col("_y").isNotNull(), dated)})
+    months = F.when(F.col("_unit") == "year", 12).when(F.col("_unit") == "month", 1).otherwise(0)
+    days = F.when(F.col("_unit") == "week", 7).when(F.col("_unit") == "day", 1).otherwise(0)
+    at = lambda n: F.date_add(F.add_months("_day", n * months), n * days).cast("timestamp") - F.expr("INTERVAL 8 HOURS")
+    return r.withColumn(name, F.struct(at(F.col("_n")).alias("start"), at(F.col("_n") + 1).alias("end"))).drop("_t", "_y", "_m", "_d", "_unit", "_n", "_day")
+
+
+def with_periods(rows: DataFrame, text: str, now: str) -> DataFrame:
+    """Rows with `start` and `end` of the period that text names, nulls where it names none."""
+    return _with_period(rows, "_p", F.col(text), now).select(*rows.columns, F.col("_p.start").alias("start"), F.col("_p.end").alias("end"))
+
+
+def date_conditions(rows: DataFrame, now: str) -> DataFrame:
+    """Rows (operator, value, instants, ...; now: a column of UTC times) with op (range, gte, gt, lt, lte, eq, neq), lower and
+    upper (UTC times; which of them counts follows from op, both for a range, half-open) and code, which names what is wrong with
+    the condition, the rest then being null.
+
+    A value with a T is an instant where instants are allowed (a time of uploading, not a day of an event) and compares as it
+    is; it needs a zone. Else the value is a period, or in a range one or two of them with a sign between."""
+    r = rows.withColumn("_parts", F.split("value", BETWEEN_DATES))
+    range_ = F.col("operator") == "range"
+    r = _with_period(r, "_one", F.when(range_, F.get("_parts", 0)).otherwise(F.col("value")), now)
+    r = _with_period(r, "_two", F.coalesce(F.get("_parts", 1), F.lit("")), now)
+    r = r.withColumns({
+        "_start": F.col("_one.start"), "_end": F.when(range_ & (F.size("_parts") == 2), F.col("_two.end")).otherwise(F.col("_one.end")),
+        "_instant": F.col("instants") & F.contains("value", F.lit("T")) & ~range_, "_at": F.when(F.col("value").rlike(INSTANT), F.try_to_timestamp("value")),
+    })
+    instant, operator = F.col("_instant"), F.col("operator")
+    code = (
+        F.when(~operator.isin("eq", "neq", "gt", "gte", "lt", "lte", "range"), "OPERATOR_INVALID")
+        .when(instant & F.col("_at").isNull(), "INSTANT_INVALID")
+        .when(instant & (F.regexp_extract("value", INSTANT, 1) == ""), "ZONE_MISSING")
+        .when(instant, F.lit(None).cast("string"))
+        .when(range_ & (F.size("_parts") > 2), "RANGE_INVALID")
+        .when(F.col("_start").isNull() | F.col("_end").isNull(), "PERIOD_INVALID")
+        .when(range_ & (F.col("_start") >= F.col("_end")), "RANGE_EMPTY")
+        .when(operator == "neq", "NOT_EQUAL_UNSUPPORTED")
+    )
+    # a period ends before its end: up to it is before that, after it is from there on
+    op = F.when(instant, operator).when(operator.isin("eq", "range"), "range").when(operator == "gt", "gte").when(operator == "lte", "lt").otherwise(operator)
+    lower = F.when(instant, F.col("_at")).when(operator == "gt", F.col("_end")).when(operator.isin("eq", "range", "gte"), F.col("_start"))
+    upper = F.when(instant, F.col("_at")).when(operator == "lt", F.col("_start")).when(operator.isin("eq", "range", "lte"), F.col("_end"))
+    r = r.withColumn("code", code)
+    return r.select(*rows.columns, *[F.when(F.col("code").isNull(), c).alias(n) for n, c in (("op", op), ("lower", lower), ("upper", upper))], "code")
+
+
 def local_day(ts: Column) -> Column:
     """The business day of a UTC time."""
     return F.to_date(ts + F.expr("INTERVAL 8 HOURS"))

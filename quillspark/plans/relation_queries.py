@@ -155,3 +155,38 @@ def _first_two_words(asked):
     facts = F.when((k == 3) & (attempt == 1) | (k == 6) & (attempt == 1), F.array(made_up)).when(k == 4, F.array(made_up, true)).when((k == 5) | (k == 6), none).otherwise(F.array(true))
     silent = (F.size(w) < 2) | (k == 2) & (attempt < 3) | (k == 5) & (attempt == 1)
     return asked.select("chunk_id", F.when(silent, "").otherwise("{}").alias("output"), (~((k == 1) & (attempt == 1))).alias("finished"), facts.alias("facts"))
+
+
+_DATED = """k AS (SELECT o_orderkey AS k, o_orderdate AS d, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders),
+v AS (SELECT k, d, ['eq', 'gt', 'gte', 'lt', 'lte', 'range', 'neq', 'contains'][k // 13 % 8 + 1] AS op, CASE k % 13 WHEN 0 THEN s[:4] WHEN 1 THEN s[:4] || '年' || CAST(CAST(s[6:7] AS INTEGER) AS VARCHAR) || '月' WHEN 2 THEN ' ' || s || ' ' WHEN 3 THEN s[:4] || '/' || s[6:7] WHEN 4 THEN s || 'T10:30:00+08:00' WHEN 5 THEN s || 'T10:30' WHEN 6 THEN s || ' 至 ' || s[:4]
+ WHEN 7 THEN s[:4] || '-13-01' WHEN 8 THEN 'soon' WHEN 9 THEN '上个月' WHEN 10 THEN s || '~' || s || '~' || s WHEN 11 THEN s || 'T25:00:00Z' ELSE s[:4] || '年 到 ' || s END AS value FROM k)"""
+
+
+def _sql_period(text: str) -> str:
+    """[start, end) of a period in local days, as two columns of a lateral join."""
+    t = f"trim({text})"
+    part = lambda i: f"try_cast(nullif(regexp_extract({t}, '^(\\d{{4}})(?:年|[-/])?(?:(\\d{{1,2}})(?:月|[-/])?)?(?:(\\d{{1,2}})日?)?$', {i}), '') AS INTEGER)"
+    first = f"try_cast(printf('%04d-%02d-%02d', {part(1)}, coalesce({part(2)}, 1), coalesce({part(3)}, 1)) AS DATE)"
+    length = f"CASE WHEN {part(3)} IS NOT NULL THEN INTERVAL 1 DAY WHEN {part(2)} IS NOT NULL THEN INTERVAL 1 MONTH ELSE INTERVAL 1 YEAR END"
+    start = f"CASE WHEN {t} = '上个月' THEN DATE '1999-12-01' WHEN {part(1)} IS NOT NULL THEN {first} END"
+    return f"struct_pack(a := CAST({start} AS TIMESTAMP), z := CASE WHEN {t} = '上个月' THEN TIMESTAMP '2000-01-01' WHEN {part(1)} IS NOT NULL THEN CAST({first} AS TIMESTAMP) + {length} END)"
+
+
+@query(rf"""WITH {_DATED}, p AS (SELECT *, regexp_split_to_array(value, '\s*(?:至|到|~|～|\s+-\s+)\s*') AS ps, k % 2 = 0 AND contains(value, 'T') AND op <> 'range' AS instant FROM v),
+b AS (SELECT *, {_sql_period("value")} AS w, {_sql_period("ps[1]")} AS x, {_sql_period("coalesce(ps[2], '')")} AS y, regexp_matches(value, '^\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}') AND NOT contains(value, 'T25') AS clock FROM p),
+e AS (SELECT *, CASE WHEN op = 'range' THEN x.a ELSE w.a END AS a, CASE WHEN op = 'range' AND len(ps) = 2 THEN y.z WHEN op = 'range' THEN x.z ELSE w.z END AS z FROM b),
+c AS (SELECT *, CASE WHEN op = 'contains' THEN 'OPERATOR_INVALID' WHEN instant AND NOT clock THEN 'INSTANT_INVALID' WHEN instant AND NOT contains(value, '+08:00') THEN 'ZONE_MISSING' WHEN instant THEN NULL WHEN op = 'range' AND len(ps) > 2 THEN 'RANGE_INVALID' WHEN a IS NULL OR z IS NULL THEN 'PERIOD_INVALID' WHEN op = 'range' AND a >= z THEN 'RANGE_EMPTY' WHEN op = 'neq' THEN 'NOT_EQUAL_UNSUPPORTED' END AS code FROM e),
+i AS (SELECT *, CASE WHEN instant THEN CAST(d AS TIMESTAMP) + INTERVAL 150 MINUTE END AS t FROM c)
+SELECT k AS o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN instant THEN op WHEN op IN ('eq', 'range') THEN 'range' WHEN op = 'gt' THEN 'gte' WHEN op = 'lte' THEN 'lt' ELSE op END AS op,
+ CASE WHEN code IS NULL THEN CASE WHEN instant THEN epoch(t) WHEN op = 'gt' THEN epoch(z) - 28800 WHEN op IN ('eq', 'range', 'gte') THEN epoch(a) - 28800 END END AS lower, CASE WHEN code IS NULL THEN CASE WHEN instant THEN epoch(t) WHEN op = 'lt' THEN epoch(a) - 28800 WHEN op IN ('eq', 'range', 'lte') THEN epoch(z) - 28800 END END AS upper, code FROM i""")
+def date_conditions(spark, sf):
+    """Conditions on an order's date in thirteen ways to write it and with each operator; every other may be an instant."""
+    from ..functions import periods
+
+    k, s = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    year, month, join = F.substring(s, 1, 4), F.substring(s, 6, 2), F.concat
+    operators = F.array(*[F.lit(o) for o in ("eq", "gt", "gte", "lt", "lte", "range", "neq", "contains")])
+    ways = [year, join(year, F.lit("年"), month.cast("int").cast("string"), F.lit("月")), join(F.lit(" "), s, F.lit(" ")), join(year, F.lit("/"), month), join(s, F.lit("T10:30:00+08:00")), join(s, F.lit("T10:30")), join(s, F.lit(" 至 "), year), join(year, F.lit("-13-01")), F.lit("soon"), F.lit("上个月"), join(s, F.lit("~"), s, F.lit("~"), s), join(s, F.lit("T25:00:00Z")), join(year, F.lit("年 到 "), s)]
+    o = x.table(spark, sf, "orders").select("o_orderkey", F.element_at(operators, (F.floor(k / 13) % 8 + 1).cast("int")).alias("operator"), F.element_at(F.array(*ways), (k % 13 + 1).cast("int")).alias("value"), (k % 2 == 0).alias("instants"), F.lit("2000-01-10 03:00:00").cast("timestamp").alias("now"))
+    at = lambda n: F.unix_timestamp(n).alias(n)
+    return periods.date_conditions(o, "now").select("o_orderkey", "op", at("lower"), at("upper"), "code")

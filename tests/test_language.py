@@ -75,3 +75,24 @@ def test_facets_and_references(spark):
 def test_rewrites(spark):
     rows = spark.createDataFrame([(i, q, n, list(h), list(t), list(r)) for i, (q, n, h, t, r, _) in enumerate(REWRITES)], "id int, query string, question string, history array<string>, terms array<struct<text:string,quote:string,history_index:int>>, replacements array<struct<start:int,end:int,term_index:int>>")
     assert sorted(map(tuple, answers.rewrite_issues(rows).collect())) == sorted((i, c) for i, r in enumerate(REWRITES) for c in r[5])
+
+
+def test_periods_as_columns(spark):
+    """As the driver's period() of one word has it, all words and ways of writing."""
+    from datetime import datetime, timezone
+
+    from quillspark.functions import periods
+    from quillspark.plans import router
+
+    now = datetime(2024, 3, 31, 18, 30, tzinfo=timezone.utc)
+    texts = [*periods.WORDS, "2024", "2024年", "2024-2", "2024年2月", "2024/02/29", "2023-02-29", "2024年12月31日", "20240229", "soon", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("now", F.lit("2024-03-31 18:30:00").cast("timestamp"))
+    got = {r.t: (r.a, r.z) for r in periods.with_periods(rows, "t", "now").select("t", F.unix_timestamp("start").alias("a"), F.unix_timestamp("end").alias("z")).collect()}
+    for t in texts:
+        try:
+            want = tuple(int(x.timestamp()) for x in periods.period(t, now))
+        except (ValueError, AttributeError):
+            want = None, None
+        assert got[t] == want, t
+    for q, op in (("当前知识库中有多少文档", "count"), ("统计文档数量", "count"), ("查看所有文档", "list"), ("知识库有几份资料", "count"), ("列出知识库里全部文件", "list"), ("文档在哪里", None)):
+        assert router.catalog_operation(q) == op
