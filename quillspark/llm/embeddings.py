@@ -9,6 +9,7 @@ double precision. The centroids and codes are fitted on a bounded sample; all ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,9 @@ from .graph import components
 #: how many of these at a time.
 SAMPLE, ROWS_A_BLOCK, QUERIES_A_BLOCK, AT_ONCE = 8192, 2048, 8192, 512
 SUBSPACES, CODES, ROWS_A_LIST, MOST_LISTS = 8, 64, 2000, 1024
+#: Lists that a smaller table has: a quarter of the root of its different vectors, up to so many. More would cost more than they
+#: spare, as each vector goes to all lists that it asks.
+FEW_LISTS = 16
 
 
 @dataclass
@@ -75,6 +79,11 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
+def coarse_lists(vectors: int, sample: int) -> int:
+    """How many lists an index of so many different vectors has."""
+    return max(1, min(MOST_LISTS, max(min(FEW_LISTS, math.isqrt(vectors) // 4), vectors // ROWS_A_LIST), sample // 8))
+
+
 def fit(sample: np.ndarray, lists: int) -> Model:
     """sample: unit vectors, in an order that does not depend on how rows were dealt."""
     rng, dim = np.random.default_rng(5), sample.shape[1]
@@ -190,7 +199,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
 
     Vectors that are null, empty or zero or hold a null or a number that is not finite, and rows without a label, link with
     nothing and are kept. Only vectors of one length link. Equal rows (same label and vector) are linked and are compared with
-    others once; a repeated id counts once for each row. Other columns are left out. Every row is indexed, every row asks.
+    others once; a repeated id counts once for each row. Vectors of any length are compared in full; no rows give none. Other columns are left out. Every row is indexed, every row asks.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.mapInArrow(_valid, "id long, label string, dim int, v binary").withColumn("digest", F.sha2("v", 256))
@@ -200,7 +209,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     distance = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     models: dict[int, Model] = {}
     sample = classes.orderBy(F.xxhash64("digest"), "id").select("dim", "v").limit(SAMPLE).collect()
-    lists = max(1, min(MOST_LISTS, classes.count() // ROWS_A_LIST, len(sample) // 8))
+    lists = coarse_lists(classes.count(), len(sample))
     for dim in {x.dim for x in sample}:
         models[dim] = fit(_units(_matrix(bytes(x.v) for x in sample if x.dim == dim)), lists)
     placed = classes.select("id", "label", "dim", "v", "n").mapInArrow(_place(models, distance), "id long, label string, dim int, v binary, n long, list int, code binary, error double, asks array<int>")
