@@ -95,6 +95,47 @@ def resolve_scope(readable: DataFrame, requested: DataFrame) -> DataFrame:
     return asked.agg(F.count(F.lit(1)).alias("requested"), F.count("_r").alias("readable"), F.count_if(F.col("_r").isNull()).alias("missing"))
 
 
+FORBIDDEN = "QUERY_SCOPE_FORBIDDEN"
+
+
+def resolve_scopes(requests: DataFrame, bases: DataFrame, documents: DataFrame, generations: DataFrame) -> DataFrame:
+    """(request_id, code, kb_ids, authorized, published, fingerprint) of each request (request_id, kb_ids, document_ids; no
+    ids or null for all).
+
+    bases (kb_id) are those that the user may read, documents (document_id, kb_id, status, active_generation_id) those in them
+    that are not deleted; generations: (document_id, generation_id, status). A request for a base or a document that is not
+    among these is refused as a whole, with code FORBIDDEN and nothing else. published counts the documents whose active
+    generation is READY. The fingerprint is one of the set of bases and of the set of published documents with their
+    generations, whatever order they come in; a scope without any documents has one too, of its bases.
+    """
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    open_ = bases.agg(F.array_sort(F.collect_set("kb_id")).alias("_all"))  # a row; a user's bases
+    r = requests.crossJoin(F.broadcast(open_)).withColumn("_kbs", F.when(some("kb_ids"), F.array_sort(F.array_distinct("kb_ids"))).otherwise(F.col("_all")))
+    r = r.withColumn("_bad", F.size(F.array_except("_kbs", "_all")) > 0).withColumn("_docs", F.when(some("document_ids"), F.array_distinct("document_ids")))
+    d = documents.select("document_id", "kb_id", "status", "active_generation_id")
+    ready = generations.where("status = 'READY'").select("document_id", F.col("generation_id").alias("active_generation_id"), F.lit(True).alias("_ready"))
+    d = d.join(ready, ["document_id", "active_generation_id"], "left")
+    told = r.where("not _bad")
+    whole = told.where(F.col("_docs").isNull()).select("request_id", F.explode("_kbs").alias("kb_id")).join(d, "kb_id")
+    asked = told.where(F.col("_docs").isNotNull()).select("request_id", "_kbs", F.explode("_docs").alias("document_id")).join(d, "document_id").where(F.array_contains("_kbs", F.col("kb_id")))
+    found = whole.select("request_id", "kb_id", "document_id", "active_generation_id", "status", "_ready").unionByName(asked.select("request_id", "kb_id", "document_id", "active_generation_id", "status", "_ready"))
+    public = (F.col("status") == "PUBLISHED") & F.coalesce("_ready", F.lit(False))
+    one = F.conv(F.substring(F.sha2(F.concat_ws(":", "kb_id", "document_id", "active_generation_id"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    n = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(public).alias("_p"), F.sum(F.when(public, one)).alias("_sum"))
+    j = r.join(n, "request_id", "left").fillna(0, ["_n", "_p"])
+    refused = F.col("_bad") | (F.col("_docs").isNotNull() & (F.size("_docs") > F.col("_n")))
+    mark = F.sha2(F.concat_ws("|", F.array_join(F.col("_kbs").cast("array<string>"), ","), F.col("_p").cast("string"), F.coalesce(F.col("_sum").cast("string"), F.lit("0"))), 256)
+    allowed = lambda c: F.when(~refused, c)
+    return j.select("request_id", F.when(refused, FORBIDDEN).alias("code"), allowed(F.col("_kbs")).alias("kb_ids"), allowed(F.col("_n")).alias("authorized"), allowed(F.col("_p")).alias("published"), allowed(mark).alias("fingerprint"))
+
+
+def provenance_holds(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(request_id, holds) of scopes as they were and as they are: nothing was refused then or is now, and the fingerprint is the
+    same, which speaks for the bases where no document took part."""
+    j = before.select("request_id", F.col("fingerprint").alias("_then")).join(now.select("request_id", F.col("fingerprint").alias("_now")), "request_id", "left")
+    return j.select("request_id", F.coalesce(F.col("_then") == F.col("_now"), F.lit(False)).alias("holds"))
+
+
 def changed_sources(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that are missing, extra or changed; empty where provenance is as it was."""
     b, a = before.select(key, F.col(value).alias("_b")), after.select(key, F.col(value).alias("_a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guards, metrics, paths, permissions
+from ..operators import guards, metrics, paths, permissions, scope
 from . import adapters as x
 from .queries import L, _fused, query
 
@@ -190,3 +190,47 @@ def date_conditions(spark, sf):
     o = x.table(spark, sf, "orders").select("o_orderkey", F.element_at(operators, (F.floor(k / 13) % 8 + 1).cast("int")).alias("operator"), F.element_at(F.array(*ways), (k % 13 + 1).cast("int")).alias("value"), (k % 2 == 0).alias("instants"), F.lit("2000-01-10 03:00:00").cast("timestamp").alias("now"))
     at = lambda n: F.unix_timestamp(n).alias(n)
     return periods.date_conditions(o, "now").select("o_orderkey", "op", at("lower"), at("upper"), "code")
+
+
+def _scopes_sql(name: str, ready: str, base: str) -> str:
+    return f"""{name}_ab AS (SELECT kb_id FROM b WHERE tenant_id = 1 AND status = 'ACTIVE' AND deleted_at IS NULL AND {base} AND EXISTS (SELECT 1 FROM g WHERE g.kb_id = b.kb_id AND g.tenant_id = 1 AND (g.user_id = 42 OR g.department_id = 3))),
+{name}_q AS (SELECT request_id, CASE WHEN len(kb_ids) > 0 THEN list_sort(list_distinct(kb_ids)) ELSE coalesce((SELECT list(kb_id ORDER BY kb_id) FROM {name}_ab), []) END AS kbs, CASE WHEN len(document_ids) > 0 THEN list_distinct(document_ids) END AS docs FROM rq),
+{name}_k AS (SELECT q.*, len(list_filter(kbs, lambda k: NOT list_contains(l, k))) > 0 AS bad FROM {name}_q q, (SELECT coalesce(list(kb_id), []) AS l FROM {name}_ab)),
+{name}_m AS (SELECT k.request_id, count(*) AS n, count(*) FILTER (r.status = 'PUBLISHED' AND r.active_generation_id IS NOT NULL AND {ready}) AS p, sum(CASE WHEN r.status = 'PUBLISHED' AND r.active_generation_id IS NOT NULL AND {ready} THEN CAST('0x' || sha256(r.kb_id || ':' || r.document_id || ':' || r.active_generation_id)[:15] AS HUGEINT) END) AS s
+ FROM {name}_k k JOIN r ON list_contains(k.kbs, r.kb_id) AND (k.docs IS NULL OR list_contains(k.docs, r.document_id)) AND r.kb_id IN (SELECT kb_id FROM {name}_ab) WHERE NOT bad GROUP BY 1),
+{name} AS (SELECT k.request_id, bad OR (docs IS NOT NULL AND len(docs) > coalesce(n, 0)) AS refused, kbs, coalesce(n, 0) AS n, coalesce(p, 0) AS p, sha256(array_to_string(kbs, ',') || '|' || coalesce(p, 0) || '|' || coalesce(s, 0)) AS mark FROM {name}_k k LEFT JOIN {name}_m m ON m.request_id = k.request_id)"""
+
+
+_ASKED_SCOPES = f"""{x.D}, {x.B}, {x.G}, {x.S}, {x._allowed("r", "d.status IN ('DRAFT', 'PUBLISHED') AND d.deleted_at IS NULL", "'READ', 'WRITE', 'ADMIN'", "'READ', 'WRITE'")},
+rq AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 50 = 1 THEN CAST([] AS INTEGER[]) WHEN c_custkey % 3 = 0 THEN [CAST(c_custkey % 20 AS INTEGER)] ELSE [CAST(c_custkey % 20 AS INTEGER), CAST(c_custkey // 20 % 20 AS INTEGER)] END AS kb_ids, CASE WHEN c_custkey % 4 = 3 THEN [c_custkey % 200, c_custkey % 200 + 20] WHEN c_custkey % 50 = 21 THEN CAST([] AS BIGINT[]) END AS document_ids FROM customer)"""
+
+
+def _scope_tables(spark, sf):
+    k = F.col("c_custkey")
+    base = lambda c: c.cast("int")
+    kbs = F.when(k % 50 == 1, F.array().cast("array<int>")).when(k % 3 == 0, F.array(base(k % 20))).otherwise(F.array(base(k % 20), base(F.floor(k / 20) % 20)))
+    docs = F.when(k % 4 == 3, F.array(k % 200, k % 200 + 20)).when(k % 50 == 21, F.array().cast("array<bigint>"))
+    requests = x.table(spark, sf, "customer").select(k.alias("request_id"), kbs.alias("kb_ids"), docs.alias("document_ids"))
+    return requests, scope.accessible(x.bases(spark, sf), x.grants(spark, sf), x.WHO).select("kb_id").distinct(), x.readable(spark, sf, state="default")
+
+
+def _generations(documents, stale: int):
+    i = F.col("active_generation_id")
+    return documents.where(i.isNotNull()).select("document_id", i.alias("generation_id"), F.when(F.col("document_id") % stale == 0, "BUILDING").otherwise("READY").alias("status"))
+
+
+@query(f"WITH {_ASKED_SCOPES}, {_scopes_sql('a', 'r.document_id % 6 <> 0', 'true')} SELECT request_id, CASE WHEN refused THEN 'QUERY_SCOPE_FORBIDDEN' END AS code, CASE WHEN NOT refused THEN array_to_string(kbs, ',') END AS kb_ids, CASE WHEN NOT refused THEN n END AS authorized, CASE WHEN NOT refused THEN p END AS published, CASE WHEN NOT refused THEN mark END AS fingerprint FROM a")
+def scope_requests(spark, sf):
+    """L1: customers ask for bases and documents, or for all that they may read."""
+    requests, bases, documents = _scope_tables(spark, sf)
+    out = scope.resolve_scopes(requests, bases, documents, _generations(documents, 6))
+    return out.withColumn("kb_ids", F.array_join(F.col("kb_ids").cast("array<string>"), ","))
+
+
+@query(f"WITH {_ASKED_SCOPES}, {_scopes_sql('a', 'r.document_id % 6 <> 0', 'true')}, {_scopes_sql('z', 'r.document_id % 35 <> 0 AND r.document_id % 6 <> 0', 'kb_id <> 6')} SELECT a.request_id, coalesce(NOT a.refused AND NOT z.refused AND a.mark = z.mark, false) AS holds FROM a JOIN z ON z.request_id = a.request_id")
+def provenance_check(spark, sf):
+    """Which scopes are as they were after some generations were built anew and a base was closed."""
+    requests, bases, documents = _scope_tables(spark, sf)
+    before = scope.resolve_scopes(requests, bases, documents, _generations(documents, 6))
+    later = _generations(documents, 6).withColumn("status", F.when(F.col("document_id") % 35 == 0, "BUILDING").otherwise(F.col("status")))
+    return scope.provenance_holds(before, scope.resolve_scopes(requests, bases.where("kb_id <> 6"), documents.where("kb_id <> 6"), later))
