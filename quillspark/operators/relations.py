@@ -73,6 +73,13 @@ def quote_holds(content: Column, digest: Column, quote: Column, start: Column, e
     return F.coalesce((F.sha2(content, 256) == digest) & (piece(content, start, end) == quote), F.lit(False))
 
 
+def held_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Evidence (chunk_id, content_sha256, quote, quote_start, quote_end, ...) that still stands in its chunk (chunk_id, content):
+    the chunk is the one that was read and the quote is exactly at its offsets. Only such evidence goes into graph.one_hop()."""
+    j = evidence.join(chunks.select("chunk_id", F.col("content").alias("_content")), "chunk_id")
+    return j.where(quote_holds(F.col("_content"), F.col("content_sha256"), F.col("quote"), F.col("quote_start"), F.col("quote_end"))).drop("_content")
+
+
 def well_formed() -> Column:
     """Keys are 64 hexadecimal digits, the seed is one of the ends, quotes and conditions have a length, a condition stands in
     the quote and offsets are as long as the quote. Types and scope are joins: see valid_relations()."""

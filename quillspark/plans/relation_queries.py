@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guards, metrics, paths, permissions, scope
+from ..operators import graph, guards, metrics, paths, permissions, relations, scope
 from . import adapters as x
 from .queries import L, _fused, query
 
@@ -234,3 +234,24 @@ def provenance_check(spark, sf):
     before = scope.resolve_scopes(requests, bases, documents, _generations(documents, 6))
     later = _generations(documents, 6).withColumn("status", F.when(F.col("document_id") % 35 == 0, "BUILDING").otherwise(F.col("status")))
     return scope.provenance_holds(before, scope.resolve_scopes(requests, bases.where("kb_id <> 6"), documents.where("kb_id <> 6"), later))
+
+
+_EVIDENCE = """ev AS (SELECT o_orderkey AS evidence_id, o_custkey AS place, o_orderkey % 199 AS chunk_id, o_orderkey % 7 AS start, o_orderkey % 5 = 0 AS old, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS off FROM orders WHERE o_orderstatus = 'F'),
+he AS (SELECT evidence_id, place FROM ev JOIN documents ON doc_id = chunk_id WHERE NOT old AND text IS NOT NULL AND (off = 0 OR text[start + 1:start + 12] = text[start + 2:start + 13])),
+sd AS (SELECT p_partkey AS uid FROM part WHERE p_name = 'red widget'),
+ho AS (SELECT a.assertion_id, he.place FROM a JOIN he USING (evidence_id) WHERE (subject IN (FROM sd) OR object IN (FROM sd)) AND object IN (SELECT p_partkey FROM part) AND subject IN (SELECT p_partkey FROM part))"""
+
+
+@query(f"WITH {x.A}, {_EVIDENCE} SELECT place, count(DISTINCT assertion_id) AS score FROM ho GROUP BY 1")
+def graph_one_hop_held(spark, sf):
+    """One hop over evidence that still stands: orders quote documents, some of an older text, some one character off."""
+    k = F.col("o_orderkey")
+    d = x.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    off = F.when(k % 11 == 0, 1).otherwise(0)
+    quoted = x.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(k.alias("evidence_id"), F.col("o_custkey").alias("place"), (k % 199).alias("chunk_id"), (k % 7).cast("int").alias("start"), off.alias("off"), (k % 5 == 0).alias("old"))
+    quoted = quoted.join(d, "chunk_id").select("evidence_id", "place", "chunk_id", F.when(F.col("old"), "old").otherwise(F.sha2("content", 256)).alias("content_sha256"), F.expr("substring(content, start + 1, 12)").alias("quote"), (F.col("start") + F.col("off")).alias("quote_start"))
+    evidence = quoted.withColumn("quote_end", F.col("quote_start") + F.char_length("quote"))
+    parts = x.table(spark, sf, "part")
+    seeds, ends = parts.where("p_name = 'red widget'").select(F.col("p_partkey").alias("uid")), parts.select(F.col("p_partkey").alias("uid"))
+    hops = graph.one_hop(x.assertions(spark, sf), ends, relations.held_evidence(evidence, d).select("evidence_id", "place"), seeds)
+    return graph.graph_scores(hops, "place")
