@@ -178,7 +178,7 @@ e AS (SELECT *, CASE WHEN op = 'range' THEN x.a ELSE w.a END AS a, CASE WHEN op
 c AS (SELECT *, CASE WHEN op = 'contains' THEN 'OPERATOR_INVALID' WHEN instant AND NOT clock THEN 'INSTANT_INVALID' WHEN instant AND NOT contains(value, '+08:00') THEN 'ZONE_MISSING' WHEN instant THEN NULL WHEN op = 'range' AND len(ps) > 2 THEN 'RANGE_INVALID' WHEN a IS NULL OR z IS NULL THEN 'PERIOD_INVALID' WHEN op = 'range' AND a >= z THEN 'RANGE_EMPTY' WHEN op = 'neq' THEN 'NOT_EQUAL_UNSUPPORTED' END AS code FROM e),
 i AS (SELECT *, CASE WHEN instant THEN CAST(d AS TIMESTAMP) + INTERVAL 150 MINUTE END AS t FROM c)
 SELECT k AS o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN instant THEN op WHEN op IN ('eq', 'range') THEN 'range' WHEN op = 'gt' THEN 'gte' WHEN op = 'lte' THEN 'lt' ELSE op END AS op,
- CASE WHEN code IS NULL THEN CASE WHEN instant THEN epoch(t) WHEN op = 'gt' THEN epoch(z) - 28800 WHEN op IN ('eq', 'range', 'gte') THEN epoch(a) - 28800 END END AS lower, CASE WHEN code IS NULL THEN CASE WHEN instant THEN epoch(t) WHEN op = 'lt' THEN epoch(a) - 28800 WHEN op IN ('eq', 'range', 'lte') THEN epoch(z) - 28800 END END AS upper, code FROM i""")
+ CASE WHEN code IS NULL THEN CASE WHEN instant THEN CAST(epoch(t) AS BIGINT) WHEN op = 'gt' THEN CAST(epoch(z) AS BIGINT) - 28800 WHEN op IN ('eq', 'range', 'gte') THEN CAST(epoch(a) AS BIGINT) - 28800 END END AS lower, CASE WHEN code IS NULL THEN CASE WHEN instant THEN CAST(epoch(t) AS BIGINT) WHEN op = 'lt' THEN CAST(epoch(a) AS BIGINT) - 28800 WHEN op IN ('eq', 'range', 'lte') THEN CAST(epoch(z) AS BIGINT) - 28800 END END AS upper, code FROM i""")
 def date_conditions(spark, sf):
     """Conditions on an order's date in thirteen ways to write it and with each operator; every other may be an instant."""
     from ..functions import periods
@@ -255,3 +255,19 @@ def graph_one_hop_held(spark, sf):
     seeds, ends = parts.where("p_name = 'red widget'").select(F.col("p_partkey").alias("uid")), parts.select(F.col("p_partkey").alias("uid"))
     hops = graph.one_hop(x.assertions(spark, sf), ends, relations.held_evidence(evidence, d).select("evidence_id", "place"), seeds)
     return graph.graph_scores(hops, "place")
+
+
+@query("SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS signs, md5(CAST(sum(CAST('0x' || sha256(coalesce(text, ''))[:13] AS HUGEINT)) AS VARCHAR)) AS told FROM documents GROUP BY lang")
+def frozen_documents(spark, sf):
+    """Documents frozen, held against their manifest and read again."""
+    import uuid
+
+    from ..sources import frozen
+    from ..tables import shared_dir
+
+    d = x.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
+    frozen.freeze(d, path, ["doc_id"])
+    back = frozen.thawed(spark, path, "doc_id long, text string, lang string, n_chars long")
+    told = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 13), 16, 10).cast("decimal(38,0)")
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("signs"), F.md5(F.sum(told).cast("string")).alias("told"))
