@@ -189,9 +189,13 @@ def flagged_relations(relations: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def snapshot(assertions: DataFrame, by: str) -> DataFrame:
-    """(by, assertions, subjects, objects): how much each place holds, and its sorted distinct ends' fingerprint."""
-    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("subject", "object")))))
-    return assertions.groupBy(by).agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("subject").alias("subjects"), F.countDistinct("object").alias("objects"), F.md5(F.array_join(ends, ",")).alias("ends"))
+    """(by, assertions, subjects, objects, ends): how much each place holds, and its sorted distinct ends' fingerprint. Ends
+    are counted one by one before a place gets its list of them, which holds each once."""
+    end = lambda c, subject: F.struct(F.col(c).alias("v"), F.lit(subject).alias("s"))
+    each = assertions.select(by, F.explode(F.array(end("subject", 1), end("object", 0))).alias("e")).select(by, "e.v", "e.s")
+    ends = each.groupBy(by, "v").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 0).alias("o"))
+    known = F.col("v").isNotNull()
+    return ends.groupBy(by).agg(F.sum("s").alias("assertions"), F.count_if(known & (F.col("s") > 0)).alias("subjects"), F.count_if(known & (F.col("o") > 0)).alias("objects"), F.md5(F.array_join(F.array_sort(F.collect_list("v")), ",")).alias("ends"))
 
 
 def salvaged(facts: DataFrame, local_id: str) -> DataFrame:

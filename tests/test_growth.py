@@ -39,3 +39,11 @@ def test_bridges_of_a_common_name_are_made_where_they_are_read(spark, monkeypatc
     want = [(a, b, basis(a, b), "red") for a in range(n) for b in range(n) if a != b and basis(a, b)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert records < len(want) / 4
+
+
+def test_a_snapshot_counts_ends_one_by_one(spark):
+    a = spark.createDataFrame([(1, 5, 10, 0), (2, 5, None, 0), (3, 10, 5, 0), (4, None, 7, 1), (5, None, None, 2)], "assertion_id long, subject long, object long, place int")
+    df = graph.snapshot(a, "place")
+    md5 = {r.place: r.m for r in spark.createDataFrame([(0, "5,10"), (1, "7"), (2, "")], "place int, s string").select("place", F.md5("s").alias("m")).collect()}
+    assert sorted(map(tuple, df.collect())) == [(0, 3, 2, 2, md5[0]), (1, 1, 0, 1, md5[1]), (2, 1, 0, 0, md5[2])]
+    assert "Expand" not in plan(df) and "collect_set" not in plan(df)
