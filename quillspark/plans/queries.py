@@ -687,7 +687,7 @@ def answer_guards(spark, sf):
     """What an assistant says against the turn before it."""
     from ..operators.guards import guards
 
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn")))
     c = x.table(spark, sf, "conversations").withColumn("evidence", before).where("role = 'assistant'")
     return guards(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("statement"), "evidence"))
 

@@ -47,3 +47,9 @@ def test_a_snapshot_counts_ends_one_by_one(spark):
     md5 = {r.place: r.m for r in spark.createDataFrame([(0, "5,10"), (1, "7"), (2, "")], "place int, s string").select("place", F.md5("s").alias("m")).collect()}
     assert sorted(map(tuple, df.collect())) == [(0, 3, 2, 2, md5[0]), (1, 1, 0, 1, md5[1]), (2, 1, 0, 0, md5[2])]
     assert "Expand" not in plan(df) and "collect_set" not in plan(df)
+
+
+def test_words_of_guards_end_at_letters_beyond_ascii(spark):
+    rows = [(1, "Noñas", "so"), (2, "so", "año no"), (3, "so", "éif"), (4, "so", "_if if_ nota"), (5, "MUſT NOT", "so"), (6, "so", "unleſs")]
+    df = spark.createDataFrame(rows, "id int, statement string, evidence string")
+    assert sorted(map(tuple, guards.guards(df).collect())) == [(1, "NEGATION_DIFFERS"), (2, "NEGATION_DIFFERS"), (3, "CONDITION_DROPPED"), (5, "NEGATION_DIFFERS"), (6, "CONDITION_DROPPED")]
