@@ -114,14 +114,17 @@ def resolve_scopes(requests: DataFrame, bases: DataFrame, documents: DataFrame,
     r = r.withColumn("_bad", F.size(F.array_except("_kbs", "_all")) > 0).withColumn("_docs", F.when(some("document_ids"), F.array_distinct("document_ids")))
     d = documents.select("document_id", "kb_id", "status", "active_generation_id")
     ready = generations.where("status = 'READY'").select("document_id", F.col("generation_id").alias("active_generation_id"), F.lit(True).alias("_ready"))
+    public = (F.col("status") == "PUBLISHED") & F.coalesce("_ready", F.lit(False))
+    one = F.conv(F.substring(F.sha2(F.concat_ws(":", "kb_id", "document_id", "active_generation_id"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    total = [F.sum(c).alias(c) for c in ("_n", "_p", "_sum")]
+    # a document's share of the counts and of the fingerprint; those of a base are added up once, for all requests
+    by_kb = lambda df, *keys: df.groupBy("kb_id", *keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(public).alias("_p"), F.sum(F.when(public, one)).alias("_sum"))
     d = d.join(ready, ["document_id", "active_generation_id"], "left")
     told = r.where("not _bad")
-    whole = told.where(F.col("_docs").isNull()).select("request_id", F.explode("_kbs").alias("kb_id")).join(d, "kb_id")
-    asked = told.where(F.col("_docs").isNotNull()).select("request_id", "_kbs", F.explode("_docs").alias("document_id")).join(d, "document_id").where(F.array_contains("_kbs", F.col("kb_id")))
-    found = whole.select("request_id", "kb_id", "document_id", "active_generation_id", "status", "_ready").unionByName(asked.select("request_id", "kb_id", "document_id", "active_generation_id", "status", "_ready"))
-    public = (F.col("status") == "PUBLISHED") & F.coalesce("_ready", F.lit(False))
-    one = F.conv(F.substring(F.sha2(F.concat_ws(":", "kb_id", "document_id", "active_generation_id"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    n = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(public).alias("_p"), F.sum(F.when(public, one)).alias("_sum"))
+    whole = told.where(F.col("_docs").isNull()).select("request_id", F.explode("_kbs").alias("kb_id")).join(by_kb(d), "kb_id")
+    asked = told.where(F.col("_docs").isNotNull()).select("request_id", "_kbs", F.explode("_docs").alias("document_id")).join(by_kb(d, "document_id"), "document_id").where(F.array_contains("_kbs", F.col("kb_id")))
+    found = whole.select("request_id", "_n", "_p", "_sum").unionByName(asked.select("request_id", "_n", "_p", "_sum"))
+    n = found.groupBy("request_id").agg(*total)
     j = r.join(n, "request_id", "left").fillna(0, ["_n", "_p"])
     refused = F.col("_bad") | (F.col("_docs").isNotNull() & (F.size("_docs") > F.col("_n")))
     mark = F.sha2(F.concat_ws("|", F.array_join(F.col("_kbs").cast("array<string>"), ","), F.col("_p").cast("string"), F.coalesce(F.col("_sum").cast("string"), F.lit("0"))), 256)

@@ -53,3 +53,14 @@ def test_words_of_guards_end_at_letters_beyond_ascii(spark):
     rows = [(1, "Noñas", "so"), (2, "so", "año no"), (3, "so", "éif"), (4, "so", "_if if_ nota"), (5, "MUſT NOT", "so"), (6, "so", "unleſs")]
     df = spark.createDataFrame(rows, "id int, statement string, evidence string")
     assert sorted(map(tuple, guards.guards(df).collect())) == [(1, "NEGATION_DIFFERS"), (2, "NEGATION_DIFFERS"), (3, "CONDITION_DROPPED"), (5, "NEGATION_DIFFERS"), (6, "CONDITION_DROPPED")]
+
+
+def test_scopes_meet_bases_and_not_their_documents(spark):
+    bases = spark.createDataFrame([(1,), (2,)], "kb_id int")
+    docs = spark.range(100).select(F.col("id").alias("document_id"), (1 + F.col("id") % 2).cast("int").alias("kb_id"), F.lit("PUBLISHED").alias("status"), F.col("id").alias("active_generation_id"))
+    gens = docs.select("document_id", F.col("document_id").alias("generation_id"), F.when(F.col("document_id") % 5 == 0, "BUILDING").otherwise("READY").alias("status"))
+    asked = spark.range(200).select(F.col("id").alias("request_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1))).alias("kb_ids"), F.when(F.col("id") % 10 == 0, F.array(F.lit(2), F.lit(10))).cast("array<long>").alias("document_ids"))
+    got, most, _ = passed(scope.resolve_scopes(asked, bases, docs, gens))
+    assert {(r.code, r.authorized, r.published) for r in got} == {(None, 100, 80), (None, 50, 40), (None, 2, 1)}
+    assert most <= 400
+    assert scope.provenance_holds(scope.resolve_scopes(asked, bases, docs, gens), scope.resolve_scopes(asked, bases, docs, gens)).where("holds").count() == 200
