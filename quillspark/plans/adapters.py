@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scope import Identity
@@ -98,9 +98,9 @@ M = "mem AS (SELECT c_custkey AS user_id, CAST(1 + c_custkey % 2 AS INTEGER) AS
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not blank, numbered from 0 in their document."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.trim("content") != "")
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("line")) - 1
-    return lines.select("document_id", n.alias("chunk_index"), (F.col("document_id") * 100_000 + n).alias("chunk_id"), "content")
+    lines = F.filter(F.split("text", "\n"), lambda c: F.trim(c) != "")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(lines).alias("chunk_index", "content"))
+    return chunks.select("document_id", "chunk_index", (F.col("document_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), "content")
 
 
 C = """ln AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),

@@ -64,3 +64,10 @@ def test_scopes_meet_bases_and_not_their_documents(spark):
     assert {(r.code, r.authorized, r.published) for r in got} == {(None, 100, 80), (None, 50, 40), (None, 2, 1)}
     assert most <= 400
     assert scope.provenance_holds(scope.resolve_scopes(asked, bases, docs, gens), scope.resolve_scopes(asked, bases, docs, gens)).where("holds").count() == 200
+
+
+def test_chunks_are_numbered_in_their_row(spark, tmp_path):
+    spark.createDataFrame([(1, "a\n \nb\n\nc"), (2, None), (3, " \n"), (4, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = adapters.chunks(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 100000, "a"), (1, 1, 100001, "b"), (1, 2, 100002, "c"), (4, 0, 400000, "d")]
+    assert "Exchange" not in plan(df)
