@@ -76,11 +76,15 @@ def effective_level(grants: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def members_with(grants: DataFrame, members: DataFrame, permission: str) -> DataFrame:
-    """Members that a grant reaches by user or by department, each once; two equi-joins instead of one on a disjunction."""
+    """Members that a grant reaches by user or by department, each once; two equi-joins instead of one on a disjunction. The bases
+    of a department and of a user are put together first, and a member's are merged before they become rows."""
     g = grants.where(F.col("permission") == permission)
-    by_department = g.where("department_id is not null").drop("user_id").join(members, ["tenant_id", "department_id"]).select("tenant_id", "kb_id", "user_id")
-    by_user = g.where("user_id is not null").drop("department_id").join(members.select("tenant_id", "user_id"), ["tenant_id", "user_id"]).select("tenant_id", "kb_id", "user_id")
-    return by_department.unionByName(by_user).distinct()
+    opened = lambda key: g.where(F.col(key).isNotNull()).groupBy("tenant_id", key).agg(F.collect_set(F.struct("kb_id")).alias(f"_{key}"))
+    m = members.select("tenant_id", "user_id", "department_id").where("tenant_id is not null").join(opened("department_id"), ["tenant_id", "department_id"], "left").join(opened("user_id"), ["tenant_id", "user_id"], "left")
+    none = F.array().cast(f"array<struct<kb_id: {grants.schema['kb_id'].dataType.simpleString()}>>")
+    m = m.select("tenant_id", "user_id", F.array_union(F.coalesce("_department_id", none), F.coalesce("_user_id", none)).alias("_kbs")).where(F.size("_kbs") > 0)
+    merged = m.groupBy("tenant_id", "user_id").agg(F.array_distinct(F.flatten(F.collect_list("_kbs"))).alias("_kbs"))
+    return merged.select("tenant_id", F.explode("_kbs").alias("_kb"), "user_id").select("tenant_id", "_kb.kb_id", "user_id")
 
 
 def active_members(members: DataFrame, departments: DataFrame) -> DataFrame:

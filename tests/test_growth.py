@@ -71,3 +71,12 @@ def test_chunks_are_numbered_in_their_row(spark, tmp_path):
     df = adapters.chunks(spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [(1, 0, 100000, "a"), (1, 1, 100001, "b"), (1, 2, 100002, "c"), (4, 0, 400000, "d")]
     assert "Exchange" not in plan(df)
+
+
+def test_members_of_a_department_meet_its_bases_once(spark):
+    grants = [(1, kb, 5, None, "ADMIN") for kb in (1, 2) for _ in range(100)] + [(1, 3, None, 7, "ADMIN"), (1, 1, None, 7, "ADMIN"), (1, 4, 5, None, "READ"), (2, 9, 5, None, "ADMIN"), (1, None, 6, None, "ADMIN")]
+    g = spark.createDataFrame(grants, "tenant_id int, kb_id int, department_id int, user_id long, permission string")
+    m = spark.createDataFrame([(1, u, 5) for u in range(50)] + [(1, 7, 6), (1, 60, None)], "tenant_id int, user_id long, department_id int")
+    got, most, _ = passed(scope.members_with(g, m, "ADMIN").select("tenant_id", "kb_id", "user_id"))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, kb, u) for kb in (1, 2) for u in range(50)] + [(1, 3, 7), (1, None, 7)]))
+    assert most <= 52
