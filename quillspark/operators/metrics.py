@@ -115,26 +115,31 @@ def conditional_matches(gold: DataFrame, predicted: DataFrame, found: DataFrame)
     columns make pairs of equal numbers, which is what taking the first free one in turn comes to. An empty condition is none.
     """
     n = found.groupBy("chunk_id", "signature").agg(F.count(F.lit(1)).alias("_n"))
-    side = lambda end: n.select("chunk_id", F.col("signature").alias(end), F.col("_n").alias(f"_{end}"))
+    had = n.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("signature").isNotNull(), F.struct("signature", "_n")))).alias("_had"))
     need = F.when((F.col("subject") == F.col("object")) & ~F.col("same"), 2).otherwise(1)
-    g = gold.join(side("subject"), ["chunk_id", "subject"], "left").join(side("object"), ["chunk_id", "object"], "left")
-    g = g.withColumn("endpoints_found", F.coalesce((F.col("_subject") >= need) & (F.col("_object") >= need), F.lit(False))).drop("_subject", "_object")
-    bare = lambda d: d.withColumn("condition", F.when(F.col("condition") != "", F.col("condition")))
-    left, free = bare(g).where("endpoints_found"), bare(predicted)
-    out = None
+    g = gold.join(had, "chunk_id", "left")
+    enough = lambda end: F.get(F.map_values(F.map_filter("_had", lambda k, v: k == F.col(end))), 0) >= need
+    g = g.withColumn("endpoints_found", F.coalesce(enough("subject") & enough("object"), F.lit(False))).drop("_had")
+    bare = F.when(F.col("condition") != "", F.col("condition")).alias("condition")
+    shape = ["chunk_id", "place", "subject", "object", "predicate", bare, "quote"]
+    rest = [c for c in g.columns if c not in ("chunk_id", "place", "subject", "object", "predicate", "quote")]
+    kept = F.struct(*rest)
+    side_g = g.select(*shape, F.lit(True).alias("_gold"), F.col("endpoints_found").alias("_open"), kept.alias("_kept"))
+    side_p = predicted.select(*shape, F.lit(False).alias("_gold"), F.lit(True).alias("_open"), F.lit(None).cast(side_g.schema["_kept"].dataType).alias("_kept"))
+    # both sides lie by chunk, which all windows below keep to
+    r = side_g.unionByName(side_p).repartition("chunk_id").withColumn("_hit", F.lit(None).cast(f"struct<place: {predicted.schema['place'].dataType.simpleString()}, condition: string, quote: string>"))
     for level in LEVELS:
-        keys = ["chunk_id", "subject", "object", "predicate"] + ([] if level == "triple" else ["condition"]) + (["quote"] if level == "condition_and_quote" else [])
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
-        a, b = left.withColumn("_nth", nth), free.withColumn("_nth", nth).toDF(*[f"p_{c}" for c in [*free.columns, "_nth"]])
-        same = F.col("_nth") == F.col("p__nth")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
-        pairs = a.join(b, same).select("chunk_id", "place", F.col("p_place").alias("matched"), F.col("condition").eqNullSafe(F.col("p_condition")).alias("_same"), F.col("quote").eqNullSafe(F.col("p_quote")).alias("quote_match"))
-        out = pairs if out is None else out.unionByName(pairs)
-        left = left.join(pairs.select("chunk_id", "place"), ["chunk_id", "place"], "left_anti")
-        free = free.join(pairs.select("chunk_id", F.col("matched").alias("place")), ["chunk_id", "place"], "left_anti")
-    status = F.when(F.col("_same"), "MATCH").when(F.col("matched").isNotNull(), "MISMATCH")
-    return g.join(out, ["chunk_id", "place"], "left").select(*gold.columns, "endpoints_found", "matched", status.alias("condition_status"), "quote_match")
+        keys = ["chunk_id", "subject", "object", "predicate", "_open"] + ([] if level == "triple" else ["condition"]) + (["quote"] if level == "condition_and_quote" else [])
+        r = r.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_gold").orderBy("place")))
+        met = Window.partitionBy(*keys, "_nth")
+        other = F.max(F.when(~F.col("_gold"), F.struct("place", "condition", "quote"))).over(met)
+        r = r.withColumns({"_other": other, "_both": F.col("_open") & F.max("_gold").over(met) & ~F.min("_gold").over(met)})
+        r = r.withColumns({"_hit": F.when(F.col("_both") & F.col("_gold"), F.col("_other")).otherwise(F.col("_hit")), "_open": F.col("_open") & ~F.col("_both")}).drop("_nth", "_other", "_both")
+    matched = F.col("_hit").isNotNull()
+    status = F.when(matched, F.when(F.col("_hit.condition").eqNullSafe(F.col("condition")), "MATCH").otherwise("MISMATCH"))
+    quote = F.when(matched, F.col("_hit.quote").eqNullSafe(F.col("quote")))
+    columns = [F.col(f"_kept.{c}").alias(c) if c in rest else F.col(c) for c in gold.columns]
+    return r.where("_gold").select(*columns, F.col("_kept.endpoints_found").alias("endpoints_found"), F.col("_hit.place").alias("matched"), status.alias("condition_status"), quote.alias("quote_match"))
 
 
 def conditional_recall(matches: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, guards, identity, scope
+from quillspark.operators import graph, guards, identity, metrics, scope
 from quillspark.plans import adapters
 
 
@@ -80,3 +80,12 @@ def test_members_of_a_department_meet_its_bases_once(spark):
     got, most, _ = passed(scope.members_with(g, m, "ADMIN").select("tenant_id", "kb_id", "user_id"))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, kb, u) for kb in (1, 2) for u in range(50)] + [(1, 3, 7), (1, None, 7)]))
     assert most <= 52
+
+
+def test_relations_of_a_chunk_are_matched_where_they_lie(spark):
+    g = spark.createDataFrame([(1, 1, "a", "b", False, "r", "late", "q"), (1, 2, "a", "b", False, "r", None, "t"), (1, 3, "a", "c", False, "r", "", "q")], "chunk_id long, place int, subject string, object string, same boolean, predicate string, condition string, quote string")
+    p = spark.createDataFrame([(1, 1, "a", "b", "r", "", "q"), (1, 2, "a", "b", "r", "late", "x")], "chunk_id long, place int, subject string, object string, predicate string, condition string, quote string")
+    df = metrics.conditional_matches(g, p, spark.createDataFrame([(1, "a"), (1, "b"), (1, None)], "chunk_id long, signature string"))
+    got = df.select("place", "condition", "endpoints_found", "matched", "condition_status", "quote_match").collect()
+    assert sorted(map(tuple, got)) == [(1, "late", True, 2, "MATCH", False), (2, None, True, 1, "MATCH", False), (3, "", False, None, None, None)]
+    assert plan(df).count("Join") <= 1
