@@ -53,9 +53,12 @@ def two_hop_paths(first: DataFrame, second: DataFrame, bridged: DataFrame) -> Da
     over = x.join(b, ["middle", "x_document_id"]).join(y, ["other", "y_document_id"]).where("x_kb_id = y_kb_id and not (middle = other and x_document_id = y_document_id and x_namespace = y_namespace and x_generation_id = y_generation_id)")
     out = same.unionByName(over.select(*same.columns)).where(fits & (F.col("x_assertion_id") != F.col("y_assertion_id")))
     out = out.where("x_subject_uid <> middle and x_subject_uid <> end_uid and end_uid <> other")
+    # a path is its facts and its bridge; the hash that names it is taken of those that are left
+    kept = ["x_kb_id", "x_subject_uid", "middle", "end_uid", "x_assertion_id", "y_assertion_id", "bridge_id", "x_chunk_id", "y_chunk_id", "between"]
+    out = out.select(*kept, F.coalesce("bridge_id", F.lit("")).alias("_bridge")).dropDuplicates(["x_assertion_id", "y_assertion_id", "_bridge"])
     sources = F.array_distinct(F.concat(F.array("x_chunk_id", "y_chunk_id"), "between"))
     key = F.sha2(F.to_json(F.array("x_assertion_id", "y_assertion_id", F.coalesce("bridge_id", F.lit("")))), 256)
-    return out.select(key.alias("path_id"), F.col("x_kb_id").alias("kb_id"), F.col("x_subject_uid").alias("start_uid"), F.col("middle").alias("middle_uid"), "end_uid", F.col("x_assertion_id").alias("first_id"), F.col("y_assertion_id").alias("second_id"), "bridge_id", sources.alias("sources")).dropDuplicates(["path_id"])
+    return out.select(key.alias("path_id"), F.col("x_kb_id").alias("kb_id"), F.col("x_subject_uid").alias("start_uid"), F.col("middle").alias("middle_uid"), "end_uid", F.col("x_assertion_id").alias("first_id"), F.col("y_assertion_id").alias("second_id"), "bridge_id", sources.alias("sources"))
 
 
 def within_sources(paths: DataFrame, limit: int, most: int = MOST_PATHS) -> DataFrame:

@@ -100,14 +100,14 @@ jo AS (SELECT fi.a AS first_id, se.a AS second_id, NULL AS bridge_id, len(list_d
 @query(f"WITH {_HOPS} SELECT first_id, second_id, bridge_id, sources FROM jo WHERE (fp = 'REQUIRES_MATERIAL' AND sp = 'HAS_FIELD') OR (fp = 'HAS_STEP' AND sp = 'REVIEWS')")
 def two_hop_templates(spark, sf):
     """Both templates, in one document or over a bridge."""
-    li = x.table(spark, sf, "lineitem")
+    li = x.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     key = F.concat(k, F.lit("-"), n, F.lit("-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey"))
     rest = [F.lit("Material").alias("object_type"), F.lit("ns").alias("namespace"), (k % 3).alias("kb_id"), (k % 50).alias("document_id"), (k % 50).alias("generation_id"), (k * 10 + n).alias("chunk_id")]
     middle, end = F.concat(F.lit("m"), F.col("l_suppkey")), F.concat(F.lit("e"), F.col("l_partkey"))
-    first = li.select(F.concat(F.lit("a"), key).alias("assertion_id"), F.when(n % 2 == 1, "REQUIRES_MATERIAL").otherwise("HAS_STEP").alias("predicate"), F.concat(F.lit("s"), k).alias("subject_uid"), middle.alias("object_uid"), *rest).distinct()
+    first = li.select(F.concat(F.lit("a"), key).alias("assertion_id"), F.when(n % 2 == 1, "REQUIRES_MATERIAL").otherwise("HAS_STEP").alias("predicate"), F.concat(F.lit("s"), k).alias("subject_uid"), middle.alias("object_uid"), *rest)
     field = n % 3 == 0
-    second = li.select(F.concat(F.lit("b"), key).alias("assertion_id"), F.when(field, "HAS_FIELD").otherwise("REVIEWS").alias("predicate"), F.when(field, middle).otherwise(end).alias("subject_uid"), F.when(field, end).otherwise(middle).alias("object_uid"), *rest).distinct()
+    second = li.select(F.concat(F.lit("b"), key).alias("assertion_id"), F.when(field, "HAS_FIELD").otherwise("REVIEWS").alias("predicate"), F.when(field, middle).otherwise(end).alias("subject_uid"), F.when(field, end).otherwise(middle).alias("object_uid"), *rest)
     i = F.col("s_suppkey")
     uid = F.concat(F.lit("m"), i)
     bridged = x.table(spark, sf, "supplier").where("s_suppkey % 9 = 0").select(uid.alias("source_uid"), uid.alias("target_uid"), (i % 50).alias("source_document"), ((i + 3) % 50).alias("target_document"), F.concat(F.lit("i"), i).alias("identity_id"), F.array(-(i % 50)).alias("chunks"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, guards, identity, metrics, scope
+from quillspark.operators import graph, guards, identity, metrics, paths, scope
 from quillspark.plans import adapters
 
 
@@ -89,3 +89,13 @@ def test_relations_of_a_chunk_are_matched_where_they_lie(spark):
     got = df.select("place", "condition", "endpoints_found", "matched", "condition_status", "quote_match").collect()
     assert sorted(map(tuple, got)) == [(1, "late", True, 2, "MATCH", False), (2, None, True, 1, "MATCH", False), (3, "", False, None, None, None)]
     assert plan(df).count("Join") <= 1
+
+
+def test_paths_are_told_apart_by_their_facts(spark):
+    hop = "assertion_id string, predicate string, subject_uid string, object_uid string, object_type string, namespace string, kb_id int, document_id int, generation_id int, chunk_id long"
+    first = spark.createDataFrame([("a", "HAS_STEP", "p", "s", "Step", "ns", 1, d, 1, 5) for d in (1, 2, 2)], hop)
+    second = spark.createDataFrame([("b", "REVIEWS", "w", "s", "Step", "ns", 1, d, 1, 5) for d in (1, 2)] + [("c", "REVIEWS", "w", "s", "Step", "ns", 1, 1, 1, 6)], hop)
+    none = spark.createDataFrame([], "source_uid string, target_uid string, source_document int, target_document int, identity_id string, chunks array<long>")
+    df = paths.two_hop_paths(first, second, none)
+    assert sorted((r.first_id, r.second_id, r.bridge_id, r.sources) for r in df.collect()) == [("a", "b", None, [5]), ("a", "c", None, [5, 6])]
+    assert "sha2" not in plan(df.select("first_id", "second_id", "sources"))
