@@ -159,12 +159,16 @@ def table_facts(rows: DataFrame) -> DataFrame:
     """(document_id, chunk_index, line_no, predicate, subject, object, condition_text) by rule from table rows (document_id,
     chunk_index, line_no, cells). A header holds for the rows behind it, over chunks too, that have as many cells."""
     w = Window.partitionBy("document_id").orderBy("chunk_index", "line_no")
-    is_header = (F.array_contains("cells", DUTY) & F.array_contains("cells", TOPIC)) | (F.array_contains("cells", MATERIAL) & F.array_contains("cells", CARE))
-    r = rows.where(F.exists("cells", lambda c: ~c.rlike("^[-:]+$"))).withColumn("_is", is_header)
-    r = r.withColumn("_header", F.last(F.when(F.col("_is"), F.col("cells")), ignorenulls=True).over(w)).where(~F.col("_is") & (F.size("_header") == F.size("cells")))
-    cell = lambda name: F.get(F.col("cells"), F.array_position("_header", name).cast("int") - 1)
-    duties = r.where(F.array_contains("_header", DUTY)).withColumn("_f", role_action(cell(DUTY))).where("_f is not null")
-    place = ["document_id", "chunk_index", "line_no"]
-    a = duties.select(*place, F.lit("RESPONSIBLE_FOR").alias("predicate"), F.col("_f.actor").alias("subject"), F.col("_f.action").alias("object"), F.col("_f.condition").alias("condition_text"))
-    kept = r.where(F.array_contains("_header", MATERIAL)).select(*place, F.lit("GOVERNED_BY").alias("predicate"), cell(MATERIAL).alias("subject"), cell(CARE).alias("object"), F.lit(None).cast("string").alias("condition_text"))
-    return a.unionByName(kept.where((F.length("subject") > 0) & (F.length("object") > 0)))
+    place, cells = ["document_id", "chunk_index", "line_no"], F.col("cells")
+    is_header = (F.array_contains(cells, DUTY) & F.array_contains(cells, TOPIC)) | (F.array_contains(cells, MATERIAL) & F.array_contains(cells, CARE))
+    # rows are sorted once, a header as the places of its columns; it has two cells at least, so rows of fewer give nothing
+    columns = F.struct(F.size(cells).alias("size"), *[F.array_position(cells, name).cast("int").alias(c) for c, name in (("duty", DUTY), ("material", MATERIAL), ("care", CARE))])
+    known = rows.where(F.exists(cells, lambda c: ~c.rlike("^[-:]+$")) & is_header.isNotNull() & (F.size(cells) > 1))
+    r = known.select(*place, F.when(~is_header, cells).alias("cells"), F.when(is_header, columns).alias("_columns")).withColumn("_header", F.last("_columns", ignorenulls=True).over(w))
+    r = r.where(F.col("_columns").isNull() & (F.col("_header.size") == F.size(cells)))
+    cell = lambda c: F.get(cells, F.col(f"_header.{c}") - 1)
+    r = r.select(*place, F.when(F.col("_header.duty") > 0, role_action(cell("duty"))).alias("_f"), F.when(F.col("_header.material") > 0, cell("material")).alias("_m"), cell("care").alias("_c"))
+    fact = lambda predicate, subject, object_, condition: F.struct(F.lit(predicate).alias("predicate"), subject.alias("subject"), object_.alias("object"), condition.cast("string").alias("condition_text"))
+    duty = F.when(F.col("_f").isNotNull(), fact("RESPONSIBLE_FOR", F.col("_f.actor"), F.col("_f.action"), F.col("_f.condition")))
+    kept = F.when((F.length("_m") > 0) & (F.length("_c") > 0), fact("GOVERNED_BY", F.col("_m"), F.col("_c"), F.lit(None)))
+    return r.select(*place, F.explode(F.array_compact(F.array(duty, kept))).alias("_t")).select(*place, "_t.*")

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, guards, identity, metrics, paths, scope
-from quillspark.plans import adapters
+from quillspark.operators import audit, graph, guards, identity, metrics, paths, relations, scope
+from quillspark.plans import adapters, graph_queries
 
 
 def passed(df):
@@ -99,3 +99,14 @@ def test_paths_are_told_apart_by_their_facts(spark):
     df = paths.two_hop_paths(first, second, none)
     assert sorted((r.first_id, r.second_id, r.bridge_id, r.sources) for r in df.collect()) == [("a", "b", None, [5]), ("a", "c", None, [5, 6])]
     assert "sha2" not in plan(df.select("first_id", "second_id", "sources"))
+
+
+def test_rows_of_tables_are_sorted_once(spark):
+    both = [relations.TOPIC, relations.DUTY, relations.MATERIAL, relations.CARE]
+    rows = [(1, 0, 0, ["a", "员工执行"]), (1, 0, 1, both[:2]), (1, 0, 2, ["---", ":-:"]), (1, 0, 3, ["a", "由员工执行"]), (1, 0, 4, ["员工执行"]), (1, 0, 5, ["a", "b"]), (1, 0, 6, [None, "员工执行"]), (1, 1, 0, ["员工", "主管复核"]), (1, 1, 1, both[3:1:-1]), (1, 1, 2, ["x", "M"]), (1, 1, 3, ["", "M"]),
+            (2, 0, 1, ["a", "员工执行"]), (3, 0, 0, both), (3, 0, 1, ["t", "员工执行", "M", "x"]), (3, 0, 2, ["t", "员工执行", "M", ""]), (4, 0, 0, [*both[:2], None]), (4, 0, 1, ["a", "员工执行", "b"]), (5, 0, 0, [*both[:2], both[2]]), (5, 0, 1, ["a", "无", "b"]), (6, 0, 0, None)]
+    df = relations.table_facts(spark.createDataFrame(rows, "document_id long, chunk_index int, line_no int, cells array<string>"))
+    duty, kept = ("RESPONSIBLE_FOR", "员工", "执行", None), ("GOVERNED_BY", "M", "x", None)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, [(1, 0, 3, *duty), (1, 1, 0, "RESPONSIBLE_FOR", "主管", "复核", None), (1, 1, 2, *kept), (3, 0, 1, *duty), (3, 0, 1, *kept), (3, 0, 2, *duty), (4, 0, 1, *duty)]))
+    final = plan(df).split("Initial Plan")[0]
+    assert final.count("Window [") == 1 and final.count("Sort [") == 1
