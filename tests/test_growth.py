@@ -1,5 +1,8 @@
 """What steps make of large groups: rows that pass a plan's nodes, and results where groups are large or values odd."""
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import audit, graph, guards, identity, metrics, paths, relations, scope
@@ -25,6 +28,23 @@ def passed(df):
     return rows, max([n for name, n, _ in seen if "Join" in name], default=0), sum(n for _, _, n in seen)
 
 
+def shuffled(df):
+    """Bytes that all exchanges wrote; one that is used again counts once."""
+    total, stack, seen = 0, [df._jdf.queryExecution().executedPlan()], set()
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if name == "ReusedExchange" or name == "Exchange" and node.id() in seen:
+            continue
+        seen.add(node.id())
+        total += node.metrics().get("shuffleBytesWritten").get().value() if name == "Exchange" else 0
+        stack += [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -110,3 +130,31 @@ def test_rows_of_tables_are_sorted_once(spark):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, [(1, 0, 3, *duty), (1, 1, 0, "RESPONSIBLE_FOR", "主管", "复核", None), (1, 1, 2, *kept), (3, 0, 1, *duty), (3, 0, 1, *kept), (3, 0, 2, *duty), (4, 0, 1, *duty)]))
     final = plan(df).split("Initial Plan")[0]
     assert final.count("Window [") == 1 and final.count("Sort [") == 1
+
+
+def test_audited_keys_meet_by_their_tokens(spark, tmp_path):
+    spark.range(20000).select(F.col("id").alias("o_orderkey")).coalesce(4).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = graph_queries.graph_audit_full(spark, str(tmp_path))
+        assert len(df.collect()) == 27
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(df) < 20000 * 1300
+
+
+def test_audits_name_keys_as_they_are_stored(spark):
+    place = ("ns", 1, 2)
+    key = lambda *parts: hashlib.sha256(json.dumps([str(p) for p in parts], separators=(",", ":")).encode()).hexdigest()
+    step, form = key(*place, "Step", "do it", 7), key(*place, "Material", "form", "")
+    entities = spark.createDataFrame([(step, *place, "Step", "Do  it", "do it"), (step[:-1] + "x", *place, "Step", "Do it", "do it"), (form, *place, "Material", "Form", "form"), (form, *place, "Material", "Form", "FORM"), ("lone", *place, "Material", " ", ""), (None, *place, "Rule", "r", "r")], "key string, namespace string, tenant_id int, kb_id int, type string, name string, normalized_name string")
+    evidence = spark.createDataFrame([("e", *place, 7, 70), ("e2", "ns", 1, 3, 7, 71), (None, *place, 7, 70)], "key string, namespace string, tenant_id int, kb_id int, document_id long, generation_id long")
+    mentions = spark.createDataFrame([(step, "e"), (step[:-1] + "x", "e"), (form, "e2"), (form, "e3"), (step, None), ("nobody", "e"), (None, "e")], "entity_key string, evidence_key string")
+    own = key("e", step, "HAS", form, "")
+    facts = spark.createDataFrame([(own, "HAS", step, form, "", *place, 7, 70, ["e"]), (own, "HAS", step, form, "", *place, 7, 70, ["e"]), ("f", "HAS", None, "nobody", None, *place, 8, 70, ["e", "e9"])], "key string, predicate string, subject_key string, object_key string, condition_text string, namespace string, tenant_id int, kb_id int, document_id long, generation_id long, evidence_keys array<string>")
+    got = audit.entity_problems(entities, mentions, evidence, facts).collect()
+    want = [("MENTION_WITHOUT_EVIDENCE", form)] * 2 + [("MENTION_WITHOUT_EVIDENCE", step)] + [("ENTITY_SCOPE_MISMATCH", form)] * 2 + [("ENTITY_KEY_MISMATCH", step[:-1] + "x"), ("ENTITY_NORMALIZATION_MISMATCH", form), ("ENTITY_NORMALIZATION_MISMATCH", "lone"), ("DUPLICATE_ENTITY_KEY_GLOBAL", form), ("ORPHAN_ENTITY_GLOBAL", "lone")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    got = audit.fact_problems(facts, entities, evidence, spark.createDataFrame([("HAS", "Step", "Material")], "predicate string, subject_type string, object_type string")).collect()
+    want = [(c, "f") for c in ("INVALID_RELATION_ENDPOINT", "ORPHAN_OR_AMBIGUOUS_FACT_ENDPOINT", "FACT_EVIDENCE_CARDINALITY", "FACT_WITHOUT_EVIDENCE", "FACT_EVIDENCE_SCOPE_MISMATCH")] + [("DUPLICATE_FACT", own)]
+    assert sorted(map(tuple, got)) == sorted(want)
