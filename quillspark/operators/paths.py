@@ -36,29 +36,50 @@ def seeds(entities: DataFrame, mentions: DataFrame, scope: DataFrame, asked: Dat
 HOP = ("assertion_id", "predicate", "subject_uid", "object_uid", "object_type", "namespace", "kb_id", "document_id", "generation_id", "chunk_id")
 
 
+#: Groups that ids which come more than once are told by; as many numbers are broadcast at most.
+GROUPS = 1 << 18
+
+
+def _by_id(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id comes once, and the others, beside which some of the former may be: ids are counted by their hashes, and
+    what is broadcast are the groups of hashes that have one more than once."""
+    number = F.xxhash64(column)
+    again = rows.select(number.alias("_hash")).groupBy("_hash").count().where("count > 1").select(F.pmod("_hash", F.lit(GROUPS)).cast("int").alias("_group")).distinct()
+    told = rows.withColumn("_group", F.pmod(number, F.lit(GROUPS)).cast("int"))
+    once, more = (told.join(F.broadcast(again), "_group", how).drop("_group") for how in ("left_anti", "left_semi"))
+    return once, more.distinct()
+
+
 def two_hop_paths(first: DataFrame, second: DataFrame, bridged: DataFrame) -> DataFrame:
     """(path_id, kb_id, start_uid, middle_uid, end_uid, first_id, second_id, bridge_id, sources) of the two templates. The
     middle is one node of one document, or two that a bridge (source_uid, target_uid, source_document, target_document,
-    identity_id, chunks) joins; both hops are of one base. Rows have HOP's columns; sources are the chunks that a path needs."""
-    x = first.where(F.col("predicate").isin(*TEMPLATES)).select(*[F.col(c).alias(f"x_{c}") for c in HOP], F.col("object_uid").alias("middle"))
+    identity_id, chunks) joins; both hops are of one base. Rows have HOP's columns; sources are the chunks that a path needs.
+
+    A path is its facts and its bridge. Facts that come once make each path once, so only paths of other facts are compared."""
+    template = lambda of: F.expr("CASE predicate " + " ".join(f"WHEN '{p}' THEN {i}" for p, i in of.items()) + " END")
+    starts = {p: i for i, p in enumerate(TEMPLATES)}
+    follows = {p: i for i, (ps, _) in enumerate(TEMPLATES.values()) for p in ps}
+    place = ("assertion_id", "namespace", "kb_id", "document_id", "generation_id", "chunk_id")
     middle = F.when(F.col("predicate") == "HAS_FIELD", F.col("subject_uid")).otherwise(F.col("object_uid"))
     last = F.when(F.col("predicate") == "HAS_FIELD", F.col("object_uid")).otherwise(F.col("subject_uid"))
-    y = second.where(F.col("predicate").isin(*[p for ps, _ in TEMPLATES.values() for p in ps])).select(*[F.col(c).alias(f"y_{c}") for c in HOP], middle.alias("other"), last.alias("end_uid"))
-    fits = F.lit(False)
-    for p, (seconds, _) in TEMPLATES.items():
-        fits = fits | ((F.col("x_predicate") == p) & F.col("y_predicate").isin(*seconds))
-    same = x.join(y, (F.col("middle") == F.col("other")) & F.expr(" and ".join(f"x_{c} = y_{c}" for c in ("namespace", "kb_id", "document_id", "generation_id"))))
-    same = same.withColumns({"bridge_id": F.lit(None).cast("string"), "between": F.array().cast("array<bigint>")})
-    b = bridged.select(F.col("source_uid").alias("middle"), F.col("target_uid").alias("other"), F.col("source_document").alias("x_document_id"), F.col("target_document").alias("y_document_id"), F.col("identity_id").alias("bridge_id"), F.col("chunks").alias("between"))
-    over = x.join(b, ["middle", "x_document_id"]).join(y, ["other", "y_document_id"]).where("x_kb_id = y_kb_id and not (middle = other and x_document_id = y_document_id and x_namespace = y_namespace and x_generation_id = y_generation_id)")
-    out = same.unionByName(over.select(*same.columns)).where(fits & (F.col("x_assertion_id") != F.col("y_assertion_id")))
-    out = out.where("x_subject_uid <> middle and x_subject_uid <> end_uid and end_uid <> other")
-    # a path is its facts and its bridge; the hash that names it is taken of those that are left
-    kept = ["x_kb_id", "x_subject_uid", "middle", "end_uid", "x_assertion_id", "y_assertion_id", "bridge_id", "x_chunk_id", "y_chunk_id", "between"]
-    out = out.select(*kept, F.coalesce("bridge_id", F.lit("")).alias("_bridge")).dropDuplicates(["x_assertion_id", "y_assertion_id", "_bridge"])
+    x = first.where(F.col("predicate").isin(*starts) & (F.col("subject_uid") != F.col("object_uid"))).select(*[F.col(c).alias(f"x_{c}") for c in place], F.col("subject_uid").alias("start_uid"), F.col("object_uid").alias("middle"), template(starts).alias("template"))
+    y = second.where(F.col("predicate").isin(*follows) & (middle != last)).select(*[F.col(c).alias(f"y_{c}") for c in place], middle.alias("other"), last.alias("end_uid"), template(follows).alias("template"))
+    b = bridged.select(F.col("source_uid").alias("middle"), F.col("target_uid").alias("other"), F.col("source_document").alias("x_document_id"), F.col("target_document").alias("y_document_id"), F.col("identity_id").alias("bridge_id"), F.col("chunks").alias("between"), F.coalesce("identity_id", F.lit("")).alias("_bridge"))
+    b = b.dropDuplicates(["middle", "other", "x_document_id", "y_document_id", "_bridge"])
+    kept = ["x_kb_id", "start_uid", "middle", "end_uid", "x_assertion_id", "y_assertion_id", "bridge_id", "_bridge", "x_chunk_id", "y_chunk_id", "between"]
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        alike = [x[f"x_{c}"] == y[f"y_{c}"] for c in ("namespace", "kb_id", "document_id", "generation_id")]
+        same = x.join(y, [x["middle"] == y["other"], x["template"] == y["template"], *alike]).withColumns({"bridge_id": F.lit(None).cast("string"), "_bridge": F.lit(""), "between": F.array().cast("array<bigint>")})
+        ends = y.join(b, ["other", "y_document_id"], "left_semi")
+        over = x.join(b, ["middle", "x_document_id"]).join(ends, ["other", "y_document_id", "template"]).where("x_kb_id = y_kb_id and not (middle = other and x_document_id = y_document_id and x_namespace = y_namespace and x_generation_id = y_generation_id)")
+        return same.select(*kept).unionByName(over.select(*kept)).where("x_assertion_id <> y_assertion_id and start_uid <> end_uid")
+
+    (x, xs), (y, ys) = _by_id(x, "x_assertion_id"), _by_id(y, "y_assertion_id")
+    more = met(xs, ys).unionByName(met(xs, y)).unionByName(met(x, ys)).dropDuplicates(["x_assertion_id", "y_assertion_id", "_bridge"])
     sources = F.array_distinct(F.concat(F.array("x_chunk_id", "y_chunk_id"), "between"))
-    key = F.sha2(F.to_json(F.array("x_assertion_id", "y_assertion_id", F.coalesce("bridge_id", F.lit("")))), 256)
-    return out.select(key.alias("path_id"), F.col("x_kb_id").alias("kb_id"), F.col("x_subject_uid").alias("start_uid"), F.col("middle").alias("middle_uid"), "end_uid", F.col("x_assertion_id").alias("first_id"), F.col("y_assertion_id").alias("second_id"), "bridge_id", sources.alias("sources"))
+    key = F.sha2(F.to_json(F.array("x_assertion_id", "y_assertion_id", "_bridge")), 256)
+    return met(x, y).unionByName(more).select(key.alias("path_id"), F.col("x_kb_id").alias("kb_id"), "start_uid", F.col("middle").alias("middle_uid"), "end_uid", F.col("x_assertion_id").alias("first_id"), F.col("y_assertion_id").alias("second_id"), "bridge_id", sources.alias("sources"))
 
 
 def within_sources(paths: DataFrame, limit: int, most: int = MOST_PATHS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -121,6 +122,39 @@ def test_paths_are_told_apart_by_their_facts(spark):
     assert "sha2" not in plan(df.select("first_id", "second_id", "sources"))
 
 
+def test_paths_of_facts_that_come_once_are_not_exchanged(spark):
+    hop = "assertion_id string, predicate string, subject_uid string, object_uid string, object_type string, namespace string, kb_id int, document_id int, generation_id int, chunk_id long"
+    n = 60
+    first = spark.createDataFrame([(f"a{i}", "HAS_STEP", f"p{i}", "s", "Step", "ns", 1, 1, 1, i) for i in range(n)], hop)
+    second = spark.createDataFrame([(f"b{i}", "REVIEWS", f"w{i}", "s", "Step", "ns", 1, 1, 1, i) for i in range(n)], hop)
+    none = spark.createDataFrame([], "source_uid string, target_uid string, source_document int, target_document int, identity_id string, chunks array<long>")
+    got, _, records = passed(paths.two_hop_paths(first, second, none).select("first_id", "second_id"))
+    assert sorted(map(tuple, got)) == sorted((f"a{i}", f"b{j}") for i in range(n) for j in range(n))
+    assert records < n * n / 4
+
+
+def test_paths_of_facts_that_come_more_than_once(spark, monkeypatch):
+    monkeypatch.setattr(paths, "GROUPS", 5)
+    hop = "assertion_id string, predicate string, subject_uid string, object_uid string, object_type string, namespace string, kb_id int, document_id int, generation_id int, chunk_id long"
+    rng = random.Random(4)
+    fact = lambda p, ids, of: (f"{p}{rng.randrange(ids)}", rng.choice(["HAS_STEP", "REQUIRES_MATERIAL"] if of == "x" else ["REVIEWS", "HAS_FIELD"]), f"m{rng.randrange(4)}", f"m{rng.randrange(4)}", "Step", rng.choice(["ns", "ns", None]), rng.randrange(2), rng.randrange(3), rng.randrange(2), rng.randrange(9))
+    x, y = [fact("a", 60, "x") for _ in range(50)], [fact("b", 60, "y") for _ in range(50)]
+    x, y = x + x[:5], y + y[:5]
+    b = [(f"m{rng.randrange(4)}", f"m{rng.randrange(4)}", rng.randrange(3), rng.randrange(3), rng.choice(["i", "j", None, ""]), [-1]) for _ in range(30)]
+    want = set()
+    for i, p, s, m, _, ns, kb, d, g, _ in x:
+        for j, q, t, o, _, ns2, kb2, d2, g2, _ in y:
+            other, end = (t, o) if q == "HAS_FIELD" else (o, t)
+            if (p, q) not in (("HAS_STEP", "REVIEWS"), ("REQUIRES_MATERIAL", "HAS_FIELD")) or kb != kb2 or len({s, m}) < 2 or len({end, other}) < 2 or s == end:
+                continue
+            alike = (m, d, g) == (other, d2, g2) and (None if ns is None or ns2 is None else ns == ns2)
+            want |= {(i, j, "")} if alike else set()
+            want |= {(i, j, k or "") for f, to, e, e2, k, _ in b if alike is False and (f, to, e, e2) == (m, other, d, d2)}
+    df = paths.two_hop_paths(spark.createDataFrame(x, hop), spark.createDataFrame(y, hop), spark.createDataFrame(b, "source_uid string, target_uid string, source_document int, target_document int, identity_id string, chunks array<long>"))
+    got = [(r.first_id, r.second_id, r.bridge_id or "") for r in df.collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+
+
 def test_rows_of_tables_are_sorted_once(spark):
     both = [relations.TOPIC, relations.DUTY, relations.MATERIAL, relations.CARE]
     rows = [(1, 0, 0, ["a", "员工执行"]), (1, 0, 1, both[:2]), (1, 0, 2, ["---", ":-:"]), (1, 0, 3, ["a", "由员工执行"]), (1, 0, 4, ["员工执行"]), (1, 0, 5, ["a", "b"]), (1, 0, 6, [None, "员工执行"]), (1, 1, 0, ["员工", "主管复核"]), (1, 1, 1, both[3:1:-1]), (1, 1, 2, ["x", "M"]), (1, 1, 3, ["", "M"]),
