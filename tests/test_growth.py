@@ -62,6 +62,26 @@ def test_bridges_of_a_common_name_are_made_where_they_are_read(spark, monkeypatc
     assert records < len(want) / 4
 
 
+def test_kinds_of_mentions_are_found_before_rows_are_exchanged(spark):
+    n = 400
+    rows = [(1, 1, i, "Material", "Red", ["red"], ["c"], i, [], [], False) for i in range(n)]
+    df = spark.createDataFrame(rows, "tenant_id int, kb_id int, uid long, type string, name string, names array<string>, contexts array<string>, document_id long, titles array<string>, declared array<string>, denied boolean")
+    got, _, records = passed(identity.bridges(df).select("source_uid", "target_uid", "basis", "canonical_name"))
+    assert len(got) == n * (n - 1)
+    assert records < 3 * n
+
+
+def test_texts_that_deny_or_declare_are_found_by_each_word(spark):
+    denying = ["red不是同一", "red并非同一", "red不属于同一", "red不代表同一", "red不等同于同一", "red不能视为同一", "red同名不等于", "red同名而不同", "red禁止混用", "red不得合并", "red不应视为同一", "red旧版不适用当前", "red属于不同材料", "red是不同表单", "red, red并不相同", "RED不可混用"]
+    others = ["red 一般", "red称为", "并非", "red; 不是同一", "禁止red", "", None, "red是red"]
+    declaring = {"redish 以下简称red": ["redish"], "Redish 简称“red”": ["redish"], "redish又称red。blue又称green": ["redish", "blue"], "redish别名为red": ["redish"]}
+    texts = [*denying, *others, *declaring]
+    rows = spark.createDataFrame([(i, ["red"], t, "T", "f.pdf") for i, t in enumerate(texts)], "uid int, names array<string>, content string, document_title string, document_name string")
+    got = {r.uid: (r.denied, r.declared) for r in identity.mentions(rows).collect()}
+    want = [(True, []) for _ in denying] + [(None if t is None else False, None if t is None else []) for t in others] + [(False, d) for d in declaring.values()]
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_a_snapshot_counts_ends_one_by_one(spark):
     a = spark.createDataFrame([(1, 5, 10, 0), (2, 5, None, 0), (3, 10, 5, 0), (4, None, 7, 1), (5, None, None, 2)], "assertion_id long, subject long, object long, place int")
     df = graph.snapshot(a, "place")
